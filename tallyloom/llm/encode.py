@@ -2,65 +2,114 @@
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import regex
 
-#: A space between white space and white space or the end: only there may a token of white space hold a space past its start.
-_RUN = re.compile(r"\s (?:\s|$)")
-#: Distinct pieces kept in a worker, about 150 bytes each.
-KEPT = 400_000
+from . import text
+
+_ASCII_SPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
+#: Bytes that may end, and that may begin, a character of white space.
+_ENDS_SPACE = np.isin(np.arange(256), [*_ASCII_SPACE, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+_BEGINS_SPACE = np.isin(np.arange(256), [*_ASCII_SPACE, 0xC2, 0xE1, 0xE2, 0xE3])
+
+#: How byte-level vocabularies of this kind part a text before merging.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Results kept in a worker by part, and as many by piece, at about 200 bytes each.
+KEPT = 600_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Kept(dict):
+    """Results by key; all are forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. Texts fall apart before single spaces, where byte-level BPE can't merge,
-    and the ids of each distinct piece are computed once; texts with runs of white space are encoded whole."""
+    """Ids in the narrowest of 16 and 32 bits that holds the vocabulary.
+
+    Byte-level BPE merges nothing across the parts of a text, so ids are kept by
+    part, and by piece: a space with what follows up to the next. Each distinct
+    piece of a batch is looked up once. Only a text with a space amid a run of
+    white space may have a part that spans two pieces; such are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # the end marker's string in a text is ordinary text
-        self.kept: dict[str, bytes] = {}
-
-    def _fill(self, pieces: list[str]) -> None:
-        if len(self.kept) + len(pieces) > KEPT:
-            self.kept.clear()
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            for piece, got in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[piece] = np.asarray(got.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _RUN.search(text):
-            return np.asarray(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        head, *rest = text.split(" ")
-        pieces = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        try:
-            return b"".join(map(self.kept.__getitem__, pieces))
-        except KeyError:
-            # all of this text's pieces, so that a clearing between leaves none out
-            kept = self.kept
-            missing = list(dict.fromkeys(x for x in pieces if x not in kept))
-            if len(kept) + len(missing) > KEPT:
-                missing = list(dict.fromkeys(pieces))
-            self._fill(missing)
-            return b"".join(map(self.kept.__getitem__, pieces))
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The same for a list: pieces that none of the texts before had go to the library together."""
-        kept = self.kept
-        new = list(dict.fromkeys(x for t in texts if t for x in self._pieces(t) if x not in kept))
-        if len(kept) + len(new) <= KEPT:
-            self._fill(new)
-        return [self(t) for t in texts]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        narrow = self.own.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = ("<u2", "H") if narrow else ("<u4", "I")
+        self.letters = _byte_letters()
+        self.model = self.own.model
+        self.parts = _Kept(self._part)
+        self.pieces = _Kept(self._piece)
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        value = piece.decode()
+        if value[0] == " " and value[1:].isalpha():
+            return self._part(value)
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(value)))
+
+    def whole(self, value: str | None) -> np.ndarray:
+        return np.array(self.own.encode(value or "", add_special_tokens=False).ids, self.dtype)
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column one after another, and the n + 1 places where texts begin; nulls have none."""
+        buf, off = text.flat(col)
+        n = len(buf)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(len(off), np.int64)
+        space = buf == 32
+        last = np.zeros(n, bool)
+        last[off[1:][off[1:] > off[:-1]] - 1] = True
+        follows = np.concatenate([_BEGINS_SPACE[buf[1:]], [True]]) | last
+        leads = np.concatenate([[False], _ENDS_SPACE[buf[:-1]]])
+        runs = np.flatnonzero(space & leads & follows)
+        starts = space
+        starts[off[:-1][off[:-1] < n]] = True
+        begin = np.flatnonzero(starts)
+        end = np.append(begin[1:], n)
+        run = text.prefix(buf.astype(np.uint64) + np.uint64(1), text.WORD_BASE)
+        hashed = text.mix((run[end] - run[begin]) * text.powers(text.inverse(text.WORD_BASE), n)[begin] ^ (end - begin).astype(np.uint64))
+        _, one, which = np.unique(hashed, return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        got = [self.pieces[raw[a:b]] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+        width = np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, got), np.int64, len(got)) // width
+        flat = np.frombuffer(b"".join(got), self.dtype)
+        many = size[which]
+        done = np.cumsum(many)
+        ids = flat[np.repeat((np.cumsum(size) - size)[which] - (done - many), many) + np.arange(done[-1])]
+        before = np.concatenate([[0], done])
+        places = before[np.searchsorted(begin, off)]
+        if not len(runs):
+            return ids, places
+        odd = set((np.searchsorted(off, runs, "right") - 1).tolist())
+        each = [self.whole(col[i].as_py()) if i in odd else ids[places[i] : places[i + 1]] for i in range(len(off) - 1)]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}

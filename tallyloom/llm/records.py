@@ -2,7 +2,7 @@
 
 A record is: the payload's length (8 bytes), the masked checksum of these 8
 bytes (4), the payload, the masked checksum of the payload (4); all integers
-little-endian, ids of 4 bytes each. A checksum is crc32, rotated right by 15
+little-endian, ids of 2 bytes each, or 4 if the vocabulary needs them. A checksum is crc32, rotated right by 15
 bits, plus a constant, so that the checksum of data that hold checksums stays
 meaningful. The index beside each data file has 25 bytes for each record:
 offset, payload length, document id, and 1 if the id is known (0 if null).
@@ -27,7 +27,7 @@ MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("known", "u1")])
 BLOCK = 8 << 20
 
-MANIFEST = "shard long, data string, idx string, first long, records long, tokens long"
+MANIFEST = "shard long, data string, idx string, first long, records long, tokens long, width int"
 READ = "shard long, doc_id long, position long, shard_start long, n_tokens long, ids_crc32 long"
 
 
@@ -78,22 +78,23 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str, end_id: int =
         task = TaskContext.get()
         shard = task.partitionId()
         own = encoder(tokenizer)
+        end, width = np.array([end_id], own.dtype).tobytes(), np.dtype(own.dtype).itemsize
         out = None
         index, at, tokens, first = [], 0, 0, None
         for part in text.slices(batches, "x"):
-            ids, payloads = part.column("k").to_pylist(), own.many(part.column("x").to_pylist())
+            keys, (ids, places) = part.column("k").to_pylist(), own(part.column("x"))
             if out is None:
                 fs, where = _filesystem(directory)
                 fs.create_dir(where, recursive=True)
                 name = f"{where}/records-{shard:06d}-{task.taskAttemptId()}"
-                out, first = fs.open_output_stream(f"{name}.rec"), ids[0]
+                out, first = fs.open_output_stream(f"{name}.rec"), keys[0]
             rows = []
-            for k, payload in zip(ids, payloads):
-                payload += struct.pack("<I", end_id)
+            for k, a, b in zip(keys, places[:-1], places[1:]):
+                payload = ids[a:b].tobytes() + end
                 index.append((at, len(payload), k or 0, k is not None))
                 rows.append(frame(payload))
                 at += len(rows[-1])
-                tokens += len(payload) // 4
+                tokens += len(payload) // width
             out.write(b"".join(rows))
         if out is None:
             return
@@ -102,8 +103,8 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str, end_id: int =
             f.write(np.array(index, INDEX).tobytes())
         base = f"{directory}/{name.rpartition('/')[2]}"
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "data": f"{base}.rec", "idx": f"{base}.idx", "first": first, "records": len(index), "tokens": tokens}],
-            pa.schema([("shard", pa.int64()), ("data", pa.string()), ("idx", pa.string()), ("first", pa.int64()), ("records", pa.int64()), ("tokens", pa.int64())]),
+            [{"shard": shard, "data": f"{base}.rec", "idx": f"{base}.idx", "first": first, "records": len(index), "tokens": tokens, "width": width}],
+            pa.schema([("shard", pa.int64()), ("data", pa.string()), ("idx", pa.string()), ("first", pa.int64()), ("records", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]),
         )
 
     ordered = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("x")).repartitionByRange(F.col("k")).sortWithinPartitions("k", "x")
@@ -132,8 +133,9 @@ def read_records(shards: DataFrame) -> DataFrame:
                                 raise ValueError("the index doesn't fit the data")
                             payload, end = unframe(rest, begin)
                             at, begin, i = at + end - begin, end, i + 1
-                            counts.append(len(payload) // 4)
-                            crcs.append(zlib.crc32(payload))
+                            ids = np.frombuffer(payload, f"<u{row['width']}")
+                            counts.append(len(ids))
+                            crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                         if not got:
                             raise ValueError("the data file is cut")
                         rest = rest[begin:]
@@ -152,7 +154,7 @@ def read_records(shards: DataFrame) -> DataFrame:
                     names=["shard", "doc_id", "position", "shard_start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("shard", "data", "idx", "tokens").mapInArrow(read, READ)
+    return shards.select("shard", "data", "idx", "tokens", "width").mapInArrow(read, READ)
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 
@@ -59,6 +61,11 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
 WORD_BASE, GRAM_BASE, OTHER_GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDA942042E4DD58B5
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct column `row`, so that their names can't clash with an operator's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; a null is an empty text."""
     col = pc.fill_null(col.cast(pa.large_string()), "")
