@@ -1,11 +1,60 @@
 """From raw documents to packed token files, in stages that each hand a table of documents to the next."""
 
+from __future__ import annotations
+
+from fractions import Fraction
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.llm import decontaminate, jaccard, mixing, quality_rules, queries, records, scratch
+
+#: The last stage's tokenizer isn't expressible in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.judge(docs, quality_rules.references(docs))
+    return judged.filter("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents tied by links of 0.8 or more on shingles of five words, the one of smallest id."""
+    groups = jaccard.jaccard_groups(docs, k=5, threshold=Fraction(4, 5))
+    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without ten words in a row of a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    dirty = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to the target weights; one that is taken in several epochs has several rows."""
+    return mixing.mix(docs, queries.TREE).select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's place in the written token files."""
+    return records.token_records(docs, public_tokenizers.path(queries.BYTE_BPE)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each one's table written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ _BEGINS_SPACE = np.isin(np.arange(256), [*_ASCII_SPACE, 0xC2, 0xE1, 0xE2, 0xE3])
 #: How byte-level vocabularies of this kind part a text before merging.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Results kept in a worker by part, and as many by piece, at about 200 bytes each.
-KEPT = 600_000
+KEPT = 400_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -23,6 +23,8 @@ _BYTE = np.arange(256)
 SPACED = ~np.isin(_BYTE, [32, 9, 10, 11, 12, 13])
 #: Bytes of words that are runs of ASCII letters, digits and non-ASCII characters.
 ALNUM = (_BYTE >= 128) | ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+#: Words as ALNUM has them, and runs of other characters but ASCII white space as words of their own.
+MIXED = np.where(ALNUM, 1, np.where(SPACED, 2, 0))
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 #: For bytes.translate: ASCII letters lower-cased, everything that no ALNUM word holds made a space.
 ALNUM_LOWER = bytes(int(LOWER[b]) if ALNUM[b] else 32 for b in range(256))
@@ -97,21 +99,21 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice of texts: their hashes, the text of each, and where each text's words begin."""
+    """The words of a slice of texts: their hashes, the text of each, and where each text's words begin.
+
+    kind names the class of each byte; a word is a run of bytes of one class other than 0 (or False)."""
 
     def __init__(self, col: pa.Array, kind: np.ndarray = SPACED, lower: bool = False):
         buf, off = flat(col)
         self.buf, self.off, self.n_texts = buf, off, len(off) - 1
-        inside = kind[buf]
+        of = kind[buf].astype(np.int8)
         n = len(buf)
-        before = np.zeros(n, bool)
-        before[1:] = inside[:-1]
-        before[off[:-1][off[:-1] < n]] = False
-        after = np.zeros(n, bool)
-        after[:-1] = inside[1:]
-        after[off[1:][off[1:] > 0] - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        before, after = np.zeros(n, np.int8), np.zeros(n, np.int8)
+        before[1:], after[:-1] = of[:-1], of[1:]
+        before[off[:-1][off[:-1] < n]] = 0
+        after[off[1:][off[1:] > 0] - 1] = 0
+        self.start = np.flatnonzero((of != 0) & (of != before))
+        self.end = np.flatnonzero((of != 0) & (of != after)) + 1
         self.text = np.searchsorted(off, self.start, "right") - 1
         self.count = np.bincount(self.text, minlength=self.n_texts).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
