@@ -50,7 +50,7 @@ class Rules:
     class_min_chars: int = 200
     class_limit: float = 0.3
     word_min_words: int = 100
-    word_limit: float = 0.75
+    word_limit: float = 0.42
     reference_min_words: int = 1000
 
 
