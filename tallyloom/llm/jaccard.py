@@ -11,8 +11,8 @@ and longer segments, with more signatures but fewer chance agreements.
 
 Documents that share a signature are candidates. Buckets are not expanded into
 pairs: each is tied to the member that shares most with others, candidates are
-verified by their whole sets, and only members that are then still in
-different components are compared among themselves.
+verified by their whole sets, and members that are then still in different
+components are compared only if they differ from that member in the same way.
 """
 
 from __future__ import annotations
@@ -184,16 +184,56 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of candidate pairs (u, v), those that link, by their whole sets of 64-bit shingle hashes."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of all documents of the pairs (u, v)."""
     ids = scratch.written(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct(), "candidates")
     small = ids.count() <= BROADCAST_IDS
-    sets = scratch.written(_sets(docs.join(F.broadcast(ids) if small else ids, "k", "left_semi"), k), "sets")
+    return scratch.written(_sets(docs.join(F.broadcast(ids) if small else ids, "k", "left_semi"), k), "sets")
+
+
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    union = F.size("a") + F.size("b") - both
-    return pairs.join(a, "u").join(b, "v").filter(both * t.denominator >= union * t.numerator).select("u", "v").distinct()
+    return pairs.join(a, "u").join(b, "v")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs with size_u, size_v, differ (the size of the symmetric difference) and linked, from whole sets of 64-bit shingle hashes."""
+    common = F.size(F.array_intersect("a", "b")).cast("long")
+    rows = _both(pairs, sets).select(*pairs.columns, F.size("a").cast("long").alias("size_u"), F.size("b").cast("long").alias("size_v"), common.alias("common"))
+    union = F.col("size_u") + F.col("size_v") - F.col("common")
+    return rows.select(*pairs.columns, "size_u", "size_v", (union - F.col("common")).alias("differ"), (F.col("common") * t.denominator >= union * t.numerator).alias("linked"))
+
+
+def _residual(open_spokes: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Candidates (u, v) among documents that share a centre c but not a component.
+
+    One of them, x, isn't linked to c, so its difference from c passes the limit
+    H(x, c). Let y be the other. The differences of x and y from c count the
+    difference of x and y, so a link needs
+    2 |added_x & added_y| >= differ_x + (|y| - |c|) - H(x, y), and
+    2 |removed_x & removed_y| >= differ_x + (|c| - |y|) - H(x, y),
+    where added is what c lacks and removed is what only c has. So x and y share
+    an added shingle, unless y is so much smaller than c that the first bound is
+    0 or less; then they share a removed one. Of sets that must share n shingles,
+    all but the last n - 1 in one order are enough to meet.
+    """
+    p, q = t.denominator - t.numerator, t.denominator + t.numerator
+    rows = _both(open_spokes, sets).withColumns({"added": F.sort_array(F.array_except("a", "b")), "removed": F.sort_array(F.array_except("b", "a"))}).drop("a", "b")
+    largest = F.col("size_u") + F.floor(F.col("size_u") * t.denominator / t.numerator)
+    need = F.ceil((F.col("differ") + F.ceil(F.col("size_u") * t.numerator / t.denominator) - F.col("size_v") - F.floor(largest * p / q)) / 2)
+    need_removed = F.ceil((F.col("differ") + 1 - F.floor((F.col("size_u") + F.col("size_v")) * p / q)) / 2)
+    front = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.lit(0), F.size(c) - F.greatest(F.lit(1), n).cast("int") + 1))
+    keys = ["v", "u", "part", "size_u", "size_v", "differ", "linked"]
+    added = rows.select(*keys, F.explode(F.when(F.col("linked"), F.col("added")).otherwise(front(F.col("added"), need))).alias("token"))
+    other = added.select("v", "token", F.col("u").alias("w"), F.col("part").alias("w_part"), F.col("linked").alias("w_linked"))
+    one = added.join(other, ["v", "token"]).filter("part <> w_part and u < w and not (linked and w_linked)").select("u", "w")
+    far = rows.filter("not linked").select(*keys, F.explode(front(F.col("removed"), need_removed)).alias("token"))
+    less = rows.filter("size_u < size_v").select("v", F.explode("removed").alias("token"), F.col("u").alias("w"), F.col("part").alias("w_part"), F.col("size_u").alias("w_size"))
+    small = F.col("differ") + F.col("w_size") - F.col("size_v") <= F.floor((F.col("size_u") + F.col("w_size")) * p / q)
+    near_size = (F.col("w_size") * t.denominator >= F.col("size_u") * t.numerator) & (F.col("size_u") * t.denominator >= F.col("w_size") * t.numerator)
+    two = far.join(less, ["v", "token"]).filter((F.col("part") != F.col("w_part")) & small & near_size).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w"))
+    return one.union(two).distinct().select("u", F.col("w").alias("v"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,21 +260,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4
     weight = live.groupBy("doc_id").agg(F.sum("n").alias("w"))
     # the centre of a bucket: the member whose signatures most others share, the smallest id of equals
     centre = live.join(weight, "doc_id").groupBy("sig").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("c"))).alias("top")).select("sig", (-F.col("top.c")).alias("centre"))
-    spokes = live.join(centre, "sig").filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
-    spokes = scratch.written(spokes, "spokes")
+    spoked = scratch.written(live.join(centre, "sig").filter("doc_id <> centre").select("sig", F.col("doc_id").alias("u"), F.col("centre").alias("v")), "spoked")
+    spokes = spoked.select("u", "v").distinct()
+    sets = _sets_of(docs, spokes, k)
+    measured = scratch.written(_measured(spokes, sets, threshold), "spokes")
     copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = scratch.written(_verified(spokes, docs, k, threshold), "links")
-    parts = scratch.written(graph.components(links.union(copies)), "parts")
+    links = measured.filter("linked").select("u", "v").union(copies)
+    parts = scratch.written(graph.components(links), "parts").withColumnRenamed("node", "u")
 
     # what stars can't tie: members of one bucket in different components
-    named = live.select("sig", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    named = spoked.join(parts, "u", "left").select("sig", "u", "v", F.coalesce("component", "u").alias("part"))
     split = named.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = scratch.written(named.join(split, "sig"), "open")
-    other = open_.select("sig", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
-    rest = open_.join(other, "sig").filter("part <> other_part and doc_id < other").select(F.col("doc_id").alias("u"), F.col("other").alias("v")).distinct()
-    rest = scratch.written(rest.join(spokes, ["u", "v"], "left_anti"), "rest")
-    more = _verified(rest, docs, k, threshold)
-    whole = graph.components(links.union(copies).union(more))
+    open_spokes = named.join(split, "sig").select("u", "v", "part").distinct().join(measured, ["u", "v"])
+    rest = scratch.written(_residual(open_spokes, sets, threshold), "rest")
+    more = _measured(rest, sets, threshold).filter("linked").select("u", "v")
+    whole = graph.components(links.union(more))
 
     out = signed.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
