@@ -3,8 +3,8 @@
 `remove_repeats` works on the corpus itself. Of every window of `window` words,
 winnowing keeps the smallest hash of its k-grams. A window can only occur
 twice if the k-gram kept for it is kept twice, so only windows on such k-grams
-go on; of each of these the smallest (id, start) is an aggregate, combined
-before the shuffle, and all others are removed.
+go on, a row for each k-gram kept; of equal windows all but the one of smallest
+(id, start) are removed.
 
 `remove_reference_spans` takes a reference list that is bounded: its shards
 become suffix automata over words, which are broadcast; documents are streamed
@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, text
 
-#: Lists of at most so many documents and places, about 100 MB, are broadcast; longer ones meet the texts in a shuffle.
-BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 8_000_000
+#: Lists of at most so many documents and places, about 80 MB, are broadcast; longer ones meet the texts in a shuffle.
+BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 16_000_000
+#: Windows on a k-gram that is kept more often than this meet by aggregates and a join that can be split; others in one task.
+HOT = 10_000
 
 
 def ordered_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,7 +44,7 @@ def ordered_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
     """docs with the places of each document, a table of (k, places)."""
-    n, total = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    n, total = places.agg(F.count("*"), F.coalesce(F.sum(sum(F.size(c) for c in places.columns if c != "k")), F.lit(0))).first()
     return docs.join(F.broadcast(places) if n <= BROADCAST_ROWS and total <= BROADCAST_PLACES else places, "k", "left")
 
 
@@ -58,8 +60,9 @@ def _prints(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.select("k", "x").mapInArrow(rows, "k long, place int, print long")
 
 
-def _windows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """docs(k, x, places) -> (a, b, k, start): both halves of a 128-bit hash of each window whose kept k-gram is at one of the places."""
+def _windows(docs: DataFrame, window: int, k: int, column: str) -> DataFrame:
+    """docs(k, x, column) -> (print, k, start, hashes): for each kept k-gram at one of the places of the column, the first of the
+    windows it is kept for, and the hashes of these windows, which follow one another."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "x"):
@@ -69,28 +72,45 @@ def _windows(docs: DataFrame, window: int, k: int) -> DataFrame:
             words = text.Words(part.column("x"))
             h, ok = words.grams(k)
             starts, best = text.winnow(h, ok, window - k + 1)
-            places = part.column("places").combine_chunks() if isinstance(part.column("places"), pa.ChunkedArray) else part.column("places")
+            places = part.column("places")
             counts = np.array(places.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            marked = np.zeros(len(words.hash), bool)
+            marked = np.zeros(len(words.hash) + 1, bool)
             marked[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], counts)] = True
-            starts = starts[marked[best]]
-            of = words.text[starts]
-            a, b = words.grams(window)[0][starts], words.grams(window, text.OTHER_GRAM_BASE)[0][starts]
+            keep = marked[best]
+            starts, best = starts[keep], best[keep]
+            hashes = words.grams(window)[0][starts]
+            first = np.flatnonzero(np.diff(best, prepend=-1))
+            at = starts[first]
+            of = words.text[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("k").take(pa.array(of)), pa.array((starts - words.first[of]).astype(np.int32))], names=["a", "b", "k", "start"]
-            )
+                [
+                    pa.array(h[best[first]].view(np.int64)), part.column("k").take(pa.array(of)), pa.array((at - words.first[of]).astype(np.int32)),
+                    pa.ListArray.from_arrays(np.append(first, len(hashes)).astype(np.int32), pa.array(hashes.view(np.int64))),
+                ],
+                names=["print", "k", "start", "hashes"],
+            )
+
+    return docs.select("k", "x", F.col(column).alias("places")).filter(F.size("places") > 0).mapInArrow(rows, "print long, k long, start int, hashes array<long>")
+
 
-    return docs.select("k", "x", "places").mapInArrow(rows, "a long, b long, k long, start int")
+def _each(rows: DataFrame) -> DataFrame:
+    return rows.select("print", "k", "start", F.posexplode("hashes").alias("i", "hash")).select("print", "hash", "k", (F.col("start") + F.col("i")).alias("start"))
 
 
 def repeated_starts(docs: DataFrame, window: int, k: int) -> DataFrame:
     """docs(k, x) -> (k, places): where windows start that also start earlier in the corpus."""
     prints = _prints(docs, window, k)
-    twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    places = scratch.written(prints.join(twice, "print").groupBy("k").agg(F.collect_list("place").alias("places")), "places")
-    found = _windows(_beside(docs, places), window, k)
-    first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("first")).filter("n > 1").select("a", "b", "first")
-    later = found.join(first, ["a", "b"]).filter(F.struct("k", "start") > F.col("first"))
+    twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = prints.join(twice, "print").groupBy("k").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("place"))).alias("few"), F.collect_list(F.when(F.col("n") > HOT, F.col("place"))).alias("many"))
+    beside = _beside(docs, scratch.written(hits, "places"))
+    # a k-gram that isn't hot has a bounded number of rows, so its windows are compared where they meet
+    few = _each(_windows(beside, window, k, "few").repartition("print"))
+    least = F.min(F.struct("k", "start")).over(Window.partitionBy("print", "hash"))
+    later = few.withColumn("first", least).filter(F.struct("k", "start") > F.col("first")).select("k", "start")
+    # of hot ones, the first of equal windows is an aggregate, combined before the shuffle
+    many = _each(_windows(beside, window, k, "many"))
+    first = many.groupBy("print", "hash").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("first")).filter("n > 1").select("print", "hash", "first")
+    later = later.union(many.join(first, ["print", "hash"]).filter(F.struct("k", "start") > F.col("first")).select("k", "start"))
     return scratch.written(later.groupBy("k").agg(F.collect_list("start").alias("places")), "repeats")
 
 
@@ -102,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, id_col: str =
     same one; windows are judged on the input. Words are runs of anything but
     ASCII white space. Null and empty texts have no words. Rows that share an id
     are ordered by their texts; null ids come before all others. Windows are
-    equal if 128 bits of hash are.
+    equal if 64 bits of hash of all their words, and 64 of the k-gram kept, are.
     """
     keyed = ordered_key(docs, id_col, text_col)
 

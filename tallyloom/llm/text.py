@@ -60,7 +60,7 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-WORD_BASE, GRAM_BASE, OTHER_GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDA942042E4DD58B5
+WORD_BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 def whole_row(df: DataFrame) -> Column:
