@@ -118,7 +118,7 @@ def judge_calibration(spark, sf_dir):
 
 
 _PPI = f"""{SCORED}, q AS (SELECT g, (p >= 0.6)::INT AS j, y AS t, id % 4 = 0 AS l FROM scored), a AS (SELECT g, count(*) FILTER (l) AS n, count(*) FILTER (NOT l) AS m, avg(t) FILTER (l) AS t, avg(j) FILTER (l) AS jl, avg(j) FILTER (NOT l) AS ju,
- covar_samp(t, j) FILTER (l) AS c, var_samp(j) FILTER (l) AS vj, var_samp(j) FILTER (NOT l) AS vu, var_samp(t) FILTER (l) AS vt FROM q GROUP BY g), b AS (SELECT *, least(1.0, greatest(0.0, c / ((1 + n / m) * vj))) AS k FROM a)"""
+ covar_samp(t, j) FILTER (l) AS c, var_samp(j) FILTER (l) AS vj, var_samp(j) FILTER (NOT l) AS vu, var_samp(t) FILTER (l) AS vt FROM q GROUP BY g), b AS (SELECT *, least(1.0, greatest(0.0, c / nullif((1 + n / m) * vj, 0))) AS k FROM a)"""
 
 
 @query(f"WITH {_PPI} SELECT g, round(k, 6) AS lambda, round(k * ju + t - k * jl, 6) AS estimate, round(sqrt(k * k * vu / m + (vt + k * k * vj - 2 * k * c) / n), 6) AS se, round(ju, 6) AS judge_only, round(t, 6) AS label_only FROM b")
