@@ -27,8 +27,10 @@ from . import scratch, text
 
 #: Lists of at most so many documents and places, about 80 MB, are broadcast; longer ones meet the texts in a shuffle.
 BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 16_000_000
-#: Windows on a k-gram that is kept more often than this meet by aggregates and a join that can be split; others in one task.
-HOT = 10_000
+#: Of windows on a k-gram that is kept more often than this, each task sends on only the first one that it has met.
+HOT = 1_000
+#: Windows that a task remembers for that; beyond, it forgets them, which costs rows but no result.
+REMEMBERED = 500_000
 
 
 def ordered_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,58 +62,102 @@ def _prints(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.select("k", "x").mapInArrow(rows, "k long, place int, print long")
 
 
-def _windows(docs: DataFrame, window: int, k: int, column: str) -> DataFrame:
-    """docs(k, x, column) -> (print, k, start, hashes): for each kept k-gram at one of the places of the column, the first of the
-    windows it is kept for, and the hashes of these windows, which follow one another."""
+WINDOWS = "print long, k long, start int, hashes array<long>, late boolean"
+
+
+def _window_rows(prints: np.ndarray, k: pa.Array, start: np.ndarray, ends: np.ndarray, hashes: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(hashes.view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), k, pa.array(start.astype(np.int32)), lists, pa.array(late)], names=["print", "k", "start", "hashes", "late"])
+
+
+class _Firsts:
+    """Of each window that a task has met, the smallest (k, start); all others are late, and need no company to say so."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def late(self, rows: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        for p, h, k, s in rows:
+            old = self.first.setdefault((p, h), (k, s))
+            if old < (k, s):
+                yield p, h, k, s
+            elif old > (k, s):
+                self.first[p, h] = (k, s)
+                yield p, h, *old
+
+    def batch(self, rows: list[tuple[int, int, int, int]], late: bool) -> pa.RecordBatch:
+        p, h, k, s = (np.array(c, np.uint64 if i < 2 else np.int64) for i, c in enumerate(zip(*rows)))
+        if late:  # spread over all partitions
+            p = text.mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.view(np.uint64))
+        return _window_rows(p, pa.array(k), s, np.arange(len(rows) + 1), h, np.full(len(rows), late))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.first:
+            yield self.batch([(*w, *at) for w, at in self.first.items()], False)
+            self.first = {}
+
+
+def _windows(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """docs(k, x, few, many) -> (print, k, start, hashes, late): for each kept k-gram at one of the places `few`, the first of the windows
+    it is kept for, and the hashes of these windows, which follow one another. Windows on places `many` have a row each, and are late,
+    under a print of their own, if the task has met the window at a smaller (k, start)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for part in text.slices(batches, "x"):
-            part = part.filter(part.column("places").is_valid())
-            if not part.num_rows:
-                continue
             words = text.Words(part.column("x"))
             h, ok = words.grams(k)
             starts, best = text.winnow(h, ok, window - k + 1)
-            places = part.column("places")
-            counts = np.array(places.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            marked = np.zeros(len(words.hash) + 1, bool)
-            marked[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], counts)] = True
-            keep = marked[best]
-            starts, best = starts[keep], best[keep]
-            hashes = words.grams(window)[0][starts]
-            first = np.flatnonzero(np.diff(best, prepend=-1))
-            at = starts[first]
-            of = words.text[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[best[first]].view(np.int64)), part.column("k").take(pa.array(of)), pa.array((at - words.first[of]).astype(np.int32)),
-                    pa.ListArray.from_arrays(np.append(first, len(hashes)).astype(np.int32), pa.array(hashes.view(np.int64))),
-                ],
-                names=["print", "k", "start", "hashes"],
-            )
-
-    return docs.select("k", "x", F.col(column).alias("places")).filter(F.size("places") > 0).mapInArrow(rows, "print long, k long, start int, hashes array<long>")
+            hashes, of = words.grams(window)[0][starts], words.text[starts]
+            ids = part.column("k").to_numpy()
+            for name in ("few", "many"):
+                places = part.column(name)
+                counts = np.array(places.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                marked = np.zeros(len(words.hash) + 1, bool)
+                marked[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], counts)] = True
+                keep = np.flatnonzero(marked[best])
+                if not len(keep):
+                    continue
+                place = starts[keep] - words.first[of[keep]]
+                if name == "few":
+                    first = np.flatnonzero(np.diff(best[keep], prepend=-1))
+                    yield _window_rows(h[best[keep][first]], pa.array(ids[of[keep][first]]), place[first], np.append(first, len(keep)), hashes[keep], np.zeros(len(first), bool))
+                else:
+                    met = zip(h[best[keep]].tolist(), hashes[keep].tolist(), ids[of[keep]].tolist(), place.tolist())
+                    if late := list(firsts.late(met)):
+                        yield firsts.batch(late, True)
+                    if len(firsts.first) > REMEMBERED:
+                        yield from firsts.flush()
+        yield from firsts.flush()
+
+    return docs.filter(F.size("few") + F.size("many") > 0).select("k", "x", "few", "many").mapInArrow(rows, WINDOWS)
+
+
+def _spans(starts: DataFrame, window: int) -> DataFrame:
+    """(k, places): begin and end of each stretch of words that the windows at the places cover, one after the other."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p in batch.column("places"):
+                at = np.sort(p.values.to_numpy())
+                gap = np.flatnonzero(np.diff(at) > window)
+                out.append(np.stack([at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)] + window], axis=1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["k", "places"])
 
-def _each(rows: DataFrame) -> DataFrame:
-    return rows.select("print", "k", "start", F.posexplode("hashes").alias("i", "hash")).select("print", "hash", "k", (F.col("start") + F.col("i")).alias("start"))
+    return starts.mapInArrow(rows, "k long, places array<int>")
 
 
-def repeated_starts(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """docs(k, x) -> (k, places): where windows start that also start earlier in the corpus."""
+def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """docs(k, x) -> (k, places): begin and end of the stretches that are covered by windows that also start earlier in the corpus."""
     prints = _prints(docs, window, k)
     twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
     hits = prints.join(twice, "print").groupBy("k").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("place"))).alias("few"), F.collect_list(F.when(F.col("n") > HOT, F.col("place"))).alias("many"))
-    beside = _beside(docs, scratch.written(hits, "places"))
-    # a k-gram that isn't hot has a bounded number of rows, so its windows are compared where they meet
-    few = _each(_windows(beside, window, k, "few").repartition("print"))
+    rows = _windows(_beside(docs, scratch.written(hits, "places")), window, k).repartition("print")
+    each = rows.select("print", "k", "start", "late", F.posexplode("hashes").alias("i", "hash")).select("print", "hash", "k", (F.col("start") + F.col("i")).alias("start"), "late")
     least = F.min(F.struct("k", "start")).over(Window.partitionBy("print", "hash"))
-    later = few.withColumn("first", least).filter(F.struct("k", "start") > F.col("first")).select("k", "start")
-    # of hot ones, the first of equal windows is an aggregate, combined before the shuffle
-    many = _each(_windows(beside, window, k, "many"))
-    first = many.groupBy("print", "hash").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("first")).filter("n > 1").select("print", "hash", "first")
-    later = later.union(many.join(first, ["print", "hash"]).filter(F.struct("k", "start") > F.col("first")).select("k", "start"))
-    return scratch.written(later.groupBy("k").agg(F.collect_list("start").alias("places")), "repeats")
+    later = each.withColumn("first", least).filter(F.col("late") | (F.struct("k", "start") > F.col("first")))
+    return scratch.written(_spans(later.groupBy("k").agg(F.collect_list("start").alias("places")), window), "repeats")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +180,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, id_col: str =
                 n_words.append(len(words))
                 if places:
                     gone = bytearray(len(words))
-                    for s in places:
-                        gone[s : s + window] = b"\x01" * window
+                    for a, b in zip(places[::2], places[1::2]):
+                        gone[a:b] = b"\x01" * (b - a)
                     words = [w for w, g in zip(words, gone) if not g]
                 kept.append(words)
             left = [b" ".join(w) for w in kept]
@@ -147,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, id_col: str =
                 names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    return _beside(keyed, repeated_starts(keyed, window, k)).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return _beside(keyed, repeated_spans(keyed, window, k)).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 class SuffixAutomaton:

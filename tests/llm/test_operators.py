@@ -1,0 +1,549 @@
+"""Every text operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from tallyloom.llm import classifier, decontaminate, graph, jaccard, licenses, mixing, quality_rules, queries, records, substring, text, token_counts, urls
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, k string, start int, component_id string"
+
+
+def corpus(seed=1, n=60):
+    """Texts of a small vocabulary: copies, near copies, shared passages, odd white space, other alphabets, one long text."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Été", "naïve", "日本", "x|y", "A.B", "THE!!"]
+    words = lambda m: [rng.choice(vocabulary) for _ in range(m)]
+    passage = words(30)
+    texts = [None, "", " \n\t ", "one", "two  words", "a b c"]
+    while len(texts) < n:
+        kind = rng.randrange(6)
+        w = words(rng.choice([3, 9, 25, 60, 120]))
+        if kind == 0:
+            w = w[:10] + passage + w[10:]
+        if kind == 1 and any(texts[6:]):
+            w = rng.choice(texts[6:]).split()
+            if rng.random() < 0.7:
+                w[rng.randrange(len(w))] = "edit"
+        texts.append(rng.choice([" ", "  ", "\n", " \n "]).join(w) if kind == 2 else " ".join(w))
+    texts.append(" ".join(words(20_000)))
+    return texts
+
+
+def frame(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, [None, "en", "fr"][j % 3], [None, "src0", "src7", "src12"][j % 4], len(t or ""), "r", "k", 1, "c") for j, (i, t) in enumerate(zip(ids, texts))]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def space_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def lower(t):
+    return (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def alnum_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+# words and hashes
+
+
+def test_words_are_those_of_the_patterns(texts):
+    col = pa.array(texts, pa.string())
+    for kind, own in ((text.SPACED, space_words), (text.ALNUM, lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or ""))):
+        w = text.Words(col, kind)
+        raw = w.buf.tobytes()
+        got = defaultdict(list)
+        for a, b, i in zip(w.start, w.end, w.text):
+            got[i].append(raw[a:b].decode())
+        assert [got[i] for i in range(len(texts))] == [own(t) for t in texts]
+
+
+def test_hashes_are_equal_exactly_for_equal_words_and_grams(texts):
+    w = text.Words(pa.array(texts, pa.string()))
+    raw = w.buf.tobytes()
+    names = [raw[a:b] for a, b in zip(w.start, w.end)]
+    assert len(set(zip(names, w.hash.tolist()))) == len(set(names)) == len(set(w.hash.tolist()))
+    h, ok = w.grams(3)
+    grams = {(tuple(names[i : i + 3]), int(h[i])) for i in np.flatnonzero(ok)}
+    assert len(grams) == len({g for g, _ in grams}) == len({x for _, x in grams})
+
+
+def test_equal_windows_keep_the_same_gram():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 5, 200).astype(np.uint64)
+    starts, best = text.winnow(h, np.ones(200, bool), 6)
+    kept = {}
+    for s, b in zip(starts, best):
+        assert kept.setdefault(tuple(h[s : s + 6]), b - s) == b - s
+
+
+# tokens
+
+
+@pytest.fixture(scope="module")
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    own.encode_special_tokens = True
+    return [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_counts_by_separator_scan(spark, texts, encoded):
+    got = token_counts.token_counts(frame(spark, texts), BPE, 50256, block_tokens=1000).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(x)) for i, x in enumerate(encoded)] and all(r["ended"] for r in got)
+
+
+def test_separator_scan_of_files_without_a_catalogue(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    want = {}
+    for name, size in (("a.bin", 5000), ("b.bin", 1), ("c.bin", 0), ("d.bin", 3000)):
+        ids = rng.integers(1, 9, size).astype("<u2")
+        ids[rng.random(size) < (0.001 if name == "a.bin" else 0.2)] = 0
+        (tmp_path / name).write_bytes(ids.tobytes())
+        parts = np.split(ids, np.flatnonzero(ids == 0) + 1)
+        want[name] = [(len(p) - 1, True) for p in parts[:-1]] + ([(len(parts[-1]), False)] if len(parts[-1]) else [])
+    files = token_counts.flat_files(spark, f"file://{tmp_path}")
+    got = defaultdict(list)
+    for r in token_counts.document_spans(token_counts.scan_blocks(files, 0, block_tokens=128)).orderBy("file", "ordinal").collect():
+        got[r["file"].rpartition("/")[2]].append((r["n_tokens"], r["ended"]))
+    assert {k: v for k, v in want.items() if v} == dict(got)
+
+
+def test_records_round_trip(spark, texts, encoded):
+    got = records.token_records(frame(spark, texts), BPE).orderBy("start").collect()
+    start = 0
+    for i, (ids, r) in enumerate(zip(encoded, got)):
+        ids = [*ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(got) == len(texts)
+
+
+def test_records_keep_null_and_repeated_ids(spark):
+    got = records.token_records(frame(spark, ["b", "a", None], [None, 5, 5]), BPE).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(None, 2), (5, 1), (5, 2)]
+
+
+def test_damaged_records_are_refused():
+    framed = bytearray(records.frame(b"payload"))
+    assert records.unframe(bytes(framed)) == (b"payload", len(framed))
+    for i in (0, 9, 13, len(framed) - 1):
+        bad = bytearray(framed)
+        bad[i] ^= 1
+        with pytest.raises(ValueError):
+            records.unframe(bytes(bad))
+    with pytest.raises(ValueError):
+        records.unframe(bytes(framed[:-1]))
+
+
+# decontamination
+
+
+def brute_contamination(t, items, window=10):
+    words = alnum_words(t)
+    hit, found = set(), set()
+    for item, it in items:
+        w = alnum_words(it)
+        n = min(window, len(w))
+        own = {tuple(w[s : s + n]) for s in range(len(w) - n + 1)} if w else set()
+        for s in range(len(words) - n + 1):
+            if tuple(words[s : s + n]) in own:
+                hit |= set(range(s, s + n))
+                found.add(str(item))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_contamination(spark, texts):
+    long = [t for t in texts if t and len(t.split()) > 30]
+    items = [(3, " ".join(long[0].split()[5:25]).upper()), (11, long[0][:80]), (2, long[1].replace(" ", ", ")), (7, "one"), (8, "w1 W2"), (9, None), (10, "!!"), (12, "one"), (None, long[1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.contamination(frame(spark, texts), bench))
+    known = [x for x in items if x[0] is not None]
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == brute_contamination(t, known), i
+        assert r["contaminated"] == (r["n_hit"] > 0)
+    assert sum(r["contaminated"] for r in got.values()) > 3
+
+
+def test_contamination_of_repeated_ids_and_empty_tables(spark):
+    docs = frame(spark, ["one two", "three", "one two", None], [1, 1, None, None])
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_hit"]) for r in decontaminate.contamination(docs, bench).collect()) == [("1", 0), ("1", 2), ("None", 0), ("None", 2)]
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert [r["n_items"] for r in decontaminate.contamination(docs, bench.limit(0)).collect()] == [0] * 4
+
+
+# quality rules
+
+
+def brute_quality(t):
+    t = t or ""
+    words = space_words(t)
+    grams = Counter(zip(words, words[1:], words[2:]))
+    hit = {p for s in range(len(words) - 2) if grams[tuple(words[s : s + 3])] > 1 for p in (s, s + 1, s + 2)}
+    lines = [x for x in t.split("\n") if space_words(x)]
+    failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), failed
+
+
+def test_quality_base_measures(spark, texts):
+    more = [*texts, "a b c\na b c\n\n a b c\nx", "Und " * 60, "l\r\nl\r\nl\n"]
+    docs = frame(spark, more)
+    got = {r["row"]["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
+    for i, t in enumerate(more):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t), i
+        assert not (r["base_failed"] and r["kept"])
+        assert r["row"]["text"] == t and r["row"]["row"] == "r"
+
+
+def test_divergent_documents_go_and_others_stay(spark):
+    rng = random.Random(2)
+    common = ["the", "of", "and", "to", "in", "a"]
+    clean = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150))
+    good = [clean() for _ in range(60)]
+    bad = [clean().upper().replace(" ", "!! "), " ".join(f"{w}$$$" for w in clean().split()), " | ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(150))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    kept = {r["row"]["doc_id"] for r in quality_rules.judge(docs, quality_rules.references(docs)).filter("kept").collect()}
+    assert kept == set(range(60))
+
+
+def test_distance_is_a_bounded_metric_of_histograms():
+    assert quality_rules.distance([1, 2, 3], [2, 4, 6]) == pytest.approx(0, abs=1e-7)
+    assert quality_rules.distance([1, 0], [0, 5]) == pytest.approx(1)
+    assert quality_rules.distance([3, 1], [1, 1]) == pytest.approx(quality_rules.distance([1, 1], [3, 1]))
+
+
+# substrings
+
+
+def brute_repeats(rows, window=20):
+    seen, out = set(), {}
+    for k, t in rows:
+        w = space_words(t)
+        gone = set()
+        for s in range(len(w) - window + 1):
+            g = tuple(w[s : s + window])
+            if g in seen:
+                gone |= set(range(s, s + window))
+            seen.add(g)
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out[k] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot,broadcast,remembered", [(10_000, 500_000, 1000), (2, 0, 1000), (2, 0, 5)])
+def test_repeated_passages_are_removed(spark, texts, monkeypatch, hot, broadcast, remembered):
+    monkeypatch.setattr(substring, "REMEMBERED", remembered)
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
+    more = [*texts, "a b " * 40, "w1 " * 19, "w1 " * 21]
+    got = by_id(substring.remove_repeats(frame(spark, more)))
+    assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_repeats(enumerate(more))
+    assert sum(r["n_removed"] > 0 for r in got.values()) > 5
+
+
+def test_repeats_under_null_and_repeated_ids(spark):
+    same = " ".join(f"v{i}" for i in range(25))
+    docs = frame(spark, [same, same + " z", None, same], [4, None, 4, 4])
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring.remove_repeats(docs).collect())
+    assert got == [("4", 0, 0), ("4", 25, 25), ("4", 25, 25), ("None", 26, 0)]
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_suffix_automaton_matches_brute_force(spark):
+    rng = random.Random(4)
+    own, texts_ = substring.SuffixAutomaton(), []
+    for _ in range(5):
+        w = [rng.choice(b"abc") for _ in range(30)]
+        texts_.append(w)
+        own.add(w)
+    query = [rng.choice(b"abcd") for _ in range(60)]
+    runs = {tuple(w[i:j]) for w in texts_ for i in range(30) for j in range(i, 31)}
+    for end, got in enumerate(own.matching(query), 1):
+        assert got == max(n for n in range(end + 1) if tuple(query[end - n : end]) in runs)
+
+
+def test_reference_spans_are_removed(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = frame(spark, [f"start {passage} end", passage[:60], None, ""])
+    ref = spark.createDataFrame([("x " + passage + " y",), (None,)], "text string")
+    got = {r["row"]["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_reference_spans(docs, ref, 20, shard_words=10).collect()}
+    assert got[0] == (32, 30, "start end") and got[1][1] == 0 and got[2] == (0, 0, "") == got[3]
+    with pytest.raises(ValueError):
+        substring.remove_reference_spans(docs, ref, max_words=5)
+
+
+# licenses
+
+
+def brute_lcs_pairs(a, b, pairs):
+    return all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_patience_alignment():
+    assert licenses.align(list("abcdef"), list("abcdef")) == [(i, i) for i in range(6)]
+    pairs = licenses.align("x licensed under the new mit license now".split(), "licensed under the mit license".split())
+    assert [p[1] for p in pairs] == [0, 1, 2, 3, 4]
+    rng = random.Random(5)
+    for _ in range(50):
+        a, b = [[rng.choice("abcdefghij") for _ in range(rng.randrange(12))] for _ in range(2)]
+        assert brute_lcs_pairs(a, b, licenses.align(a, b))
+
+
+def test_license_scan(spark, texts):
+    mit = "Released under the MIT License."
+    docs = frame(spark, [*texts, f"{texts[-1]} {mit} tail", mit.upper(), f"{mit}\n{mit}", "Licensed under the new Apache License, Version 2.0 today", "the license"])
+    got = by_id(licenses.scan(docs))
+    n = len(texts)
+    assert all(got[i]["license"] is None for i in range(n))
+    assert got[n]["license"] == "MIT" and got[n]["first_word"] == len(alnum_words(texts[-1])) and got[n]["coverage"] == 1.0
+    assert got[n + 1]["license"] == "MIT" and got[n + 2]["license"] == "MIT" and got[n + 3]["license"] == "Apache-2.0" and got[n + 4]["license"] is None
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+# urls
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 240)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame([*edges, (None, 3), (5, None), (7, 7)], "u long, v long")
+    assert {r["node"]: r["component"] for r in graph.components(df).collect()} == {x: find(x) for x in touched}
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_url_verdicts_and_aliases(spark):
+    canonical = lambda u: f'<html><link rel="canonical" href="{u}"></html>'
+    pages = [
+        (1, "https://m.Example.COM/en/75?x#y", ""), (2, "http://a.com/en/1", ""), (3, "http://other.io/p", canonical("http://a.com/en/1")), (4, "http://fourth.io/", '<meta http-equiv="refresh" content="0; url=http://other.io/p">'),
+        (5, "http://mixed.io/", canonical("http://x.net/de/1")), (6, "http://mixed.io/2", canonical("http://mixed.io/")), (7, "http://bad.org/es/1", canonical("http://mixed.io/2")), (8, None, canonical("http://a.com/en/1")),
+        (9, "no scheme", None), (10, "http://example.net/de/8/a", None), (11, "http://notexample.net/de/8", None), (None, "http://a.com", ""), (2, "http://a.com/en/1", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df, urls.rules_table(spark, queries.URL_RULES), urls.page_edges(df)).collect()]
+    assert sorted(got, key=str) == sorted(
+        [
+            (1, "m.example.com", "/en/75", "example.com/en/7", "allow"), (2, "a.com", "/en/1", "com/en/", "block"), (2, "a.com", "/en/1", "com/en/", "block"), (3, "other.io", "/p", None, "block"), (4, "fourth.io", "/", None, "block"),
+            (5, "mixed.io", "/", None, "allow"), (6, "mixed.io", "/2", None, "allow"), (7, "bad.org", "/es/1", "org/es/", "block"), (8, "", "", None, "allow"), (9, "", "", None, "allow"),
+            (10, "example.net", "/de/8/a", "example.net/de/8", "block"), (11, "notexample.net", "/de/8", "net/de/", "allow"), (None, "a.com", "", None, "allow"),
+        ], key=str,
+    )
+    assert urls.judge(df.limit(0), urls.rules_table(spark, queries.URL_RULES), urls.page_edges(df.limit(0))).count() == 0
+
+
+# n-gram Jaccard
+
+
+def brute_groups(rows, k, t):
+    sets = {}
+    for i, x in rows:
+        w = space_words(lower(x))
+        sets[i] = {tuple(w[s : s + k]) for s in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    part = {i: i for i in sets}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if both * t.denominator >= (len(sets[a]) + len(sets[b]) - both) * t.numerator:
+                    x, y = find(a), find(b)
+                    part[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed, base_words=60, n=80, edits=4):
+    """A base and copies with a few substitutions, insertions or deletions, from few places, so that copies link over one another."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(base_words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, edits + 1)):
+            at = rng.choice([5, 6, 20, 33, 50]) % len(w)
+            kind = rng.randrange(3)
+            if kind == 0:
+                w[at] = rng.choice(["e1", "e2", f"r{rng.random()}"])
+            elif kind == 1:
+                w.insert(at, rng.choice(["i1", "i2"]))
+            else:
+                del w[at]
+        out.append(" ".join(w))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed,k,t", [(1, 3, Fraction(9, 10)), (2, 3, Fraction(9, 10)), (3, 5, Fraction(4, 5)), (4, 2, Fraction(7, 10))])
+def test_jaccard_groups(spark, seed, k, t):
+    rows = list(enumerate(corpus(seed, 40) + near_copies(seed) + near_copies(seed + 10, 12, 20, 2)))
+    got = by_id(jaccard.jaccard_groups(frame(spark, [x for _, x in rows]), k, t))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_groups(rows, k, t)
+
+
+def test_deletion_neighbourhoods_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "allocate", lambda size, difference, documents: (difference + 1) // 2)
+    rows = list(enumerate(near_copies(7) + near_copies(8, 20, 30, 2)))
+    got = by_id(jaccard.jaccard_groups(frame(spark, [x for _, x in rows]), 3, Fraction(9, 10)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_groups(rows, 3, Fraction(9, 10))
+
+
+def test_more_documents_get_longer_segments():
+    assert jaccard.allocate(400, 44, 10) == 0 < jaccard.allocate(400, 44, 10**9)
+
+
+def test_jaccard_groups_of_null_ids_and_empty_tables(spark):
+    got = jaccard.jaccard_groups(frame(spark, ["a b c d", "A B C D", "a b c d", "q"], [9, 3, None, 3]), 3, Fraction(9, 10)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("3", 3), ("3", 3), ("9", 3), ("None", None)]
+    assert jaccard.jaccard_groups(frame(spark, ["a"]).limit(0), 3, Fraction(9, 10)).count() == 0
+
+
+# classifier
+
+
+def test_classifier_learns_and_holds_out(spark):
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone", "tree"]) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["buy!!", "now!!", "$$$", "win|", "free"]) for _ in range(60))
+    rows = [(i, good() if i % 3 else bad(), int(i % 3 > 0)) for i in range(300)]
+    docs = frame(spark, [t for _, t, _ in rows] + [None, ""])
+    labels = spark.createDataFrame([*((i, y) for i, _, y in rows), (None, 1), (5, None)], "doc_id long, quality int")
+    got = by_id(classifier.score(docs, labels))
+    assert len(got) == 302 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert len(held) > 40 and sum(p == y for p, y in held) / len(held) > 0.95
+    # labels of documents that are held out change nothing
+    flipped = spark.createDataFrame([(i, 1 - y if got[i]["held_out"] else y) for i, _, y in rows], "doc_id long, quality int")
+    again = by_id(classifier.score(docs, flipped))
+    assert all(abs(again[i]["score"] - got[i]["score"]) < 1e-9 for i in got)
+
+
+def test_word_vectors_are_sums_over_neighbours(spark):
+    s = classifier.Settings(words=64, size=8)
+    docs = spark.createDataFrame([("a b c",), ("c a",), (None,)], "text string")
+    table = classifier.word_vectors(docs, s)
+    spots, signs = classifier.index_vectors(s)
+    want = np.zeros((64, 9))
+    for t in ("a b c", "c a"):
+        w = (text.Words(pa.array([t]), text.MIXED).hash % np.uint64(64)).astype(int)
+        for i in range(len(w)):
+            want[w[i], 8] += 1
+            for j in range(len(w)):
+                if 0 < abs(i - j) <= s.reach:
+                    for p, g in zip(spots[w[j]], signs[w[j]]):
+                        want[w[i], p] += g
+    assert np.array_equal(table, want)
+
+
+def test_classifier_without_labels_or_rows(spark):
+    docs = frame(spark, ["a b", None])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in classifier.score(docs, labels).collect()} == {0.5}
+    assert classifier.score(docs.limit(0), labels).count() == 0
+
+
+# mixing
+
+
+def test_fill_gives_shortages_to_siblings(spark):
+    rows = [("p", "a", 10, 1, 100), ("p", "b", 1000, 1, 100), ("p", "c", 1000, 2, 100), ("q", "a", 5, 1, 100), ("q", "b", 7, 0, 100)]
+    got = {(r["parent"], r["name"]): r["alloc"] for r in mixing.fill(spark.createDataFrame(rows, "parent string, name string, cap long, weight long, budget long"), ["parent"], "name").collect()}
+    assert got == {("p", "a"): 10, ("p", "b"): 30, ("p", "c"): 60, ("q", "a"): 5}
+
+
+def test_mixture_takes_whole_epochs_and_a_seeded_prefix(spark, texts):
+    tree = mixing.Tree([("lang", "lang", {"en": 3}, 1), ("source", "source", {}, 1)], max_epochs=2)
+    docs = frame(spark, texts)
+    cuts = {(r["lang"], r["source"]): r for r in mixing.leaf_cuts(docs, tree).collect()}
+    taken = defaultdict(list)
+    for r in mixing.mix(docs, tree).collect():
+        taken[(r["lang"], r["source"])].append((r["row"]["doc_id"], r["epoch"], r["n_tokens"]))
+    leaves = defaultdict(list)
+    for j, t in enumerate(texts):
+        leaves[([None, "en", "fr"][j % 3] or "unknown", [None, "src0", "src7", "src12"][j % 4] or "unknown")].append((j, len(space_words(t))))
+    for leaf, docs_ in leaves.items():
+        c, total = cuts[leaf], sum(n for _, n in docs_)
+        assert c["tokens"] == total and c["whole"] == c["alloc"] // total
+        want, sum_ = [(i, e) for i, _ in docs_ for e in range(1, c["whole"] + 1)], 0
+        for i, n in sorted(docs_, key=lambda d: hashlib.md5(f"mix:{c['whole'] + 1}:{d[0]}".encode()).hexdigest()):
+            sum_ += n
+            if 0 < c["alloc"] % total >= sum_:
+                want.append((i, c["whole"] + 1))
+        assert sorted((i, e) for i, e, _ in taken[leaf]) == sorted(want), leaf
+    everything = sum(n for d in leaves.values() for _, n in d)
+    assert everything - 20 <= sum(c["alloc"] for c in cuts.values()) <= everything
+
+
+def test_mixture_of_an_empty_table(spark):
+    assert mixing.mix(frame(spark, ["a"]).limit(0), queries.TREE).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "a"]
+    clean = lambda: " ".join(rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120))
+    good = [clean() for _ in range(40)]
+    near = " ".join([*good[0].split()[:-1], "changed"])
+    leak = " ".join(good[1].split()[:40]) + " " + clean()
+    docs = spark.createDataFrame(
+        [(i, t, "en", "src1", len(t)) for i, t in enumerate([*good, good[2], near, leak, "short text", good[3].upper().replace(" ", "!! ")])], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(leak.split()[60:75]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    kept = [set(range(45)) - {43, 44}, set(range(45)) - {43, 44, 40, 41}, set(range(45)) - {43, 44, 40, 41, 42}]
+    now = docs
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:3], kept):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == want
+    mixed = corpus_pipeline.STAGES[3][1](spark, now, str(tmp_path))
+    assert mixed.columns == docs.columns
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    final = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert times == final and set(times) <= kept[2]
