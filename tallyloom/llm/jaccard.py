@@ -5,9 +5,11 @@ H = (a + b)(1 - t)/(1 + t). Sets are banded by size so that links stay in a band
 or reach the next one, and every band has its H. The universe of shingles is
 dealt out into segments by a hash. If m segments are compared whole and x of
 them are also compared but for one deletion, a pair that agrees nowhere
-differs by at least m + x, so m + x = H + 1 finds every link. How many segments
-get deletions is the choice of least cost for a band: more of them make fewer
-and longer segments, with more signatures but fewer chance agreements.
+differs by at least m + x, so m + x = H + 1 finds every link. With u more, a
+link agrees in at least u + 1 segments, so a set of no more than u empty ones
+need not be found by those, which many sets share. How many segments get
+deletions is the choice of least cost for a band: more of them make fewer and
+longer segments, with more signatures but fewer chance agreements.
 
 Documents that share a signature are candidates. Buckets are not expanded into
 pairs: each is tied to the member that shares most with others, candidates are
@@ -21,7 +23,7 @@ import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from math import exp
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +49,31 @@ def bands(t: Fraction, longest: int) -> tuple[tuple[int, int, int], ...]:
 def _bands(t: Fraction, bits: int) -> tuple[tuple[int, int, int], ...]:
     out, lo = [], 1
     while lo <= 1 << bits:
-        hi = int(lo / t)
+        hi = int(lo / t / t)
         out.append((lo, hi, int((hi + int(hi / t)) * (1 - t) / (1 + t))))
         lo = hi + 1
     return tuple(out)
 
 
+#: Unrelated sets agree in a segment of one shingle once in so many times.
+RARE = 1_000_000
+
+
+def spare(size: int, segments: int) -> int:
+    """Empty segments that few sets of a size have more of."""
+    mean = segments * exp(-size / segments)
+    return ceil(mean + 3 * sqrt(mean))
+
+
 def allocate(size: int, difference: int, documents: int) -> int:
     """Of segments that get one-deletion neighbourhoods, the number of least expected cost: signatures of all documents
-    and verified candidates that agree by chance, mostly in segments that are empty or nearly so."""
+    and verified candidates that agree by chance, in segments of one shingle."""
 
     def cost(x: int) -> float:
         m = difference + 1 - x
         fill = size / m
-        chance = exp(-2 * fill)
-        pairs = documents**2 / 2 * chance * (m - x + x * (1 + 2 * fill))
-        return documents * (m + x * fill) + VERIFY_COST * pairs
+        chance = exp(-2 * fill) * (fill * fill + x / m) / RARE
+        return documents * (m + x * fill) + VERIFY_COST * documents**2 / 2 * chance * m
 
     return min(range((difference + 1) // 2 + 1), key=cost)
 
@@ -99,8 +110,8 @@ def shingle_sets(words: text.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
-def _signatures(h: np.ndarray, owner: np.ndarray, group: np.ndarray, m: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets within one of their groups; group, m and x are per set, owner is the set of each hash."""
+def _signatures(h: np.ndarray, owner: np.ndarray, group: np.ndarray, m: np.ndarray, x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets within one of their groups; group, m, x and u are per set, owner is the set of each hash."""
     at = np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]), m)
     cell = (np.cumsum(m) - m)[owner] + (text.mix(h) % m[owner].astype(np.uint64)).astype(np.int64)
     # a segment's value is the sum of its hashes, so that a deletion is a subtraction
@@ -115,20 +126,24 @@ def _signatures(h: np.ndarray, owner: np.ndarray, group: np.ndarray, m: np.ndarr
     salt = text.mix((group[sets].astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64))
     near = segment[cell] < x[own]
     lost = text.mix((value[cell[near]] - weight[near]) ^ salt[cell[near]])
-    return np.concatenate([text.mix(value ^ salt), lost]), np.concatenate([sets, own[near]])
+    bare = (np.bincount(cell, minlength=len(value)) == 0) & (segment >= x[sets])
+    shown = ~bare | (np.bincount(sets, bare, len(m)) > u)[sets]
+    return np.concatenate([text.mix(value ^ salt)[shown], lost]), np.concatenate([sets[shown], own[near]])
 
 
 def sign(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """docs(k, x) -> a row for each with its size, a key of its words, and its signatures, but for a text whose words the same
     task has met before: those have no signatures, as equal words share a class anyway."""
     population = _counted(docs, k, t)
-    chosen: dict[int, tuple[int, int]] = {}
+    chosen: dict[int, tuple[int, int, int]] = {}
 
-    def plan(band: int, top: tuple) -> tuple[int, int]:
+    def plan(band: int, top: tuple) -> tuple[int, int, int]:
         if band not in chosen:
             lo, hi, difference = top[band]
             x = allocate((lo + hi) // 2, difference, population.get(band, 0) + population.get(band + 1, 0))
-            chosen[band] = (difference + 1 - x, x)
+            u = spare(lo, difference + 1 - x)
+            u = spare(lo, difference + 1 - x + u)
+            chosen[band] = (difference + 1 - x + u, x, u)
         return chosen[band]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,7 @@ def sign(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 number[sets] = np.arange(len(sets))
                 mine = keep[owner]
                 split = np.array([plan(int(b), top) for b in band[sets]], np.int64)
-                got, whose = _signatures(h[mine], number[owner[mine]], band[sets], split[:, 0], split[:, 1])
+                got, whose = _signatures(h[mine], number[owner[mine]], band[sets], *split.T)
                 found.append(got)
                 of.append(sets[whose])
             got, whose = (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -251,7 +266,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4
     member = scratch.written(known.select("doc_id", "words_key").join(classes, "words_key").select("doc_id", "rep").distinct(), "classes")
 
     sigs = known.select("doc_id", F.explode("signatures").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("sig")
+    shared = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
     bucketed = sigs.join(shared, "sig").join(member, "doc_id").select("sig", F.col("rep").alias("doc_id")).distinct()
     buckets = scratch.written(bucketed, "buckets")
 

@@ -431,7 +431,7 @@ def test_deletion_neighbourhoods_find_every_link(spark, monkeypatch):
 
 
 def test_more_documents_get_longer_segments():
-    assert jaccard.allocate(400, 44, 10) == 0 < jaccard.allocate(400, 44, 10**9)
+    assert jaccard.allocate(40, 20, 10) == 0 < jaccard.allocate(40, 20, 10**9)
 
 
 def test_jaccard_groups_of_null_ids_and_empty_tables(spark):
