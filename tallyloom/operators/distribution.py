@@ -60,7 +60,7 @@ def agreement(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """(by, measure, relative difference) of two batteries."""
     measures = [c for c in a.columns if c != by]
     both = a.join(b.select(by, *[F.col(c).alias(f"_{c}") for c in measures]), by)
-    rel = [F.struct(F.lit(c).alias("measure"), (F.abs(F.col(c) - F.col(f"_{c}")) / F.abs(F.col(c))).alias("relative")) for c in measures]
+    rel = [F.struct(F.lit(c).alias("measure"), F.try_divide(F.abs(F.col(c) - F.col(f"_{c}")), F.abs(F.col(c))).alias("relative")) for c in measures]
     return both.select(by, F.explode(F.array(*rel)).alias("m")).select(by, "m.*")
 
 

@@ -28,10 +28,10 @@ def ranking_scores(df: DataFrame, by: str, p: str, y: str, recall: float = 0.8,
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
     precision = tp / (tp + fp)
     return c.groupBy(by).agg(
-        (F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)) / F.first(F.col("n_pos") * F.col("n_neg"))).alias("auc"),
-        (F.sum(F.col("pos") * precision) / F.first("n_pos")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)), F.first(F.col("n_pos") * F.col("n_neg"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * precision), F.first("n_pos")).alias("average_precision"),
         F.max_by(precision, F.when(tp >= recall * F.col("n_pos"), F.col("p"))).alias("precision_at_recall"),
-        F.max(F.when(fp <= fpr * F.col("n_neg"), tp / F.col("n_pos")).otherwise(0.0)).alias("recall_at_fpr"),
+        F.max(F.when(fp <= fpr * F.col("n_neg"), F.try_divide(tp, F.col("n_pos"))).otherwise(0.0)).alias("recall_at_fpr"),
     )
 
 
@@ -41,7 +41,7 @@ def threshold_scores(df: DataFrame, by: str, p: str, y: str, threshold: float) -
     flag, pos = (F.col(p) >= threshold).cast("double"), F.col(y).cast("double")
     return df.groupBy(by).agg(
         F.count("*").alias("n"), (-F.avg(pos * F.log(c) + (1 - pos) * F.log(1 - c))).alias("log_loss"), F.avg(F.pow(F.col(p) - pos, F.lit(2))).alias("brier"),
-        (F.sum(flag * pos) / F.sum(pos)).alias("recall"), F.try_divide(F.sum(flag * pos), F.sum(flag)).alias("precision"), F.avg(flag).alias("flagged"),
+        F.try_divide(F.sum(flag * pos), F.sum(pos)).alias("recall"), F.try_divide(F.sum(flag * pos), F.sum(flag)).alias("precision"), F.avg(flag).alias("flagged"),
     )
 
 

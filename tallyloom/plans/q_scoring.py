@@ -19,14 +19,14 @@ _BY_SCORE = f"""{SCORED}, d AS (SELECT g, p, sum(y) AS pos, sum(1 - y) AS neg FR
 c AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pa, coalesce(sum(neg) OVER w, 0) AS na, sum(pos) OVER (PARTITION BY g) AS np, sum(neg) OVER (PARTITION BY g) AS nn FROM d WINDOW w AS (PARTITION BY g ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-@query(f"""WITH {_BY_SCORE} SELECT g, round(sum(neg * (pa + pos / 2)) / any_value(np * nn), 6) AS auc, round(sum(pos * (pa + pos) / (pa + pos + na + neg)) / any_value(np), 6) AS average_precision,
- round(arg_max((pa + pos) / (pa + pos + na + neg), CASE WHEN pa + pos >= 0.8 * np THEN p END), 6) AS precision_at_recall, round(max(CASE WHEN na + neg <= 0.05 * nn THEN (pa + pos) / np ELSE 0 END), 6) AS recall_at_fpr FROM c GROUP BY g""")
+@query(f"""WITH {_BY_SCORE} SELECT g, round(sum(neg * (pa + pos / 2)) / nullif(any_value(np * nn), 0), 6) AS auc, round(sum(pos * (pa + pos) / (pa + pos + na + neg)) / nullif(any_value(np), 0), 6) AS average_precision,
+ round(arg_max((pa + pos) / (pa + pos + na + neg), CASE WHEN pa + pos >= 0.8 * np THEN p END), 6) AS precision_at_recall, round(max(CASE WHEN na + neg <= 0.05 * nn THEN (pa + pos) / nullif(np, 0) ELSE 0 END), 6) AS recall_at_fpr FROM c GROUP BY g""")
 def ranking_scores(spark, sf_dir):
     return _rounded(S.ranking_scores(scored(spark, sf_dir), "g", "p", "y"), ["g"])
 
 
 @query(f"""WITH {SCORED}, c AS (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS q, (p >= 0.5)::INT AS f FROM scored) SELECT g, count(*) AS n, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier,
- round(sum(f * y) / sum(y), 6) AS recall, round(sum(f * y) / nullif(sum(f), 0), 6) AS precision, round(avg(f), 6) AS flagged FROM c GROUP BY g""")
+ round(sum(f * y) / nullif(sum(y), 0), 6) AS recall, round(sum(f * y) / nullif(sum(f), 0), 6) AS precision, round(avg(f), 6) AS flagged FROM c GROUP BY g""")
 def threshold_scores(spark, sf_dir):
     return _rounded(S.threshold_scores(scored(spark, sf_dir), "g", "p", "y", 0.5), ["g", "n"])
 
