@@ -13,9 +13,13 @@ from tallyloom.llm import decontaminate, jaccard, mixing, quality_rules, queries
 ORACLE_SQL = None
 
 
+#: Texts of 50 to 99 words are held to the common words of their language too.
+RULES = quality_rules.Rules(word_short_words=50)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs, quality_rules.references(docs))
+    judged = quality_rules.judge(docs, quality_rules.references(docs, RULES), RULES)
     return judged.filter("kept").select("row.*")
 
 

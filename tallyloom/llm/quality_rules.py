@@ -42,7 +42,10 @@ CLASS = _class_table()
 @dataclass(frozen=True)
 class Rules:
     """A text is kept if it has min_words, no more than max_repeat_percent of its words lie in repeated 3-word windows,
-    and no distance that counts for its length is above its limit."""
+    and no distance that counts for its length is above its limit.
+
+    word_limit holds from word_min_words on. Texts of word_short_words to word_min_words have a limit that widens with
+    the fourth root of the length they lack; None leaves them to the other rules, as the SQL of op3 does."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -52,6 +55,14 @@ class Rules:
     word_min_words: int = 100
     word_limit: float = 0.42
     reference_min_words: int = 1000
+    word_short_words: int | None = None
+
+    @property
+    def word_from(self) -> int:
+        return self.word_min_words if self.word_short_words is None else min(self.word_short_words, self.word_min_words)
+
+    def word_limit_at(self, n_words: int) -> float:
+        return self.word_limit * max(1.0, self.word_min_words / max(1, n_words)) ** 0.25
 
 
 def _histograms(words: text.Words) -> np.ndarray:
@@ -165,13 +176,13 @@ def judge(docs: DataFrame, reference: DataFrame, rules: Rules = Rules(), lang_co
                 lines.append(_duplicate_lines(raw[a:b]))
                 enough = of >= rules.reference_min_words
                 char_js.append(distance(classes[i], own) if enough and classes[i].sum() >= rules.class_min_chars else None)
-                if enough and n >= rules.word_min_words:
+                if enough and n >= rules.word_from:
                     hits = np.bincount(np.fromiter(map(index.get, raw[a:b].lower().split(), repeat(len(index))), np.int64, n), minlength=len(index) + 1)
                     word_js.append(distance(hits, common))
                 else:
                     word_js.append(None)
             failed = (words.count < rules.min_words) | (100 * repeated > rules.max_repeat_percent * words.count)
-            far = np.array([(c is not None and c > rules.class_limit) or (w is not None and w > rules.word_limit) for c, w in zip(char_js, word_js)], bool)
+            far = np.array([(c is not None and c > rules.class_limit) or (w is not None and w > rules.word_limit_at(n)) for c, w, n in zip(char_js, word_js, words.count.tolist())], bool)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array(words.count), pa.array(inside), pa.array(classes[:, 4]), pa.array(lines, pa.int64()), pa.array(repeated), pa.array(char_js, pa.float64()), pa.array(word_js, pa.float64()), pa.array(failed), pa.array(~failed & ~far)],
                 names=["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"],

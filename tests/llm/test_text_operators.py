@@ -233,6 +233,24 @@ def test_divergent_documents_go_and_others_stay(spark):
     assert kept == set(range(60))
 
 
+def test_short_junk_goes_in_the_pipeline_and_short_texts_stay(spark, tmp_path):
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to", "in", "a"]
+    other = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    clean = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else other() for _ in range(n))
+    good = [clean(150) for _ in range(200)] + [clean(n) for n in range(50, 100)]
+    junk = [" ".join(other() for _ in range(n)) for n in range(50, 100)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + junk)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()} == set(range(250))
+
+
+def test_word_limit_widens_without_a_step():
+    rules = corpus_pipeline.RULES
+    limits = [rules.word_limit_at(n) for n in range(rules.word_from, 130)]
+    assert rules.word_from == rules.min_words == 50 and limits[50:] == [rules.word_limit] * 30
+    assert all(0 < a - b < 0.003 for a, b in zip(limits[:51], limits[1:51]))
+
+
 def test_distance_is_a_bounded_metric_of_histograms():
     assert quality_rules.distance([1, 2, 3], [2, 4, 6]) == pytest.approx(0, abs=1e-7)
     assert quality_rules.distance([1, 0], [0, 5]) == pytest.approx(1)
