@@ -133,7 +133,8 @@ def _signatures(h: np.ndarray, owner: np.ndarray, group: np.ndarray, m: np.ndarr
 
 def sign(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """docs(k, x) -> a row for each with its size, a key of its words, and its signatures, but for a text whose words the same
-    task has met before: those have no signatures, as equal words share a class anyway."""
+    task has met before: those have no signatures, as equal words share a class anyway. Rows without an id have none either,
+    and none counts as met for their words."""
     population = _counted(docs, k, t)
     chosen: dict[int, tuple[int, int, int]] = {}
 
@@ -155,8 +156,8 @@ def sign(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
             raw = words.buf.tobytes()
             keys = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() if n else None for a, b, n in zip(words.off, words.off[1:], size)]
             first = np.zeros(words.n_texts, bool)
-            for i, key in enumerate(keys):
-                if key is not None and key not in met:
+            for i, (key, named) in enumerate(zip(keys, part.column("k").is_valid().to_pylist())):
+                if named and key is not None and key not in met:
                     met.add(key)
                     first[i] = True
             top = bands(t, int(size.max(initial=1)))

@@ -458,6 +458,15 @@ def test_jaccard_groups_of_null_ids_and_empty_tables(spark):
     assert jaccard.jaccard_groups(frame(spark, ["a"]).limit(0), 3, Fraction(9, 10)).count() == 0
 
 
+def test_null_ids_before_a_document_cost_it_no_links(spark):
+    base = [f"b{i}" for i in range(60)]
+    near = [*base[:30], "edit", *base[31:]]
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (4, " ".join(near)), (None, " ".join(near)), (9, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = jaccard.jaccard_groups(docs, 3, Fraction(9, 10)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == [("4", 58, 4), ("7", 58, 4), ("9", 1, 9), ("None", 58, None), ("None", 58, None)]
+
+
 # classifier
 
 
