@@ -6,8 +6,9 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, jaccard, mixing, quality_rules, queries, records, scratch
+from tallyloom.llm import decontaminate, jaccard, mixing, quality_rules, queries, records, scratch, text
 
 #: The last stage's tokenizer isn't expressible in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
@@ -24,17 +25,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents tied by links of 0.8 or more on shingles of five words, the one of smallest id."""
-    groups = jaccard.jaccard_groups(docs, k=5, threshold=Fraction(4, 5))
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents tied by links of 0.8 or more on shingles of five words, one row: that of smallest id, null last.
+
+    Where ids are null or repeat, rows get a key of their own first, written once so that it stays the same.
+    """
+    group = lambda rows: jaccard.jaccard_groups(rows, k=5, threshold=Fraction(4, 5))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("doc_id is null or n > 1").isEmpty():
+        dropped = group(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    keyed = scratch.written(docs.select(text.whole_row(docs), F.monotonically_increasing_id().alias("key")), "keyed")
+    groups = group(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    kept = keyed.select("key", "row.doc_id").join(groups, "key").groupBy("component_id").agg(first).select("first.key")
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten words in a row of a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    dirty = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    """Documents without ten words in a row of a benchmark item. Each row goes by its own text, whatever its id."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, keep_key=True)
+    dirty = found.filter("contaminated").select("row_key").distinct()
+    keyed = docs.select(text.whole_row(docs), decontaminate.row_key("doc_id", "text").alias("row_key"))
+    return keyed.join(dirty, "row_key", "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
@@ -76,8 +76,13 @@ def fingerprints(docs: DataFrame, window: int, k: int, short: list[int]) -> Data
     return docs.mapInArrow(rows, "doc_id long, position long, print long")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Ids may be null or repeat, so rows are told apart by id and text; rows of one key have one verdict."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none")), F.coalesce(F.md5(F.col(text_col)), F.lit("none")))
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False
 ) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit (words in an occurrence of a window of some item), n_items (items
     with such windows), items_sha256 (of their ids, sorted as strings, joined by commas) and contaminated (n_hit > 0).
@@ -85,12 +90,10 @@ def contamination(
     Null and empty texts have no words; items without words or with a null id
     have no windows; repeated items count once for each id. Rows of documents
     that share an id are judged each by its own text. A null doc_id is judged
-    like any other. Other columns are left out.
+    like any other. Other columns are left out. keep_key adds row_key, to find a
+    verdict's rows by.
     """
-    # ids may be null or repeat, so rows are told apart by id and text
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x")).withColumn(
-        "k", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.md5("x"), F.lit("none")))
-    )
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"), row_key(id_col, text_col).alias("k"))
     every = scratch.written(windows(benchmark, window, k), "windows")
     spans = every.select(F.xxhash64("span").alias("span_id"), "span", "length", "print", "offset").distinct()
     short = sorted(r["length"] for r in every.filter(F.col("length") < window).select("length").distinct().collect())
@@ -122,5 +125,6 @@ def contamination(
     out = judged.join(of, "k", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), listed.alias("items")
+        "doc_id", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), listed.alias("items"),
+        *([F.col("k").alias("row_key")] if keep_key else []),
     )

@@ -574,3 +574,19 @@ def test_pipeline_stages(spark, tmp_path):
     times = Counter(r["doc_id"] for r in mixed.collect())
     final = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert times == final and set(times) <= kept[2]
+
+
+def test_pipeline_stages_go_by_rows_where_ids_are_null_or_repeat(spark, tmp_path):
+    texts_ = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcde"}
+    near = texts_["a"].replace("a39", "edit")
+    rows = [(5, texts_["a"]), (None, near), (2, near), (2, texts_["a"]), (2, texts_["b"]), (None, texts_["c"]), (None, texts_["c"]), (7, texts_["d"]), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    rest = [r for r in found if r not in ((2, near), (2, texts_["a"]))]
+    assert len(found) == len(rest) + 1 and sorted(rest, key=str) == sorted([(2, texts_["b"]), (None, texts_["c"]), (7, texts_["d"]), (None, None), (8, "")], key=str)
+
+    spark.createDataFrame([(1, " ".join(texts_["c"].split()[5:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, texts_["c"]), (None, texts_["a"]), (3, texts_["c"]), (3, texts_["b"]), (4, "x " + texts_["c"]), (6, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted([rows[1], rows[3], rows[5], rows[6]], key=str)
