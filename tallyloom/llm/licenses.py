@@ -6,6 +6,10 @@ anchors are aligned the same way. Coverage is the share of the template's words
 that are matched. Stretches are twice the template's length and begin at every
 multiple of it, so one holds each occurrence whole; only stretches that hold
 enough of a template's words are aligned, as others can't reach the threshold.
+
+In a short template a few words tell one license from another, so it has to be
+matched whole, and a longer one has to be matched in its telling words (names
+and versions). All matches are returned; the one of most words comes first.
 """
 
 from __future__ import annotations
@@ -26,17 +30,39 @@ from .decontaminate import words_of
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "BSD name": "Released under the BSD License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0 short": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0 full": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 name": "GNU General Public License, version 2.",
+    "GPL-2.0 header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0 text": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 name": "GNU General Public License, version 3.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0 text": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
     "MIT": "Released under the MIT License.",
     "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
 
+#: Templates of at most so many words are matched whole.
+SHORT = 16
+#: Words that tell licenses apart, besides numbers.
+TELLING = frozenset(b"apache bsd mit mozilla mpl gnu gpl lesser affero lgpl agpl cc by nc nd sa creative commons attribution noncommercial noderivatives sharealike copyleft".split())
+
+#: Those of them that make another license of a long notice, too.
+MODIFIERS = frozenset(b"lesser affero nc nd sa noncommercial noderivatives sharealike".split())
+
+
+def telling(word: bytes) -> bool:
+    return word in TELLING or word.isdigit()
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of pairs in order of their first numbers, a longest run whose second ones increase."""
     tops: list[int] = []
@@ -85,15 +111,25 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_match(words: list[bytes], templates: list[tuple[str, list[bytes]]], threshold: float) -> tuple[str, int, float, int, int] | None:
-    """(name, matched words, coverage, first and last place in the text) of the template of most matched words whose coverage
-    is the threshold or more; of equals the one of higher coverage, then the earlier place, then the earlier name."""
+def _whole(words: list[bytes], begin: int, pairs: list[tuple[int, int]], t: list[bytes]) -> bool:
+    """Whether a match misses none of the words that it must have, and none that makes another license stands within it."""
+    met, taken = {y for _, y in pairs}, {x for x, _ in pairs}
+    extra = {words[begin + x] for x in range(pairs[0][0], pairs[-1][0]) if x not in taken}
+    if len(t) <= SHORT:
+        return len(met) == len(t) and not any(map(telling, extra))
+    return not any(telling(w) and w != b"by" and y not in met for y, w in enumerate(t)) and not extra & MODIFIERS
+
+
+def matches(words: list[bytes], templates: list[tuple[str, list[bytes]]], threshold: float) -> list[tuple[str, int, float, int, int]]:
+    """(name, matched words, coverage, first and last place in the text) of every occurrence of a template whose coverage is
+    the threshold or more, most matched words first; of equals the one of higher coverage, then the earlier place, then the
+    earlier name. Of matches that lie within each other only the first stays."""
     vocabulary = {w for _, t in templates for w in t}
-    places = np.flatnonzero(np.fromiter(map(vocabulary.__contains__, words), bool, len(words)))
-    found: list[tuple] = []
+    at = np.flatnonzero(np.fromiter(map(vocabulary.__contains__, words), bool, len(words))).tolist()
+    found: set[tuple] = set()
     for name, t in templates:
         own, size = set(t), len(t)
-        here = [p for p in places.tolist() if words[p] in own]
+        here = [p for p in at if words[p] in own]
         need = threshold * size
         if len(here) < need:
             continue
@@ -101,19 +137,33 @@ def best_match(words: list[bytes], templates: list[tuple[str, list[bytes]]], thr
         for block in blocks.keys() | {b - 1 for b in blocks if b}:
             if blocks[block] + blocks[block + 1] < need:
                 continue
-            begin = block * size
-            pairs = align(words[begin : begin + 2 * size], t)
-            if pairs and len(pairs) >= need:
-                found.append((-len(pairs), -len(pairs) / size, begin + pairs[0][0], name, begin + pairs[-1][0]))
-    if not found:
-        return None
-    n, coverage, first, name, last = min(found)
-    return name, -n, -coverage, first, last
+            top = (block * size, min(len(words), (block + 2) * size))
+            begins = [p for p in range(*top) if words[p] == t[0]]
+            # words of several notices may have been matched: then each begins with the template's first word
+            todo = [*((p, end) for p, after in zip(begins, [*begins[1:], top[1]]) for end in {after, min(top[1], p + size + size // 4)}), top]
+            while todo:
+                begin, end = todo.pop()
+                if bisect_left(here, end) - bisect_left(here, begin) < need or len(pairs := align(words[begin:end], t)) < need:
+                    continue
+                first, last = begin + pairs[0][0], begin + pairs[-1][0]
+                if _whole(words, begin, pairs, t):
+                    found.add((-len(pairs), -len(pairs) / size, first, name, last))
+                    # what is left on either side of a match may hold another
+                    todo += [(begin, first), (last + 1, end)]
+    out: list[tuple] = []
+    for m in sorted(found):
+        if not any(k[2] <= m[2] and m[4] <= k[4] or k[3] == m[3] and k[2] <= m[4] and m[2] <= k[4] for k in out):
+            out.append(m)
+    return [(name, -n, -coverage, first, last) for n, coverage, first, name, last in out]
+
+
+MATCH = pa.schema([("license", pa.string()), ("n_matched", pa.int64()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+MATCH_DDL = "license string, n_matched long, coverage double, first_word long, last_word long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, license (null if no template reaches the threshold), n_matched, coverage,
-    first_word and last_word of the match.
+    first_word and last_word of the match of most words, and matches, all of them in that order.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
     lower-cased; whole texts are scanned. Null and empty texts match nothing;
@@ -127,12 +177,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             out = []
             for value in part.column("x").to_pylist():
                 words = words_of(value)
-                out.append((len(words), *(best_match(words, known, threshold) or (None, 0, 0.0, None, None))))
-            n, name, matched, coverage, first, last = map(list, zip(*out))
+                found = matches(words, known, threshold)
+                out.append((len(words), *(found[0] if found else (None, 0, 0.0, None, None)), [dict(zip(MATCH.names, m)) for m in found]))
+            n, name, matched, coverage, first, last, every = map(list, zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(matched, pa.int64()), pa.array(coverage, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                names=["doc_id", "n_words", "license", "n_matched", "coverage", "first_word", "last_word"],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(matched, pa.int64()), pa.array(coverage, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(every, pa.list_(pa.struct(list(MATCH))))],
+                names=["doc_id", "n_words", *MATCH.names, "matches"],
             )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
-    return picked.mapInArrow(rows, "doc_id long, n_words long, license string, n_matched long, coverage double, first_word long, last_word long")
+    return picked.mapInArrow(rows, f"doc_id long, n_words long, {MATCH_DDL}, matches array<struct<{MATCH_DDL}>>")

@@ -345,6 +345,28 @@ def test_license_scan(spark, texts):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_every_license_of_a_text_is_found_and_none_is_taken_for_another(spark):
+    t = licenses.TEMPLATES
+    rows = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "GNU General Public License, version 2", "Licensed under CC BY-SA 4.0.", t["GPL-3.0 header"].replace("version 3", "version 9")]
+    rows += [f"{t['GPL-3.0 header']} {'x y z ' * 300} {t['CC-BY-NC-4.0']} q {t['MIT']}\n{t['MIT']}"]
+    got = by_id(licenses.scan(frame(spark, rows)))
+    assert [got[i]["license"] for i in range(6)] == ["BSD name", "CC-BY-4.0 short", "GPL-2.0 name", None, None, "GPL-3.0 header"]
+    assert [(m["license"], m["first_word"], m["last_word"]) for m in got[5]["matches"]] == [("GPL-3.0 header", 0, 41), ("CC-BY-NC-4.0", 942, 948), ("MIT", 950, 954), ("MIT", 955, 959)]
+    lesser, numbered = (alnum_words(x) for x in (t["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"), t["BSD"].replace("binary", "1 binary")))
+    known = [(n, [w.encode() for w in alnum_words(x)]) for n, x in sorted(t.items())]
+    assert [[m[0] for m in licenses.matches([w.encode() for w in x], known, 0.8)] for x in (lesser, numbered)] == [[], ["BSD"]]
+    assert got[3]["matches"] == [] and got[5]["n_matched"] == 42
+
+
+def test_twin_notices_are_found_at_any_place():
+    known = [(n, alnum_words(t)) for n, t in sorted(licenses.TEMPLATES.items())]
+    known = [(n, [w.encode() for w in t]) for n, t in known]
+    for name, t in known:
+        for pad in (0, 1, 7, 40):
+            got = licenses.matches([b"z"] * pad + t + t, known, 0.8)
+            assert sorted((first, last) for n, _, _, first, last in got if n == name) == [(pad, pad + len(t) - 1), (pad + len(t), pad + 2 * len(t) - 1)], (name, pad)
+
+
 # urls
 
 
