@@ -19,24 +19,33 @@ def _stream(spark, sf_dir):
 
 
 
+def _ended(spark, sf_dir):
+    """The stream of rows with a value, what closes it, and the time of the row that does."""
+    end = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp") + F.expr("interval 3 days")).first()[0]
+    s, close = Q.with_end(spark, _stream(spark, sf_dir), {"ts": end, "value": 0.0})
+    return s.filter("value is not null"), close, end
+
 
 @query()
 def streaming_ewma(spark, sf_dir):
-    s = _stream(spark, sf_dir).filter("value is not null").withWatermark("ts", "0 seconds")
-    return Q.result(spark, Q.online_ewma(s, "event_type", "ts", "value"), "ewma")
+    s, close, end = _ended(spark, sf_dir)
+    return Q.result(spark, Q.online_ewma(s.withWatermark("ts", "0 seconds"), "event_type", "ts", "value").filter(F.col("ts") < F.lit(end)), "ewma", close)
 
 
 @query()
 def streaming_adaptive_conformal(spark, sf_dir):
-    s = _stream(spark, sf_dir).filter("value is not null").withColumn("pred", F.lit(50.0)).withWatermark("ts", "0 seconds")
-    return Q.result(spark, Q.adaptive_conformal(s, "event_type", "ts", "pred", "value"), "conformal")
+    s, close, end = _ended(spark, sf_dir)
+    s = s.withColumn("pred", F.lit(50.0)).withWatermark("ts", "0 seconds")
+    return Q.result(spark, Q.adaptive_conformal(s, "event_type", "ts", "pred", "value").filter(F.col("ts") < F.lit(end)), "conformal", close)
 
 
 @query()
 def streaming_drift(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     edges = [float(x) for x in e.agg(F.percentile_approx("value", [0.25, 0.5, 0.75])).first()[0]]
-    return Q.result(spark, Q.windowed_drift(_stream(spark, sf_dir).filter("value is not null"), "ts", "value", edges, [1.0, 1.0, 1.0, 1.0], "1 day"), "drift").select("start", "n", r("ks").alias("ks"))
+    s, close, end = _ended(spark, sf_dir)
+    found = Q.result(spark, Q.windowed_drift(s, "ts", "value", edges, [1.0, 1.0, 1.0, 1.0], "1 day"), "drift", close)
+    return found.filter(F.col("start") < F.date_trunc("day", F.lit(end))).select("start", "n", r("ks").alias("ks"))
 
 
 @query()

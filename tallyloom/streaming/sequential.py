@@ -109,10 +109,25 @@ def run_once(df: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def result(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The rows of a stream that has been run to its end."""
+def with_end(spark: SparkSession, stream: DataFrame, values: dict) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream, without a watermark yet, with room for one last row of these values (others null), and what adds that row.
+    Its time has to be beyond all rows and windows by the delay; the caller leaves it out of the result."""
     from tallyloom.functions.storage import fresh_dir
 
-    out = fresh_dir(spark, name)
-    run_once(df, out, fresh_dir(spark, f"{name}-checkpoint"))
+    folder = fresh_dir(spark, "end")
+    row = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    row.limit(0).write.parquet(folder)
+    return stream.union(spark.readStream.schema(stream.schema).parquet(folder)), lambda: row.write.mode("append").parquet(folder)
+
+
+def result(spark: SparkSession, df: DataFrame, name: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """The rows of a stream that has been run to its end. Without close, from with_end(), the end is where the watermark stops;
+    close is called once all rows are in, and the stream goes on from there."""
+    from tallyloom.functions.storage import fresh_dir
+
+    out, checkpoint = fresh_dir(spark, name), fresh_dir(spark, f"{name}-checkpoint")
+    run_once(df, out, checkpoint)
+    if close is not None:
+        close()
+        run_once(df, out, checkpoint)
     return spark.read.schema(df.schema).parquet(out)

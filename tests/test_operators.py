@@ -211,3 +211,16 @@ def test_streams_equal_their_recursions(spark):
             assert bands[k, t]["upper"] == pytest.approx(q) and bands[k, t]["level"] == pytest.approx(level)
             level = min(1.0, max(0.0, level + 0.01 * (0.1 - (abs(v) > q))))
             scores = (scores + [abs(v)])[-30:]
+
+
+def test_streams_hold_every_row_up_to_their_end(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("value is not null")
+    rows = lambda name: entry.queries()[name](spark, sf)
+    want = {r["d"]: r["n"] for r in events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).agg(F.count("*").alias("n")).collect()}
+    assert {r["start"]: r["n"] for r in rows("streaming_drift").collect()} == want
+    assert rows("streaming_adaptive_conformal").count() == events.count()
+    per_key = [r["n"] for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()]
+    assert rows("streaming_ewma").count() == sum(max(0, n - 20) for n in per_key)
