@@ -38,7 +38,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
     before = _print(now)
     while before[0]:
-        now = scratch.written(_stars(now), name)
+        now = scratch.replaced(now, _stars(now), name)
         after = _print(now)
         if after == before:
             break

@@ -1,14 +1,17 @@
 """Words and their hashes, for whole Arrow batches of UTF-8 text at a time.
 
-A batch is cut into slices of a few MB of text, so that memory follows the
+A batch is cut into slices of about a MB of text, so that memory follows the
 slice, or the longest single text, and not the number of rows in a batch.
-Hashes are 64-bit polynomials of bytes (words) and of word hashes (n-grams),
-taken from prefix sums, so that they cost a few array passes.
+A word's 64-bit hash chains its bytes, eight at a time, through a mixing
+function, and an n-gram's chains the hashes of its words; neither is linear in
+what it takes in, so texts can't be made to collide by their form.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BYTE = np.arange(256)
 #: Bytes of words that are runs of anything but ASCII white space.
@@ -29,24 +32,6 @@ LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uin
 #: For bytes.translate: ASCII letters lower-cased, everything that no ALNUM word holds made a space.
 ALNUM_LOWER = bytes(int(LOWER[b]) if ALNUM[b] else 32 for b in range(256))
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept, as every slice asks for them."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16, 2 * (0 if have is None else len(have)))
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
-    return have[: n + 1]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,13 +39,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[:-1], out=out[1:])
-    return out
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in that order."""
+    return mix(a * _STEP + b)
 
-WORD_BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+def fold(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k hashes that follow one another, from runs of 1, 2, 4, ... of them."""
+    n, out, done, size = len(h) - k + 1, None, 0, 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while True:
+        if k & size:
+            out = h[:n] if out is None else pair(out, h[done : done + n])
+            done += size
+        if done == k:
+            return mix(out + np.uint64(k))
+        h = pair(h[:-size], h[size:])
+        size *= 2
+
+
+#: Longer words are hashed one by one.
+LONG_WORD = 4096
+#: Masks of the low 0 to 8 bytes.
+LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """From every byte on, eight of them as a little-endian number; zeros follow the last."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end."""
+    from_here, size = eights(buf), end - start
+    h = mix((from_here[start] & LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    more, step = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        left = size[more] - step
+        h[more] = pair(h[more], from_here[start[more] + step] & LOW[np.minimum(left, 8)])
+        more, step = more[left > 8], step + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def whole_row(df: DataFrame) -> Column:
@@ -99,7 +125,7 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice of texts: their hashes, the text of each, and where each text's words begin.
+    """The words of a slice of texts: where each begins and ends, its text and hash, and where each text's words begin.
 
     kind names the class of each byte; a word is a run of bytes of one class other than 0 (or False)."""
 
@@ -117,20 +143,19 @@ class Words:
         self.text = np.searchsorted(off, self.start, "right") - 1
         self.count = np.bincount(self.text, minlength=self.n_texts).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        read = (LOWER[buf] if lower else buf).astype(np.uint64) + np.uint64(1)
-        run = prefix(read, WORD_BASE)
-        back = powers(inverse(WORD_BASE), n)
-        self.hash = mix((run[self.end] - run[self.start]) * back[self.start] ^ (self.end - self.start).astype(np.uint64))
+        self.lower = lower
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hashes(LOWER[self.buf] if self.lower else self.buf, self.start, self.end)
 
-    def grams(self, k: int, base: int = GRAM_BASE) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For every word the hash of the k words from it, and whether its text has that many left."""
         n = len(self.hash)
         out, ok = np.zeros(n, np.uint64), np.zeros(n, bool)
         if n >= k:
-            run = prefix(self.hash, base)
-            m = n - k + 1
-            out[:m] = mix((run[k:] - run[:m]) * powers(inverse(base), n)[:m] + np.uint64(k))
-            ok[:m] = self.text[:m] == self.text[k - 1 :]
+            out[: n - k + 1] = fold(self.hash, k)
+            ok[: n - k + 1] = self.text[: n - k + 1] == self.text[k - 1 :]
         return out, ok
 
 
@@ -139,8 +164,14 @@ def winnow(h: np.ndarray, ok: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # all positions of a window lie in one text if its last one is valid and no text ends on the way
-    view = np.lib.stride_tricks.sliding_window_view
-    starts = np.flatnonzero(ok[:n] & view(ok, width).all(axis=1))
-    best = view(h, width).argmin(axis=1)[starts]
-    return starts, starts + best
+    # of runs of 1, 2, 4, ... hashes the smallest and its place; two runs that may overlap make a window
+    best, size = np.arange(len(h)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = best[:-step], best[step:]
+        best = np.where(h[b] < h[a], b, a)
+        size += step
+    wrong = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(~ok, out=wrong[1:])
+    starts = np.flatnonzero(wrong[width:] == wrong[:n])
+    return starts, best[starts]

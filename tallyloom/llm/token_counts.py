@@ -32,14 +32,16 @@ def write_flat(docs: DataFrame, directory: str, tokenizer: str, separator: int,
 
     Returns the catalogue, kept as Parquet: which document is which one of which
     file; only files of attempts that ended well are in it. The files
-    themselves hold no such thing. A null text is an empty one.
+    themselves hold no such thing. A null text is an empty one. The strings of
+    special tokens are ordinary text here, so a text that spells the separator's
+    doesn't hold it; a text that has its id in another way is refused.
     """
     top = np.iinfo(dtype).max
     if separator > top:
         raise ValueError(f"the separator doesn't fit {dtype}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, own, out, at = TaskContext.get(), encoder(tokenizer), None, 0
+        task, own, out, at = TaskContext.get(), encoder(tokenizer, special=False), None, 0
         for part in text.slices(batches, "x"):
             if out is None:
                 fs, where = _filesystem(directory)

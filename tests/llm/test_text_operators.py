@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import classifier, decontaminate, graph, jaccard, licenses, mixing, quality_rules, queries, records, substring, text, token_counts, urls
+from tallyloom.llm import classifier, decontaminate, encode, graph, jaccard, licenses, mixing, quality_rules, queries, records, substring, text, token_counts, urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,18 +103,75 @@ def test_equal_windows_keep_the_same_gram():
 # tokens
 
 
-@pytest.fixture(scope="module")
-def encoded(texts):
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n z", "<|endof", "text|>"]
+
+
+def library_ids(texts, special=True, path=BPE):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not special
     return [own.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
-def test_token_counts_by_separator_scan(spark, texts, encoded):
-    got = token_counts.token_counts(frame(spark, texts), BPE, 50256, block_tokens=1000).collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(x)) for i, x in enumerate(encoded)] and all(r["ended"] for r in got)
+@pytest.fixture(scope="module")
+def encoded(texts):
+    return library_ids([*texts, *MARKED])
+
+
+def thue_morse(n=2048):
+    """Two words of letters a and b whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide_do_not(spark):
+    one, two = thue_morse()
+    assert len(set(text.Words(pa.array([f"{one} {two} {one[:9]} {two[:9]}"])).hash.tolist())) == 4
+    col = pa.array([f" {one} {two}", one, two, f"é{one}"])
+    ids, places = encode.Encoder(BPE)(col)
+    assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == library_ids(col.to_pylist())
+    same = " ".join(f"v{i}" for i in range(19))
+    got = by_id(substring.remove_repeats(frame(spark, [f"{same} {one}", f"{same} {two}", f"x {same} {one}"])))
+    assert [got[i]["n_removed"] for i in range(3)] == [0, 0, 20]
+    got = by_id(jaccard.jaccard_groups(frame(spark, [one, two, one]), 3, Fraction(9, 10)))
+    assert [got[i]["component_id"] for i in range(3)] == [0, 1, 0]
+    rules = quality_rules.Rules()
+    docs = frame(spark, [f"p {one} q p {two} q", f"p {one} q p {one} q"])
+    assert [r["n_repeat_words"] for r in quality_rules.judge(docs, quality_rules.references(docs, rules), rules).orderBy("row.doc_id").collect()] == [0, 6]
+
+
+def test_encoder_gives_the_librarys_ids(monkeypatch):
+    rng = random.Random(5)
+    letters = ["a", "B", "é", "日", "7", " ", "  ", "\n", "\t", "\u00a0", "'s", "'", "!", "\u2003", "<|endoftext|>", "🙂", "\x00"]
+    values = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000)] + [None, "", *MARKED]
+    monkeypatch.setattr(encode, "KEPT", 50)
+    for special in (True, False):
+        own = encode.Encoder(BPE, special)
+        for at in range(0, len(values), 100):
+            part = values[at : at + 100]
+            ids, places = own(pa.array(part, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == library_ids(part, special)
+
+
+def test_other_kinds_of_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = encode.Encoder(path)
+    values = ["Some  words", None, "naïve <|endoftext|> x"]
+    ids, places = own(pa.array(values, pa.string()))
+    assert not own.parted and [ids[a:b].tolist() for a, b in zip(places, places[1:])] == library_ids(values, path=path)
+
+
+def test_token_counts_by_separator_scan(spark, texts):
+    values = [*texts, *MARKED]
+    got = token_counts.token_counts(frame(spark, values), BPE, 50256, block_tokens=1000).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(x)) for i, x in enumerate(library_ids(values, special=False))] and all(r["ended"] for r in got)
+
+
+def test_token_counts_of_null_and_repeated_ids_and_no_rows(spark):
+    docs = frame(spark, ["b", "a c", None, "b"], [None, 5, 5, None])
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.token_counts(docs, BPE, 50256).collect()) == [("5", 0), ("5", 2), ("None", 1), ("None", 1)]
+    assert token_counts.token_counts(docs.limit(0), BPE, 50256).count() == 0
 
 
 def test_separator_scan_of_files_without_a_catalogue(spark, tmp_path):
@@ -134,13 +191,14 @@ def test_separator_scan_of_files_without_a_catalogue(spark, tmp_path):
 
 
 def test_records_round_trip(spark, texts, encoded):
-    got = records.token_records(frame(spark, texts), BPE).orderBy("start").collect()
+    got = records.token_records(frame(spark, [*texts, *MARKED]), BPE).orderBy("start").collect()
     start = 0
     for i, (ids, r) in enumerate(zip(encoded, got)):
         ids = [*ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert len(got) == len(texts)
+    assert len(got) == len(encoded)
+    assert records.token_records(frame(spark, ["a"]).limit(0), BPE).count() == 0
 
 
 def test_records_keep_null_and_repeated_ids(spark):
@@ -173,19 +231,21 @@ def brute_contamination(t, items, window=10):
         for s in range(len(words) - n + 1):
             if tuple(words[s : s + n]) in own:
                 hit |= set(range(s, s + n))
-                found.add(str(item))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                found.add(item)
+    named = sorted(str(i) for i in found if i is not None)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
-def test_contamination(spark, texts):
+@pytest.mark.parametrize("held", [2_000_000, 0])
+def test_contamination(spark, texts, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", held)
     long = [t for t in texts if t and len(t.split()) > 30]
     items = [(3, " ".join(long[0].split()[5:25]).upper()), (11, long[0][:80]), (2, long[1].replace(" ", ", ")), (7, "one"), (8, "w1 W2"), (9, None), (10, "!!"), (12, "one"), (None, long[1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate.contamination(frame(spark, texts), bench))
-    known = [x for x in items if x[0] is not None]
     for i, t in enumerate(texts):
         r = got[i]
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == brute_contamination(t, known), i
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == brute_contamination(t, items), i
         assert r["contaminated"] == (r["n_hit"] > 0)
     assert sum(r["contaminated"] for r in got.values()) > 3
 
@@ -275,11 +335,10 @@ def brute_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot,broadcast,remembered", [(10_000, 500_000, 1000), (2, 0, 1000), (2, 0, 5)])
-def test_repeated_passages_are_removed(spark, texts, monkeypatch, hot, broadcast, remembered):
+@pytest.mark.parametrize("hot,remembered", [(10_000, 1000), (2, 1000), (2, 5)])
+def test_repeated_passages_are_removed(spark, texts, monkeypatch, hot, remembered):
     monkeypatch.setattr(substring, "REMEMBERED", remembered)
     monkeypatch.setattr(substring, "HOT", hot)
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
     more = [*texts, "a b " * 40, "w1 " * 19, "w1 " * 21]
     got = by_id(substring.remove_repeats(frame(spark, more)))
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in got.items()} == brute_repeats(enumerate(more))
@@ -409,6 +468,42 @@ def test_url_verdicts_and_aliases(spark):
     assert urls.judge(df.limit(0), urls.rules_table(spark, queries.URL_RULES), urls.page_edges(df.limit(0))).count() == 0
 
 
+LINKS = [
+    ("http://a.com/en/1", ""), ("http://o.io/d/p?q=1", "<LINK href='/en/../x' rel=\"alternate\"><link href=../e/./f rel=canonical>"), ("http://o.io/e/f", '<link rel="nofollow Canonical" href="HTTP://A.com/en/1#top">'),
+    ("http://o.io/g", """<meta content='0; URL="//o.io/e/f"' http-equiv=Refresh>"""), ("http://O.io/h#z", '<link rel="canonical" href="?a=1&amp;b=2">'), ("http://o.io/h?a=1&b=2", '<link rel="canonical" href="g">'),
+    ("http://q.io", '<link rel="canonical" href="#x"><meta http-equiv="refresh" content="5">'), ("http://r.io/a/b", '<link rel="canonical" href="mailto:x@y"><link rel="canonical" href="http://a.com/en/1">'), (None, '<link rel="canonical" href="http://a.com/en/1">'),
+    ("http://s.io/a/b/", '<link rel="canonical" href="../../../..">'), ("http://s.io/", '<link data-rel="canonical" href="http://a.com/en/1">'),
+]
+
+
+def test_links_of_every_form_make_aliases(spark):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(LINKS)], "page_id long, url string, html string")
+    edges = {(r["u"], r["v"]) for r in urls.page_edges(df).collect()}
+    assert edges == {
+        ("http://o.io/d/p?q=1", "http://o.io/e/f"), ("http://o.io/e/f", "http://a.com/en/1"), ("http://o.io/g", "http://o.io/e/f"), ("http://o.io/h", "http://o.io/h?a=1&b=2"), ("http://o.io/h?a=1&b=2", "http://o.io/g"), ("http://s.io/a/b/", "http://s.io/"),
+    }
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, urls.rules_table(spark, queries.URL_RULES), urls.page_edges(df)).collect()}
+    assert [got[i] for i in range(len(LINKS))] == ["block"] * 6 + ["allow"] * 5
+
+
+def test_url_sql_knows_the_same_links(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(LINKS)], "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP6_SQL})").fetchall()
+    got = [tuple(r) for r in queries.op6_url_verdicts(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(got) == sorted(found)
+
+
+def test_tied_rules_go_to_allow_and_then_the_smaller(spark):
+    df = spark.createDataFrame([(1, "http://x.com/en/7", ""), (2, "http://b.y.org/aa", "")], "page_id long, url string, html string")
+    rules = urls.rules_table(spark, [("block", "com/en/7"), ("allow", "x.com/en"), ("block", "y.org/aa"), ("block", "b.y.org/")])
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, rules, urls.page_edges(df)).collect()} == {1: ("x.com/en", "allow"), 2: ("b.y.org/", "block")}
+
+
 # n-gram Jaccard
 
 
@@ -474,6 +569,33 @@ def test_more_documents_get_longer_segments():
     assert jaccard.allocate(40, 20, 10) == 0 < jaccard.allocate(40, 20, 10**9)
 
 
+def families(seed):
+    """Families of documents with several centres, whose members are near the limit to one another and share passages."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(80)]
+        centres = []
+        for _ in range(4):
+            w = list(base)
+            for at in rng.sample(range(80), 6):
+                w[at] = f"c{rng.randrange(30)}"
+            centres.append(w)
+        for _ in range(25):
+            w = list(rng.choice(centres))
+            for at in rng.sample(range(0, 80, 5), rng.randrange(0, 4)):
+                w[at] = f"x{rng.randrange(6)}"
+            out.append(" ".join(w[rng.randrange(0, 8) :]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_between_members_of_several_stars_are_found(spark, seed):
+    rows = list(enumerate(families(seed)))
+    got = by_id(jaccard.jaccard_groups(frame(spark, [x for _, x in rows]), 3, Fraction(4, 5)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_groups(rows, 3, Fraction(4, 5))
+
+
 def test_jaccard_groups_of_null_ids_and_empty_tables(spark):
     got = jaccard.jaccard_groups(frame(spark, ["a b c d", "A B C D", "a b c d", "q"], [9, 3, None, 3]), 3, Fraction(9, 10)).collect()
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("3", 3), ("3", 3), ("9", 3), ("None", None)]
@@ -566,6 +688,12 @@ def test_mixture_takes_whole_epochs_and_a_seeded_prefix(spark, texts):
     assert everything - 20 <= sum(c["alloc"] for c in cuts.values()) <= everything
 
 
+def test_shortages_under_weight_nothing_reach_other_branches(spark):
+    tree = mixing.Tree([("d", "d", {"a": 1, "b": 1}, 0), ("s", "s", {"x": 1, "y": 0, "z": 1}, 0)], max_epochs=1, budget_percent=50)
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 90), ("b", "z", 300), ("c", "z", 5)], "d string, s string, tokens long")
+    assert {(r["d"], r["s"]): r["alloc"] for r in mixing.budgets(leaves, tree).collect()} == {("a", "x"): 10, ("b", "z"): 192}
+
+
 def test_mixture_of_an_empty_table(spark):
     assert mixing.mix(frame(spark, ["a"]).limit(0), queries.TREE).count() == 0
 
