@@ -144,24 +144,48 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 _RULE_ROWS = ", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in URL_RULES)
+_UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    forms = ", ".join(f"nullif(regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*{form}', 1), '')" for form in ('"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)"))
+    return f"trim(regexp_replace(coalesce({forms}, ''), '(?i)&(amp|#38|#x26);', '&', 'g'))"
+
+
+def _normal_sql(url: str) -> str:
+    scheme = f"regexp_extract({url}, '^([^/?#:]*://)', 1)"
+    rest = f"regexp_replace(substr({url}, length({scheme}) + 1), '(?s)#.*$', '')"
+    host = f"regexp_extract({rest}, '^([^/?]*)', 1)"
+    return f"CASE WHEN length({scheme}) = 0 THEN {url} ELSE translate({scheme} || {host}, '{_UP}', '{_DOWN}') || substr({rest}, length({host}) + 1) END"
+
+
 OP6_SQL = rf"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-e AS (SELECT url AS u, v FROM (SELECT url, unnest([
-  coalesce(nullif(regexp_extract(html, '(?i)<link\s[^>]*rel=["'']?canonical["'']?[^>]*href=["'']([^"''>]+)["'']', 1), ''),
-   regexp_extract(html, '(?i)<link\s[^>]*href=["'']([^"''>]+)["''][^>]*rel=["'']?canonical', 1)),
-  regexp_extract(html, '(?i)<meta\s[^>]*http-equiv=["'']?refresh["'']?[^>]*url=([^"''>\s]+)', 1)]) AS v FROM p) WHERE url IS NOT NULL AND strpos(v, '://') > 0),
+WITH RECURSIVE p AS (SELECT page_id, {_normal_sql('url')} AS url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+tags AS (SELECT url, unnest([
+  {_attribute_sql("list_filter(regexp_extract_all(html, '(?is)<link[ \t\n\r\f][^>]*>'), lambda t: list_contains(string_split_regex(lower(" + _attribute_sql('t', 'rel') + r"), '\s+'), 'canonical'))[1]", 'href')},
+  trim(regexp_extract({_attribute_sql("list_filter(regexp_extract_all(html, '(?is)<meta[ \t\n\r\f][^>]*>'), lambda t: lower(" + _attribute_sql('t', 'http-equiv') + ") = 'refresh')[1]", 'content')},
+   '(?is)[;,]\s*url\s*=\s*["'']?([^"'']*)', 1))]) AS link FROM p WHERE url IS NOT NULL),
+linked AS (SELECT url, regexp_replace(link, '(?s)#.*$', '') AS link, regexp_extract(url, '^([^/?#:]*://[^/?#]*)', 1) AS site, regexp_extract(url, '^([^/?#:]*:)//', 1) AS scheme,
+  regexp_extract(url, '^[^/?#:]*://[^/?#]*([^?#]*)', 1) AS path FROM tags WHERE link <> ''),
+stepped AS (SELECT *, string_split(regexp_replace(CASE WHEN starts_with(link, '/') THEN regexp_extract(link, '^([^?]*)', 1) ELSE regexp_extract(path, '^(.*/)', 1) || regexp_extract(link, '^([^?]*)', 1) END, '^/', ''), '/') AS s
+  FROM linked WHERE link <> ''),
+taken AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: s[i] NOT IN ('.', '..') AND NOT coalesce(list_bool_or(list_transform(range(i + 1, len(s) + 1),
+   lambda j: len(list_filter(s[i + 1 : j], lambda x: x = '..')) > len(list_filter(s[i + 1 : j], lambda x: x NOT IN ('.', '..'))))), false)) AS kept FROM stepped),
+e AS (SELECT url AS u, {_normal_sql('v')} AS v FROM (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN site = '' THEN NULL
+  WHEN starts_with(link, '//') THEN scheme || link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(link, '?') THEN site || path || link
+  ELSE site || '/' || array_to_string(list_transform(kept, lambda i: s[i]), '/') || CASE WHEN s[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END || regexp_extract(link, '(\?.*)$', 1) END AS v FROM taken) WHERE v IS NOT NULL),
 both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 reach AS (SELECT u, v FROM both_ UNION SELECT reach.u, both_.v FROM reach JOIN both_ ON reach.v = both_.u),
 parts AS (SELECT url, coalesce(m, url) AS part FROM (SELECT DISTINCT url FROM p WHERE url IS NOT NULL UNION SELECT u FROM both_)
   LEFT JOIN (SELECT u AS url, least(u, min(v)) AS m FROM reach GROUP BY u) USING (url)),
 urls AS (SELECT url, part, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM parts),
-h AS (SELECT url, part, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
+h AS (SELECT url, part, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_DOWN}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
 rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) r(action, rule, rule_host, rule_path)),
 fits AS (SELECT url, rule, action FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule) DESC, action, rule) = 1),
 inherit AS (SELECT part, min(action) AS action FROM h JOIN fits USING (url) WHERE part IN (SELECT part FROM h GROUP BY part HAVING count(*) > 1) GROUP BY part),
 v AS (SELECT h.url, fits.rule, coalesce(fits.action, inherit.action, 'allow') AS verdict FROM h LEFT JOIN fits USING (url) LEFT JOIN inherit USING (part))
-SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{_UP}', '{_DOWN}') AS host,
  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN v USING (url)
 """
 

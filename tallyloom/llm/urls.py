@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 from . import graph, scratch
 
 
+def _lower(c: Column) -> Column:
+    """A-Z lower-cased."""
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to /, ?, # or the end, A-Z lower-cased; path: from there up to ? or #. Both are empty without ://."""
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
+    host = _lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -30,26 +35,66 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): a page's URL and the absolute URL that its canonical link, or its refresh to another URL, names."""
-    html = F.col(html_col)
-    canonical = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*href=["']([^"'>]+)["']""", 1), F.lit("")),
-        F.regexp_extract(html, r"""(?i)<link\s[^>]*href=["']([^"'>]+)["'][^>]*rel=["']?canonical""", 1),
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, quoted in either way or not at all, with its ampersands decoded; empty without one."""
+    one = lambda pattern: F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{pattern}", 1), F.lit(""))
+    value = F.coalesce(one('"([^"]*)"'), one("'([^']*)'"), one(r"""([^\s"'>]+)"""), F.lit(""))
+    return F.trim(F.regexp_replace(value, r"(?i)&(amp|#38|#x26);", "&"))
+
+
+def normal(url: Column) -> Column:
+    """A URL with its scheme and host in lower case and without its fragment; unchanged if it has no ://."""
+    scheme = F.regexp_extract(url, r"^([^/?#:]*://)", 1)
+    rest = F.regexp_replace(F.substr(url, F.length(scheme) + 1), r"(?s)#.*$", "")
+    host = F.regexp_extract(rest, r"^([^/?]*)", 1)
+    return F.when(F.length(scheme) == 0, url).otherwise(F.concat(_lower(scheme), _lower(host), F.substr(rest, F.length(host) + 1)))
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The absolute URL of a link on a page of that (normal) URL; null if the link leads nowhere else."""
+    site = F.regexp_extract(base, r"^([^/?#:]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([^/?#:]*:)//", 1)
+    path = F.regexp_extract(base, r"^[^/?#:]*://[^/?#]*([^?#]*)", 1)
+    clean = F.regexp_replace(link, r"(?s)#.*$", "")
+    query = F.regexp_extract(clean, r"(\?.*)$", 1)
+    own = F.regexp_extract(clean, r"^([^?]*)", 1)
+    joined = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_extract(path, r"^(.*/)", 1), own))
+    # steps of . and .. are taken
+    steps = F.split(F.regexp_replace(joined, r"^/", ""), "/")
+    back = F.concat(steps, F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    taken = F.aggregate(
+        back, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
     )
-    refresh = F.regexp_extract(html, r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*url=([^"'>\s]+)""", 1)
-    found = pages.select(F.col(url_col).alias("u"), F.explode(F.array(canonical, refresh)).alias("v"))
-    return found.filter(F.col("u").isNotNull() & (F.instr("v", "://") > 0))
+    found = (
+        F.when(F.length(clean) == 0, None).when(F.length(site) == 0, F.when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), clean))
+        .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), clean).when(F.startswith(clean, F.lit("//")), F.concat(scheme, clean))
+        .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(F.startswith(clean, F.lit("?")), F.concat(site, path, clean))
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(taken, "/"), query))
+    )
+    return normal(found)
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(u, v): a page's URL and the URL that its first canonical link, or its first refresh to another URL, names; relative
+    ones are resolved. Attributes may come in any order, with either quotes or none. Both URLs are normal ones."""
+    tags = lambda name: F.regexp_extract_all(html_col, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
+    links = F.filter(tags("link"), lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(tags("meta"), lambda tag: F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    target = F.regexp_extract(_attribute(F.get(metas, F.lit(0)), "content"), r"""(?is)[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
+    found = pages.select(normal(F.col(url_col)).alias("u"), F.explode(F.array(_attribute(F.get(links, F.lit(0)), "href"), F.trim(target))).alias("link"))
+    return found.filter(F.length("link") > 0).select("u", resolve(F.col("u"), F.col("link")).alias("v")).filter("u is not null and v is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each page: page_id, host, path, rule (null without one), verdict (allow or block), component_rule (the action taken from aliases, else null).
 
-    A null URL, or one without ://, has an empty host and path, no rule and no
-    aliases. Of rules of equal length that fit, an allowing one wins, then the
-    smaller. Pages that share a URL share its verdict. Other columns are left out.
+    edges are (u, v) of normal URLs. A null URL has an empty host and path, no
+    rule and no aliases; one without :// has no rule. Of rules of equal length
+    that fit, an allowing one wins, then the smaller. Pages whose normal URLs are
+    equal share a verdict. Other columns are left out.
     """
-    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    own_host, own_path = host_and_path(F.col(url_col))
+    pages = pages.select(F.col(id_col).alias("page_id"), normal(F.col(url_col)).alias("url"), own_host.alias("host"), own_path.alias("path"))
     linked = scratch.written(edges.select("u", "v").filter("u is not null and v is not null").distinct(), "edges")
     urls = pages.select("url").union(linked.select("u")).union(linked.select("v")).filter("url is not null").distinct()
     host, path = host_and_path(F.col("url"))
@@ -57,8 +102,8 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "p
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     fits = urls.select("url", "path", F.explode(suffix).alias("rule_host")).join(rules, "rule_host").filter(F.startswith("path", "rule_path"))
-    order = F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allows"))
-    best = fits.groupBy("url").agg(F.max(F.struct(order.alias("o"), F.col("rule"), F.col("action"))).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
+    order = F.struct((-F.length("rule")).alias("shorter"), (F.col("action") != "allow").alias("blocks"), "rule", "action")
+    best = fits.groupBy("url").agg(F.min(order).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
     ruled = scratch.written(urls.join(best, "url", "left"), "ruled")
 
     parts = graph.components(linked, "aliases").withColumnRenamed("node", "url")
@@ -66,5 +111,4 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "p
     inherits = inherits.select("component", F.when(F.col("allowed"), "allow").otherwise("block").alias("component_rule"))
     known = ruled.join(parts.join(inherits, "component").select("url", "component_rule"), "url", "left").select("url", "rule", "action", "component_rule")
     out = pages.join(known, "url", "left")
-    host, path = host_and_path(F.col("url"))
-    return out.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("action", "component_rule", F.lit("allow")).alias("verdict"), "component_rule")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("action", "component_rule", F.lit("allow")).alias("verdict"), "component_rule")
