@@ -50,10 +50,9 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     big = lambda c: F.col(c).cast("decimal(38,0)")
     order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), name)
     up = order.rowsBetween(Window.unboundedPreceding, -1)
-    down = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = Window.partitionBy(*parent)
     live = nodes.filter("weight > 0")
-    live = live.withColumns({"cap_before": F.coalesce(F.sum("cap").over(up), F.lit(0)), "weight_left": F.sum("weight").over(down)})
+    live = live.withColumns({"cap_before": F.coalesce(F.sum("cap").over(up), F.lit(0)), "weight_left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up), F.lit(0))})
     live = live.withColumn("full", big("cap") * big("weight_left") <= (big("budget") - big("cap_before")) * big("weight"))
     live = live.withColumns(
         {
@@ -66,15 +65,18 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, tree: Tree) -> DataFrame:
-    """leaves(levels..., tokens) -> the same with alloc, the tokens that each leaf is to give."""
+    """leaves(levels..., tokens) -> the same with alloc, the tokens that each leaf is to give. Leaves of weight 0, or under a
+    node of weight 0, are left out, and no node counts on them; the budget is a share of all leaves' tokens."""
     names = tree.names
     given = None
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    for name, _, weights, other in tree.levels:
+        leaves = leaves.filter(_weight(name, weights, other) > 0)
     for depth, (name, _, weights, other) in enumerate(tree.levels):
         here, parent = names[: depth + 1], names[:depth]
         nodes = leaves.groupBy(*here).agg((F.sum("tokens") * tree.max_epochs).alias("cap"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(name, weights, other))
         if given is None:
-            total = leaves.agg(F.sum("tokens")).first()[0] or 0
             nodes = nodes.withColumn("budget", F.lit(total * tree.budget_percent // 100).cast("long"))
         else:
             nodes = nodes.join(given, parent)
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, tree: Tree) -> DataFrame:
 
     The columns that the tree's expressions name must be in docs. A null level is
     the value "unknown"; a null text has no tokens. A leaf without tokens gives
-    nothing, so its documents go, and so do leaves of weight 0. Documents of equal
+    nothing, so its documents go, and so do leaves of weight 0 or under a node of weight 0. Documents of equal
     id in a leaf share a place in its order. Up to one token a node is lost to
     rounding, and the prefix ends before the document that would pass the budget.
     """
