@@ -13,11 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
 
+#: Prints of a benchmark of at most so many windows, 16 MB, are broadcast, so that tasks send on only what may be a hit;
+#: those of a larger one meet all fingerprints of the documents in a join.
+BROADCAST_PRINTS = 2_000_000
+
 
 def words_of(value: str | None) -> list[bytes]:
     """Runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased."""
@@ -37,7 +42,7 @@ def windows(items: DataFrame, window: int, k: int, id_col: str = "item_id", text
             seen, ids = text.Words(part.column("x"), text.ALNUM, lower=True), part.column("k").to_pylist()
             out = []
             for item, value, n, first in zip(ids, part.column("x").to_pylist(), seen.count, seen.first):
-                if not n or item is None:
+                if not n:
                     continue
                 words = words_of(value)
                 size = min(window, int(n))
@@ -54,8 +59,9 @@ def windows(items: DataFrame, window: int, k: int, id_col: str = "item_id", text
     return picked.mapInArrow(rows, "item_id long, length long, span string, print long, offset long")
 
 
-def fingerprints(docs: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
-    """docs(k, x) -> (doc_id, position, print): the k-grams that winnowing keeps, and all grams of the short lengths given."""
+def fingerprints(docs: DataFrame, window: int, k: int, short: list[int], known: Broadcast | None) -> DataFrame:
+    """docs(k, x) -> (doc_id, position, print): the k-grams that winnowing keeps, and all grams of the short lengths given;
+    only those that are among the known prints, if they are given, in order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "x"):
@@ -70,8 +76,11 @@ def fingerprints(docs: DataFrame, window: int, k: int, short: list[int]) -> Data
                 h, ok = words.grams(n)
                 at.append(np.flatnonzero(ok))
                 found.append(_sized(h[ok], n))
-            at = np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(words.text[at])), pa.array(at - words.first[words.text[at]]), pa.array(np.concatenate(found))], names=["doc_id", "position", "print"])
+            at, found = np.concatenate(at), np.concatenate(found)
+            if known is not None:
+                held = np.isin(found, known.value)
+                at, found = at[held], found[held]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(words.text[at])), pa.array(at - words.first[words.text[at]]), pa.array(found)], names=["doc_id", "position", "print"])
 
     return docs.mapInArrow(rows, "doc_id long, position long, print long")
 
@@ -87,8 +96,9 @@ def contamination(
     """A row for each document: doc_id, n_words, n_hit (words in an occurrence of a window of some item), n_items (items
     with such windows), items_sha256 (of their ids, sorted as strings, joined by commas) and contaminated (n_hit > 0).
 
-    Null and empty texts have no words; items without words or with a null id
-    have no windows; repeated items count once for each id. Rows of documents
+    Null and empty texts have no words; items without words have no windows;
+    repeated items count once for each id, and items without an id as one that
+    isn't named in the list. Ids are whole numbers, or strings of such. Rows of documents
     that share an id are judged each by its own text. A null doc_id is judged
     like any other. Other columns are left out. keep_key adds row_key, to find a
     verdict's rows by.
@@ -97,7 +107,10 @@ def contamination(
     every = scratch.written(windows(benchmark, window, k), "windows")
     spans = every.select(F.xxhash64("span").alias("span_id"), "span", "length", "print", "offset").distinct()
     short = sorted(r["length"] for r in every.filter(F.col("length") < window).select("length").distinct().collect())
-    prints = fingerprints(docs.select("k", "x"), window, k, short)
+    known = None
+    if every.count() <= BROADCAST_PRINTS:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["print"] for r in every.select("print").distinct().collect()], np.int64)))
+    prints = fingerprints(docs.select("k", "x"), window, k, short, known)
     hits = prints.join(spans, "print").select(F.col("doc_id").alias("k"), (F.col("position") - F.col("offset")).alias("begin"), "length", "span_id", "span").filter("begin >= 0")
     hits = hits.groupBy("k").agg(F.collect_set(F.struct("begin", "length", "span_id", "span")).alias("hits"))
 
@@ -121,10 +134,10 @@ def contamination(
 
     judged = scratch.written(docs.join(hits, "k", "left").mapInArrow(judge, "k long, doc_id long, n_words long, n_hit long, spans array<long>"), "judged")
     items = every.select(F.xxhash64("span").alias("span_id"), "item_id").distinct()
-    of = judged.select("k", F.explode("spans").alias("span_id")).join(items, "span_id").groupBy("k").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    of = judged.select("k", F.explode("spans").alias("span_id")).join(items, "span_id").groupBy("k").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("id"))).alias("items"))
     out = judged.join(of, "k", "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
+    listed = F.coalesce(F.array_sort(F.filter("items.id", lambda i: i.isNotNull())), F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), listed.alias("items"),
+        "doc_id", "n_words", "n_hit", F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), listed.alias("items"),
         *([F.col("k").alias("row_key")] if keep_key else []),
     )
