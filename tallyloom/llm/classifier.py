@@ -163,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
 
     Only labels of documents that aren't held out are read; the sample is those
     of smallest hash. Null labels are left out; of several labels of one id the
-    smallest counts. Null and empty texts are scored by their empty vector. A
+    smallest counts, and of several texts the first in order. Null and empty texts are scored by their empty vector. A
     null id is never held out. Other columns are left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("x"))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
         for part in text.slices(batches, "x", 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(pooled(part.column("x"), shared.value, s)), pa.list_(pa.float64()))], names=["doc_id", "y", "v"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "x").mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, v array<double>")
+    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, v array<double>")
     got = rows.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["v"].tolist()).reshape(len(got), s.size + 2)
     net = docs.sparkSession.sparkContext.broadcast(fit(x, got["y"].to_numpy(), s))
