@@ -25,12 +25,10 @@ from pyspark.sql import functions as F
 
 from . import scratch, text
 
-#: Lists of at most so many documents and places, about 80 MB, are broadcast; longer ones meet the texts in a shuffle.
-BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 16_000_000
 #: Of windows on a k-gram that is kept more often than this, each task sends on only the first one that it has met.
 HOT = 1_000
 #: Windows that a task remembers for that; beyond, it forgets them, which costs rows but no result.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def ordered_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,12 +42,6 @@ def ordered_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return scratch.written(numbered.select("k", "doc_id", "x"), "numbered")
 
 
-def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """docs with the places of each document, a table of (k, places)."""
-    n, total = places.agg(F.count("*"), F.coalesce(F.sum(sum(F.size(c) for c in places.columns if c != "k")), F.lit(0))).first()
-    return docs.join(F.broadcast(places) if n <= BROADCAST_ROWS and total <= BROADCAST_PLACES else places, "k", "left")
-
-
 def _prints(docs: DataFrame, window: int, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "x"):
@@ -130,7 +122,7 @@ def _windows(docs: DataFrame, window: int, k: int) -> DataFrame:
                         yield from firsts.flush()
         yield from firsts.flush()
 
-    return docs.filter(F.size("few") + F.size("many") > 0).select("k", "x", "few", "many").mapInArrow(rows, WINDOWS)
+    return docs.select("k", "x", "few", "many").mapInArrow(rows, WINDOWS)
 
 
 def _spans(starts: DataFrame, window: int) -> DataFrame:
@@ -153,7 +145,7 @@ def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     prints = _prints(docs, window, k)
     twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
     hits = prints.join(twice, "print").groupBy("k").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("place"))).alias("few"), F.collect_list(F.when(F.col("n") > HOT, F.col("place"))).alias("many"))
-    rows = _windows(_beside(docs, scratch.written(hits, "places")), window, k).repartition("print")
+    rows = _windows(docs.join(hits, "k"), window, k).repartition("print")
     each = rows.select("print", "k", "start", "late", F.posexplode("hashes").alias("i", "hash")).select("print", "hash", "k", (F.col("start") + F.col("i")).alias("start"), "late")
     least = F.min(F.struct("k", "start")).over(Window.partitionBy("print", "hash"))
     later = each.withColumn("first", least).filter(F.col("late") | (F.struct("k", "start") > F.col("first")))
@@ -193,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, id_col: str =
                 names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    return _beside(keyed, repeated_spans(keyed, window, k)).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return keyed.join(repeated_spans(keyed, window, k), "k", "left").mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 class SuffixAutomaton:
