@@ -32,6 +32,51 @@ def ranked(df: DataFrame, order: list[str | Column], sums: dict[str, str] | None
     return out.drop("_at", "_part", "_n_before", *[f"_s{i}_before" for i in range(len(sums))])
 
 
+def _placed(df: DataFrame, by: list[str], cols: list[Column], name: str) -> DataFrame:
+    """df range-partitioned and sorted by (by, cols) and written, with its partition and place."""
+    keys = [*[F.col(c) for c in by], *cols]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return written(placed.withColumn("_part", F.shiftright("_at", 33)), name)
+
+
+def ranked_by(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
+    """As `ranked`, within groups of any size: a group spreads over as many partitions as it fills. Besides one row a group
+    and partition nothing is gathered."""
+    sums = sums or {}
+    placed = _placed(df, by, [F.col(c) if isinstance(c, str) else c for c in order], "ranked_by")
+    parts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums.values())])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ["_n", *[f"_s{i}" for i in range(len(sums))]]
+    parts = parts.select("_part", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_first", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in totals])
+    same = placed["_part"] == parts["_part"]
+    for i, c in enumerate(by):
+        same &= placed[c].eqNullSafe(parts[f"_by{i}"])
+    out = placed.join(parts, same).drop(parts["_part"]).withColumn(rank, F.col("_at") - F.col("_first") + 1 + F.col("_n_before"))
+    within = Window.partitionBy("_part", *by).orderBy("_at")
+    for i, (name, c) in enumerate(sums.items()):
+        out = out.withColumn(name, F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_s{i}_before"))
+    return out.drop("_at", "_part", "_first", *[f"_by{i}" for i in range(len(by))], *[f"{c}_before" for c in totals])
+
+
+def last_seen(df: DataFrame, by: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """df with the last value that isn't null so far in its group, in the order given, the row's own included. Groups may be
+    of any size: rows carry values within a range partition, and a row a group and partition carries them on."""
+    placed = _placed(df, by, [F.col(c) if isinstance(c, str) else c for c in order], "last_seen")
+    parts = placed.filter(F.col(value).isNotNull()).groupBy("_part", *by).agg(F.max_by(value, "_at").alias("_last"))
+    every = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ["_part", *by]]
+    rows = every.alias("e").join(parts.alias("p"), same, "left").select("e._part", *[F.col(f"e.{c}").alias(f"_by{i}") for i, c in enumerate(by)], "p._last")
+    before = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).filter("_carry is not null").drop("_last")
+    held = placed["_part"] == carry["_part"]
+    for i, c in enumerate(by):
+        held &= placed[c].eqNullSafe(carry[f"_by{i}"])
+    out = placed.join(carry, held, "left").drop(carry["_part"])
+    within = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_carry")))
+    return out.drop("_at", "_part", "_carry", *[f"_by{i}" for i in range(len(by))])
+
+
 def order_statistic(df: DataFrame, column: str, k: int) -> float | None:
     """The k-th smallest value that isn't null; null beyond their number. Every pass narrows a range of values by
     approximate quantiles; the last one picks among the few rows left."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranks import ranked
 from tallyloom.functions.storage import written
 
 
@@ -37,35 +40,43 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double")))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, at_once: int = 20_000) -> DataFrame:
     """(query, id, rank, d): the exact k nearest of all rows for a stated set of queries, a row itself left out.
 
-    Blocks of queries meet blocks of rows in Arrow batches; only k candidates a
-    query and block go on, and the best k of them are taken.
+    Queries are dealt out in blocks of at_once, of which the driver holds one at
+    a time; a block is broadcast and meets the rows in Arrow batches. Only k
+    candidates a query and task step go on, and the best k of them are taken.
     """
     import numpy as np
     import pyarrow as pa
 
-    held = queries.sparkSession.sparkContext.broadcast([(int(r["id"]), list(r["vec"])) for r in queries.select("id", "vec").collect()])
-
-    def near(batches):
-        ids = np.array([q for q, _ in held.value], np.int64)
-        q = np.array([v for _, v in held.value], float)
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                own = part.column("id").to_numpy()
-                v = np.array(part.column("vec").to_pylist(), float)
-                d = np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T)
-                d[ids[:, None] == own[None]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                exact = np.sqrt(((q[:, None] - v[top]) ** 2).sum(2))
-                ok = np.isfinite(np.take_along_axis(d, top, 1)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok]), pa.array(own[top].ravel()[ok]), pa.array(exact.ravel()[ok])], names=["query", "id", "d"])
-
-    found = rows.select("id", "vec").mapInArrow(near, "query long, id long, d double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("d", 9), "id")))
+    numbered = ranked(queries.select("id", "vec"), ["id"], rank="_i").withColumn("_block", F.floor((F.col("_i") - 1) / at_once))
+    numbered = written(numbered, "queries")
+
+    def found(block: int) -> DataFrame:
+        own_rows = numbered.filter(F.col("_block") == block).select("id", "vec").collect()
+        held = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in own_rows], np.int64), np.array([r["vec"] for r in own_rows], np.float32)))
+        step = max(1, 2_000_000 // max(1, len(own_rows)))  # a matrix of 16 MB
+
+        def near(batches):
+            ids, q = held.value[0], held.value[1].astype(float)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    own, v = part.column("id").to_numpy(), np.array(part.column("vec").to_pylist(), float)
+                    d = np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T)
+                    d[ids[:, None] == own[None]] = np.inf
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    n = top.shape[1]
+                    ok = np.isfinite(np.take_along_axis(d, top, 1)).ravel()
+                    exact = np.stack([np.sqrt(((q - v[top[:, j]]) ** 2).sum(1)) for j in range(n)], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok]), pa.array(own[top].ravel()[ok]), pa.array(exact.ravel()[ok])], names=["query", "id", "d"])
+
+        return rows.select("id", "vec").mapInArrow(near, "query long, id long, d double")
+
+    blocks = [r["_block"] for r in numbered.select("_block").distinct().orderBy("_block").collect()]
+    every = [found(b) for b in blocks] or [numbered.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("d"))]
+    best = reduce(DataFrame.union, every).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("d", 9), "id")))
     return best.filter(F.col("rank") <= k)
 
 
@@ -103,10 +114,10 @@ def label_shift(df: DataFrame, sample: str, label: str) -> DataFrame:
 
 def risk_table(df: DataFrame, time: str, event: str, arm: str) -> DataFrame:
     """(time, d0, d1, r0, r1) of every event time: events and rows at risk by arm. Counts by time are combined before the shuffle;
-    running sums go over blocks of distinct times."""
+    running sums go over range partitions of distinct times."""
     t = df.groupBy(F.col(time).alias("time")).agg(*[F.count_if((F.col(arm) == a) & F.col(event)).alias(f"d{a}") for a in (0, 1)], *[F.count_if(F.col(arm) == a).alias(f"c{a}") for a in (0, 1)])
-    w = Window.orderBy(F.desc("time"))  # one row a distinct time
-    return t.select("time", "d0", "d1", F.sum("c0").over(w).alias("r0"), F.sum("c1").over(w).alias("r1")).filter("d0 + d1 > 0")
+    t = ranked(t.withColumn("_down", -F.col("time").cast("double")), ["_down"], {"r0": "c0", "r1": "c1"})
+    return t.select("time", "d0", "d1", "r0", "r1").filter("d0 + d1 > 0")
 
 
 def log_rank(df: DataFrame, time: str, event: str, arm: str) -> DataFrame:
@@ -157,14 +168,15 @@ def linear_attribution(df: DataFrame, row: str, coefficients: dict[str, float])
 
 
 def permutation_importance(df: DataFrame, row: str, features: list[str], predict, y: str, reps: int, seed: str) -> DataFrame:
-    """(feature, importance, sd): rise of the mean squared error when a column is permuted by the hash of (repeat, row)."""
-    from tallyloom.operators.resample import permuted
-
+    """(feature, importance, sd): rise of the mean squared error when a column is permuted by the hash of (repeat, row). Rows are
+    numbered once by their ids, and each column's values once a repeat, over range partitions."""
     base = df.agg(F.avg(F.pow(predict({f: F.col(f) for f in features}) - F.col(y), F.lit(2)))).first()[0]
+    rows = written(ranked(df.select(row, *features, y), [row], rank="_i"), "rows")
     out = None
     for f in features:
         for rep in range(reps):
-            p = permuted(df.withColumn("_all", F.lit(0)), "_all", row, f, rep, f"{seed}:{f}")
+            h = df.select(F.col(f).alias("shuffled"), F.md5(F.concat_ws(":", F.lit(f"{seed}:{f}:{rep}"), F.col(row).cast("string"))).alias("_h"), F.col(row).alias("_u"))
+            p = rows.join(ranked(h, ["_h", "_u"], rank="_i").select("_i", "shuffled"), "_i")
             e = predict({g: F.col("shuffled") if g == f else F.col(g) for g in features}) - F.col(y)
             part = p.agg((F.avg(e * e) - base).alias("rise")).select(F.lit(f).alias("feature"), "rise")
             out = part if out is None else out.unionByName(part)

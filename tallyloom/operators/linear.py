@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.storage import written
+
 
 def gram(df: DataFrame, by: str, columns: list[str | Column], weight: Column | None = None) -> DataFrame:
     """(by, n, gram): the p x p sums of products, row by row, over rows without nulls."""
@@ -26,34 +28,58 @@ def gram(df: DataFrame, by: str, columns: list[str | Column], weight: Column | N
     return g.select(by, "n", F.array(*[F.col(f"_s{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("gram"))
 
 
+def centred_gram(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, n, gram, mean): sums of products of the columns less their group's means, over rows without nulls. A first pass gets the means, so that
+    columns with a large mean and a small spread keep their digits."""
+    p = len(columns)
+    rows = df.select(F.col(by).alias(by), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]).na.drop(subset=[f"_c{i}" for i in range(p)])
+    means = rows.groupBy(F.col(by).alias("_by")).agg(*[F.avg(f"_c{i}").alias(f"_m{i}") for i in range(p)])
+    less = rows.join(means, F.col(by).eqNullSafe(F.col("_by"))).select(by, *[(F.col(f"_c{i}") - F.col(f"_m{i}")).alias(f"_d{i}") for i in range(p)])
+    g = gram(less, by, [f"_d{i}" for i in range(p)])
+    return g.join(means, F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", "gram", F.array(*[F.col(f"_m{i}") for i in range(p)]).alias("mean"))
+
+
 def _solved(g: DataFrame, by: str, p: int, schema: str, f) -> DataFrame:
-    """Applies f(key, n, matrix) -> rows to every row of a gram table."""
+    """Applies f(key, n, matrix) -> rows, or f(n, matrix, mean) where there are means, to every row of a gram table."""
     kind = g.schema[by].dataType.simpleString()
     names = [x.split()[0] for x in schema.split(", ")]
+    more = ["mean"] if "mean" in g.columns else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, *row) for k, n, m in zip(b[by], b["n"], b["gram"]) for row in f(n, np.array(m, float).reshape(p, p))]
+            out = [(k, *row) for k, n, m, *rest in zip(b[by], b["n"], b["gram"], *[b[c] for c in more]) for row in f(n, np.array(m, float).reshape(p, p), *[np.array(r, float) for r in rest])]
             yield pd.DataFrame(out, columns=[by, *names])
 
     return g.mapInPandas(run, f"{by} {kind}, {schema}")
 
 
+def _scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of products with a diagonal of ones, and the roots of its old one; columns of nothing have a root of 1 and a diagonal of 0."""
+    d = np.sqrt(np.maximum(np.diag(m), 0))
+    d[d == 0] = 1
+    return m / np.outer(d, d), d
+
+
 def ols(df: DataFrame, by: str, xs: list[str], y: str, intercept: bool = True) -> DataFrame:
-    """(by, term, beta, se, t, r2, n) of a regression for each group. A singular design has null estimates."""
+    """(by, term, beta, se, t, r2, n) of a regression for each group. A singular design has null estimates. With an intercept columns are taken from their
+    means, and in any case they are scaled before the rank is judged and the equations are solved."""
     terms = ["(intercept)"] * intercept + xs
-    g = gram(df, by, [*([F.lit(1.0)] if intercept else []), *xs, y])
-    p = len(terms)
+    g = centred_gram(df, by, [*xs, y]) if intercept else gram(df, by, [*xs, y])
+    p, k = len(xs), len(terms)
 
-    def solve(n, m):
-        xx, xy, yy = m[:p, :p], m[:p, p], m[p, p]
-        if n <= p or np.linalg.matrix_rank(xx) < p:
+    def solve(n, m, mean=None):
+        r, d = _scaled(m[:p, :p])
+        xy, yy = m[:p, p], m[p, p]
+        if n <= k or np.linalg.matrix_rank(r) < p:
             return [(t, None, None, None, None, int(n)) for t in terms]
-        beta = np.linalg.solve(xx, xy)
+        inverse = np.linalg.inv(r) / np.outer(d, d)
+        beta = np.linalg.solve(r, xy / d) / d
         rss = max(0.0, yy - beta @ xy)
-        se = np.sqrt(np.diag(np.linalg.inv(xx)) * rss / (n - p))
-        total = yy - (m[0, p] ** 2 / n if intercept else 0)
-        return [(t, float(b), float(s), float(b / s) if s > 0 else None, float(1 - rss / total) if total > 0 else None, int(n)) for t, b, s in zip(terms, beta, se)]
+        s2, var = rss / (n - k), np.diag(inverse)
+        if intercept:
+            beta, var = np.append(mean[p] - beta @ mean[:p], beta), np.append(1 / n + mean[:p] @ inverse @ mean[:p], var)
+        se = np.sqrt(var * s2)
+        return [(t, float(b), float(s), float(b / s) if s > 0 else None, float(1 - rss / yy) if yy > 0 else None, int(n)) for t, b, s in zip(terms, beta, se)]
 
     return _solved(g, by, p + 1, "term string, beta double, se double, t double, r2 double, n long", solve)
 
@@ -74,25 +100,19 @@ def ridge_path(df: DataFrame, by: str, xs: list[str], y: str, alphas: list[float
 
 def vif(df: DataFrame, by: str, xs: list[str]) -> DataFrame:
     """(by, term, vif): the diagonal of the inverse correlation matrix; infinite for a column that others determine."""
-    p = len(xs) + 1
-
-    def solve(n, m):
-        c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / n
-        d = np.sqrt(np.diag(c))
-        r = c / np.outer(d, d)
+    def solve(n, m, mean):
+        r, _ = _scaled(m)
         v = np.diag(np.linalg.inv(r)) if np.linalg.matrix_rank(r) == len(xs) else np.full(len(xs), np.inf)
         return [(t, float(x)) for t, x in zip(xs, v)]
 
-    return _solved(gram(df, by, [F.lit(1.0), *xs]), by, p, "term string, vif double", solve)
+    return _solved(centred_gram(df, by, xs), by, len(xs), "term string, vif double", solve)
 
 
 def condition(df: DataFrame, by: str, xs: list[str]) -> DataFrame:
     """(by, variant, kappa, digits): condition numbers of the raw, the centred, the column-scaled and the standardised design, all from one matrix."""
-    p = len(xs) + 1
-
-    def solve(n, m):
-        raw = m[1:, 1:]
-        centred = raw - np.outer(m[0, 1:], m[0, 1:]) / n
+    def solve(n, m, mean):
+        centred = m
+        raw = m + n * np.outer(mean, mean)
         scaled = raw / np.sqrt(np.outer(np.diag(raw), np.diag(raw)))
         standard = centred / np.sqrt(np.outer(np.diag(centred), np.diag(centred)))
         out = []
@@ -102,17 +122,13 @@ def condition(df: DataFrame, by: str, xs: list[str]) -> DataFrame:
             out.append((name, k, float(np.log10(k))))
         return out
 
-    return _solved(gram(df, by, [F.lit(1.0), *xs]), by, p, "variant string, kappa double, digits double", solve)
+    return _solved(centred_gram(df, by, xs), by, len(xs), "variant string, kappa double, digits double", solve)
 
 
 def spectrum(df: DataFrame, by: str, xs: list[str]) -> DataFrame:
     """(by, component, eigenvalue, share, gap, vector) of the correlation matrix, largest first; the sign makes the largest entry positive."""
-    p = len(xs) + 1
-
-    def solve(n, m):
-        c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / n
-        d = np.sqrt(np.diag(c))
-        values, vectors = np.linalg.eigh(c / np.outer(d, d))
+    def solve(n, m, mean):
+        values, vectors = np.linalg.eigh(_scaled(m)[0])
         values, vectors = values[::-1], vectors[:, ::-1]
         out = []
         for i, v in enumerate(values):
@@ -120,7 +136,7 @@ def spectrum(df: DataFrame, by: str, xs: list[str]) -> DataFrame:
             out.append((i, float(v), float(v / values.sum()), float(v - values[i + 1]) if i + 1 < len(values) else None, [float(z) for z in x]))
         return out
 
-    return _solved(gram(df, by, [F.lit(1.0), *xs]), by, p, "component int, eigenvalue double, share double, gap double, vector array<double>", solve)
+    return _solved(centred_gram(df, by, xs), by, len(xs), "component int, eigenvalue double, share double, gap double, vector array<double>", solve)
 
 
 def psd_repair(df: DataFrame, by: str, xs: list[str], min_overlap: int = 4) -> DataFrame:
@@ -180,9 +196,10 @@ def leverage(df: DataFrame, by: str, row: str, x: str, y: str) -> DataFrame:
 
 
 def irls(df: DataFrame, xs: list[str], y: str, max_iter: int = 50, tol: float = 1e-10, ridge: float = 0.0, floor: float = 1e-10) -> list[dict]:
-    """Logistic regression by weighted least squares: each step is one sum of products over the rows; the last step's estimates and standard errors."""
+    """Logistic regression by weighted least squares: each step is one sum of products over the rows, which are written once; the last step's estimates and
+    standard errors."""
     terms = ["(intercept)", *xs]
-    rows = df.select(F.lit(1).alias("k"), *[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("y")).na.drop()
+    rows = written(df.select(F.lit(1).alias("k"), *[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("y")).na.drop(), "irls")
     beta = np.zeros(len(terms))
     cov = np.eye(len(terms))
     for _ in range(max_iter):
@@ -236,13 +253,15 @@ def break_scan(df: DataFrame, series: str, order: str, value: str, trim: float =
     pass, not one regression a date.
     """
     w = Window.partitionBy(series).orderBy(order)
-    down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(series)
     d = df.select(series, order, F.col(value).alias("y"), (F.row_number().over(w) - 1).cast("double").alias("i"), F.count("*").over(whole).cast("double").alias("n"))
     m, s1 = (F.col("n") - 1) / 2, F.col("n") * (F.col("n") * F.col("n") - 1) / 12
     d = d.withColumns({"my": F.avg("y").over(whole), "b": F.sum((F.col("i") - m) * F.col("y")).over(whole) / s1})
     d = d.withColumn("e", F.col("y") - F.col("my") - F.col("b") * (F.col("i") - m))
-    d = d.withColumns({"ee": F.sum(F.col("e") * F.col("e")).over(whole), "after": F.sum("e").over(down), "after_i": F.sum(F.col("e") * F.col("i")).over(down)})
+    # sums from a row on are totals less running sums: a frame that is open ahead would be summed again for every row
+    left = lambda c: F.sum(c).over(whole) - F.coalesce(F.sum(c).over(upto), F.lit(0.0))
+    d = d.withColumns({"ee": F.sum(F.col("e") * F.col("e")).over(whole), "after": left(F.col("e")), "after_i": left(F.col("e") * F.col("i"))})
     n, tau, k = F.col("n"), F.col("i"), F.col("n") - F.col("i")
     if bend:
         # z = max(i - tau, 0): its sums over i

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranks import last_seen, ranked_by
+from tallyloom.functions.storage import written
+
 
 def complete_panel(panel: DataFrame, indicator: str, entity: str, period: str, value: str, periods: int, indicators: int) -> DataFrame:
     """Rows of the entities that have every period of every indicator and no constant series. Both counts are aggregates; the panel meets them in a semi-join."""
@@ -53,15 +56,15 @@ def aligned_by(x: DataFrame, y: DataFrame, key: str, date: str, lead: bool) -> D
 
 
 def in_interval(points: DataFrame, edges: DataFrame, key: str, at: str, edge: str) -> DataFrame:
-    """For each point the right-open interval between edges of its key that holds it: gap and remaining wait. One sort of the
-    union, and the last edge so far and the first one ahead by windows, so no pair is formed."""
-    both = points.select(key, F.col(at).alias("t"), F.lit(1).alias("is_point")).union(edges.select(key, F.col(edge).alias("t"), F.lit(0)))
-    order = Window.partitionBy(key).orderBy("t", "is_point")
-    mark = F.when(F.col("is_point") == 0, F.col("t"))
-    before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    found = both.select(key, "t", "is_point", before.alias("lo"), after.alias("hi")).filter("is_point = 1 and lo is not null and hi is not null")
-    return found.select(key, "t", (F.col("hi") - F.col("lo")).alias("gap"), (F.col("hi") - F.col("t")).alias("wait"))
+    """For each point the right-open interval between edges of its key that holds it: gap and remaining wait. Each edge takes
+    the next one of its key along; points and edges are sorted as one table, and the last interval so far is carried on, so
+    no pair is formed and a key may spread over many tasks."""
+    ends = written(ranked_by(edges.select(F.col(key).alias("k"), F.col(edge).alias("lo")).distinct(), ["k"], ["lo"]), "edges")
+    ends = ends.join(ends.select("k", (F.col("rank") - 1).alias("rank"), F.col("lo").alias("hi")), ["k", "rank"]).select("k", F.struct("lo", "hi").alias("span"))
+    both = points.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("is_point"), F.lit(None).cast(ends.schema["span"].dataType).alias("span"))
+    both = both.union(ends.select("k", "span.lo", F.lit(0), "span"))
+    found = last_seen(both, ["k"], ["t", "is_point"], "span", "held").filter("is_point = 1 and t < held.hi")
+    return found.select(F.col("k").alias(key), "t", (F.col("held.hi") - F.col("held.lo")).alias("gap"), (F.col("held.hi") - F.col("t")).alias("wait"))
 
 
 def paired_runs(a: DataFrame, b: DataFrame, keys: list[str], metric: str, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_share
+from tallyloom.functions.ranks import ranked, ranked_by
 
 
 def key(seed: str, *cols: Column | str) -> Column:
@@ -32,10 +33,11 @@ def with_replicates(df: DataFrame, reps: int) -> DataFrame:
 
 
 def bootstrap_means(df: DataFrame, by: str, unit: str, value: str, reps: int, seed: str) -> DataFrame:
-    """(by, rep, mean): weighted means by Poisson counts of units; rows of a unit share its count. Sums are combined before the shuffle."""
-    d = with_replicates(df.select(by, unit, value), reps)
-    w = poisson(md5_share(key(seed, "rep", unit)))
-    return d.groupBy(by, "rep").agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias("mean"))
+    """(by, rep, mean): weighted means by Poisson counts of units; rows of a unit share its count, so each unit is summed up
+    before it is drawn. Sums over units are combined before the shuffle."""
+    units = df.select(by, unit, value).groupBy(by, unit).agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
+    d = with_replicates(units, reps).withColumn("_w", poisson(md5_share(key(seed, "rep", unit))))
+    return d.groupBy(by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum(F.col("_w") * F.col("_n"))).alias("mean"))
 
 
 def percentile_interval(draws: DataFrame, by: str, value: str, level: float = 0.9) -> DataFrame:
@@ -45,9 +47,10 @@ def percentile_interval(draws: DataFrame, by: str, value: str, level: float = 0.
 
 def paired_bootstrap(df: DataFrame, by: str, unit: str, a: str, b: str, reps: int, seed: str) -> DataFrame:
     """(by, rep, percent): 100 (mean b - mean a) / mean a, with the same counts for both columns."""
-    d = with_replicates(df.select(by, unit, a, b), reps)
-    w = poisson(md5_share(key(seed, "rep", unit)))
-    return d.groupBy(by, "rep").agg((100 * (F.sum(w * F.col(b)) - F.sum(w * F.col(a))) / F.sum(w * F.col(a))).alias("percent"))
+    units = df.select(by, unit, a, b).groupBy(by, unit).agg(F.sum(a).alias("_a"), F.sum(b).alias("_b"))
+    d = with_replicates(units, reps).withColumn("_w", poisson(md5_share(key(seed, "rep", unit))))
+    total = lambda c: F.sum(F.col("_w") * F.col(c))
+    return d.groupBy(by, "rep").agg((100 * (total("_b") - total("_a")) / total("_a")).alias("percent"))
 
 
 def block_indices(lengths: DataFrame, series: str, n: str, block: int, reps: int, seed: str) -> DataFrame:
@@ -73,9 +76,9 @@ def block_bootstrap(df: DataFrame, series: str, order: str, value: str, block: i
 
 def permuted(df: DataFrame, by: str, unit: str, value: str, rep: int, seed: str) -> DataFrame:
     """df with `shuffled`: the column's values in the order of a hash of the unit, within groups, by a join of two numberings."""
-    a = df.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(unit)))
-    b = df.select(by, F.col(value).alias("shuffled"), F.row_number().over(Window.partitionBy(by).orderBy(F.md5(key(seed, F.lit(rep), unit)), unit)).alias("_i"))
-    return a.join(b, [by, "_i"]).drop("_i")
+    a = ranked_by(df, [by], [unit], rank="_i")
+    h = df.select(by, F.col(value).alias("shuffled"), F.md5(key(seed, F.lit(rep), unit)).alias("_h"), F.col(unit).alias("_u"))
+    return a.join(ranked_by(h, [by], ["_h", "_u"], rank="_i").drop("_h", "_u"), [by, "_i"]).drop("_i")
 
 
 def drawn_labels(df: DataFrame, unit: str, p: str, reps: int, seed: str) -> DataFrame:
@@ -91,8 +94,8 @@ def subsets(df: DataFrame, by: str, unit: str, size: int, reps: int, seed: str)
 
 def stratified_folds(df: DataFrame, label: str, unit: str, k: int, seed: str) -> DataFrame:
     """Folds that hold each label evenly: the place in hash order within a label, modulo k."""
-    w = Window.partitionBy(label).orderBy(F.md5(key(seed, unit)), unit)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    d = ranked_by(df.withColumn("_h", F.md5(key(seed, unit))), [label], ["_h", unit], rank="_i")
+    return d.withColumn("fold", ((F.col("_i") - 1) % k).cast("int")).drop("_h", "_i")
 
 
 def grouped_folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
@@ -118,15 +121,13 @@ def split_coverage(df: DataFrame, unit: str | Column, score: str, reps: int, alp
 
 
 def at_most(df: DataFrame, by: str, unit: str, k: int, seed: str) -> DataFrame:
-    """At most k rows a group, those of smallest hash."""
-    w = Window.partitionBy(by).orderBy(F.md5(key(seed, unit)), unit)
-    return df.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).drop("_i")
+    """At most k rows a group, those of smallest hash; k may be large."""
+    d = ranked_by(df.withColumn("_h", F.md5(key(seed, unit))), [by], ["_h", unit], rank="_i")
+    return d.filter(F.col("_i") <= k).drop("_h", "_i")
 
 
 def shuffled(df: DataFrame, unit: str, seed: str) -> DataFrame:
     """df with `position`, the place in a seeded permutation of the rows: ranks over a range partition of the hashes."""
-    from tallyloom.functions.ranks import ranked
-
     return ranked(df.withColumn("_h", F.md5(key(seed, unit))), ["_h", unit], rank="position").drop("_h")
 
 
@@ -134,8 +135,7 @@ def oversampled(df: DataFrame, label: str, unit: str, seed: str) -> DataFrame:
     """The rarer of two labels repeated to parity: every row floor(ratio) times, and the rows of smallest hash once more."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))
     big = n.agg(F.max("n")).first()[0]
-    w = Window.partitionBy(label).orderBy(F.md5(key(seed, unit)), unit)
-    d = df.join(F.broadcast(n), label).withColumn("_i", F.row_number().over(w))
+    d = ranked_by(df.withColumn("_h", F.md5(key(seed, unit))), [label], ["_h", unit], rank="_i").drop("_h").join(n, label)
     times = F.floor(big / F.col("n")) + F.when(F.col("_i") <= big % F.col("n"), 1).otherwise(0)
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("n", "_i")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranks import ranked_by
+
 
 def by_score(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
     """(by, p, pos, neg, pos_above, neg_above, n_pos, n_neg): counts at each score and of all higher ones."""
@@ -74,10 +76,9 @@ def debiased_l2(df: DataFrame, by: str, p: str, y: str, bins: int = 15) -> DataF
 
 def selective_risk(df: DataFrame, by: str, score: str, correct: str, row_id: str, coverage: float = 0.2) -> DataFrame:
     """Mean of the running error in descending score (AURC), and accuracy of the most confident share; equal scores in order of row id."""
-    order = Window.partitionBy(by).orderBy(F.desc(score), row_id)
-    run = F.avg(1 - F.col(correct).cast("double")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    d = df.select(by, run.alias("risk"), F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"), F.col(correct).cast("double").alias("c"))
-    return d.groupBy(by).agg(F.avg("risk").alias("aurc"), F.avg(F.when(F.col("i") <= F.floor(F.col("n") * coverage), F.col("c"))).alias("accuracy_at_coverage"))
+    d = df.select(by, (-F.col(score)).alias("_s"), row_id, F.col(correct).cast("double").alias("c")).withColumn("_e", 1 - F.col("c"))
+    d = ranked_by(d, [by], ["_s", row_id], {"_wrong": "_e"}, "i").join(df.groupBy(by).agg(F.count("*").alias("n")), by)
+    return d.groupBy(by).agg(F.avg(F.col("_wrong") / F.col("i")).alias("aurc"), F.avg(F.when(F.col("i") <= F.floor(F.col("n") * coverage), F.col("c"))).alias("accuracy_at_coverage"))
 
 
 def group_rates(df: DataFrame, by: str, p: str, y: str, threshold: float) -> DataFrame:

@@ -39,7 +39,9 @@ def centred_scale(df: DataFrame, series: str, order: str, value: str, window: in
     f = w.rowsBetween(-half, half)
     sd = F.when(F.count(value).over(f) >= half, F.stddev_samp(value).over(f))
     d = df.select(series, order, sd.alias("s"))
-    filled = F.coalesce("s", F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the next one in order is the last one backwards: a frame that is open ahead would be read again for every row
+    back = Window.partitionBy(series).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce("s", F.last("s", ignorenulls=True).over(back), F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.select(series, order, filled.alias("scale"))
 
 
@@ -184,9 +186,10 @@ def holt(df: DataFrame, series: str, order: str, value: str, horizon: int, level
     return df.select(series, order, value).groupBy(series).applyInPandas(fit, f"{series} {kind}, step int, forecast double, level double, quantile double, fallback boolean")
 
 
-def matched_absence(lengths: DataFrame, series: str, seed: str, tries: int = 200) -> DataFrame:
-    """(series, first, length): for each series' n rows, spells of given lengths placed at random without overlap, longest first.
-    lengths has (series, n, lengths array). The places follow from the seed and the series."""
+def matched_absence(lengths: DataFrame, series: str, seed: str) -> DataFrame:
+    """(series, first, length): for each series' n rows, spells of given lengths placed at random without overlap or touch, longest
+    first; each is equally likely at all places that are left, and has a null place if there are none. lengths has (series,
+    n, lengths array). The places follow from the seed and the series."""
     def place(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             out = []
@@ -194,13 +197,14 @@ def matched_absence(lengths: DataFrame, series: str, seed: str, tries: int = 200
                 rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{s}".encode()).digest()[:8], "big"))
                 taken = np.zeros(int(n), bool)
                 for length in sorted(map(int, ls), reverse=True):
-                    for _ in range(tries):
-                        a = int(rng.integers(0, max(1, n - length + 1)))
-                        if not taken[max(0, a - 1) : a + length + 1].any():
-                            taken[a : a + length] = True
-                            out.append((s, a, length))
-                            break
-            yield pd.DataFrame(out, columns=[series, "first", "length"])
+                    # no taken row from the one before the spell to the one after it
+                    held = np.concatenate([[0], np.cumsum(np.concatenate([[False], taken, [False]]))])
+                    free = np.flatnonzero(held[length + 2 :] == held[: -(length + 2)]) if length <= n else np.zeros(0, int)
+                    a = int(free[rng.integers(len(free))]) if len(free) else None
+                    if a is not None:
+                        taken[a : a + length] = True
+                    out.append((s, a, length))
+            yield pd.DataFrame(out, columns=[series, "first", "length"]).astype({"first": "Int64"})
 
     kind = lengths.schema[series].dataType.simpleString()
     return lengths.select(series, "n", "lengths").mapInPandas(place, f"{series} {kind}, first long, length long")

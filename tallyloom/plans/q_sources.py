@@ -84,41 +84,45 @@ def period_strings(spark, sf_dir):
 
 
 def _json_pages(spark, sf_dir):
-    rows = panel(spark, sf_dir).filter("year between 1996 and 1998")
+    rows = panel(spark, sf_dir)
+    first, last = rows.agg(F.min("year"), F.max("year")).first()
+    n = last - first + 1
     item = F.struct(F.struct(F.col("indicator").alias("id"), F.col("indicator").alias("value")).alias("indicator"), F.struct(F.substring("country", 1, 2).alias("id"), F.col("country").alias("value")).alias("country"), F.upper(F.substring("country", 1, 3)).alias("countryiso3code"), F.col("year").cast("string").alias("date"), F.col("value").alias("value"))
-    pages = rows.groupBy((F.col("year") - 1995).alias("page")).agg(F.to_json(F.collect_list(item)).alias("rows"))
-    text = F.concat(F.lit('[{"page":'), F.col("page").cast("string"), F.lit(',"pages":3},'), "rows", F.lit("]"))
+    pages = rows.groupBy((F.col("year") - first + 1).alias("page")).agg(F.to_json(F.collect_list(item)).alias("rows"))
+    text = F.concat(F.lit('[{"page":'), F.col("page").cast("string"), F.lit(f',"pages":{n}}},'), "rows", F.lit("]"))
     path = fresh_dir(spark, "pages")
-    pages.repartition(3, "page").select("page", text.alias("value")).write.partitionBy("page").text(path)
+    pages.repartition(n, "page").select("page", text.alias("value")).write.partitionBy("page").text(path)
     return S.paged_json(spark, f"{path}/*")
 
 
-@query(f"WITH {PANEL} SELECT country, upper(left(country, 3)) AS iso3, year, value, indicator FROM panel WHERE year BETWEEN 1996 AND 1998")
+@query(f"WITH {PANEL} SELECT country, upper(left(country, 3)) AS iso3, year, value, indicator FROM panel")
 def paged_json_rows(spark, sf_dir):
     return _json_pages(spark, sf_dir)
 
 
-@query(f"""WITH {PANEL} SELECT country, upper(left(country, 3)) AS iso3, year, max(value) FILTER (indicator = '1-URGENT') AS "1-URGENT", max(value) FILTER (indicator = '5-LOW') AS "5-LOW" FROM panel WHERE year BETWEEN 1996 AND 1998 GROUP BY 1, 2, 3""")
+@query(f"""WITH {PANEL} SELECT country, upper(left(country, 3)) AS iso3, year, max(value) FILTER (indicator = '1-URGENT') AS "1-URGENT", max(value) FILTER (indicator = '5-LOW') AS "5-LOW" FROM panel GROUP BY 1, 2, 3""")
 def indicator_panel(spark, sf_dir):
     return S.indicator_panel(_json_pages(spark, sf_dir), ["1-URGENT", "5-LOW"])
 
 
-@query(f"WITH {PANEL} SELECT make_date(year, 12, 31) AS date, value FROM panel WHERE year BETWEEN 1996 AND 1998 AND upper(left(country, 3)) = 'CHI' AND indicator = '5-LOW'")
+@query(f"WITH {PANEL} SELECT make_date(year, 12, 31) AS date, value FROM panel WHERE upper(left(country, 3)) = 'CHI' AND indicator = '5-LOW'")
 def single_country_series(spark, sf_dir):
     return S.single_series(_json_pages(spark, sf_dir).filter("indicator = '5-LOW'"), "CHI")
 
 
 def _wide(spark, sf_dir):
-    w = panel(spark, sf_dir).filter("indicator = '5-LOW' and year between 1996 and 1999").groupBy(F.col("country").alias("iso3")).pivot("year", [1996, 1997, 1998, 1999]).agg(F.first("value"))
-    lines = w.coalesce(1).select(F.concat_ws(",", "iso3", *[F.coalesce(F.col(f"`{y}`").cast("decimal(20,2)").cast("string"), F.lit("")) for y in range(1996, 2000)]).alias("value"))
-    head = spark.range(5, numPartitions=1).select(F.when(F.col("id") < 4, F.concat(F.lit("note "), F.col("id").cast("string"))).otherwise("iso3,1996,1997,1998,1999").alias("value"))
+    p = panel(spark, sf_dir)
+    years = [x["year"] for x in p.select("year").distinct().orderBy("year").collect()]
+    w = p.groupBy(F.col("country").alias("iso3"), "indicator").pivot("year", years).agg(F.first("value"))
+    lines = w.coalesce(1).select(F.concat_ws(",", "iso3", "indicator", *[F.coalesce(F.col(f"`{y}`").cast("decimal(20,2)").cast("string"), F.lit("")) for y in years]).alias("value"))
+    head = spark.range(5, numPartitions=1).select(F.when(F.col("id") < 4, F.concat(F.lit("note "), F.col("id").cast("string"))).otherwise(",".join(["iso3", "indicator", *map(str, years)])).alias("value"))
     return S.preamble_csv(spark, _texts(head.union(lines).coalesce(1), "wide"), 4)
 
 
-@query(f"WITH {PANEL} SELECT country AS iso3, year, value FROM panel WHERE indicator = '5-LOW' AND year BETWEEN 1996 AND 1999 AND country IN (SELECT n_name FROM nation WHERE n_regionkey > 0)")
+@query(f"WITH {PANEL} SELECT country AS iso3, indicator, year, value FROM panel WHERE country IN (SELECT n_name FROM nation WHERE n_regionkey > 0)")
 def wide_years_to_long(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("iso3"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("region"))
-    return S.years_to_long(_wide(spark, sf_dir), ["iso3"], n)
+    return S.years_to_long(_wide(spark, sf_dir), ["iso3", "indicator"], n)
 
 
 _ENTITY = "e AS (SELECT n_name AS entity, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE upper(left(n_name, 3)) END AS code, CAST(year(o_orderdate) AS INTEGER) AS y, round(sum(o_totalprice), 2) AS total, count(*)::DOUBLE AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
@@ -162,11 +166,12 @@ def column_citations(spark, sf_dir):
     return S.column_citations(spark, f"{path}/*")
 
 
-@query(f"WITH {MONTHLY} SELECT series, date, value, year(date) = 1998 AS provisional FROM monthly WHERE year(date) IN (1997, 1998)")
+@query(f"WITH {MONTHLY} SELECT series, date, value, year(date) = 1998 AS provisional FROM monthly")
 def month_columns_to_long(spark, sf_dir):
-    m = monthly(spark, sf_dir).filter("year(date) in (1997, 1998)")
+    m = monthly(spark, sf_dir)
+    first, last = m.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
     label = F.concat(F.date_format("date", "yyyy/MM"), F.when(F.year("date") == 1998, " p)").otherwise(""))
-    labels = [f"{y}/{i:02d}{' p)' if y == 1998 else ''}" for y in (1997, 1998) for i in range(1, 13)]
+    labels = [f"{y}/{i:02d}{' p)' if y == 1998 else ''}" for y in range(first, last + 1) for i in range(1, 13)]
     wide = m.withColumn("label", label).groupBy("series").pivot("label", labels).agg(F.first("value").cast("decimal(20,2)"))
     return S.month_columns(spark.read.option("header", True).csv(_landed(wide, "months")), ["series"])
 
@@ -237,12 +242,12 @@ def _sources(spark, sf_dir):
     return g.select(F.col("r_name").alias("source_id"), F.concat(F.lit("Office of "), "r_name").alias("citation"), F.lit("terms of use").alias("licence"), (F.col("r_regionkey") % 2 == 0).alias("redistributable"), F.array(F.concat(F.lit("WARNING "), "r_name"), F.lit("note")).alias("notes"))
 
 
-_USED = "used AS (SELECT DISTINCT r_name, r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 12)"
+_USED = "used AS (SELECT DISTINCT r_name, r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey)"
 
 
 def _used(spark, sf_dir):
     g, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return n.filter("n_nationkey < 12").join(g, n.n_regionkey == g.r_regionkey).select(F.col("r_name").alias("source_id"))
+    return n.join(g, n.n_regionkey == g.r_regionkey).select(F.col("r_name").alias("source_id"))
 
 
 @query(f"WITH {_USED} SELECT 'Office of ' || r_name AS citation FROM used")
@@ -253,3 +258,61 @@ def citation_report(spark, sf_dir):
 @query(f"WITH {_USED} SELECT r_name AS source_id, 'not redistributable: terms of use' AS line FROM used WHERE r_regionkey % 2 = 1 UNION ALL SELECT r_name, 'WARNING ' || r_name FROM used")
 def licence_report(spark, sf_dir):
     return S.licence_warnings(_used(spark, sf_dir), _sources(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2) SELECT series AS item, d AS date, v AS value FROM o
+UNION ALL SELECT series || '/Q', last_day(make_date(year(d), quarter(d) * 3, 1)), round(sum(v), 2) FROM o GROUP BY 1, 2 UNION ALL SELECT series || '/A', make_date(year(d), 12, 31), round(sum(v), 2) FROM o GROUP BY 1, 2""")
+def statistic_service_rows(spark, sf_dir):
+    o = daily_by_priority(spark, sf_dir)
+    quarter = F.concat(F.year("date").cast("string"), F.lit("Q"), F.quarter("date").cast("string"))
+    parts = [o.select("series", F.date_format("date", "yyyyMMdd").alias("t"), "value")]
+    parts += [o.groupBy(F.concat("series", F.lit(tail)).alias("series"), t.alias("t")).agg(F.round(F.sum("value"), 2).alias("value")) for tail, t in (("/Q", quarter), ("/A", F.year("date").cast("string")))]
+    rows = parts[0].union(parts[1]).union(parts[2])
+    item = F.struct(F.lit("001").alias("STAT_CODE"), F.col("series").alias("ITEM_CODE1"), F.lit("won").alias("UNIT_NAME"), F.col("t").alias("TIME"), F.col("value").cast("decimal(20,2)").cast("string").alias("DATA_VALUE"))
+    pages = rows.groupBy("series", F.substring("t", 1, 4).alias("y")).agg(F.collect_list(item).alias("row"))
+    doc = F.to_json(F.struct(F.struct(F.size("row").alias("list_total_count"), F.col("row")).alias("StatisticSearch")))
+    return S.statistic_json(spark, _texts(pages.select(doc.alias("value")), "statistics")).select("item", "date", "value")
+
+
+@query(f"WITH {MONTHLY} SELECT series, date, value FROM monthly")
+def survey_wide_table(spark, sf_dir):
+    m = monthly(spark, sf_dir).withColumn("Year", F.year("date"))
+    cells = m.groupBy("series", "Year").agg(*[F.max(F.when(F.month("date") == i, F.col("value").cast("decimal(20,2)").cast("string"))).alias(f"m{i}") for i in range(1, 13)])
+    names = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+    line = F.concat_ws(",", F.col("Year").cast("string"), *[F.coalesce(F.col(f"m{i}"), F.lit("")) for i in range(1, 13)], F.lit("1.0"))
+    head = m.select("series").distinct().withColumn("o", F.explode(F.sequence(F.lit(-3), F.length("series") % 3 - 2)))
+    head = head.select("series", "o", F.when(F.col("o") == F.length("series") % 3 - 2, ",".join(["Year", *names, "Annual"])).otherwise(F.concat(F.lit("Series,"), "series")).alias("value"))
+    lines = head.union(cells.select("series", "Year", line.alias("value")))
+    path = fresh_dir(spark, "survey_wide")
+    lines.repartition("series").sortWithinPartitions("series", "o").select("series", "value").write.partitionBy("series").text(path)
+    return S.survey_wide(spark, path).select("series", "date", "value")
+
+
+@query("""WITH l AS (SELECT o_orderpriority AS k, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) FILTER (month(o_orderdate) IN (12, 1, 2)) AS w, sum(o_totalprice) FILTER (month(o_orderdate) NOT IN (12, 1, 2)) AS s FROM orders GROUP BY 1, 2)
+SELECT k, year, coalesce(w, 0) > coalesce(s, 0) AS winter_peak, round((round(coalesce(w, 0), 2) + round(coalesce(s, 0), 2)) / 1e6, 6) AS total_twh FROM l""")
+def power_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cold = F.month("o_orderdate").isin(12, 1, 2)
+    part = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("o_totalprice"))), F.lit(0.0)), 2)
+    t = o.groupBy(F.col("o_orderpriority").alias("c1"), F.year("o_orderdate").alias("c2")).agg(part(cold).alias("c3"), part(~cold).alias("c4")).withColumn("c5", F.round(F.col("c3") + F.col("c4"), 2))
+    p = S.power_table(t, ["k", "year", "winter", "summer", "total"], "winter", "summer", "total", 0.5)
+    return p.select("k", "year", "winter_peak", r("total_twh").alias("total_twh"))
+
+
+@query("SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def zipped_members(spark, sf_dir):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_name")
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("metadata.csv", "note\nx\n")
+            z.writestr("flow.csv", "skipped\n" + rows.rename(columns={"n_name": "name", "n_regionkey": "region"}).to_csv(index=False))
+        return pd.DataFrame({"content": [held.getvalue()]})
+
+    return S.zipped_members(n.groupBy("n_regionkey").applyInPandas(packed, "content binary"), "name string, region long", member=r"flow.*\.csv$", skip=1)

@@ -86,8 +86,17 @@ def slice_to_columns(rows: DataFrame, filters: dict[str, str], entity: str, enti
     return rows.groupBy("date").pivot(entity, entities).agg(F.first(value, ignorenulls=True))
 
 
-def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = r".*\.csv$", skip: int = 0) -> DataFrame:
-    """CSV members of zip files that match, a file a task, streamed line by line; `skip` lines before the header go."""
+def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = r".*\.csv$", skip: int = 0, max_bytes: int = 1 << 30) -> DataFrame:
+    """CSV members of zip files that match. A zip file is one value of Spark's reader; a larger one than max_bytes is refused."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.filter(F.col("length") > max_bytes).select("path", "length").first()
+    if large is not None:
+        raise ValueError(f"{large['path']} has {large['length']} bytes; unpack it on landing")
+    return zipped_members(files.select("content"), schema, member, skip)
+
+
+def zipped_members(files: DataFrame, schema: str, member: str = r".*\.csv$", skip: int = 0) -> DataFrame:
+    """CSV members of the zip files in a table of `content`, a file a task, streamed line by line; `skip` lines before the header go."""
 
     def rows(batches):
         import csv
@@ -116,7 +125,7 @@ def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = r".*\.
 
     fields = T.StructType.fromDDL(schema)
     names = [f.name for f in fields]
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
+    raw = files.select("content").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
     return raw.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).cast(f.dataType).alias(f.name) for f in fields])
 
 
@@ -301,3 +310,62 @@ def licence_warnings(used: DataFrame, sources: DataFrame) -> DataFrame:
     shut = s.filter(~F.col("redistributable")).select("source_id", F.concat(F.lit("not redistributable: "), F.col("licence")).alias("line"))
     notes = s.select("source_id", F.explode("notes").alias("line")).filter(F.startswith("line", F.lit("WARNING")))
     return shut.union(notes).distinct()
+
+
+#: How a statistic service writes the time of each cycle.
+CYCLES = {"A": r"^\d{4}$", "Q": r"^\d{4}Q[1-4]$", "M": r"^\d{6}$", "SM": r"^\d{6}S[12]$", "D": r"^\d{8}$"}
+
+
+def statistic_json(spark: SparkSession, path: str) -> DataFrame:
+    """(stat, item, unit, cycle, date, value) from documents of StatisticSearch rows, one a line. TIME is read by its cycle and stands for the last day of its
+    period (a half month ends on the 15th or with the month). An error object, or a time of no cycle, is an error."""
+    row = "struct<STAT_CODE:string,ITEM_CODE1:string,UNIT_NAME:string,TIME:string,DATA_VALUE:string>"
+    doc = F.from_json("value", f"struct<StatisticSearch:struct<list_total_count:int,row:array<{row}>>,RESULT:struct<CODE:string,MESSAGE:string>>")
+    pages = spark.read.text(path).select(doc.alias("d"))
+    odd = pages.filter("d is null or d.StatisticSearch.row is null").select(F.coalesce(F.concat_ws(" ", "d.RESULT.CODE", "d.RESULT.MESSAGE"), F.lit("")).alias("m")).first()
+    if odd is not None:
+        raise ValueError(f"a document has no rows: {odd['m']}")
+    r = pages.select(F.explode("d.StatisticSearch.row").alias("r")).select("r.*")
+    t, cycle = F.col("TIME"), F.lit(None).cast("string")
+    for name, pattern in CYCLES.items():
+        cycle = F.when(t.rlike(pattern), name).otherwise(cycle)
+    year, month = F.substring(t, 1, 4).cast("int"), F.substring(t, 5, 2)
+    day = (
+        F.when(cycle == "A", F.make_date(year, F.lit(12), F.lit(31))).when(cycle == "Q", F.last_day(F.make_date(year, F.substring(t, 6, 1).cast("int") * 3, F.lit(1))))
+        .when(cycle == "M", F.last_day(F.make_date(year, month.cast("int"), F.lit(1))))
+        .when(cycle == "SM", F.when(F.endswith(t, F.lit("1")), F.make_date(year, month.cast("int"), F.lit(15))).otherwise(F.last_day(F.make_date(year, month.cast("int"), F.lit(1)))))
+        .when(cycle == "D", F.make_date(year, month.cast("int"), F.substring(t, 7, 2).cast("int"))).otherwise(F.raise_error(F.concat(F.lit("no such time: "), t)).cast("date"))
+    )
+    return r.select(F.col("STAT_CODE").alias("stat"), F.col("ITEM_CODE1").alias("item"), F.col("UNIT_NAME").alias("unit"), cycle.alias("cycle"), day.alias("date"), to_number(F.col("DATA_VALUE")).alias("value"))
+
+
+def survey_wide(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a year and twelve months a line below a header found by its first cell, `Year`, wherever it is: long form; the columns after the
+    twelfth month and blanks go. Partition folders become columns. Lines are told apart from the header by their own first cell."""
+    raw = spark.read.text(path)
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    lines = raw.select(*[c for c in raw.columns if c != "value"], cells.alias("c"), F.col("_metadata.file_path").alias("file"))
+    heads = lines.filter(F.col("c")[0] == "Year").groupBy("file").agg(F.first("c").alias("head"))
+    without = lines.select("file").distinct().join(heads, "file", "left_anti").first()
+    if without is not None:
+        raise ValueError(f"no line of {without['file']} begins with Year")
+    rows = lines.filter(F.col("c")[0].rlike(r"^\d{4}$")).join(heads, "file")
+    keys = [c for c in raw.columns if c != "value"]
+    months = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(i.alias("month"), F.get(F.col("c"), F.array_position(F.transform("head", lambda h: F.lower(F.substring(h, 1, 3))), F.get(F.array(*map(F.lit, MONTHS)), i - 1)).cast("int") - 1).alias("v")))
+    long = rows.select(*keys, F.col("c")[0].cast("int").alias("year"), F.explode(months).alias("m"))
+    return long.select(*keys, F.make_date("year", F.col("m.month"), F.lit(1)).alias("date"), to_number(F.col("m.v")).alias("value")).filter("value is not null")
+
+
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def power_table(df: DataFrame, names: list[str], winter: str, summer: str, total: str, tolerance: float) -> DataFrame:
+    """A table whose columns are named by their place, with `winter_peak` (winter is the larger part) and the total in TWh. The parts
+    must add up to the total within the tolerance."""
+    if len(df.columns) != len(names):
+        raise ValueError(f"{len(df.columns)} columns, not {len(names)}")
+    t = df.toDF(*names)
+    gap = t.agg(F.max(F.abs(F.col(winter) + F.col(summer) - F.col(total)))).first()[0]
+    if gap is not None and gap > tolerance:
+        raise ValueError(f"parts are {gap} away from their total")
+    return t.withColumns({"winter_peak": F.col(winter) > F.col(summer), f"{total}_twh": F.col(total) / 1e6})
