@@ -114,9 +114,12 @@ def log_rank(spark, sf_dir):
     return l.select("observed", r("expected", 4).alias("expected"), r("information", 4).alias("information"), r("z").alias("z"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SURV}, v AS (SELECT d0, d1, r0, r1 FROM k WHERE d0 + d1 > 0), steps AS (SELECT 0 AS i, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS se
+ UNION ALL SELECT i + 1, beta + sum(d1 - (d0 + d1) * p) / sum((d0 + d1) * p * (1 - p)), 1 / sqrt(sum((d0 + d1) * p * (1 - p))) FROM (SELECT i, beta, d0, d1, r1 * exp(beta) / (r0 + r1 * exp(beta)) AS p FROM steps, v WHERE i < 15) GROUP BY i, beta)
+SELECT round(arg_max(beta, i), 6) AS beta, round(arg_max(se, i), 6) AS se FROM steps""")
 def cox_two_arm(spark, sf_dir):
-    return spark.createDataFrame([M.cox_two_arm(_survival(spark, sf_dir), "t", "e", "arm")], "beta double, se double")
+    fit = spark.createDataFrame([M.cox_two_arm(_survival(spark, sf_dir), "t", "e", "arm")], "beta double, se double")
+    return fit.select(r("beta").alias("beta"), r("se").alias("se"))
 
 
 _ANC = "l AS (SELECT (l_returnflag = 'R')::INT AS g, l_extendedprice AS y, l_quantity AS x FROM lineitem), s AS (SELECT g, avg(y) AS my, avg(x) AS mx, avg(y / x) AS mr, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM l GROUP BY 1)"
@@ -185,15 +188,21 @@ def prediction_multiplicity(spark, sf_dir):
     return M.multiplicity(m, "id", "m", "c").select("a", "b", r("disagree").alias("disagree"))
 
 
-@query()
+@query("""WITH s AS (SELECT o_orderpriority AS search, count(DISTINCT o_custkey) % 40 + 1 AS models, count(*) % 90 + 10 AS rows FROM orders GROUP BY 1), j AS (SELECT search, models, rows, unnest(range(rows)) AS j FROM s),
+c AS (SELECT *, sum(exp(lgamma(rows + 1) - lgamma(j + 1) - lgamma(rows - j + 1) - rows * ln(2))) OVER (PARTITION BY search ORDER BY j) AS cdf FROM j)
+SELECT search, models, rows, round(sum(1 - least(1, cdf) ** models) / rows, 6) AS expected FROM c GROUP BY 1, 2, 3""")
 def multiple_search_benchmark(spark, sf_dir):
     s = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("search")).agg((F.countDistinct("o_custkey") % 40 + 1).alias("models"), (F.count("*") % 90 + 10).alias("rows"))
-    return M.expected_best_table(s, "search", "models", "rows")
+    return M.expected_best_table(s, "search", "models", "rows").withColumn("expected", r("expected"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT o_custkey AS k, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS t, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), a AS (SELECT k, list(v) AS vs, list((top - t) / 252.0::DOUBLE) AS ys, sum(v) * 1.3 AS final FROM (SELECT *, max(t) OVER (PARTITION BY k) AS top FROM f) GROUP BY 1),
+s AS (SELECT 0 AS i, k, -0.999::DOUBLE AS lo, 100.0::DOUBLE AS hi FROM a UNION ALL SELECT i + 1, k, CASE WHEN gap < 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN gap < 0 THEN hi ELSE (lo + hi) / 2 END
+ FROM (SELECT i, k, lo, hi, list_sum(list_transform(list_zip(vs, ys), lambda z: z[1] * (1 + (lo + hi) / 2) ** z[2])) - final AS gap FROM s JOIN a USING (k) WHERE i < 45)),
+e AS (SELECT k, (list_sum(list_transform(list_zip(vs, ys), lambda z: z[1] * 0.001::DOUBLE ** z[2])) - final) * (list_sum(list_transform(list_zip(vs, ys), lambda z: z[1] * 101.0::DOUBLE ** z[2])) - final) > 0 AS none_ FROM a)
+SELECT k, CASE WHEN NOT none_ THEN round((lo + hi) / 2, 6) END AS rate FROM s JOIN e USING (k) WHERE i = 45""")
 def money_weighted_return(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     f = o.groupBy(F.col("o_custkey").alias("k"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("t")).agg(F.sum("o_totalprice").alias("v"))
     total = f.groupBy("k").agg((F.sum("v") * 1.3).alias("final"))
-    return M.money_weighted(f.join(total, "k"), "k", "t", "v", "final")
+    return M.money_weighted(f.join(total, "k"), "k", "t", "v", "final").withColumn("rate", r("rate"))

@@ -84,10 +84,14 @@ def leverage_and_cook(spark, sf_dir):
     return v.select("g", "id", r(F.col("h") * 1e6, 4).alias("h"), r("residual", 3).alias("residual"), r(F.col("cook") * 1e6, 3).alias("cook"), "flagged")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, d AS (SELECT ln(p / (1 - p)) AS x, y FROM scored), steps AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS sa, 0.0::DOUBLE AS sb
+ UNION ALL SELECT i + 1, a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det, sqrt(hbb / det), sqrt(haa / det) FROM (SELECT *, haa * hbb - hab * hab AS det FROM (SELECT i, a, b, sum(y - q) AS ga, sum((y - q) * x) AS gb, sum(q * (1 - q)) AS haa, sum(q * (1 - q) * x) AS hab, sum(q * (1 - q) * x * x) AS hbb
+  FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-a - b * x)) AS q FROM steps, d WHERE i < 25) GROUP BY i, a, b)))
+SELECT unnest(['(intercept)', 'x']) AS term, round(unnest([a, b]), 5) AS beta, round(unnest([sa, sb]), 5) AS se FROM steps WHERE i = 25""")
 def irls_logistic(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("x", F.log(F.col("p") / (1 - F.col("p"))))
-    return spark.createDataFrame(L.irls(s, ["x"], "y"), "term string, beta double, se double")
+    fit = spark.createDataFrame(L.irls(s, ["x"], "y"), "term string, beta double, se double")
+    return fit.select("term", r("beta", 5).alias("beta"), r("se", 5).alias("se"))
 
 
 @query(f"""WITH o AS (SELECT o_orderstatus, o_orderpriority, (o_orderstatus = 'F' OR o_totalprice > 250000)::INT AS y FROM orders), c AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS level, y FROM o UNION ALL SELECT 'o_orderpriority', o_orderpriority, y FROM o)

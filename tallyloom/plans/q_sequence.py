@@ -125,9 +125,19 @@ def pit_uniformity(spark, sf_dir):
     return Q.uniformity(u, "series", "u").select("series", r("ks").alias("ks"), "n")
 
 
-@query()
+_GRID = "g AS (SELECT a, b, f, row_number() OVER (ORDER BY b, a, f) AS gi FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) t(a), (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)) u(b), (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (0.98::DOUBLE)) v(f))"
+
+
+@query(f"""WITH RECURSIVE {MONTHLY}, y AS (SELECT series, value AS y, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS i FROM monthly), {_GRID},
+s AS (SELECT p.series, gi, a, b, f, 0 AS i, p.y AS level, q.y - p.y AS trend, 0.0::DOUBLE AS sse, []::DOUBLE[] AS errors FROM y p JOIN y q ON p.series = q.series AND p.i = 0 AND q.i = 1, g
+ UNION ALL SELECT s.series, gi, a, b, f, s.i + 1, level + f * trend + a * (y - level - f * trend), f * trend + a * b * (y - level - f * trend), sse + (y - level - f * trend) ** 2, list_append(errors, y - level - f * trend) FROM s JOIN y ON y.series = s.series AND y.i = s.i + 1),
+e AS (SELECT * FROM s QUALIFY i = max(i) OVER (PARTITION BY series) AND row_number() OVER (PARTITION BY series ORDER BY i DESC, sse, gi) = 1),
+h AS (SELECT series, step, level + trend * list_sum(list_transform(range(1, step + 2), lambda j: f ** j)) AS point,
+ [list_aggregate(errors, 'quantile_cont', 0.1), list_aggregate(errors, 'quantile_cont', 0.5), list_aggregate(errors, 'quantile_cont', 0.9)] AS qs FROM e, range(6) t(step))
+SELECT series, step::INT AS step, round(point, 1) AS forecast, lv AS level, round(point + qs[j] * sqrt(step + 1), 1) AS quantile, false AS fallback FROM h, (VALUES (0.1::DOUBLE, 1), (0.5::DOUBLE, 2), (0.9::DOUBLE, 3)) l(lv, j)""")
 def exponential_smoothing_forecast(spark, sf_dir):
-    return Q.holt(monthly(spark, sf_dir), "series", "date", "value", 6, [0.1, 0.5, 0.9])
+    h = Q.holt(monthly(spark, sf_dir), "series", "date", "value", 6, [0.1, 0.5, 0.9])
+    return h.withColumns({"forecast": r("forecast", 1), "quantile": r("quantile", 1)})
 
 
 @query()

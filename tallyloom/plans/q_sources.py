@@ -230,11 +230,12 @@ def csv_sink_report(spark, sf_dir):
     return spark.createDataFrame([(done["rows"], done["first"], done["last"])], "rows long, first date, last date")
 
 
-@query()
+@query("SELECT sha256(t) AS sha256, strlen(t)::BIGINT AS n_bytes FROM (SELECT string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS t FROM nation GROUP BY n_regionkey)")
 def payload_manifest(spark, sf_dir):
     path = fresh_dir(spark, "payloads")
-    table(spark, sf_dir, "nation").write.partitionBy("n_regionkey").csv(path)
-    return S.manifest(spark, f"{path}/*/*.csv").drop("modified")
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey")
+    n.write.partitionBy("n_regionkey").csv(path)
+    return S.manifest(spark, f"{path}/*/*.csv").select("sha256", "n_bytes")  # names of files are new each time
 
 
 def _sources(spark, sf_dir):
