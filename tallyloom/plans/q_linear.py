@@ -72,9 +72,11 @@ def complete_case_correlation(spark, sf_dir):
     return L.complete_case_correlation(_holes(spark, sf_dir), "g", ["q", "e", "t"]).select("g", "a", "b", r("r").alias("r"), "n")
 
 
-@query()
+@query(f"""WITH {_L}, {_HOLES}, c AS (SELECT g, corr(q, e) AS a, corr(q, t) AS b, corr(e, t) AS c FROM h GROUP BY 1), p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c),
+v AS (SELECT g, 1 + 2 * p * cos(acos(greatest(-1, least(1, a * b * c / p ** 3))) / 3 + 2 * pi() / 3) AS least FROM p) SELECT g, round(least, 6) AS least, least >= -1e-10 AS is_psd, 0.0::DOUBLE AS change FROM v WHERE least >= 0""")
 def psd_repair(spark, sf_dir):
-    return L.psd_repair(_holes(spark, sf_dir), "g", ["q", "e", "t"])
+    p = L.psd_repair(_holes(spark, sf_dir), "g", ["q", "e", "t"])
+    return p.select("g", r("least").alias("least"), "is_psd", (r("change") + 0.0).alias("change"))
 
 
 @query(f"""WITH {_L}, s AS (SELECT g, count(*) AS n, avg(q) AS mx, avg(e) AS my, regr_sxx(e, q) AS sxx, regr_sxy(e, q) AS sxy, regr_syy(e, q) AS syy FROM l GROUP BY 1), h AS (SELECT g, id, n, 1 / n + (q - mx) ** 2 / sxx AS h, e - my - sxy / sxx * (q - mx) AS u, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM l JOIN s USING (g))

@@ -51,3 +51,29 @@ def test_hash_numbers_follow_from_keys(spark):
     a = s.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg("z"), F.stddev("z"), F.avg("s")).first()
     assert abs(a[0] - 0.5) < 0.01 and 0 <= a[1] and a[2] < 1 and abs(a[3]) < 0.03 and abs(a[4] - 1) < 0.03 and abs(a[5] - 0.5) < 0.01
     assert s.repartition(9).agg(F.sum("u")).first()[0] == pytest.approx(s.agg(F.sum("u")).first()[0])
+
+
+def test_ranks_and_sums_within_groups_of_any_size(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]) if i % 3 else "a", rng.random(), i % 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, v long").repartition(7)
+    got = ranks.ranked_by(df, ["g"], ["x"], {"upto": "v"}).collect()
+    assert len(got) == len(rows)
+    for g in ("a", "b", None):
+        own = sorted((x, v) for k, x, v in rows if k == g)
+        want, total = {}, 0
+        for i, (x, v) in enumerate(own, 1):
+            total += v
+            want[x] = (i, total)
+        assert {r["x"]: (r["rank"], r["upto"]) for r in got if r["g"] == g} == want
+    assert ranks.ranked_by(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_last_values_are_carried_over_partitions(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(100) if rng.random() < 0.02 else None) for i in range(2000)]
+    got = {(r["g"], r["t"]): r["seen"] for r in ranks.last_seen(spark.createDataFrame(rows, "g string, t long, v long").repartition(5), ["g"], ["t"], "v", "seen").collect()}
+    last = {}
+    for g, t, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        assert got[g, t] == last[g]
