@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.hashing import md5_normal_pair, md5_share
 from tallyloom.functions.storage import written
 from tallyloom.operators.linear import _scaled, _solved, centred_gram
-from tallyloom.operators.resample import key, with_replicates
+from tallyloom.operators.resample import key, poisson, with_replicates
 from tallyloom.operators.validation import isotonic
 
 _SUMS = ("n", "sx", "sy", "sxx", "sxy", "syy")
@@ -232,3 +232,33 @@ def feature_importances(df: DataFrame, by: str, xs: list[str], y: str) -> DataFr
         return [(x, full - fit([j for j in range(p) if j != i]), float(2 * beta[i] ** 2), float(r[i, p] ** 2)) for i, x in enumerate(xs)]
 
     return _solved(centred_gram(df, by, [*xs, y]), by, p + 1, "term string, drop double, permuted double, squared_r double", solve)
+
+
+def component_stability(df: DataFrame, row_id: str, a: str, b: str, reps: int, seed: str) -> DataFrame:
+    """(rep, first, second, angle) of the covariance matrix of two columns under Poisson weights of the rows: its eigenvalues and the angle, in degrees, of its first
+    component to that of all rows. A replicate is one row of weighted sums about the means."""
+    m = df.agg(F.avg(a), F.avg(b), F.var_pop(a), F.covar_pop(a, b), F.var_pop(b)).first()
+    whole = 0.5 * np.arctan2(2 * m[3], m[2] - m[4])
+    d = with_replicates(df.select(row_id, (F.col(a) - m[0]).alias("_a"), (F.col(b) - m[1]).alias("_b")), reps).withColumn("w", poisson(md5_share(key(seed, "rep", row_id))))
+    w, x, y = F.col("w"), F.col("_a"), F.col("_b")
+    g = d.groupBy("rep").agg(*[F.sum(c).alias(n) for n, c in (("n", w), ("x", w * x), ("y", w * y), ("xx", w * x * x), ("xy", w * x * y), ("yy", w * y * y))])
+    cov = lambda p, q, r: F.col(p) / F.col("n") - F.col(q) * F.col(r) / (F.col("n") * F.col("n"))
+    g = g.select("rep", cov("xx", "x", "x").alias("p"), cov("xy", "x", "y").alias("q"), cov("yy", "y", "y").alias("r"))
+    half, mean = F.sqrt(F.pow((F.col("p") - F.col("r")) / 2, F.lit(2)) + F.col("q") * F.col("q")), (F.col("p") + F.col("r")) / 2
+    turn = F.abs(0.5 * F.atan2(2 * F.col("q"), F.col("p") - F.col("r")) - float(whole))
+    return g.select("rep", (mean + half).alias("first"), (mean - half).alias("second"), F.degrees(F.least(turn, float(np.pi) - turn)).alias("angle"))
+
+
+def stump_bootstrap(df: DataFrame, row_id: str, features: list[str], y: str, reps: int, seed: str) -> DataFrame:
+    """(rep, feature, split, gain, root) of 0/1 labels under Poisson weights of the rows: each feature's split (values up to it go left) of largest fall in Gini impurity, the smallest of
+    equals, and whether it is the replicate's best (the first feature by name of equals). Values are counted by replicate first, so round them."""
+    d = with_replicates(df.select(row_id, *features, F.col(y).cast("double").alias("y")), reps).withColumn("w", poisson(md5_share(key(seed, "rep", row_id))).cast("double"))
+    long = d.filter("w > 0").select("rep", "w", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("f"))
+    g = long.groupBy("rep", "f.feature", "f.v").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    every = Window.partitionBy("rep", "feature")
+    upto = every.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct values
+    g = g.select("rep", "feature", "v", F.sum("n").over(upto).alias("ln"), F.sum("s").over(upto).alias("ls"), F.sum("n").over(every).alias("n"), F.sum("s").over(every).alias("s")).filter("ln < n")
+    impurity = lambda s, n: 2 * s * (n - s) / n
+    gain = (impurity(F.col("s"), F.col("n")) - impurity(F.col("ls"), F.col("ln")) - impurity(F.col("s") - F.col("ls"), F.col("n") - F.col("ln"))) / F.col("n")
+    best = g.withColumn("gain", F.round(gain, 9)).groupBy("rep", "feature").agg(F.max(F.struct("gain", (-F.col("v")).alias("v"))).alias("b")).select("rep", "feature", (-F.col("b.v")).alias("split"), F.col("b.gain").alias("gain"))
+    return best.withColumn("root", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("gain"), "feature")) == 1)

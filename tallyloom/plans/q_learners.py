@@ -9,7 +9,7 @@ from tallyloom.operators import learners as K
 from tallyloom.operators import resample as R
 
 from .base import SCORED, r, scored, table
-from .q_resample import _u
+from .q_resample import _poisson, _u
 from .registry import query
 
 _MONTHS = "o AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS t, (o_custkey % 100)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)"
@@ -121,3 +121,24 @@ SELECT g, unnest(['l_quantity', 'l_discount']) AS term, round(unnest([a * ba + b
 def feature_importances(spark, sf_dir):
     i = K.feature_importances(table(spark, sf_dir, "lineitem").withColumn("g", F.col("l_returnflag")), "g", ["l_quantity", "l_discount"], "l_extendedprice")
     return i.select("g", "term", (r("drop") + 0.0).alias("drop"), r("permuted").alias("permuted"), r("squared_r").alias("squared_r"))
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, p_retailprice / 20 AS b FROM part), t AS (SELECT 0.5 * atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) AS whole, avg(a) AS ma, avg(b) AS mb FROM d),
+u AS (SELECT rep::INT AS rep, a - ma AS a, b - mb AS b, whole, {_u("'turn:' || rep || ':' || id")} AS u FROM d, t, range(20) v(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
+g AS (SELECT rep, any_value(whole) AS whole, sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2 AS p, sum(w * a * b) / sum(w) - sum(w * a) * sum(w * b) / sum(w) ** 2 AS q, sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) ** 2 AS r FROM w GROUP BY 1),
+e AS (SELECT rep, (p + r) / 2 AS m, sqrt(((p - r) / 2) ** 2 + q * q) AS h, abs(0.5 * atan2(2 * q, p - r) - whole) AS turn FROM g)
+SELECT rep, round(m + h, 5) AS first, round(m - h, 5) AS second, round(degrees(least(turn, pi() - turn)), 5) AS angle FROM e""")
+def component_stability(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 20).alias("b"))
+    return K.component_stability(p, "id", "a", "b", 20, "turn").select("rep", *[r(c, 5).alias(c) for c in ("first", "second", "angle")])
+
+
+@query(f"""WITH {SCORED}, d AS (SELECT id, round(p, 2) AS a, id % 17 AS b, y FROM scored), u AS (SELECT rep::INT AS rep, a, b, y, {_u("'stump:' || rep || ':' || id")} AS u FROM d, range(20) t(rep)), w AS (SELECT *, {_poisson('u')} AS w FROM u),
+l AS (SELECT rep, 'a' AS feature, a AS v, w, y FROM w WHERE w > 0 UNION ALL SELECT rep, 'b', b, w, y FROM w WHERE w > 0), g AS (SELECT rep, feature, v, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS s FROM l GROUP BY 1, 2, 3),
+c AS (SELECT rep, feature, v, sum(n) OVER o AS ln, sum(s) OVER o AS ls, sum(n) OVER (PARTITION BY rep, feature) AS n, sum(s) OVER (PARTITION BY rep, feature) AS s FROM g WINDOW o AS (PARTITION BY rep, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT rep, feature, v, round((2 * s * (n - s) / n - 2 * ls * (ln - ls) / ln - 2 * (s - ls) * (n - ln - s + ls) / (n - ln)) / n, 9) AS gain FROM c WHERE ln < n),
+b AS (SELECT rep, feature, v::DOUBLE AS split, gain FROM k QUALIFY row_number() OVER (PARTITION BY rep, feature ORDER BY gain DESC, v) = 1)
+SELECT rep, feature, split, round(gain, 6) AS gain, row_number() OVER (PARTITION BY rep ORDER BY gain DESC, feature) = 1 AS root FROM b""")
+def stump_bootstrap(spark, sf_dir):
+    s = scored(spark, sf_dir).select("id", F.round("p", 2).alias("a"), (F.col("id") % 17).alias("b"), "y")
+    return K.stump_bootstrap(s, "id", ["a", "b"], "y", 20, "stump").select("rep", "feature", "split", r("gain").alias("gain"), "root")
