@@ -417,6 +417,42 @@ def test_every_license_of_a_text_is_found_and_none_is_taken_for_another(spark):
     assert got[3]["matches"] == [] and got[5]["n_matched"] == 42
 
 
+def plain_patience(a, b):
+    """Patience alignment of whole sequences as it is told: equal ends, the longest rising run of words unique to both (by trying all ends), then the gaps."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + plain_patience(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + plain_patience(a[:-1], b[:-1])
+    ca, cb = Counter(a), Counter(b)
+    pairs = [(i, b.index(w)) for i, w in enumerate(a) if ca[w] == cb[w] == 1]
+    if not pairs:
+        return 0
+    runs = []
+    for i, j in pairs:
+        runs.append(max((r for r in runs if r[-1][1] < j), key=len, default=[]) + [(i, j)])
+    best, total, last = max(runs, key=len), 0, (-1, -1)
+    for i, j in [*best, (len(a), len(b))]:
+        total += plain_patience(a[last[0] + 1 : i], b[last[1] + 1 : j]) + (i < len(a))
+        last = (i, j)
+    return total
+
+
+def test_stretches_match_what_the_whole_text_aligns():
+    rng = random.Random(12)
+    known = {name: decontaminate.words_of(t) for name, t in licenses.TEMPLATES.items()}
+    for name, template in known.items():
+        for _ in range(6):
+            loose = [i for i, w in enumerate(template) if not licenses.telling(w)]
+            lost = set(rng.sample(loose, min(len(loose), len(template) // 10))) if len(template) > licenses.SHORT else set()
+            kept = [w for i, w in enumerate(template) if i not in lost]
+            filler = lambda n: [f"q{rng.randrange(1000)}".encode() for _ in range(n)]
+            words = filler(rng.randrange(40)) + kept + filler(rng.randrange(40))
+            found = {m[0]: m for m in licenses.matches(words, [(name, template)], 0.8)}
+            assert found[name][1] == plain_patience(words, template) == len(kept), (name, lost)
+
+
 def test_twin_notices_are_found_at_any_place():
     known = [(n, alnum_words(t)) for n, t in sorted(licenses.TEMPLATES.items())]
     known = [(n, [w.encode() for w in t]) for n, t in known]
@@ -614,6 +650,59 @@ def test_null_ids_before_a_document_cost_it_no_links(spark):
 # classifier
 
 
+def test_classifier_scores_are_those_of_its_network_and_rank_held_out_labels(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = by_id(classifier.score(docs, labels))
+    assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for i, r in got.items())
+    # the scores again, from all texts at once in one process
+    s, rows = classifier.Settings(), sorted(docs.select("doc_id", "text").collect())
+    column = pa.array([r["text"] for r in rows], pa.string())
+    vectors = classifier.weighted(classifier.word_vectors(docs, s), s)
+    x = {r["doc_id"]: v for r, v in zip(rows, classifier.pooled(column, vectors, s))}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    used = sorted(i for i in known if i in x and not got[i]["held_out"])
+    net = classifier.fit(np.array([x[i] for i in used]), np.array([known[i] for i in used]), s)
+    assert np.allclose([got[r["doc_id"]]["score"] for r in rows], net.probability(np.array([x[r["doc_id"]] for r in rows])), atol=1e-6)
+    held = [(got[i]["score"], y) for i, y in known.items() if i in got and got[i]["held_out"]]
+    wins = [(a > b) + 0.5 * (a == b) for a, y in held for b, z in held if y > z]
+    assert wins and sum(wins) / len(wins) > 0.8
+
+
+def test_classifier_samples_a_repeated_id_once(spark):
+    docs = frame(spark, ["good words here", "zz zz", "other", "good words"], [1, 1, 3, None])
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    assert classifier.score(docs, labels).count() == 4
+
+
+def test_pipeline_stages_of_an_empty_table(spark, tmp_path):
+    docs = frame(spark, ["a"]).limit(0).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_rules_of_null_ids_repeated_rows_and_empty_tables(spark):
+    docs = frame(spark, ["a b c", "a b c", None, "x"], [None, 3, 3, 4])
+    rules = quality_rules.Rules()
+    got = quality_rules.judge(docs, quality_rules.references(docs, rules), rules)
+    assert sorted((str(r["row"]["doc_id"]), r["n_words"], r["kept"]) for r in got.collect()) == [("3", 0, False), ("3", 3, False), ("4", 1, False), ("None", 3, False)]
+    none = docs.limit(0)
+    assert quality_rules.judge(none, quality_rules.references(none, rules), rules).count() == 0
+
+
+def test_licenses_of_null_and_repeated_ids_and_empty_tables(spark):
+    docs = frame(spark, ["Released under the MIT License.", "Released under the MIT License.", None], [None, 3, 3])
+    assert sorted((str(r["doc_id"]), str(r["license"])) for r in licenses.scan(docs).collect()) == [("3", "MIT"), ("3", "None"), ("None", "MIT")]
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_reference_spans_of_an_empty_reference(spark):
+    docs = frame(spark, ["a b", None])
+    got = substring.remove_reference_spans(docs, docs.select("text").limit(0), 20).collect()
+    assert sorted((r["n_words"], r["n_removed"]) for r in got) == [(0, 0), (2, 0)]
+
+
 def test_classifier_learns_and_holds_out(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone", "tree"]) for _ in range(60))
