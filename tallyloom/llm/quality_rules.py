@@ -16,6 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ class Rules:
     and no distance that counts for its length is above its limit.
 
     word_limit holds from word_min_words on. Texts of word_short_words to word_min_words have a limit that widens with
-    the fourth root of the length they lack; None leaves them to the other rules, as the SQL of op3 does."""
+    the fourth root of the length they lack; None leaves them to the other rules."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -55,7 +56,7 @@ class Rules:
     word_min_words: int = 100
     word_limit: float = 0.42
     reference_min_words: int = 1000
-    word_short_words: int | None = None
+    word_short_words: int | None = 50
 
     @property
     def word_from(self) -> int:
@@ -71,6 +72,10 @@ def _histograms(words: text.Words) -> np.ndarray:
     return np.stack([text.sums(kind == c, words.off) for c in range(len(CLASSES))], axis=1)
 
 
+#: Words of all languages that a task counts before it sends its sums on, about 30 MB.
+COUNTED = 200_000
+
+
 def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Per language (null counts as one): n_words, characters by class, and the commonest words (A-Z lower-cased; the smaller
     of equally common ones first) with their counts. Counts cover every text whole; only sums per task are shuffled."""
@@ -91,7 +96,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang",
             for lang, a, b, h in zip(langs, words.off, words.off[1:], _histograms(words)):
                 found.setdefault(lang, Counter()).update(raw[a:b].split())
                 sums[lang] = sums.get(lang, 0) + h
-            if sum(map(len, found.values())) > 500_000:
+            if sum(map(len, found.values())) > COUNTED:
                 yield from rows()
         yield from rows()
         for lang, h in sums.items():
@@ -148,6 +153,10 @@ def _repeated(words: text.Words) -> np.ndarray:
     return text.sums(hit[: len(words.hash)], words.first)
 
 
+#: References of at most so many languages, about 10 MB, are broadcast.
+LANGUAGES = 10_000
+
+
 def judge(docs: DataFrame, reference: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(row, measures...): row is a struct of all the columns of docs, whatever their names.
 
@@ -155,13 +164,15 @@ def judge(docs: DataFrame, reference: DataFrame, rules: Rules = Rules(), lang_co
     Null languages form a language of their own. A language without enough words
     to compare with leaves its documents to the base rules.
     """
-    rows = docs.select(text.whole_row(docs), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("x"))
-    joined = rows.join(reference.withColumnRenamed("n_words", "of_words"), "lang", "left")
+    rows = docs.select(text.whole_row(docs), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    place = docs.columns.index(text_col)
+    few = reference.count() <= LANGUAGES
+    joined = rows.join((F.broadcast(reference) if few else reference).withColumnRenamed("n_words", "of_words"), "lang", "left")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, np.ndarray, dict[bytes, int], np.ndarray]] = {}
-        for part in text.slices(batches, "x"):
-            words, langs = text.Words(part.column("x")), part.column("lang").to_pylist()
+        for part in text.slices(batches, "row", field=place):
+            words, langs = text.Words(pc.struct_field(part.column("row"), place)), part.column("lang").to_pylist()
             classes, repeated = _histograms(words), _repeated(words)
             characters = (CLASS[words.buf] >= 0) & text.SPACED[words.buf]
             inside = text.sums(characters, words.off)

@@ -127,7 +127,7 @@ word_js AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2
 v AS (SELECT m.*, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed,
   coalesce(of_words, 0) >= {_RULES.reference_min_words} AND (
    coalesce(class_js.size >= {_RULES.class_min_chars} AND class_js.js > {_RULES.class_limit}, false)
-   OR coalesce(n_words >= {_RULES.word_min_words} AND word_js.js > {_RULES.word_limit}, false)) AS far
+   OR coalesce(n_words >= {_RULES.word_from} AND word_js.js > {_RULES.word_limit} * greatest(1, {_RULES.word_min_words} / greatest(1, n_words)) ** 0.25, false)) AS far
   FROM m LEFT JOIN total USING (lang) LEFT JOIN class_js USING (doc_id) LEFT JOIN word_js USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
 """
