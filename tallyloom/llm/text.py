@@ -105,12 +105,13 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a slice holds about limit bytes of the column, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a slice holds about limit bytes of the column, or of a field of it, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        texts = batch.column(column) if field is None else pc.struct_field(batch.column(column), field)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size, dtype=np.int64) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
