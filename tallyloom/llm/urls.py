@@ -51,7 +51,7 @@ def normal(url: Column) -> Column:
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """The absolute URL of a link on a page of that (normal) URL; null if the link leads nowhere else."""
+    """The absolute URL, not yet a normal one, of a link on a page of that (normal) URL; null if the link leads nowhere else."""
     site = F.regexp_extract(base, r"^([^/?#:]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([^/?#:]*:)//", 1)
     path = F.regexp_extract(base, r"^[^/?#:]*://[^/?#]*([^?#]*)", 1)
@@ -65,13 +65,12 @@ def resolve(base: Column, link: Column) -> Column:
     taken = F.aggregate(
         back, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
     )
-    found = (
+    return (
         F.when(F.length(clean) == 0, None).when(F.length(site) == 0, F.when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), clean))
         .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), clean).when(F.startswith(clean, F.lit("//")), F.concat(scheme, clean))
         .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(F.startswith(clean, F.lit("?")), F.concat(site, path, clean))
         .otherwise(F.concat(site, F.lit("/"), F.array_join(taken, "/"), query))
     )
-    return normal(found)
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -80,9 +79,11 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tags = lambda name: F.regexp_extract_all(html_col, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
     links = F.filter(tags("link"), lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"))
     metas = F.filter(tags("meta"), lambda tag: F.lower(_attribute(tag, "http-equiv")) == "refresh")
-    target = F.regexp_extract(_attribute(F.get(metas, F.lit(0)), "content"), r"""(?is)[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
-    found = pages.select(normal(F.col(url_col)).alias("u"), F.explode(F.array(_attribute(F.get(links, F.lit(0)), "href"), F.trim(target))).alias("link"))
-    return found.filter(F.length("link") > 0).select("u", resolve(F.col("u"), F.col("link")).alias("v")).filter("u is not null and v is not null")
+    tagged = pages.select(normal(F.col(url_col)).alias("u"), F.get(links, F.lit(0)).alias("link_tag"), F.get(metas, F.lit(0)).alias("meta_tag")).filter("u is not null and (link_tag is not null or meta_tag is not null)")
+    named = tagged.select("u", _attribute(F.col("link_tag"), "href").alias("href"), _attribute(F.col("meta_tag"), "content").alias("content"))
+    target = F.regexp_extract("content", r"""(?is)[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
+    found = named.select("u", F.explode(F.array("href", F.trim(target))).alias("link")).filter(F.length("link") > 0)
+    return found.select("u", resolve(F.col("u"), F.col("link")).alias("v")).select("u", normal(F.col("v")).alias("v")).filter("v is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
