@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_normal_pair, md5_share
+from tallyloom.functions.special import normal_cdf
 from tallyloom.functions.storage import written
 from tallyloom.operators.linear import _scaled, _solved, centred_gram
 from tallyloom.operators.resample import key, poisson, with_replicates
@@ -262,3 +263,22 @@ def stump_bootstrap(df: DataFrame, row_id: str, features: list[str], y: str, rep
     gain = (impurity(F.col("s"), F.col("n")) - impurity(F.col("ls"), F.col("ln")) - impurity(F.col("s") - F.col("ls"), F.col("n") - F.col("ln"))) / F.col("n")
     best = g.withColumn("gain", F.round(gain, 9)).groupBy("rep", "feature").agg(F.max(F.struct("gain", (-F.col("v")).alias("v"))).alias("b")).select("rep", "feature", (-F.col("b.v")).alias("split"), F.col("b.gain").alias("gain"))
     return best.withColumn("root", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("gain"), "feature")) == 1)
+
+
+def collateral_stress(df: DataFrame, keys: list[str], junior: str, senior: str, recovery: str, sigma: float, drift: float, term: float) -> DataFrame:
+    """keys with attachment (collateral over today's value that just covers both claims), required_fall, breach (the chance of less than that) and loss_per_year, all but the first in percent, under
+    a lognormal value: what the junior claim loses is what both claims together lose less what the senior one alone does, each the price of a put on the recovered collateral."""
+    s, mean = sigma * float(np.sqrt(term)), (drift - sigma * sigma / 2) * term
+
+    @F.pandas_udf("double")
+    def cdf(z: pd.Series) -> pd.Series:
+        return z.map(normal_cdf, na_action="ignore")
+
+    def short(claim: Column) -> Column:
+        d = (F.log(claim / F.col(recovery)) - mean) / s
+        return F.when(claim > 0, claim * cdf(d) - F.col(recovery) * float(np.exp(drift * term)) * cdf(d - s)).otherwise(0.0)
+
+    at = (F.col(senior) + F.col(junior)) / F.col(recovery)
+    d = df.filter((F.col(junior) > 0) & (F.col(senior) >= 0) & (F.col(recovery) > 0))
+    loss = F.greatest(F.lit(0.0), short(F.col(senior) + F.col(junior)) - short(F.col(senior)))
+    return d.select(*keys, at.alias("attachment"), (100 * (1 - at)).alias("required_fall"), (100 * cdf((F.log(at) - mean) / s)).alias("breach"), (100 * loss / (F.col(junior) * term)).alias("loss_per_year"))

@@ -142,3 +142,21 @@ SELECT rep, feature, split, round(gain, 6) AS gain, row_number() OVER (PARTITION
 def stump_bootstrap(spark, sf_dir):
     s = scored(spark, sf_dir).select("id", F.round("p", 2).alias("a"), (F.col("id") % 17).alias("b"), "y")
     return K.stump_bootstrap(s, "id", ["a", "b"], "y", 20, "stump").select("rep", "feature", "split", r("gain").alias("gain"), "root")
+
+
+def _phi(z: str) -> str:
+    """The normal distribution function by Simpson's rule over 400 steps."""
+    return f"(0.5 + ({z}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(({z}) * i / 400) ** 2 / 2))))".replace("exp(-((", "exp(-1 * ((")
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS cohort, round(o_totalprice / 1000000, 2) AS junior, 0.4::DOUBLE + (o_custkey % 3) / 10.0::DOUBLE AS senior, count(*) AS n FROM orders WHERE round(o_totalprice / 1000000, 2) > 0 GROUP BY 1, 2, 3),
+d AS (SELECT *, (senior + junior) / 0.9::DOUBLE AS k, senior / 0.9::DOUBLE AS l, 0.2::DOUBLE * sqrt(2.0::DOUBLE) AS s, (0.01::DOUBLE - 0.02::DOUBLE) * 2 AS m FROM o), z AS (SELECT *, (ln(k) - m) / s AS zk, (ln(l) - m) / s AS zl FROM d),
+p AS (SELECT *, {_phi('zk')} AS pk, {_phi('zk - s')} AS qk, {_phi('zl')} AS pl, {_phi('zl - s')} AS ql FROM z),
+e AS (SELECT *, greatest(0, (senior + junior) * pk - 0.9 * exp(0.02::DOUBLE) * qk - senior * pl + 0.9 * exp(0.02::DOUBLE) * ql) AS loss FROM p)
+SELECT cohort, sum(n)::BIGINT AS loans, round(sum(n * junior * k) / sum(n * junior), 5) AS attachment, round(sum(n * junior * 100 * (1 - k)) / sum(n * junior), 4) AS required_fall, round(sum(n * junior * 100 * pk) / sum(n * junior), 4) AS breach, round(sum(n * 100 * loss / 2) / sum(n * junior), 4) AS loss_per_year FROM e GROUP BY 1""")
+def collateral_stress(spark, sf_dir):
+    junior, senior = F.round(F.col("o_totalprice") / 1000000, 2), 0.4 + (F.col("o_custkey") % 3) / 10.0
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("cohort"), junior.alias("junior"), senior.alias("senior")).agg(F.count("*").alias("n")).withColumn("recovery", F.lit(0.9))
+    c = K.collateral_stress(o, ["cohort", "junior", "n"], "junior", "senior", "recovery", 0.2, 0.01, 2.0)
+    mean = lambda x, digits: F.round(F.sum(F.col("n") * F.col("junior") * F.col(x)) / F.sum(F.col("n") * F.col("junior")), digits).alias(x)
+    return c.groupBy("cohort").agg(F.sum("n").alias("loans"), mean("attachment", 5), *[mean(x, 4) for x in ("required_fall", "breach", "loss_per_year")])
