@@ -282,3 +282,31 @@ def collateral_stress(df: DataFrame, keys: list[str], junior: str, senior: str,
     d = df.filter((F.col(junior) > 0) & (F.col(senior) >= 0) & (F.col(recovery) > 0))
     loss = F.greatest(F.lit(0.0), short(F.col(senior) + F.col(junior)) - short(F.col(senior)))
     return d.select(*keys, at.alias("attachment"), (100 * (1 - at)).alias("required_fall"), (100 * cdf((F.log(at) - mean) / s)).alias("breach"), (100 * loss / (F.col(junior) * term)).alias("loss_per_year"))
+
+
+def boosting_curve(df: DataFrame, row_id: str, x: str, y: str, bins: int, rounds: int, rate: float, flip: float, share: float, seed: str) -> DataFrame:
+    """(round, train, test): squared error by round of boosted stumps on one feature in [0, 1), cut into equal bins, where a share of the training labels (0 or 1) is flipped by hash. Rows are summed up by
+    bin first, so a round is work on so many bins; of equally good splits the lowest counts."""
+    d = df.select(F.least(F.lit(bins - 1), F.floor(F.col(x) * bins)).cast("int").alias("bin"), F.col(y).cast("double").alias("y"), (md5_share(key(seed, F.lit("part"), row_id)) < share).alias("train"), (md5_share(key(seed, F.lit("flip"), row_id)) < flip).alias("flipped"))
+    d = d.withColumn("y", F.when(F.col("train") & F.col("flipped"), 1 - F.col("y")).otherwise(F.col("y")))
+    per = d.groupBy("bin", "train").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+
+    def boost(rows: pd.DataFrame) -> pd.DataFrame:
+        own = {t: np.zeros((3, bins)) for t in (True, False)}
+        for b, t, *sums in rows[["bin", "train", "n", "s", "q"]].itertuples(index=False):
+            own[t][:, b] = sums
+        (n, s, _), f, out = own[True], np.zeros(bins), []
+        for k in range(rounds + 1):
+            error = {t: float((q - 2 * f * z + m * f * f).sum() / m.sum()) if m.sum() else None for t, (m, z, q) in own.items()}
+            out.append((k, error[True], error[False]))
+            left, size = np.cumsum(s - n * f), np.cumsum(n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.round(np.where((size > 0) & (size < size[-1]), left**2 / size + (left[-1] - left) ** 2 / (size[-1] - size), -1.0), 9)
+            at = int(np.argmax(gain[:-1])) if bins > 1 else 0
+            if bins < 2 or gain[at] < 0:
+                continue
+            f[: at + 1] += rate * left[at] / size[at]
+            f[at + 1 :] += rate * (left[-1] - left[at]) / (size[-1] - size[at])
+        return pd.DataFrame(out, columns=["round", "train", "test"])
+
+    return per.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(boost, "round int, train double, test double")  # two rows a bin

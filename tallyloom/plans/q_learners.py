@@ -160,3 +160,15 @@ def collateral_stress(spark, sf_dir):
     c = K.collateral_stress(o, ["cohort", "junior", "n"], "junior", "senior", "recovery", 0.2, 0.01, 2.0)
     mean = lambda x, digits: F.round(F.sum(F.col("n") * F.col("junior") * F.col(x)) / F.sum(F.col("n") * F.col("junior")), digits).alias(x)
     return c.groupBy("cohort").agg(F.sum("n").alias("loans"), mean("attachment", 5), *[mean(x, 4) for x in ("required_fall", "breach", "loss_per_year")])
+
+
+@query(f"""WITH RECURSIVE {SCORED}, d AS (SELECT least(19, floor(p * 20))::INT AS bin, {_u("'boost:part:' || id")} < 0.6 AS train, CASE WHEN {_u("'boost:part:' || id")} < 0.6 AND {_u("'boost:flip:' || id")} < 0.1 THEN 1 - y ELSE y END AS y FROM scored),
+g AS (SELECT b, t.train, coalesce(count(d.y), 0) AS n, coalesce(sum(d.y), 0)::DOUBLE AS s FROM range(20) k(b) CROSS JOIN (VALUES (true), (false)) t(train) LEFT JOIN d ON d.bin = b AND d.train = t.train GROUP BY 1, 2),
+l AS (SELECT list(n ORDER BY b) FILTER (train) AS n, list(s ORDER BY b) FILTER (train) AS s, list(n ORDER BY b) FILTER (NOT train) AS m, list(s ORDER BY b) FILTER (NOT train) AS z FROM g),
+r AS (SELECT 0 AS k, list_transform(range(20), lambda i: 0.0::DOUBLE) AS f UNION ALL
+ SELECT k + 1, list_transform(range(1, 21), lambda i: f[i] + 0.3::DOUBLE * CASE WHEN i <= at_ THEN lft[at_] / sz[at_] ELSE (lft[20] - lft[at_]) / (sz[20] - sz[at_]) END) FROM (SELECT *, list_position(gain, list_max(gain)) AS at_ FROM (
+  SELECT k, f, lft, sz, list_transform(range(1, 20), lambda j: CASE WHEN sz[j] > 0 AND sz[j] < sz[20] THEN round(lft[j] ** 2 / sz[j] + (lft[20] - lft[j]) ** 2 / (sz[20] - sz[j]), 9) ELSE -1 END) AS gain FROM (
+   SELECT k, f, list_transform(range(1, 21), lambda j: list_sum(list_transform(range(1, j + 1), lambda i: s[i] - n[i] * f[i]))) AS lft, list_transform(range(1, 21), lambda j: list_sum(n[1:j])) AS sz FROM r, l WHERE k < 15))))
+SELECT k AS round, round(list_sum(list_transform(range(1, 21), lambda i: s[i] - 2 * f[i] * s[i] + n[i] * f[i] * f[i])) / list_sum(n), 6) AS train, round(list_sum(list_transform(range(1, 21), lambda i: z[i] - 2 * f[i] * z[i] + m[i] * f[i] * f[i])) / list_sum(m), 6) AS test FROM r, l""")
+def boosting_curve(spark, sf_dir):
+    return K.boosting_curve(scored(spark, sf_dir), "id", "p", "y", 20, 15, 0.3, 0.1, 0.6, "boost").select("round", r("train").alias("train"), r("test").alias("test"))
