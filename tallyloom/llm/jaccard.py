@@ -7,14 +7,17 @@ dealt out into segments by a hash. If m segments are compared whole and x of
 them are also compared but for one deletion, a pair that agrees nowhere
 differs by at least m + x, so m + x = H + 1 finds every link. With u more, a
 link agrees in at least u + 1 segments, so a set of no more than u empty ones
-need not be found by those, which many sets share. How many segments get
-deletions is the choice of least cost for a band: more of them make fewer and
-longer segments, with more signatures but fewer chance agreements.
-
-Documents that share a signature are candidates. Buckets are not expanded into
-pairs: each is tied to the member that shares most with others, candidates are
-verified by their whole sets, and members that are then still in different
-components are compared only if they differ from that member in the same way.
+need not be found by those, which many sets share; and a share more than that
+gives every set a number of signatures (floor) that any link of its shares. How
+many segments get deletions is the choice of least cost for a band: more of them
+make fewer and longer segments, with more signatures but fewer chance agreements.
+
+Documents that share a signature are candidates. What shares fewer signatures
+than its floor is left out, and the rest meets on all signatures of a set but its
+last floor - 1 in one order. Buckets are not expanded into pairs: each is tied
+to the member that shares most with others, candidates are verified by their
+whole sets, and members that are then still in different components are
+compared only if they differ from that member in the same way.
 """
 
 from __future__ import annotations
@@ -271,6 +274,7 @@ def _residual(spokes: DataFrame, t: Fraction) -> DataFrame:
         "strict": n + 1 - F.greatest(F.lit(1), F.ceil((n + 1 + F.floor((F.col("size_v") - F.col("size_u")) * p / q)) / 2)),
         "loose": n + 1 - F.greatest(F.lit(1), F.ceil((n - F.floor((F.col("size_u") + F.col("size_v")) * p / q)) / 2)),
     })
+    spark = spokes.sparkSession
     tokens = scratch.written(of.select("v", "u", "part", "linked", "size_u", "strict", "loose", F.explode("differ").alias("token")), "tokens")
     keys = ["v", "token"]
     counts = tokens.groupBy(*keys, "part").agg(F.count("*").alias("n")).groupBy(*keys)
@@ -279,6 +283,7 @@ def _residual(spokes: DataFrame, t: Fraction) -> DataFrame:
     ranked = tokens.join(counts, keys).withColumn("rank", F.row_number().over(order)).filter(F.col("mixed") & (F.col("rank") <= F.when(F.col("linked"), F.col("strict")).otherwise(F.greatest("strict", "loose"))))
     ranked = scratch.written(ranked.select(*keys, "u", "part", "linked", "size_u", (F.col("part") == F.col("most.part")).alias("main"), (F.col("rank") <= F.col("strict")).alias("strict")), "meeting")
     scratch.dropped(tokens)
+    scratch.released(spark)
     left = ranked.filter("not linked")
     right = ranked.filter("strict").select(*keys, F.col("u").alias("w"), F.col("part").alias("w_part"), F.col("linked").alias("w_linked"), F.col("size_u").alias("w_size"), F.col("main").alias("w_main"))
     # many rows of a token may be of one part; the part with most of them never meets itself
@@ -289,6 +294,8 @@ def _residual(spokes: DataFrame, t: Fraction) -> DataFrame:
     one = spokes.select("v", "u", "size_u", F.col("differ").alias("a"))
     other = spokes.select("v", F.col("u").alias("w"), F.col("size_u").alias("size_w"), F.col("differ").alias("b"))
     apart = F.size("a") + F.size("b") - 2 * F.size(F.array_intersect("a", "b"))
+    pairs = scratch.written(pairs, "rest")
+    scratch.released(spark)
     return pairs.join(one, ["v", "u"]).join(other, ["v", "w"]).filter(_links(F.col("size_u"), F.col("size_w"), apart, t)).select("u", F.col("w").alias("v"))
 
 
@@ -373,16 +380,26 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4
 
 def _linked(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     """docs(k, x) whose ids are different or null -> (doc_id, n_shingles) of all rows, and links (u, v) that tie each group together."""
+    spark = docs.sparkSession
     signed = scratch.written(sign(docs, k, t), "signed")
+    sizes = scratch.written(signed.filter("back = 0").select("doc_id", "n_shingles"), "sizes")
     known = signed.filter("back = 0 and doc_id is not null and words_key is not null").select("doc_id", "words_key")
-    classes = known.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.written(known.groupBy("words_key").agg(F.min("doc_id").alias("rep")), "reps")
     member = scratch.written(known.join(classes, "words_key").select("doc_id", "rep"), "classes")
     floors = scratch.written(signed.join(member.filter("doc_id = rep"), "doc_id").select("doc_id", "back", "floor"), "floors")
-    buckets = _peeled(_buckets(signed, member), floors, member.select("doc_id", F.col("rep").alias("part")))
+    buckets = _buckets(signed, member)
+    scratch.dropped(signed, classes)
+    scratch.released(spark)
+    buckets = _peeled(buckets, floors, member.select("doc_id", F.col("rep").alias("part")))
+    scratch.released(spark)
 
     spoked = _spokes(buckets, floors)
+    scratch.released(spark)
     spokes = scratch.written(spoked.select("u", "v").distinct(), "spokes")
-    measured = scratch.written(_measured(spokes, _sets_of(docs, spokes, k), t), "measured")
+    sets = _sets_of(docs, spokes, k)
+    measured = scratch.written(_measured(spokes, sets, t), "measured")
+    scratch.dropped(sets)
+    scratch.released(spark)
     copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = measured.filter("linked").select("u", "v").union(copies)
     parts = scratch.written(graph.components(links), "parts").select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
@@ -393,5 +410,6 @@ def _linked(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]
     named = spoked.join(alive, ["u", "back"])
     split = named.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("sig")
     open_spokes = scratch.written(named.join(split, "sig").select("u", "v", "part").distinct().join(measured, ["u", "v"]), "open_spokes")
+    scratch.released(spark)
     more = _residual(open_spokes, t)
-    return signed.filter("back = 0").select("doc_id", "n_shingles"), links.union(more)
+    return sizes, links.union(more)

@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose tables are written. It does so once the driver's garbage is collected, which a small driver heap
+    may put off until the disks hold the shuffles of many steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that `written` made and that nothing will read any more."""
     for table in tables:
