@@ -143,7 +143,8 @@ def _spans(starts: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     """docs(k, x) -> (k, places): begin and end of the stretches that are covered by windows that also start earlier in the corpus."""
     prints = _prints(docs, window, k)
-    twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that Spark can split the rows of a hot k-gram in the join
+    twice = scratch.written(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     hits = prints.join(twice, "print").groupBy("k").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("place"))).alias("few"), F.collect_list(F.when(F.col("n") > HOT, F.col("place"))).alias("many"))
     rows = _windows(docs.join(hits, "k"), window, k).repartition("print")
     each = rows.select("print", "k", "start", "late", F.posexplode("hashes").alias("i", "hash")).select("print", "hash", "k", (F.col("start") + F.col("i")).alias("start"), "late")
