@@ -143,7 +143,7 @@ def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(120, 5))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<double>").repartition(4)
-    got = {(r["query"], r["rank"]): r["id"] for r in learning.neighbours(df.filter("id < 6"), df, 3, block=17).collect()}
+    got = {(r["query"], r["rank"]): r["id"] for r in learning.neighbours(df.filter("id < 6"), df, 3, at_once=4).collect()}
     for q in range(6):
         order = [i for i in np.argsort(np.linalg.norm(v - v[q], axis=1)) if i != q][:3]
         assert [got[q, k + 1] for k in range(3)] == order
@@ -219,8 +219,8 @@ def test_streams_hold_every_row_up_to_their_end(spark):
     sf = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{sf}/events.parquet").filter("value is not null")
     rows = lambda name: entry.queries()[name](spark, sf)
-    want = {r["d"]: r["n"] for r in events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).agg(F.count("*").alias("n")).collect()}
+    want = {r["d"]: r["n"] for r in events.groupBy(F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("d")).agg(F.count("*").alias("n")).collect()}
     assert {r["start"]: r["n"] for r in rows("streaming_drift").collect()} == want
     assert rows("streaming_adaptive_conformal").count() == events.count()
-    per_key = [r["n"] for r in events.groupBy("event_type").agg(F.count("*").alias("n")).collect()]
+    per_key = [r["n"] for r in events.groupBy("user_id").agg(F.count("*").alias("n")).collect()]
     assert rows("streaming_ewma").count() == sum(max(0, n - 20) for n in per_key)
