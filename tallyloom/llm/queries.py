@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, records, substring, token_counts, urls
+from . import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, records, spelling, substring, suffix_arrays, token_counts, urls, vector_codes
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_OF_TEXT = 50256
@@ -72,6 +72,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), TREE).select("row.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=400).drop("spans", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings")).drop("label", "n_scanned")
+
+
 _SPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
