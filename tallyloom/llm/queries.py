@@ -212,6 +212,64 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS m FROM runs GROUP BY doc_id, w),
+b AS (SELECT w, m, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+  lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, (ord(c) - 64)::BIGINT] END)) AS bytes FROM d),
+h AS (SELECT w, m, xor(list_reduce(bytes, lambda r, c: xor(t[xor(r, c) % 256 + 1], r >> 8), 4294967295::BIGINT), 4294967295) AS h FROM b, crc),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, m FROM h),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word)))::INT AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON less.rest = words.word UNION SELECT words.word, less.word FROM less JOIN words ON less.rest = words.word),
+top AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words o ON o.word = near.other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1),
+known AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN top USING (word)),
+walk AS (SELECT word, word AS stop, 0 AS step FROM known UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN known ON known.word = walk.stop WHERE form IS NOT NULL),
+root AS (SELECT word, arg_max(stop, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN root USING (word)
+"""
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT k, s, md5(array_slice(b, s, s + 399)) AS g FROM (SELECT k, b, unnest(generate_series(1, octet_length(b) - 399)) AS s FROM d)),
+hit AS (SELECT k, s FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+marked AS (SELECT k, s, coalesce(s > lag(s) OVER (PARTITION BY k ORDER BY s) + 400, true)::INT AS new FROM hit),
+numbered AS (SELECT k, s, sum(new) OVER (PARTITION BY k ORDER BY s) AS run FROM marked),
+gone AS (SELECT k, run, min(s) AS a, max(s) + 400 AS e FROM numbered GROUP BY k, run),
+edges AS (SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY a), 1) AS first, a AS until FROM gone
+  UNION ALL SELECT d.k, coalesce(max(e), 1), any_value(octet_length(b)) + 1 FROM d LEFT JOIN gone ON gone.k = d.k GROUP BY d.k),
+kept AS (SELECT k, string_agg(hex(array_slice(b, first, until - 1)), '' ORDER BY first) AS left_ FROM edges JOIN d USING (k) WHERE first < until GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, (octet_length(b) - length(coalesce(left_, '')) // 2)::BIGINT AS n_removed,
+ (SELECT count(*) FROM gone WHERE gone.k = d.k)::BIGINT AS n_spans, sha256(unhex(coalesce(left_, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (k)
+"""
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every assignment as a scan of all entries, every update as sums by entry and component, one step after another."""
+    near = "arg_min(e, {'d': list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c), 'e': e})"
+    far = "min(list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, v, {near} AS e, {far} AS d FROM v JOIN b{r} USING (p) GROUP BY vec_id, p, v)")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, e, i),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(new, c) AS c FROM b{r} LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS new FROM m{r} GROUP BY p, e) USING (p, e))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p::INT AS p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS v FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::INT AS e, v AS c FROM v QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}),
+{', '.join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), sha
+"""
+
 
 def _mixing_sql() -> str:
     """Budgets of three levels, each filled in order of cap / weight, then the prefix of each leaf's next epoch."""
@@ -252,5 +310,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_contamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_url_verdicts": OP6_SQL,
-        "op8_jaccard_groups": OP8_SQL, "op10_mixture": _mixing_sql(),
+        "op8_jaccard_groups": OP8_SQL, "op10_mixture": _mixing_sql(), "op11_spelling_groups": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_vector_codes": _codes_sql(),
     }
