@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from . import scratch, text
 
-#: Prints of a benchmark of at most so many windows, 16 MB, are broadcast, so that tasks send on only what may be a hit;
-#: those of a larger one meet all fingerprints of the documents in a join.
-BROADCAST_PRINTS = 2_000_000
+#: Bits of the filter that tells tasks which prints a benchmark may have: 16 MB, whatever the size of the benchmark.
+FILTER_BITS = 1 << 27
 
 
 def words_of(value: str | None) -> list[bytes]:
@@ -59,9 +58,25 @@ def windows(items: DataFrame, window: int, k: int, id_col: str = "item_id", text
     return picked.mapInArrow(rows, "item_id long, length long, span string, print long, offset long")
 
 
-def fingerprints(docs: DataFrame, window: int, k: int, short: list[int], known: Broadcast | None) -> DataFrame:
-    """docs(k, x) -> (doc_id, position, print): the k-grams that winnowing keeps, and all grams of the short lengths given;
-    only those that are among the known prints, if they are given, in order."""
+def print_filter(prints: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of two bits a print, set by executors and put together by 64-bit words."""
+    low = F.lit(bits - 1).cast("long")
+    both = prints.select(F.explode(F.array(F.col("print").bitwiseAND(low), F.shiftrightunsigned("print", 32).bitwiseAND(low))).alias("bit"))
+    words = both.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_have(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether a filter may have each of the prints."""
+    h, low, six = prints.view(np.uint64), np.uint64(64 * len(words) - 1), np.uint64(6)
+    one, two = h & low, (h >> np.uint64(32)) & low
+    return ((words[one >> six] >> (one & np.uint64(63))) & (words[two >> six] >> (two & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def fingerprints(docs: DataFrame, window: int, k: int, short: list[int], known: Broadcast) -> DataFrame:
+    """docs(k, x) -> (doc_id, position, print): the k-grams that winnowing keeps, and all grams of the short lengths given, that the filter may have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "x"):
@@ -77,9 +92,8 @@ def fingerprints(docs: DataFrame, window: int, k: int, short: list[int], known:
                 at.append(np.flatnonzero(ok))
                 found.append(_sized(h[ok], n))
             at, found = np.concatenate(at), np.concatenate(found)
-            if known is not None:
-                held = np.isin(found, known.value)
-                at, found = at[held], found[held]
+            held = may_have(known.value, found)
+            at, found = at[held], found[held]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(words.text[at])), pa.array(at - words.first[words.text[at]]), pa.array(found)], names=["doc_id", "position", "print"])
 
     return docs.mapInArrow(rows, "doc_id long, position long, print long")
@@ -107,9 +121,7 @@ def contamination(
     every = scratch.written(windows(benchmark, window, k), "windows")
     spans = every.select(F.xxhash64("span").alias("span_id"), "span", "length", "print", "offset").distinct()
     short = sorted(r["length"] for r in every.filter(F.col("length") < window).select("length").distinct().collect())
-    known = None
-    if every.count() <= BROADCAST_PRINTS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["print"] for r in every.select("print").distinct().collect()], np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast(print_filter(every, FILTER_BITS))
     prints = fingerprints(docs.select("k", "x"), window, k, short, known)
     hits = prints.join(spans, "print").select(F.col("doc_id").alias("k"), (F.col("position") - F.col("offset")).alias("begin"), "length", "span_id", "span").filter("begin >= 0")
     hits = hits.groupBy("k").agg(F.collect_set(F.struct("begin", "length", "span_id", "span")).alias("hits"))

@@ -79,8 +79,8 @@ class _Firsts:
 
     def batch(self, rows: list[tuple[int, int, int, int]], late: bool) -> pa.RecordBatch:
         p, h, k, s = (np.array(c, np.uint64 if i < 2 else np.int64) for i, c in enumerate(zip(*rows)))
-        if late:  # spread over all partitions
-            p = text.mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.view(np.uint64))
+        # windows of a hot k-gram are dealt out each by its own words, late ones anywhere
+        p = text.mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.view(np.uint64)) if late else text.pair(p, h)
         return _window_rows(p, pa.array(k), s, np.arange(len(rows) + 1), h, np.full(len(rows), late))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -91,8 +91,8 @@ class _Firsts:
 
 def _windows(docs: DataFrame, window: int, k: int) -> DataFrame:
     """docs(k, x, few, many) -> (print, k, start, hashes, late): for each kept k-gram at one of the places `few`, the first of the windows
-    it is kept for, and the hashes of these windows, which follow one another. Windows on places `many` have a row each, and are late,
-    under a print of their own, if the task has met the window at a smaller (k, start)."""
+    it is kept for, and the hashes of these windows, which follow one another. Windows on places `many` have a row each, under a print of
+    k-gram and window; they are late, under one of their own, if the task has met the window at a smaller (k, start)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = _Firsts()

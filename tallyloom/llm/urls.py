@@ -79,7 +79,8 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tags = lambda name: F.regexp_extract_all(html_col, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
     links = F.filter(tags("link"), lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"))
     metas = F.filter(tags("meta"), lambda tag: F.lower(_attribute(tag, "http-equiv")) == "refresh")
-    tagged = pages.select(normal(F.col(url_col)).alias("u"), F.get(links, F.lit(0)).alias("link_tag"), F.get(metas, F.lit(0)).alias("meta_tag")).filter("u is not null and (link_tag is not null or meta_tag is not null)")
+    marked = pages.filter(F.col(html_col).rlike("(?i)canonical|refresh"))  # most pages end here
+    tagged = marked.select(normal(F.col(url_col)).alias("u"), F.get(links, F.lit(0)).alias("link_tag"), F.get(metas, F.lit(0)).alias("meta_tag")).filter("u is not null and (link_tag is not null or meta_tag is not null)")
     named = tagged.select("u", _attribute(F.col("link_tag"), "href").alias("href"), _attribute(F.col("meta_tag"), "content").alias("content"))
     target = F.regexp_extract("content", r"""(?is)[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
     found = named.select("u", F.explode(F.array("href", F.trim(target))).alias("link")).filter(F.length("link") > 0)

@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import classifier, decontaminate, encode, graph, jaccard, licenses, mixing, quality_rules, queries, records, substring, text, token_counts, urls
@@ -236,9 +237,18 @@ def brute_contamination(t, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("held", [2_000_000, 0])
-def test_contamination(spark, texts, monkeypatch, held):
-    monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", held)
+def test_print_filter_has_every_print_and_few_others(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63 - 1, 5000)
+    held = decontaminate.print_filter(spark.createDataFrame([(int(v),) for v in h], "print long"), 1 << 20)
+    assert decontaminate.may_have(held, h).all()
+    assert decontaminate.may_have(held, rng.integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.001
+    assert not decontaminate.may_have(decontaminate.print_filter(spark.createDataFrame([], "print long"), 1 << 10), h).any()
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_contamination(spark, texts, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)  # 64 bits let everything through
     long = [t for t in texts if t and len(t.split()) > 30]
     items = [(3, " ".join(long[0].split()[5:25]).upper()), (11, long[0][:80]), (2, long[1].replace(" ", ", ")), (7, "one"), (8, "w1 W2"), (9, None), (10, "!!"), (12, "one"), (None, long[1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -345,6 +355,21 @@ def test_repeated_passages_are_removed(spark, texts, monkeypatch, hot, remembere
     assert sum(r["n_removed"] > 0 for r in got.values()) > 5
 
 
+def test_windows_on_a_hot_k_gram_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 50)
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{own(16)} the same six words in each {own(16)}" for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, x string").repartition(4)
+    prints = substring._prints(docs, 20, 6)
+    many = prints.join(prints.groupBy("print").count().filter("count > 50"), "print").groupBy("k").agg(F.array().cast("array<int>").alias("few"), F.collect_list("place").alias("many"))
+    rows = substring._windows(docs.join(many, "k"), 20, 6).repartition(8, "print")
+    dealt = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(dealt) == 8 and max(dealt) < 2 * sum(dealt) / 8
+    got = by_id(substring.remove_repeats(frame(spark, texts)))
+    assert all(r["n_removed"] == 0 for r in got.values())
+
+
 def test_repeats_under_null_and_repeated_ids(spark):
     same = " ".join(f"v{i}" for i in range(25))
     docs = frame(spark, [same, same + " z", None, same], [4, None, 4, 4])
