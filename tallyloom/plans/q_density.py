@@ -23,7 +23,7 @@ def _points(spark, sf_dir, dims: int):
 _POINTS = "p AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE, 3) AS x, round(embedding[2]::DOUBLE, 3) AS y, label FROM embeddings)"
 
 
-def _labels_sql(rounds: int = 10) -> str:
+def _labels_sql(rounds: int = 24) -> str:
     """CTEs that end in l(eps, id, core, cluster): the smallest label around, then that label's own, again and again."""
     parts = [f"""{_POINTS}, eps AS (SELECT unnest({RADII}::DOUBLE[]) AS eps),
 near AS MATERIALIZED (SELECT eps, a.id AS u, b.id AS v, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM eps, p a, p b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= eps * eps),
