@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.blocks import met_in_blocks
 from tallyloom.functions.ranks import ranked
 from tallyloom.functions.storage import written
 
@@ -40,43 +39,35 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double")))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int, at_once: int = 20_000) -> DataFrame:
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, at_once: int = 8192) -> DataFrame:
     """(query, id, rank, d): the exact k nearest of all rows for a stated set of queries, a row itself left out.
 
-    Queries are dealt out in blocks of at_once, of which the driver holds one at
-    a time; a block is broadcast and meets the rows in Arrow batches. Only k
-    candidates a query and task step go on, and the best k of them are taken.
+    Blocks of queries meet blocks of rows, about at_once of each, one pair of
+    blocks a task; neither passes through the driver. A task sends on the k best
+    rows of its block for each query, of which the k best are taken. Work and
+    shuffle grow with queries x rows / at_once, so ask for few, or for rows of one part.
     """
     import numpy as np
     import pyarrow as pa
 
-    numbered = ranked(queries.select("id", "vec"), ["id"], rank="_i").withColumn("_block", F.floor((F.col("_i") - 1) / at_once))
-    numbered = written(numbered, "queries")
-
-    def found(block: int) -> DataFrame:
-        own_rows = numbered.filter(F.col("_block") == block).select("id", "vec").collect()
-        held = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in own_rows], np.int64), np.array([r["vec"] for r in own_rows], np.float32)))
-        step = max(1, 2_000_000 // max(1, len(own_rows)))  # a matrix of 16 MB
-
-        def near(batches):
-            ids, q = held.value[0], held.value[1].astype(float)
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    own, v = part.column("id").to_numpy(), np.array(part.column("vec").to_pylist(), float)
-                    d = np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T)
-                    d[ids[:, None] == own[None]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    n = top.shape[1]
-                    ok = np.isfinite(np.take_along_axis(d, top, 1)).ravel()
-                    exact = np.stack([np.sqrt(((q - v[top[:, j]]) ** 2).sum(1)) for j in range(n)], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok]), pa.array(own[top].ravel()[ok]), pa.array(exact.ravel()[ok])], names=["query", "id", "d"])
-
-        return rows.select("id", "vec").mapInArrow(near, "query long, id long, d double")
-
-    blocks = [r["_block"] for r in numbered.select("_block").distinct().orderBy("_block").collect()]
-    every = [found(b) for b in blocks] or [numbered.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("d"))]
-    best = reduce(DataFrame.union, every).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("d", 9), "id")))
+    def near(q: pa.Table, r: pa.Table) -> pa.Table:
+        ids, own = q.column("id").to_numpy(), r.column("id").to_numpy()
+        x, y = (np.array(t.column("vec").to_pylist(), np.float32).astype(float) for t in (q, r))
+        out, step = [], max(1, 2_000_000 // len(own))  # a matrix of 16 MB
+        for at in range(0, len(ids), step):
+            part = x[at : at + step]
+            d = np.maximum(0, (part * part).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * part @ y.T)
+            d[ids[at : at + step, None] == own[None]] = np.inf
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            ok = np.isfinite(np.take_along_axis(d, top, 1))
+            who = np.repeat(np.arange(len(part)), top.shape[1]).reshape(top.shape)[ok]
+            exact = np.sqrt(((part[who] - y[top[ok]]) ** 2).sum(1))
+            out.append((ids[at : at + step][who], own[top[ok]], exact))
+        a, b, c = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"query": a, "id": b, "d": c})
+
+    every = met_in_blocks(queries.select("id", "vec"), rows.select("id", "vec"), near, "query long, id long, d double", at_once)
+    best = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("d", 9), "id")))
     return best.filter(F.col("rank") <= k)
 
 

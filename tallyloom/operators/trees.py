@@ -314,7 +314,7 @@ def isolation_scores(df: DataFrame, dims: int, trees: int, size: int, seed: str)
 
     @F.pandas_udf("double")
     def score(vec):
-        x = np.array(vec.tolist(), float).reshape(len(vec), -1)
+        x = np.array([[0.0] * dims if v is None else v for v in vec], float).reshape(len(vec), dims)
         total = np.zeros(len(x))
         for nodes in grown.values():
             own = {node: (dim, at, n) for node, dim, at, n in nodes}
