@@ -319,11 +319,15 @@ def _peeled(buckets: DataFrame, floors: DataFrame, parts: DataFrame) -> DataFram
     many; that is done again and again, as it takes partners from others. How
     often changes the work and not the result."""
     now = scratch.replaced(buckets, buckets.drop("part").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")), "open")
+    rows = None
     for _ in range(PEELS):
         split = now.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("sig")
         live = now.join(split, "sig")
         enough = live.groupBy("doc_id", "back").agg(F.count("*").alias("n")).join(floors, ["doc_id", "back"]).filter("n >= floor").select("doc_id", "back")
         now = scratch.replaced(now, live.join(enough, ["doc_id", "back"]).select(*now.columns), "open")
+        before, rows = rows, now.count()
+        if rows in (before, 0):  # nothing more to leave out
+            break
     return now
 
 
@@ -406,10 +410,14 @@ def _linked(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]
 
     # what stars can't tie: members of one bucket in different components
     buckets = _peeled(buckets, floors, parts)
+    if buckets.isEmpty():
+        return sizes, links
     alive = buckets.select(F.col("doc_id").alias("u"), "back", "part").distinct()
     named = spoked.join(alive, ["u", "back"])
     split = named.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("sig")
     open_spokes = scratch.written(named.join(split, "sig").select("u", "v", "part").distinct().join(measured, ["u", "v"]), "open_spokes")
     scratch.released(spark)
+    if open_spokes.isEmpty():
+        return sizes, links
     more = _residual(open_spokes, t)
     return sizes, links.union(more)
