@@ -77,6 +77,41 @@ def last_seen(df: DataFrame, by: list[str], order: list[str | Column], value: st
     return out.drop("_at", "_part", "_carry", *[f"_by{i}" for i in range(len(by))])
 
 
+def running_by(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], totals: dict[str, str]) -> DataFrame:
+    """df with running sums in its groups, {new column: summed column}, the row included, and with the groups' totals, {new
+    column: summed column}. Groups may be of any size and their keys null."""
+    rows = ranked_by(df, by, order, sums, rank="_rank").drop("_rank")
+    every = df.groupBy(*by).agg(*[F.sum(c).alias(name) for name, c in totals.items()]).withColumnsRenamed({c: f"_t_{c}" for c in by})
+    same = [rows[c].eqNullSafe(every[f"_t_{c}"]) for c in by]
+    return rows.join(every, same).drop(*[f"_t_{c}" for c in by])
+
+
+def percentiles_by(df: DataFrame, by: list[str], column: str | Column, shares: list[float], name: str) -> DataFrame:
+    """(by, name): an array of the percentiles of each group's values that aren't null, linear between the two nearest. No task
+    holds the distinct values of a group."""
+    v = F.col(column) if isinstance(column, str) else column
+    counted = df.select(*by, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    rows = running_by(counted, by, ["_v"], {"_upto": "_c"}, {"_n": "_c"})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    found, cuts = [], []
+    for i, share in enumerate(shares):
+        place = (F.col("_n") - 1) * share
+        found += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.first(place - F.floor(place)).alias(f"_w{i}")]
+        cuts.append(F.col(f"_lo{i}") * (1 - F.col(f"_w{i}")) + F.col(f"_hi{i}") * F.col(f"_w{i}"))
+    return rows.groupBy(*by).agg(*found).select(*by, F.array(*cuts).alias(name))
+
+
+def percentile(df: DataFrame, column: str | Column, share: float) -> float | None:
+    """A percentile of a whole table's values that aren't null, linear between the two nearest order statistics; null without values."""
+    v = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v"))
+    n = v.filter(F.col("v").isNotNull() & ~F.isnan("v")).count()
+    if not n:
+        return None
+    place = (n - 1) * share
+    low = order_statistic(v, "v", int(place) + 1)
+    return low if place == int(place) else low * (1 - place + int(place)) + order_statistic(v, "v", int(place) + 2) * (place - int(place))
+
+
 def order_statistic(df: DataFrame, column: str, k: int) -> float | None:
     """The k-th smallest value that isn't null; null beyond their number. Every pass narrows a range of values by
     approximate quantiles; the last one picks among the few rows left."""

@@ -1,7 +1,8 @@
 """Prediction intervals and sets from calibration scores.
 
 A calibration score's order statistic is taken from distinct scores with their
-counts, by group, in windows over that table; ties of a score stay together.
+counts and running sums over range partitions, so a group may be of any size;
+ties of a score stay together.
 """
 
 from __future__ import annotations
@@ -9,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.ranks import ranked
+from tallyloom.functions.ranks import ranked, running_by
 
 
 def quantile(calibration: DataFrame, by: str, score: Column, alpha: float, clip: bool = False) -> DataFrame:
     """(by, q, n): the ceil((n + 1)(1 - alpha))-th smallest score that is finite; infinite beyond n, or the largest with clip."""
     d = calibration.select(by, score.alias("s")).filter("s is not null and not isnan(s) and s < double('infinity')").groupBy(by, "s").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    d = d.withColumns({"upto": F.sum("c").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    d = running_by(d, [by], ["s"], {"upto": "c"}, {"n": "c"})
     k = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
     k = F.least(k, F.col("n")) if clip else k
     return d.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(float("inf"))).alias("q"), F.first("n").alias("n"))

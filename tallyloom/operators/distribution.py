@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.ranks import ranked
+from tallyloom.functions.ranks import percentiles_by, ranked, ranked_by
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
@@ -29,7 +29,7 @@ def lorenz(df: DataFrame, value: str, points: int = 101) -> DataFrame:
 
 def poverty(df: DataFrame, by: str, value: str, fraction: float = 0.5) -> DataFrame:
     """Line (a fraction of the median), headcount below it, gap index, and mean shortfall of the poor; zeros when there are none."""
-    line = df.groupBy(by).agg((F.percentile(value, 0.5) * fraction).alias("line"))
+    line = percentiles_by(df, [by], value, [0.5], "q").select(by, (F.get("q", F.lit(0)) * fraction).alias("line"))
     poor = F.col(value) < F.col("line")
     gap = F.when(poor, (F.col("line") - F.col(value)) / F.col("line"))
     return df.filter(F.col(value).isNotNull()).join(line, by).groupBy(by, "line").agg(
@@ -39,11 +39,10 @@ def poverty(df: DataFrame, by: str, value: str, fraction: float = 0.5) -> DataFr
 
 def battery(df: DataFrame, by: str, value: str) -> DataFrame:
     """Percentile ratios, mean over median, shares of the bottom tenth and the top hundredth, Gini, all by group."""
-    q = df.groupBy(by).agg(F.percentile(value, [0.1, 0.5, 0.9]).alias("q"), F.count(value).alias("n"), F.avg(value).alias("mean"))
+    q = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(percentiles_by(df, [by], value, [0.1, 0.5, 0.9], "q"), by)
     # ranks within a group: the rank of a value is the rows of smaller values, counted over distinct values
-    w = Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     distinct = df.select(by, F.col(value).alias("x")).filter("x is not null").groupBy(by, "x").agg(F.count("*").alias("c"))
-    d = distinct.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0))).join(q.select(by, "n"), by)
+    d = ranked_by(distinct, [by], ["x"], {"below": "c"}, "_i").withColumn("below", F.col("below") - F.col("c")).join(q.select(by, "n"), by)
     bottom, top = F.floor(F.col("n") * 0.1), F.col("n") - F.floor(F.col("n") * 0.01)
     in_bottom = F.greatest(F.lit(0), F.least(F.col("c"), bottom - F.col("below")))
     in_top = F.greatest(F.lit(0), F.least(F.col("c"), F.col("below") + F.col("c") - top))
@@ -114,16 +113,16 @@ def period_rates(df: DataFrame, year: str, age: str, rate: str) -> DataFrame:
 
 def winsor_rms(df: DataFrame, by: str, value: str, trim: float) -> DataFrame:
     """Root mean square of deviations from the median, with |deviation| cut at its 1 - trim quantile; and 1.4826 times the median |deviation|."""
-    med = df.groupBy(by).agg(F.percentile(value, 0.5).alias("_m"))
+    med = percentiles_by(df, [by], value, [0.5], "q").select(by, F.get("q", F.lit(0)).alias("_m"))
     dev = df.filter(F.col(value).isNotNull()).join(med, by).select(by, F.abs(F.col(value) - F.col("_m")).alias("d"))
-    q = dev.groupBy(by).agg(F.percentile("d", [0.5, 1 - trim]).alias("q"))
+    q = percentiles_by(dev, [by], "d", [0.5, 1 - trim], "q")
     cut = F.least(F.col("d"), F.get("q", F.lit(1)))
     return dev.join(q, by).groupBy(by).agg(F.sqrt(F.avg(cut * cut)).alias("winsor_rms"), (F.first(F.get("q", F.lit(0))) * 1.4826).alias("mad_scale"))
 
 
 def tau_scale(df: DataFrame, by: str, value: str, c: float = 3.0) -> DataFrame:
     """s sqrt(mean(min((u / c)^2, 1)) c^2) of u = x / s about 0, with s the MAD about 0."""
-    s = df.groupBy(by).agg((F.percentile(F.abs(value), 0.5) * 1.4826).alias("s"))
+    s = percentiles_by(df, [by], F.abs(value), [0.5], "q").select(by, (F.get("q", F.lit(0)) * 1.4826).alias("s"))
     u = F.col(value) / F.col("s") / c
     return df.join(s, by).groupBy(by, "s").agg((F.first("s") * c * F.sqrt(F.avg(F.least(u * u, F.lit(1.0))))).alias("tau"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_share
-from tallyloom.functions.ranks import ranked
+from tallyloom.functions.ranks import percentile, ranked
 from tallyloom.operators.resample import key, poisson, with_replicates
 
 
@@ -68,7 +68,7 @@ def contamination_report(df: DataFrame, leaked: str, ok: str, lp: str, base: str
         return g.agg(F.sum(F.col("a") * (F.col("below") - F.col("b") / 2)).alias("u"), F.sum("a").alias("na"), F.sum("b").alias("nb")).select(F.try_divide(F.col("u"), F.col("na") * F.col("nb"))).first()[0]
 
     is_, not_ = (lambda c: F.when(F.col(leaked), c)), (lambda c: F.when(~F.col(leaked), c))
-    cut = df.agg(F.percentile(not_(F.col(lp)), 0.95)).first()[0]
+    cut = percentile(df, not_(F.col(lp)), 0.95)
     m = df.agg(
         F.avg(is_(F.col(ok).cast("double"))).alias("accuracy_leaked"), F.avg(not_(F.col(ok).cast("double"))).alias("accuracy_fresh"),
         F.avg(is_((F.col(lp) > F.lit(cut)).cast("double"))).alias("tpr_at_5"),

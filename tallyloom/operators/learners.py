@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_normal_pair, md5_share
 from tallyloom.functions.special import normal_cdf
+from tallyloom.functions.ranks import percentile
 from tallyloom.functions.storage import written
 from tallyloom.operators.linear import _scaled, _solved, centred_gram
 from tallyloom.operators.resample import key, poisson, with_replicates
@@ -168,7 +169,7 @@ def scale_equivariance(df: DataFrame, x: str, y: str, scales: list[float], cut:
     out = None
     fit = df.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).first()
     e = df.select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) - fit["a"] - fit["b"] * F.col(x)).alias("e"))
-    mad = e.agg(F.percentile(F.abs("e"), 0.5)).first()[0]
+    mad = percentile(e, F.abs("e"), 0.5)
     for rule in ("fixed", "relative"):
         for s in scales:
             limit = cut if rule == "fixed" else cut * mad * s
@@ -184,7 +185,7 @@ def scale_equivariance(df: DataFrame, x: str, y: str, scales: list[float], cut:
 def scale_null(df: DataFrame, row_id: str, x: str, y: str, scale: str, quantile: float, reps: int, seed: str) -> DataFrame:
     """One row: the correlation over rows whose scale is above a quantile, the mean of the same where pairs of constant correlation are drawn again under the same scales, and the share of replicates
     that reach the first."""
-    rho, cut = df.agg(F.corr(F.col(x) / F.col(scale), F.col(y) / F.col(scale)), F.percentile(scale, quantile)).first()
+    rho, cut = df.agg(F.corr(F.col(x) / F.col(scale), F.col(y) / F.col(scale))).first()[0], percentile(df, scale, quantile)
     top = df.filter(F.col(scale) > cut)
     seen = top.agg(F.corr(x, y)).first()[0]
     text = lambda part: key(seed, F.lit(part), "rep", row_id)

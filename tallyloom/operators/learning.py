@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.blocks import met_in_blocks
-from tallyloom.functions.ranks import ranked
+from tallyloom.functions.ranks import ranked, running_by
 from tallyloom.functions.storage import written
 
 
@@ -93,9 +93,7 @@ def two_sample_ks(df: DataFrame, sample: str, features: list[str]) -> DataFrame:
     """(feature, ks, n0, n1) between rows with sample false and true: running counts over distinct values of each feature."""
     long = df.select(F.col(sample).cast("int").alias("s"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select("s", "x.*").filter("v is not null")
     d = long.groupBy("feature", "v").agg(F.sum(1 - F.col("s")).alias("a"), F.sum("s").alias("b"))
-    w = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("feature")
-    d = d.withColumns({"ua": F.sum("a").over(w), "ub": F.sum("b").over(w), "na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
+    d = running_by(d, ["feature"], ["v"], {"ua": "a", "ub": "b"}, {"na": "a", "nb": "b"})
     return d.groupBy("feature").agg(F.max(F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))).alias("ks"), F.first("na").alias("n0"), F.first("nb").alias("n1"))
 
 

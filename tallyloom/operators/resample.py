@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_share
-from tallyloom.functions.ranks import ranked, ranked_by
+from tallyloom.functions.ranks import ranked, ranked_by, running_by
 
 
 def key(seed: str, *cols: Column | str) -> Column:
@@ -113,8 +113,7 @@ def split_coverage(df: DataFrame, unit: str | Column, score: str, reps: int, alp
     u = F.col(unit) if isinstance(unit, str) else unit
     d = with_replicates(df.select(u.alias("_u"), F.col(score).alias("s")), reps).withColumn("cal", md5_share(key(seed, "rep", "_u")) < share)
     c = d.filter("cal").groupBy("rep", "s").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("rep")
-    c = c.withColumns({"upto": F.sum("c").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    c = running_by(c, ["rep"], ["s"], {"upto": "c"}, {"n": "c"})
     k = F.least(F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9), F.col("n"))
     cut = c.groupBy("rep").agg(F.min(F.when(F.col("upto") >= k, F.col("s"))).alias("cut"))
     return d.filter("not cal").join(F.broadcast(cut), "rep").groupBy("rep").agg(F.avg((F.col("s") <= F.col("cut")).cast("double")).alias("coverage"))

@@ -2,8 +2,7 @@
 
 Ranking measures first collapse the table to one row a distinct score with its
 counts of positives and negatives, combined before the shuffle; running sums
-then go over that table. Scores are expected to be rounded, or binned, where
-the number of distinct ones would follow the data.
+then go over range partitions of that table, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -11,17 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.ranks import ranked_by
+from tallyloom.functions.ranks import percentile, percentiles_by, ranked_by, running_by
 
 
 def by_score(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
     """(by, p, pos, neg, pos_above, neg_above, n_pos, n_neg): counts at each score and of all higher ones."""
     d = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(by, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    above = Window.partitionBy(by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(by)
-    return d.withColumns(
-        {"pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)), "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0)), "n_pos": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)}
-    )
+    d = running_by(d, [by], [F.desc("p")], {"pos_above": "pos", "neg_above": "neg"}, {"n_pos": "pos", "n_neg": "neg"})
+    return d.withColumns({"pos_above": F.col("pos_above") - F.col("pos"), "neg_above": F.col("neg_above") - F.col("neg")})
 
 
 def ranking_scores(df: DataFrame, by: str, p: str, y: str, recall: float = 0.8, fpr: float = 0.05) -> DataFrame:
@@ -91,7 +87,7 @@ def group_rates(df: DataFrame, by: str, p: str, y: str, threshold: float) -> Dat
 
 
 def equal_fpr_thresholds(df: DataFrame, by: str, p: str, y: str, fpr: float) -> DataFrame:
-    return df.filter(F.col(y) == 0).groupBy(by).agg(F.percentile(p, 1 - fpr).alias("threshold"))
+    return percentiles_by(df.filter(F.col(y) == 0), [by], p, [1 - fpr], "q").select(by, F.get("q", F.lit(0)).alias("threshold"))
 
 
 def cost_at(df: DataFrame, by: str, p: str, y: str, threshold: float, ratio: float) -> DataFrame:
@@ -137,7 +133,7 @@ def lag_correlations(df: DataFrame, by: str, sequence: str, order: str, value: s
 def judged(df: DataFrame, by: str, score: str, truth: str) -> DataFrame:
     """A judge's threshold is the pooled quantile that passes as many as are right; rates by source, of right and of wrong ones."""
     share = df.agg(F.avg(F.col(truth).cast("double"))).first()[0]
-    cut = df.agg(F.percentile(score, 1 - share)).first()[0]
+    cut = percentile(df, score, 1 - share)
     ok, t = (F.col(score) >= cut).cast("double"), F.col(truth).cast("double")
     return df.groupBy(by).agg(F.avg(ok).alias("judged"), F.avg(t).alias("actual"), F.avg(F.when(t == 1, ok)).alias("pass_right"), F.avg(F.when(t == 0, ok)).alias("pass_wrong"))
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranks import running_by
+
 
 def ewma_scale(df: DataFrame, series: str, order: str, value: str, lam: float = 0.94, warmup: int = 60) -> DataFrame:
     """Past-only scale: v is the sample variance of the first `warmup` points, then v <- lam v + (1 - lam) x^2 of the point before.
@@ -146,9 +148,7 @@ def first_exceedance(df: DataFrame, by: list[str], step: str, error: str, thresh
 
 def uniformity(df: DataFrame, by: str, u: str) -> DataFrame:
     """One-sample Kolmogorov-Smirnov distance from the uniform distribution, over distinct values."""
-    w = Window.partitionBy(by).orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
-    d = df.groupBy(by, F.col(u).alias("u")).agg(F.count("*").alias("c"))
-    d = d.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(by))})
+    d = running_by(df.groupBy(by, F.col(u).alias("u")).agg(F.count("*").alias("c")), [by], ["u"], {"upto": "c"}, {"n": "c"})
     return d.groupBy(by).agg(F.max(F.greatest(F.col("upto") / F.col("n") - F.col("u"), F.col("u") - (F.col("upto") - F.col("c")) / F.col("n"))).alias("ks"), F.first("n").alias("n"))
 
 

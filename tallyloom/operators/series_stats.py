@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranks import percentiles_by
+
 
 def stylised_facts(df: DataFrame, path: str, order: str, value: str) -> DataFrame:
     """One row: pooled standard deviation and excess kurtosis (both of the population), and the means over paths of the lag-1 correlations of
@@ -38,8 +40,8 @@ def effective_n(acf: DataFrame, counts: DataFrame, series: str, lags: int) -> Da
 def conditional_correlation(df: DataFrame, by: str, x: str, y: str, cuts: list[float]) -> DataFrame:
     """(by, q, n, r, r_calm, ratio, predicted, corrected): correlations of the rows whose |x| reaches its q-quantile and of the others, the ratio of
     x's variances, the turbulent correlation that a constant dependence would show, and the correlation freed of that ratio."""
-    q = df.groupBy(by).agg(F.percentile(F.abs(x), cuts).alias("c")).select(by, F.posexplode("c").alias("i", "cut"))
-    d = df.join(F.broadcast(q), by).select(by, "i", F.col(x).alias("x"), F.col(y).alias("y"), (F.abs(x) >= F.col("cut")).alias("t"))
+    q = percentiles_by(df, [by], F.abs(x), cuts, "c").select(by, F.posexplode("c").alias("i", "cut"))
+    d = df.join(q, by).select(by, "i", F.col(x).alias("x"), F.col(y).alias("y"), (F.abs(x) >= F.col("cut")).alias("t"))
     when = lambda c, t: F.when(F.col("t") == t, F.col(c))
     g = d.groupBy(by, "i").agg(F.count_if("t").alias("n"), F.corr(when("x", True), when("y", True)).alias("r"), F.corr(when("x", False), when("y", False)).alias("r_calm"), F.corr("x", "y").alias("all"), (F.var_samp(when("x", True)) / F.var_samp("x")).alias("ratio"))
     r, a, v = F.col("r"), F.col("all"), F.col("ratio")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_share
-from tallyloom.functions.ranks import ranked
+from tallyloom.functions.ranks import percentile, ranked
 from tallyloom.operators.resample import key, permuted, with_replicates
 
 _SUMS = {"n": lambda x, y: F.count("*"), "sx": lambda x, y: F.sum(x), "sy": lambda x, y: F.sum(y), "sxx": lambda x, y: F.sum(x * x), "sxy": lambda x, y: F.sum(x * y), "syy": lambda x, y: F.sum(y * y)}
@@ -107,7 +107,7 @@ def off_support(df: DataFrame, row_id: str, a: str, b: str, level: float, seed:
         x, y = x - m["ma"], y - m["mb"]
         return (m["vb"] * x * x - 2 * m["c"] * x * y + m["va"] * y * y) / det
 
-    cut = df.agg(F.percentile(distance(F.col(a), F.col(b)), level)).first()[0]
+    cut = percentile(df, distance(F.col(a), F.col(b)), level)
     p = permuted(df.select(F.lit(0).alias("_all"), row_id, a, b), "_all", row_id, a, 0, seed)
     return p.agg(F.lit(cut).alias("cut"), F.avg((distance(F.col("shuffled"), F.col(b)) > cut).cast("double")).alias("off"))
 
