@@ -1,9 +1,10 @@
-"""Two tables of which every row meets every row of the other, block by block."""
+"""Work in Arrow batches: totals of arrays over all rows, and two tables of which every row meets every row of the other, block by block."""
 
 from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def summed(table: DataFrame, columns: list[str], shapes: list[tuple[int, ...]], add) -> list[np.ndarray]:
+    """Totals of arrays that tasks fill from batches: add(totals, batch). A row a task and array entry that isn't 0 is shuffled."""
+
+    def rows(batches):
+        totals = [np.zeros(s) for s in shapes]
+        for batch in batches:
+            if batch.num_rows:
+                add(totals, batch)
+        flat = np.concatenate([t.ravel() for t in totals]) if totals else np.zeros(0)
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], names=["i", "s"])
+
+    out = np.zeros(sum(int(np.prod(s)) for s in shapes))
+    found = table.select(*columns).mapInArrow(rows, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+    out[found.column("i").to_numpy()] = found.column("s").to_numpy()
+    ends = np.cumsum([0, *[int(np.prod(s)) for s in shapes]])
+    return [out[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)]
+
+
+def vectors(col: pa.Array, n: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+
+
 def met_in_blocks(asked: DataFrame, rows: DataFrame, meet, schema: str, size: int = 8192) -> DataFrame:
     """meet(block of asked, block of rows), Arrow tables to Arrow table, for every two blocks of about `size` rows. A row goes to as many tasks as the other side has
     blocks; a task holds two blocks, and nothing passes through the driver."""

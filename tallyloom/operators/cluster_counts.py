@@ -14,35 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import met_in_blocks
+from tallyloom.functions.blocks import met_in_blocks, summed, vectors
 from tallyloom.functions.hashing import md5_share
 from tallyloom.functions.storage import written
 from tallyloom.operators.resample import key
 
 
-def _sums(table: DataFrame, columns: list[str], shapes: list[tuple[int, ...]], add) -> list[np.ndarray]:
-    """Totals of arrays that tasks fill from batches: add(totals, batch). A row a task and array entry that isn't 0 is shuffled."""
-
-    def rows(batches):
-        totals = [np.zeros(s) for s in shapes]
-        for batch in batches:
-            if batch.num_rows:
-                add(totals, batch)
-        flat = np.concatenate([t.ravel() for t in totals]) if totals else np.zeros(0)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], names=["i", "s"])
-
-    out = np.zeros(sum(int(np.prod(s)) for s in shapes))
-    found = table.select(*columns).mapInArrow(rows, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
-    out[found.column("i").to_numpy()] = found.column("s").to_numpy()
-    ends = np.cumsum([0, *[int(np.prod(s)) for s in shapes]])
-    return [out[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)]
-
-
-def vectors(col: pa.Array, n: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
-
-
 def sound(df: DataFrame) -> DataFrame:
     """(id, vec) of rows whose id and vector aren't null and whose components are finite, written once."""
     d = df.filter("id is not null and vec is not null").select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
@@ -88,14 +65,14 @@ def mixtures(df: DataFrame, ks: list[int], starts: int, steps: int, seed: str, r
         t[0] += len(x)
         t[1] += x.sum(0)
 
-    n, s = _sums(table, ["vec"], [(1,), (dims,)], whole)
+    n, s = summed(table, ["vec"], [(1,), (dims,)], whole)
     n, centre = float(n[0]), s / max(1.0, float(n[0]))
 
     def about(t, batch):
         x = vectors(batch.column("vec"), batch.num_rows) - centre
         t[0] += x.T @ x
 
-    (gram,) = _sums(table, ["vec"], [(dims, dims)], about)
+    (gram,) = summed(table, ["vec"], [(dims, dims)], about)
     cov = gram / max(1.0, n)
     extra = ridge * max(float(np.trace(cov)) / dims, 1e-12) * np.eye(dims)
     names = [(k, s) for k in ks for s in range(starts) if k <= n]
@@ -114,7 +91,7 @@ def mixtures(df: DataFrame, ks: list[int], starts: int, steps: int, seed: str, r
                 t[3 * i + 2] += np.einsum("nj,np,nq->jpq", r, y, y)
 
         shapes = [shape for k, _ in names for shape in ((k,), (k, dims), (k, dims, dims))]
-        got, models = _sums(table, ["vec"], shapes, weighted), []
+        got, models = summed(table, ["vec"], shapes, weighted), []
         for i, old in enumerate(now):
             size, first, second = got[3 * i : 3 * i + 3]
             held = size > 1e-9  # a component without rows stays where it was
@@ -137,7 +114,7 @@ def mixture_orders(df: DataFrame, ks: list[int], starts: int, steps: int, seed:
             total, r = m.shares(x)
             t[0][i] += total.sum(), -(r * np.log(np.maximum(r, 1e-300))).sum()
 
-    (scores, n) = _sums(table, ["vec"], [(len(models), 2), (1,)], score) if models else (np.zeros((0, 2)), np.zeros(1))
+    (scores, n) = summed(table, ["vec"], [(len(models), 2), (1,)], score) if models else (np.zeros((0, 2)), np.zeros(1))
     rows = []
     for k in ks:
         own = [(round(scores[i, 0], 6), -s, scores[i, 1]) for i, (m, s) in enumerate(names) if m == k]
@@ -168,7 +145,7 @@ def lloyd(table: DataFrame, columns: list[str], sets, models: list[tuple[int, np
                 for d in range(x.shape[1]):
                     t[2 * i + 1][:, d] += np.bincount(at, w * x[:, d], len(c))
 
-        got = _sums(table, columns, [shape for c in centres for shape in ((len(c),), c.shape)], step)
+        got = summed(table, columns, [shape for c in centres for shape in ((len(c),), c.shape)], step)
         centres = [np.where(got[2 * i][:, None] > 0, got[2 * i + 1] / np.maximum(got[2 * i], 1e-300)[:, None], c) for i, c in enumerate(centres)]
     return centres
 
@@ -194,7 +171,7 @@ def gap_statistic(df: DataFrame, ks: list[int], refs: int, steps: int, seed: str
         t[1] += x.sum(0)
         t[2] += x.T @ x
 
-    n, s, q = _sums(table, ["vec"], [(1,), (dims,), (dims, dims)], moments)
+    n, s, q = summed(table, ["vec"], [(1,), (dims,), (dims, dims)], moments)
     if not n[0]:
         return df.sparkSession.createDataFrame([], "k int, log_inertia double, gap double, se double, rule boolean")
     mean = s / n[0]
@@ -222,7 +199,7 @@ def gap_statistic(df: DataFrame, ks: list[int], refs: int, steps: int, seed: str
         for i, ((s, _), c) in enumerate(zip(models, centres)):
             t[0][i] += nearest(own[s][0], c)[1].sum()
 
-    (total,) = _sums(drawn, ["vec", "u"], [(len(models),)], inertia)
+    (total,) = summed(drawn, ["vec", "u"], [(len(models),)], inertia)
     rows = []
     for k in sorted({len(c) for _, c in models}):
         own = [float(np.log(max(v, 1e-300))) for (_, c), v in zip(models, total) if len(c) == k]
@@ -256,7 +233,7 @@ def subsample_stability(df: DataFrame, ks: list[int], pairs: int, share: float,
             a, b = (nearest(x, centres[2 * p + h, k])[0] for h in (0, 1))
             t[i] += np.bincount(a * k + b, w * own[2 * p + 1][1], k * k).reshape(k, k)
 
-    tables = _sums(drawn, ["vec", "u"], [(k, k) for _, k in both], counts) if both else []
+    tables = summed(drawn, ["vec", "u"], [(k, k) for _, k in both], counts) if both else []
     two, rows = lambda v: (v * (v - 1) / 2).sum(), []
     for k in ks:
         scores = []
