@@ -431,17 +431,43 @@ def test_license_scan(spark, texts):
 
 def test_every_license_of_a_text_is_found_and_none_is_taken_for_another(spark):
     t = licenses.TEMPLATES
-    rows = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "GNU General Public License, version 2", "Licensed under CC BY-SA 4.0.", t["GPL-3.0 header"].replace("version 3", "version 9")]
+    rows = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "GNU General Public License, version 2", "Licensed under CC BY-ND 4.0.", t["GPL-3.0 header"].replace("version 3", "version 9")]
     rows += [f"{t['GPL-3.0 header']} {'x y z ' * 300} {t['CC-BY-NC-4.0']} q {t['MIT']}\n{t['MIT']}"]
     got = by_id(licenses.scan(frame(spark, rows)))
     assert [got[i]["license"] for i in range(6)] == ["BSD name", "CC-BY-4.0 short", "GPL-2.0 name", None, None, "GPL-3.0 header"]
     assert [(m["license"], m["first_word"], m["last_word"]) for m in got[5]["matches"]] == [("GPL-3.0 header", 0, 41), ("CC-BY-NC-4.0", 942, 948), ("MIT", 950, 954), ("MIT", 955, 959)]
     lesser, numbered = (alnum_words(x) for x in (t["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"), t["BSD"].replace("binary", "1 binary")))
     known = [(n, [w.encode() for w in alnum_words(x)]) for n, x in sorted(t.items())]
-    assert [[m[0] for m in licenses.matches([w.encode() for w in x], known, 0.8)] for x in (lesser, numbered)] == [[], ["BSD"]]
+    assert [[m[0] for m in licenses.matches([w.encode() for w in x], known, 0.8)] for x in (lesser, numbered)] == [["LGPL-3.0 header"], ["BSD"]]
     assert got[3]["matches"] == [] and got[5]["n_matched"] == 42
 
 
+def test_mentions_of_licenses_are_a_kind_of_their_own_and_negations_are_told(spark):
+    rows = ["This project is licensed under the MIT License", "Released under the Apache License", "Distributed under the MIT license", "SPDX-License-Identifier: GPL-3.0-or-later", "code under GPLv3, docs under CC BY-SA 4.0",
+            "Not licensed under CC BY 4.0.", "not under the MIT license", "the mit of the institute", None, "is released under an ISC license, under the terms of the LGPL-2.1"]
+    got = by_id(licenses.scan(frame(spark, rows)))
+    named = [[(m["license"], m["negated"]) for m in got[i]["mentions"]] for i in range(len(rows))]
+    assert named == [
+        [("MIT", False)], [("Apache-2.0", False)], [("MIT", False)], [("GPL-3.0", False)], [("GPL-3.0", False), ("CC-BY-SA-4.0", False)], [("CC-BY-4.0", True)], [("MIT", True)], [], [], [("ISC", False), ("LGPL-2.1", False)],
+    ]
+    assert got[4]["matches"] == [] and got[5]["license"] is None and got[0]["license"] is None and (got[0]["mentions"][0]["first_word"], got[0]["mentions"][0]["last_word"]) == (4, 7)
+
+
+def test_full_texts_are_known_with_edits(spark):
+    rng = random.Random(4)
+    full = ["MIT full", "ISC full", "BSD-2-Clause full", "Apache-2.0 notice", "LGPL-2.1 header", "LGPL-3.0 header", "AGPL-3.0 header", "Unlicense text", "MPL-2.0 notice", "Zlib text", "CC-BY-3.0", "CC-BY-SA-4.0"]
+    rows = []
+    for name in full:
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(len(words) // 15):
+            i = rng.randrange(len(words))
+            if not any(map(licenses.telling, decontaminate.words_of(words[i]))):
+                words[i] = rng.choice(["changed", ""])
+        rows.append("x y z " * 50 + " ".join(words) + " and more words after it")
+    got = by_id(licenses.scan(frame(spark, rows)))
+    assert [got[i]["license"] for i in range(len(full))] == full and all(got[i]["first_word"] >= 150 for i in range(len(full)))
+
+
 def plain_patience(a, b):
     """Patience alignment of whole sequences as it is told: equal ends, the longest rising run of words unique to both (by trying all ends), then the gaps."""
     if not a or not b:
