@@ -157,6 +157,58 @@ def read_records(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "data", "idx", "tokens", "width").mapInArrow(read, READ)
 
 
+#: Records that a shuffled read looks up at a time, in the order of their files.
+LOOKED_UP = 1024
+
+
+def read_shuffled(shards: DataFrame, seed: int) -> DataFrame:
+    """Every record once, in an order that follows from a seed: (place, shard, position, doc_id, ids). place is a hash of seed, shard and position; partitions are
+    ranges of it and each is sorted by it, so reading them one after another is a shuffle of all records, the same for every number of partitions.
+
+    Only the offset indexes are read to deal the records out; a task then reads each of its records at its offset, some at a time in the order of their
+    files, and checks lengths and checksums. Shards without records have no rows."""
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, where = _filesystem(row["idx"])
+                with fs.open_input_stream(where) as f:
+                    index = np.frombuffer(f.read(), INDEX)
+                n = len(index)
+                columns = [np.full(n, row["shard"]), np.arange(n), index["offset"].astype(np.int64), index["length"].astype(np.int64)]
+                same = [pa.array([row[c]] * n, kind) for c, kind in (("data", pa.string()), ("width", pa.int32()))]
+                ids = pa.array(index["doc_id"].astype(np.int64), mask=index["known"] == 0)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids, *same], names=["shard", "position", "offset", "length", "doc_id", "data", "width"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, LOOKED_UP):
+                part = batch.slice(a, LOOKED_UP)
+                rows = part.select(["data", "offset", "length", "width"]).to_pylist()
+                found, name, f = [None] * len(rows), None, None
+                for i in sorted(range(len(rows)), key=lambda i: (rows[i]["data"], rows[i]["offset"])):
+                    r = rows[i]
+                    if r["data"] != name:
+                        if f is not None:
+                            f.close()
+                        name, (fs, where) = r["data"], _filesystem(r["data"])
+                        f = fs.open_input_file(where)
+                    payload, end = unframe(f.read_at(r["length"] + 16, r["offset"]))
+                    if end != r["length"] + 16:
+                        raise ValueError("the index doesn't fit the data")
+                    found[i] = np.frombuffer(payload, f"<u{r['width']}").astype(np.int64)
+                if f is not None:
+                    f.close()
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in found])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "shard", "position", "doc_id")), ids], names=["place", "shard", "position", "doc_id", "ids"])
+
+    listed = shards.select("shard", "data", "idx", "width").mapInArrow(indexed, "shard long, position long, offset long, length long, doc_id long, data string, width int")
+    placed = listed.withColumn("place", F.xxhash64(F.lit(seed), "shard", "position"))
+    dealt = placed.repartitionByRange("place", "shard", "position").sortWithinPartitions("place", "shard", "position")
+    return dealt.mapInArrow(read, "place long, shard long, position long, doc_id long, ids array<long>")
+
+
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes and reads back; start counts the ids of all records before, over the shards in their order."""
     spark = docs.sparkSession

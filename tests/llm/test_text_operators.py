@@ -207,6 +207,31 @@ def test_records_keep_null_and_repeated_ids(spark):
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(None, 2), (5, 1), (5, 2)]
 
 
+def test_records_are_read_in_a_shuffled_order_by_the_index(spark, texts, encoded, monkeypatch, tmp_path):
+    monkeypatch.setattr(records, "LOOKED_UP", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards = records.write_records(frame(spark, [*texts, *MARKED], [None, None, *range(2, len(texts) + len(MARKED))]), f"file://{tmp_path}", BPE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    one, two = (records.read_shuffled(shards, seed).collect() for seed in (1, 2))
+    assert shards.count() > 1
+    assert [r["place"] for r in one] == sorted(r["place"] for r in one) and [r["doc_id"] for r in one] != [r["doc_id"] for r in two]
+    for got in (one, two):
+        assert sorted((r["shard"], r["position"]) for r in got) == sorted((r["shard"], r["position"]) for r in records.read_records(shards).collect())
+        assert sorted(r["ids"] for r in got) == sorted([*map(int, ids), 2] for ids in encoded)
+    again = records.read_shuffled(shards.repartition(1), 1).coalesce(1).collect()
+    assert again == one
+    assert {r["doc_id"]: r["ids"] for r in one}[5] == [*map(int, encoded[5]), 2]
+    damaged = shards.first()["data"].removeprefix("file://")
+    with open(damaged, "r+b") as f:
+        f.seek(14)
+        b = f.read(1)[0]
+        f.seek(14)
+        f.write(bytes([b ^ 1]))
+    with pytest.raises(Exception, match="checksum"):
+        records.read_shuffled(shards, 1).collect()
+    assert records.read_shuffled(shards.limit(0), 1).count() == 0
+
+
 def test_damaged_records_are_refused():
     framed = bytearray(records.frame(b"payload"))
     assert records.unframe(bytes(framed)) == (b"payload", len(framed))
