@@ -30,7 +30,7 @@ def imputed(df: DataFrame, columns: list[str], by: str | None = None) -> DataFra
     """Nulls take the mean (of their group), with a flag column for each."""
     keys = [by] if by else []
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    out = df.withColumn("_all", F.lit(1)).join(F.broadcast(means.withColumn("_all", F.lit(1))), ["_all", *keys]).drop("_all")
+    out = df.withColumn("_all", F.lit(1)).join(means.withColumn("_all", F.lit(1)), ["_all", *keys]).drop("_all")
     out = out.withColumns({f"{c}_missing": F.col(c).isNull() for c in columns} | {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns})
     return out.drop(*[f"_m_{c}" for c in columns])
 

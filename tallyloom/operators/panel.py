@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.ranks import last_seen, ranked_by
+from tallyloom.functions.ranks import last_seen, ranked, ranked_by
 from tallyloom.functions.storage import written
 
 
@@ -44,7 +44,8 @@ def strongest_pairs(pairs: DataFrame, top: int) -> DataFrame:
 def aligned(x: DataFrame, y: DataFrame, date: str, lead: bool) -> DataFrame:
     """Inner join of (date, x) and (date, y) on equal dates; with lead, y of its own next row stands under the date. Nulls go."""
     if lead:
-        y = y.select(date, F.lead("y").over(Window.orderBy(date)).alias("y"))
+        placed = ranked(y.select(date, "y"), [date], rank="_i")
+        y = placed.select(date, "_i").join(placed.select((F.col("_i") - 1).alias("_i"), "y"), "_i").select(date, "y")
     return x.join(y, date).filter("x is not null and y is not null")
 
 

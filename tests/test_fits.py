@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.ranks import percentile, percentiles_by, running_by
-from tallyloom.operators import attribution, imputation, selection, smoothing, spectra
+from tallyloom.operators import attribution, imputation, regularised, selection, smoothing, spectra
 from tallyloom.streaming import refits
 
 
@@ -159,3 +159,30 @@ def test_percentiles_of_large_groups_and_null_keys(spark):
     assert percentile(df, "v", 0.9) == pytest.approx(np.percentile(own["v"], 90)) and percentile(df.limit(0), "v", 0.5) is None
     runs = running_by(spark.createDataFrame([("a", 1, 2), (None, 1, 3), (None, 2, 4), ("a", 3, 5)], "g string, i int, n int"), ["g"], ["i"], {"upto": "n"}, {"all": "n"})
     assert sorted((str(r["g"]), r["i"], r["upto"], r["all"]) for r in runs.collect()) == [("None", 1, 3, 7), ("None", 2, 7, 7), ("a", 1, 2, 7), ("a", 3, 7, 7)]
+
+
+def test_logistic_recalibration_of_odd_groups(spark):
+    rng = random.Random(8)
+    rows = [("a", p, int(rng.random() < 1 / (1 + math.exp(-(0.5 + 2 * math.log(p / (1 - p))))))) for p in (rng.uniform(0.05, 0.95) for _ in range(3000))]
+    rows += [("one", 0.3, 1), ("split", 0.2, 0), ("split", 0.8, 1), (None, 0.4, 0), (None, 0.6, 1), ("a", 0.0, 1), ("a", 1.0, 0), ("a", None, 1), ("edge", 1.0, 1)]
+    got = {r["g"]: r for r in regularised.platt(spark.createDataFrame(rows, "g string, p double, y int"), "g", "p", "y").collect()}
+    assert set(got) == {"a", "one", "split", None} and got["a"]["n"] == 3000
+    assert got["a"]["intercept"] == pytest.approx(0.5, abs=0.15) and got["a"]["slope"] == pytest.approx(2, abs=0.2) and got["a"]["calibrated"] < got["a"]["raw"]
+    assert all(math.isfinite(r["slope"]) for r in got.values())
+
+
+def test_chosen_penalty_equals_fits_on_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(250, 3)) * [1, 5, 0]
+    y = 2 * x[:, 0] + rng.normal(size=250)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(999, None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, y double")
+    table, terms = regularised.chosen_lasso(df, "id", ["a", "b", "c"], "y", [0.01, 0.3, 5.0], 4, "s")
+    curve = {r["alpha"]: r for r in table.collect()}
+    assert curve[5.0]["mse"] > curve[0.3]["mse"] and sum(r["least"] for r in curve.values()) == sum(r["one_error"] for r in curve.values()) == 1
+    assert max(a for a, r in curve.items() if r["one_error"]) >= max(a for a, r in curve.items() if r["least"])
+    found = {(r["rule"], r["term"]): r for r in terms.collect()}
+    assert found["least", "a"]["positive"] == 4 and found["least", "c"]["zero"] == 4 and found["least", "c"]["beta"] == 0
+    z = (x[:, 0] - x[:, 0].mean()) / x[:, 0].std()
+    alpha = next(a for a, r in curve.items() if r["least"])
+    assert found["least", "a"]["beta"] == pytest.approx(np.mean(z * (y - y.mean())) - alpha, abs=0.05)
+    assert regularised.chosen_lasso(df.limit(0), "id", ["a"], "y", [0.1], 3, "s")[0].count() == 0
