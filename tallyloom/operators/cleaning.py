@@ -156,3 +156,9 @@ def publishable(df: DataFrame, by: str, date: str, value: str, quantiles: tuple[
     for i, q in enumerate(quantiles):
         out = out.withColumn(f"q{str(q)[2:]}", F.when(F.round(F.col("n") * min(q, 1 - q)) >= min_tail, F.get("_q", F.lit(i))))
     return out.drop("_q")
+
+
+def months_long(wide: DataFrame, year: str, months: list[str]) -> DataFrame:
+    """(year, month, value) from a table of a row a year and a column a month, in order: months that are null or 0, which such tables use for what isn't there, go."""
+    long = wide.unpivot(year, [F.col(m).cast("double").alias(str(i)) for i, m in enumerate(months, 1)], "month", "value")
+    return long.filter("value is not null and value <> 0").select(year, F.col("month").cast("int").alias("month"), "value")

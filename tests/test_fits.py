@@ -186,3 +186,69 @@ def test_chosen_penalty_equals_fits_on_rows(spark):
     alpha = next(a for a, r in curve.items() if r["least"])
     assert found["least", "a"]["beta"] == pytest.approx(np.mean(z * (y - y.mean())) - alpha, abs=0.05)
     assert regularised.chosen_lasso(df.limit(0), "id", ["a"], "y", [0.1], 3, "s")[0].count() == 0
+
+
+def test_parallel_analysis_keeps_what_is_above_noise(spark):
+    rng = np.random.default_rng(11)
+    f = rng.normal(size=(400, 1))
+    x = np.hstack([f + 0.3 * rng.normal(size=(400, 3)), rng.normal(size=(400, 2)), np.ones((400, 1))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(999, None, 1.0, 1.0, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, d double, e double, f double")
+    rows = spectra.parallel_analysis(df, "id", list("abcdef"), 8, 0.95, "s").collect()
+    with np.errstate(invalid="ignore"):
+        own = np.nan_to_num(np.corrcoef(x.T))
+    own[5, 5] = 0
+    assert [r["eigenvalue"] for r in rows] == pytest.approx(sorted(np.linalg.eigvalsh(own), reverse=True), abs=1e-9)
+    assert [r["kept"] for r in rows] == [True] + [False] * 5 and all(r["noise"] <= r["cut"] for r in rows)
+
+
+def test_component_usefulness_equals_fits_on_rows(spark):
+    from tallyloom.functions.hashing import md5_share
+    from tallyloom.operators.resample import key
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 3)) * [4, 1, 0.5]
+    y = x[:, 1] + 0.3 * rng.normal(size=150)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double")
+    fold = np.array([r["f"] for r in df.orderBy("id").select(F.floor(md5_share(key("s", "id")) * 4).cast("int").alias("f")).collect()])
+    got = {(r["scaled"], r["k"]): r for r in spectra.component_usefulness(df, "id", ["a", "b", "c"], "y", 4, "s").collect()}
+    for scaled in (False, True):
+        own = (x - x.mean(0)) / (x.std(0) if scaled else 1)
+        value, vector = np.linalg.eigh(np.cov(own.T, bias=True))
+        for k in (1, 2, 3):
+            assert got[scaled, k]["share"] == pytest.approx(value[::-1][:k].sum() / value.sum())
+            assert got[scaled, k]["squared_r"] == pytest.approx(np.corrcoef(own @ vector[:, 3 - k], y)[0, 1] ** 2)
+            error = level = 0.0
+            for f in range(4):
+                a, b = fold != f, fold == f
+                m, s = x[a].mean(0), x[a].std(0) if scaled else 1
+                w = np.linalg.eigh(np.cov(((x[a] - m) / s).T, bias=True))[1][:, ::-1][:, :k]
+                z = [np.column_stack([(x[i] - m) / s @ w, np.ones(i.sum())]) for i in (a, b)]
+                c = np.linalg.lstsq(z[0], y[a], rcond=None)[0]
+                error, level = error + np.square(y[b] - z[1] @ c).sum(), level + np.square(y[b] - y[a].mean()).sum()
+            assert got[scaled, k]["held_out"] == pytest.approx(1 - error / level)
+    assert got[False, 1]["dominant"] == "a" and spectra.component_usefulness(df.limit(0), "id", ["a"], "y", 3, "s").count() == 0
+
+
+def test_leverages_equal_refits_without_the_row(spark):
+    rng = np.random.default_rng(13)
+    x = np.column_stack([rng.normal(size=40), rng.normal(size=40), np.zeros(40)])
+    x[0, 2] = 1.0  # one row alone decides the third coefficient
+    y = x @ [1, -2, 5] + rng.normal(size=40)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(99, None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, y double").repartition(3)
+    got = {r["id"]: r for r in spectra.leverages(df, "id", ["a", "b", "c"], "y").collect()}
+    z = np.column_stack([x, np.ones(40)])
+    full = np.linalg.lstsq(z, y, rcond=None)[0]
+    assert got[0]["leverage"] == pytest.approx(1) and got[0]["cook"] is None and got[0]["dfbeta"] is None and got[0]["flagged"] and len(got) == 40
+    for i in range(1, 40):
+        left = np.arange(40) != i
+        move = full - np.linalg.lstsq(z[left], y[left], rcond=None)[0]
+        assert got[i]["dfbeta"] == pytest.approx(list(move[:3]), abs=1e-8)
+        s2 = np.square(y - z @ full).sum() / 36
+        assert got[i]["cook"] == pytest.approx(move @ (z.T @ z) @ move / (4 * s2), abs=1e-9)
+
+
+def test_months_of_nothing_go(spark):
+    from tallyloom.operators.cleaning import months_long
+
+    df = spark.createDataFrame([(2001, 1.0, 0.0, None), (2002, 0.0, 4.0, 5.0)], "year int, a double, b double, c double")
+    assert sorted(tuple(r) for r in months_long(df, "year", ["a", "b", "c"]).collect()) == [(2001, 1, 1.0), (2002, 2, 4.0), (2002, 3, 5.0)]
