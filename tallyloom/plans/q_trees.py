@@ -63,14 +63,14 @@ def _parts(spark, sf_dir):
     return rows.filter("train"), rows.filter("not train")
 
 
-@query(f"WITH {_FOREST} SELECT rep, root, top, round(accuracy, 6) AS accuracy, root = (SELECT root FROM rep WHERE rep = 0) AS same_root, top = (SELECT top FROM rep WHERE rep = 0) AS same_top FROM rep")
+@query(f"WITH {_FOREST} SELECT rep, root, top, round(accuracy, 6) AS accuracy, root IS NOT DISTINCT FROM (SELECT root FROM rep WHERE rep = 0) AS same_root, top = (SELECT top FROM rep WHERE rep = 0) AS same_top FROM rep")
 def tree_bootstrap(spark, sf_dir):
     each, _ = T.reliability(spark, *_parts(spark, sf_dir), NAMES, BINS, REPS, DEPTH, "tree")
     return each.select("rep", "root", "top", r("accuracy").alias("accuracy"), "same_root", "same_top")
 
 
 @query(f"""WITH {_FOREST}, c AS (SELECT id, sum(vote) AS c FROM vote WHERE rep > 0 GROUP BY id), s AS (SELECT count(*) AS sets, max(n) / {REPS} AS modal FROM (SELECT top, count(*) AS n FROM rep WHERE rep > 0 GROUP BY top))
-SELECT (SELECT count(*) FROM rep WHERE rep > 0) AS trees, (SELECT round(avg((root = (SELECT root FROM rep WHERE rep = 0))::INT), 6) FROM rep WHERE rep > 0) AS root_same, (SELECT round(stddev_pop(accuracy), 6) FROM rep WHERE rep > 0) AS accuracy_sd,
+SELECT (SELECT count(*) FROM rep WHERE rep > 0) AS trees, (SELECT round(avg((root IS NOT DISTINCT FROM (SELECT root FROM rep WHERE rep = 0))::INT), 6) FROM rep WHERE rep > 0) AS root_same, (SELECT round(stddev_pop(accuracy), 6) FROM rep WHERE rep > 0) AS accuracy_sd,
  sets, round(modal, 6) AS modal_share, (SELECT round(sum(c * ({REPS} - c)) / (count(*) * {REPS * (REPS - 1) // 2}), 6) FROM c) AS pair_disagreement, (SELECT round(avg((c > 0 AND c < {REPS})::INT), 6) FROM c) AS any_disagree FROM s""")
 def tree_disagreement(spark, sf_dir):
     _, all_ = T.reliability(spark, *_parts(spark, sf_dir), NAMES, BINS, REPS, DEPTH, "tree")
