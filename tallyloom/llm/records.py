@@ -70,7 +70,8 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str, end_id: int =
     equal id are ordered by text, null ids come first. Each task writes files
     named after its attempt, and only the attempt whose row is in the table of
     shards counts, so lost executors and repeated tasks leave no trace. An
-    empty table has no shards. Other columns are left out. The directory may be
+    empty table has no shards. Other columns are left out. A text is encoded and
+    framed as one piece, so memory follows the longest one. The directory may be
     any that pyarrow's file systems open and all executors share.
     """
 

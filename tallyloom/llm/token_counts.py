@@ -137,7 +137,8 @@ def flat_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str, separator: int, dtype: str = "<u2", block_tokens: int = 1 << 20) -> DataFrame:
     """Token counts of documents by way of flat files: written, scanned without an index, stitched, and named
-    again by their places. Null and empty texts count 0 tokens; each row of a repeated doc_id counts by itself."""
+    again by their places. Null and empty texts count 0 tokens; each row of a repeated doc_id counts by itself. A text is
+    encoded as one piece, so memory follows the longest one; files are scanned in blocks."""
     catalogue = write_flat(docs, scratch.fresh_dir(docs.sparkSession, "flat"), tokenizer, separator, dtype)
     files = catalogue.groupBy("file").agg(F.max("n_bytes").alias("n_bytes"))
     spans = document_spans(scan_blocks(files, separator, dtype, block_tokens))

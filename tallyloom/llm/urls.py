@@ -93,7 +93,8 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col: str = "p
     edges are (u, v) of normal URLs. A null URL has an empty host and path, no
     rule and no aliases; one without :// has no rule. Of rules of equal length
     that fit, an allowing one wins, then the smaller. Pages whose normal URLs are
-    equal share a verdict. Other columns are left out.
+    equal share a verdict. A row is a page of its own, whether its id is null or
+    repeats: its URL alone decides. Other columns are left out.
     """
     own_host, own_path = host_and_path(F.col(url_col))
     pages = pages.select(F.col(id_col).alias("page_id"), normal(F.col(url_col)).alias("url"), own_host.alias("host"), own_path.alias("path"))
