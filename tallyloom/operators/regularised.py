@@ -90,3 +90,37 @@ def chosen_lasso(df: DataFrame, row_id: str, xs: list[str], y: str, alphas: list
         beta = _lasso(total, alpha, sweeps)[0]
         out += [(rule, x, float(beta[j]), *(int((fits[alpha][:, j] == s).sum()) for s in (1, -1, 0))) for j, x in enumerate(xs)]
     return table, spark.createDataFrame(out, terms)
+
+
+def domain_weights(df: DataFrame, row_id: str, features: list[str], new: str, steps: int = 8, ridge: float = 1e-6) -> DataFrame:
+    """(id, weight) of the rows whose flag `new` is false: how much likelier a row is among the new ones, by a logistic classifier of the flag: p / (1 - p) times the number of
+    old rows over that of new ones. Features are divided by their deviations about their means; the fit takes so many of Newton's steps from 0 with a penalty of
+    `ridge` on all coefficients' squares. A step is one pass of sums. Rows with nulls are left out; without rows of both kinds there are no weights."""
+    p = len(features)
+    d = df.select(F.col(row_id).alias("id"), F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0)).alias("v"), F.col(new).cast("double").alias("y")).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.col("y").isNotNull())
+
+    def moments(t, batch):
+        x = vectors(batch.column("v"), batch.num_rows)
+        t[0] += x.sum(0)
+        t[1] += np.square(x).sum(0)
+        t[2] += batch.column("y").to_numpy().sum()
+
+    s, q, n_new = summed(d, ["v", "y"], [(p + 1,), (p + 1,), (1,)], moments)
+    n, n_new = s[-1], float(n_new[0])
+    if not 0 < n_new < n:
+        return d.select("id", F.lit(0.0).alias("weight")).limit(0)
+    mean = np.append(s[:p] / n, 0.0)
+    sd = np.append(np.sqrt(np.maximum(q[:p] / n - mean[:p] ** 2, 0)), 1.0)
+    sd, beta = np.where(sd > 1e-12, sd, 1.0), np.zeros(p + 1)
+    for _ in range(steps):
+
+        def newton(t, batch, beta=beta):
+            x = (vectors(batch.column("v"), batch.num_rows) - mean) / sd
+            prob = 1 / (1 + np.exp(-(x @ beta)))
+            t[0] += x.T @ (batch.column("y").to_numpy() - prob)
+            t[1] += x.T @ (x * (prob * (1 - prob))[:, None])
+
+        g, h = summed(d, ["v", "y"], [(p + 1,), (p + 1, p + 1)], newton)
+        beta = beta + np.linalg.solve(h + ridge * np.eye(p + 1), g - ridge * beta)
+    odds = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(b)) for b in beta / sd]), lambda a, b: a * b), F.lit(float(-(beta / sd) @ mean)), lambda a, b: a + b)
+    return d.filter("y = 0").select("id", (F.exp(odds) * ((n - n_new) / n_new)).alias("weight"))

@@ -49,3 +49,15 @@ def lasso_choice(spark, sf_dir):
 SELECT rule, term, round(max(beta) FILTER (f = -1), 6) + 0.0 AS beta, count(*) FILTER (f >= 0 AND beta > 0) AS positive, count(*) FILTER (f >= 0 AND beta < 0) AS negative, count(*) FILTER (f >= 0 AND beta = 0) AS zero FROM long GROUP BY 1, 2""")
 def lasso_signs(spark, sf_dir):
     return _chosen(spark, sf_dir)[1].withColumn("beta", r("beta") + 0.0)
+
+
+_DOMAIN = """d AS MATERIALIZED (SELECT o_orderkey AS id, o_totalprice / 100000 AS x, (year(o_orderdate) >= 1999 OR o_totalprice > 280000)::INT AS y FROM orders),
+t AS MATERIALIZED (SELECT id, y, (x - (SELECT avg(x) FROM d)) / (SELECT stddev_pop(x) FROM d) AS z FROM d),
+e AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, a + (bb * u - ab * v) / (aa * bb - ab * ab), b + (aa * v - ab * u) / (aa * bb - ab * ab) FROM (
+ SELECT i, a, b, sum(y - p) - 1e-6 * a AS u, sum((y - p) * z) - 1e-6 * b AS v, sum(p * (1 - p)) + 1e-6 AS aa, sum(p * (1 - p) * z) AS ab, sum(p * (1 - p) * z * z) + 1e-6 AS bb FROM (SELECT i, a, b, y, z, 1 / (1 + exp(-(a + b * z))) AS p FROM e, t WHERE i < 8) GROUP BY i, a, b))"""
+
+
+@query(f"WITH RECURSIVE {_DOMAIN} SELECT id, round(exp(a + b * z) * (SELECT sum(1 - y) / sum(y) FROM t), 6) AS weight FROM t, e WHERE i = 8 AND y = 0")
+def classifier_weights(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("x"), ((F.year("o_orderdate") >= 1999) | (F.col("o_totalprice") > 280000)).alias("new"))
+    return G.domain_weights(o, "o_orderkey", ["x"], "new").select("id", r("weight").alias("weight"))

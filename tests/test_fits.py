@@ -252,3 +252,19 @@ def test_months_of_nothing_go(spark):
 
     df = spark.createDataFrame([(2001, 1.0, 0.0, None), (2002, 0.0, 4.0, 5.0)], "year int, a double, b double, c double")
     assert sorted(tuple(r) for r in months_long(df, "year", ["a", "b", "c"]).collect()) == [(2001, 1, 1.0), (2002, 2, 4.0), (2002, 3, 5.0)]
+
+
+def test_domain_weights_equal_plain_newton_steps(spark):
+    rng = np.random.default_rng(14)
+    x, y = rng.normal(size=(300, 3)) * [1, 4, 0], rng.random(300) < 0.3
+    x[y, 0] += 1
+    rows = [(i, *map(float, r), bool(t)) for i, (r, t) in enumerate(zip(x, y))] + [(900, None, 1.0, 1.0, True), (901, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, new boolean").repartition(3)
+    sd = np.where(x.std(0) > 0, x.std(0), 1)
+    z, beta = np.column_stack([(x - x.mean(0)) / sd, np.ones(300)]), np.zeros(4)
+    for _ in range(8):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-6 * np.eye(4), z.T @ (y - p) - 1e-6 * beta)
+    got = {r["id"]: r["weight"] for r in regularised.domain_weights(df, "id", ["a", "b", "c"], "new").collect()}
+    assert got == {i: pytest.approx(math.exp(z[i] @ beta) * (~y).sum() / y.sum()) for i in range(300) if not y[i]}
+    assert regularised.domain_weights(df.filter("new"), "id", ["a"], "new").count() == 0
