@@ -7,14 +7,16 @@ study of many replicates and folds is one aggregate and no loop of fits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import md5_share
-from tallyloom.functions.ranks import percentile, ranked
+from tallyloom.functions.ranks import last_seen, percentile, ranked
+from tallyloom.functions.storage import written
 from tallyloom.operators.resample import key, permuted, with_replicates
 
 _SUMS = {"n": lambda x, y: F.count("*"), "sx": lambda x, y: F.sum(x), "sy": lambda x, y: F.sum(y), "sxx": lambda x, y: F.sum(x * x), "sxy": lambda x, y: F.sum(x * y), "syy": lambda x, y: F.sum(y * y)}
@@ -112,25 +114,50 @@ def off_support(df: DataFrame, row_id: str, a: str, b: str, level: float, seed:
     return p.agg(F.lit(cut).alias("cut"), F.avg((distance(F.col("shuffled"), F.col(b)) > cut).cast("double")).alias("off"))
 
 
-def isotonic(df: DataFrame, by: str, p: str, y: str) -> DataFrame:
-    """(by, score, n, fitted): the non-decreasing fit of least squares to the label by score, by pooling neighbours that are out of
-    order. Rows are counted by distinct score first, so round scores: a group's distinct ones are pooled in one task."""
-    g = df.groupBy(by, F.col(p).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
-    kind = df.schema[by].dataType.simpleString()
-
-    def pool(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score")
-        sums, sizes, lengths = [], [], []
-        for s, n in zip(rows["s"], rows["n"]):
-            sums.append(s), sizes.append(n), lengths.append(1)
-            while len(sums) > 1 and sums[-2] * sizes[-1] >= sums[-1] * sizes[-2]:
-                s, n, k = sums.pop(), sizes.pop(), lengths.pop()
-                sums[-1] += s
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (g, score, n, s) in order of (g, score), pooled with the one before while out of order; a block goes by its lowest score."""
+    kind, keys, scores, sizes, sums = None, [], [], [], []
+    for batch in batches:
+        kind = batch.schema.field("g").type
+        for g, score, n, s in zip(*(batch.column(c).to_pylist() for c in ("g", "score", "n", "s"))):
+            keys.append(g), scores.append(score), sizes.append(n), sums.append(s)
+            while len(sums) > 1 and keys[-2] == keys[-1] and sums[-2] * sizes[-1] >= sums[-1] * sizes[-2]:
+                n, s = sizes.pop(), sums.pop()
+                keys.pop(), scores.pop()
                 sizes[-1] += n
-                lengths[-1] += k
-        return rows.assign(fitted=np.repeat(np.array(sums, float) / np.array(sizes, float), lengths))[[by, "score", "n", "fitted"]]
-
-    return g.groupBy(by).applyInPandas(pool, f"{by} {kind}, score double, n long, fitted double")
+                sums[-1] += s
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["g", "score", "n", "s"])
+
+
+def isotonic(df: DataFrame, by: str, p: str, y: str, at_once: int = 200_000) -> DataFrame:
+    """(by, score, n, fitted): the non-decreasing fit of least squares to the label by score. Null scores, NaN and null labels are left out; a null group is one.
+
+    Scores are counted first. Tasks pool neighbours that are out of order within range
+    partitions of about at_once blocks; as long as blocks of two partitions are out of
+    order, what is left is dealt anew between other bounds. The order of pooling doesn't change the
+    fit, so groups may have any number of distinct scores, and none is gathered."""
+    kind, score = df.schema[by].dataType.simpleString(), F.col(p).cast("double")
+    d = df.filter(score.isNotNull() & ~F.isnan(score) & F.col(y).isNotNull())
+    d = written(d.groupBy(F.col(by).alias("g"), score.alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s")), "counted")
+    blocks, parts, last = d, max(1, ceil(d.count() / at_once)), 0
+    while True:
+        placed = blocks.select("g", "score", "n", "s").repartitionByRange(parts, "g", "score").sortWithinPartitions("g", "score")
+        blocks = written(placed.mapInArrow(_pooled, f"g {kind}, score double, n long, s double").withColumn("part", F.spark_partition_id()), "pooled")
+        if parts == 1:
+            break
+        end = F.struct("s", "n")
+        ends = blocks.groupBy("g", "part").agg(F.min_by(end, "score").alias("first"), F.max_by(end, "score").alias("last"))
+        left = F.lag("last").over(Window.partitionBy("g").orderBy("part"))  # one row a group and partition
+        ends = ends.withColumn("left", left)
+        if ends.filter("left.s * first.n >= first.s * left.n").isEmpty():
+            break
+        last, parts = parts, max(1, ceil(blocks.count() / at_once))
+        parts += parts == last and parts > 1
+    starts = blocks.select("g", "score", F.lit(None).cast("long").alias("n"), (F.col("s") / F.col("n")).alias("level"))
+    rows = d.select("g", "score", "n", F.lit(None).cast("double").alias("level")).unionByName(starts)
+    held = last_seen(rows, ["g"], ["score", F.col("n").isNotNull()], "level", "fitted")
+    return held.filter("n is not null").select(F.col("g").alias(by), "score", "n", "fitted")
 
 
 def recalibration_by_size(df: DataFrame, row_id: str, p: str, y: str, shares: list[float], seed: str) -> DataFrame:
@@ -141,9 +168,8 @@ def recalibration_by_size(df: DataFrame, row_id: str, p: str, y: str, shares: li
     fit = isotonic(d.filter("u < 0.5").withColumn("share", grid).filter("u < share"), "share", p, "y")
     test = d.filter("u >= 0.5").groupBy(F.col(p).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).withColumn("share", grid)
     both = test.select("share", "score", "n", "s", "q", F.lit(None).cast("double").alias("fitted")).union(fit.select("share", "score", F.lit(None), F.lit(None), F.lit(None), "fitted"))
-    w = Window.partitionBy("share").orderBy("score", F.col("n").isNotNull())  # distinct scores
-    held = F.coalesce(F.last("fitted", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min("fitted").over(Window.partitionBy("share")))
-    rows = both.withColumn("f", held).filter("n is not null")
+    held = last_seen(both, ["share"], ["score", F.col("n").isNotNull()], "fitted", "held").filter("n is not null")
+    rows = held.join(F.broadcast(fit.groupBy("share").agg(F.min("fitted").alias("lowest"))), "share", "left").withColumn("f", F.coalesce("held", "lowest"))  # a row a share
     error = lambda c: F.sum(F.col("q") - 2 * c * F.col("s") + F.col("n") * c * c) / F.sum("n")
     return rows.groupBy("share").agg(error(F.col("score")).alias("raw"), error(F.col("f")).alias("recalibrated"))
 

@@ -77,3 +77,32 @@ def test_last_values_are_carried_over_partitions(spark):
     for g, t, v in rows:
         last[g] = v if v is not None else last.get(g)
         assert got[g, t] == last[g]
+
+
+def test_isotonic_fits_of_one_group_over_many_partitions(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import validation
+
+    rng = np.random.default_rng(8)
+    n = 4000
+    x = np.arange(n) / n
+    for name, y in {"rising": x + 0.3 * rng.normal(size=n), "falling": 1 - x + 0.01 * rng.normal(size=n), "wave": np.sin(9 * x), "steps": np.floor(20 * x) + 0.0, "bent": np.abs(x - 0.5)}.items():
+        df = spark.createDataFrame([(None if i % 2 else "a", float(v), float(w)) for i, (v, w) in enumerate(zip(x, y))], "g string, p double, y double")
+        for at_once in (90, 10**6) if name == "wave" else (90,):
+            got = {(r["g"], r["score"]): r["fitted"] for r in validation.isotonic(df, "g", "p", "y", at_once).collect()}
+            assert len(got) == n
+            for odd, g in ((0, "a"), (1, None)):
+                own = y[odd::2]
+                # slopes of the greatest convex line below the running sums
+                total, hull = np.concatenate([[0.0], np.cumsum(own)]), [0]
+                for k in range(1, len(total)):
+                    while len(hull) > 1 and (total[hull[-1]] - total[hull[-2]]) * (k - hull[-1]) >= (total[k] - total[hull[-1]]) * (hull[-1] - hull[-2]):
+                        hull.pop()
+                    hull.append(k)
+                want = np.concatenate([np.full(b - a, (total[b] - total[a]) / (b - a)) for a, b in zip(hull, hull[1:])])
+                assert np.allclose([got[g, float(v)] for v in x[odd::2]], want, atol=1e-9), (name, at_once)
+    left = spark.createDataFrame([("a", None, 1.0), ("a", float("nan"), 1.0), ("a", 0.5, None), ("a", 0.25, 2.0)], "g string, p double, y double")
+    assert [tuple(r) for r in validation.isotonic(left, "g", "p", "y").collect()] == [("a", 0.25, 1, 2.0)]
+    assert validation.isotonic(left.filter(F.lit(False)), "g", "p", "y").count() == 0
