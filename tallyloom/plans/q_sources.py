@@ -317,3 +317,37 @@ def zipped_members(spark, sf_dir):
         return pd.DataFrame({"content": [held.getvalue()]})
 
     return S.zipped_members(n.groupBy("n_regionkey").applyInPandas(packed, "content binary"), "name string, region long", member=r"flow.*\.csv$", skip=1)
+
+
+@query("SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation")
+def largest_member(spark, sf_dir):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_name")
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("in/Metadata_of_all.csv", "name,region\n" + "note,0\n" * 500)
+            z.writestr("in/a_short.csv", "name,region\n")
+            z.writestr("in/table.csv", rows.rename(columns={"n_name": "name", "n_regionkey": "region"}).to_csv(index=False))
+        return pd.DataFrame({"content": [held.getvalue()]})
+
+    return S.zipped_members(n.groupBy("n_regionkey").applyInPandas(packed, "content binary"), "name string, region long", member=r"API_.*\.csv$", largest=True)
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT date_trunc('month', date)::DATE AS date, round(avg(value), 2) AS value FROM daily WHERE month(date) <> 7 OR year(date) % 2 = 0 GROUP BY 1) SELECT date, value FROM m WHERE value > 0""")
+def landed_month_matrix(spark, sf_dir):
+    d = daily(spark, sf_dir).filter(~((F.month("date") == 7) & (F.year("date") % 2 == 1)))
+    m = d.withColumn("m", F.concat(F.month("date"), F.lit("M"))).groupBy(F.year("date").cast("string").alias("year")).pivot("m", [f"{k}M" for k in range(1, 13)]).agg(F.format_number(F.avg("value"), 2))
+    return S.month_matrix(m.fillna("0"), "year").select("date", r("value", 2).alias("value"))
+
+
+@query(f"""WITH {DAILY}, y AS (SELECT year(date)::INT AS year, max(value) AS peak, arg_max(month(date), value)::INT AS month, count(*)::DOUBLE AS days FROM daily GROUP BY 1) SELECT year, month, round(peak, 2) AS peak, days, month IN (11, 12, 1, 2) AS winter_peak FROM y""")
+def yearly_peaks(spark, sf_dir):
+    y = daily(spark, sf_dir).groupBy(F.year("date").cast("string").alias("c1")).agg(F.max_by(F.month("date"), "value").cast("string").alias("c2"), F.format_number(F.max("value"), 2).alias("c3"), F.format_number(F.count("*"), 0).alias("c4"))
+    none = spark.createDataFrame([("1900", "1", "-", "-")], y.schema)  # a year without a peak
+    return S.peak_table(y.union(none), ["year", "month", "peak", "days"], "year", "month", "peak", ["days"])

@@ -86,17 +86,20 @@ def slice_to_columns(rows: DataFrame, filters: dict[str, str], entity: str, enti
     return rows.groupBy("date").pivot(entity, entities).agg(F.first(value, ignorenulls=True))
 
 
-def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = r".*\.csv$", skip: int = 0, max_bytes: int = 1 << 30) -> DataFrame:
+def zipped_csv(spark: SparkSession, path: str, schema: str, member: str = r".*\.csv$", skip: int = 0, max_bytes: int = 1 << 30, largest: bool = False) -> DataFrame:
     """CSV members of zip files that match. A zip file is one value of Spark's reader; a larger one than max_bytes is refused."""
     files = spark.read.format("binaryFile").load(path)
     large = files.filter(F.col("length") > max_bytes).select("path", "length").first()
     if large is not None:
         raise ValueError(f"{large['path']} has {large['length']} bytes; unpack it on landing")
-    return zipped_members(files.select("content"), schema, member, skip)
+    return zipped_members(files.select("content"), schema, member, skip, largest)
 
 
-def zipped_members(files: DataFrame, schema: str, member: str = r".*\.csv$", skip: int = 0) -> DataFrame:
-    """CSV members of the zip files in a table of `content`, a file a task, streamed line by line; `skip` lines before the header go."""
+def zipped_members(files: DataFrame, schema: str, member: str = r".*\.csv$", skip: int = 0, largest: bool = False) -> DataFrame:
+    """CSV members of the zip files in a table of `content`, a file a task, streamed line by line; `skip` lines before the header go.
+
+    With `largest`, one member of each file: the first whose name, without folders, matches, else the largest CSV whose name doesn't begin with
+    "metadata", the first of equals; a file without any is an error."""
 
     def rows(batches):
         import csv
@@ -109,7 +112,14 @@ def zipped_members(files: DataFrame, schema: str, member: str = r".*\.csv$", ski
         for batch in batches:
             for content in batch.column("content").to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if re.match(member, n)):
+                    base = lambda n: n.rsplit("/", 1)[-1]
+                    chosen = sorted(n for n in z.namelist() if re.match(member, base(n) if largest else n))
+                    if largest:
+                        others = sorted(n for n in z.namelist() if n.lower().endswith(".csv") and not base(n).lower().startswith("metadata"))
+                        if not chosen and not others:
+                            raise ValueError(f"no table among {z.namelist()}")
+                        chosen = chosen[:1] or [max(others, key=lambda n: z.getinfo(n).file_size)]
+                    for name in chosen:
                         with z.open(name) as f:
                             lines = io.TextIOWrapper(f, "utf-8-sig", newline="")
                             for _ in range(skip):
@@ -173,6 +183,16 @@ def years_to_long(wide: DataFrame, keys: list[str], metadata: DataFrame | None =
     return long.join(metadata.filter("region is not null").select("iso3"), "iso3", "left_semi") if drop_aggregates else long
 
 
+def indicator_name(df: DataFrame) -> str:
+    """A name of the indicator from the first column that tells it, `Indicator Name` or `indicator`; the smallest of several, "unknown indicator" of none."""
+    for c in ("Indicator Name", "indicator"):
+        if c in df.columns:
+            name = df.agg(F.min(F.col(f"`{c}`").cast("string"))).first()[0]
+            if name is not None:
+                return name
+    return "unknown indicator"
+
+
 def entity_csv(spark: SparkSession, path: str) -> DataFrame:
     """Entity, Code, Year or Day, and any value columns: (entity, code, date, measure, value); a year is its last day."""
     df = required(spark.read.option("header", True).csv(path), "Entity", "Code")
@@ -369,3 +389,23 @@ def power_table(df: DataFrame, names: list[str], winter: str, summer: str, total
     if gap is not None and gap > tolerance:
         raise ValueError(f"parts are {gap} away from their total")
     return t.withColumns({"winter_peak": F.col(winter) > F.col(summer), f"{total}_twh": F.col(total) / 1e6})
+
+
+def peak_table(df: DataFrame, names: list[str], year: str, month: str, peak: str, numbers: list[str], winter: tuple[int, ...] = (11, 12, 1, 2)) -> DataFrame:
+    """A table of yearly peaks whose columns are named by their place: whole years and months, numbers without separators, and `winter_peak`, whether the peak's month is
+    a winter's. Rows without a peak go."""
+    if len(df.columns) != len(names):
+        raise ValueError(f"{len(df.columns)} columns, not {len(names)}")
+    t = df.toDF(*names).withColumns({c: to_number(c) for c in {peak, *numbers}} | {c: F.col(c).cast("int") for c in (year, month)})
+    return t.filter(F.col(peak).isNotNull()).withColumn("winter_peak", F.col(month).isin(*winter))
+
+
+def month_matrix(df: DataFrame, year: str) -> DataFrame:
+    """(date, value) on the first of the month, from a row a year and a column a month, named by its number with or without a unit. Zeros stand for months without a
+    record, so what isn't above zero is left out."""
+    months = {c: int("".join(x for x in c if x.isdigit())) for c in df.columns if c != year and any(x.isdigit() for x in c)}
+    if year not in df.columns or not months or any(not 1 <= m <= 12 for m in months.values()) or len(set(months.values())) < len(months):
+        raise ValueError(f"not a column {year} and columns of months: {df.columns}")
+    long = df.select(year, *[F.col(f"`{c}`").cast("string").alias(str(m)) for c, m in months.items()]).unpivot([year], [str(m) for m in months.values()], "month", "value")
+    day = F.make_date(F.col(year).cast("int"), F.col("month").cast("int"), F.lit(1))
+    return long.select(day.alias("date"), to_number("value").alias("value")).filter("value > 0")

@@ -187,6 +187,40 @@ def test_zipped_csv_and_changed_vintages(spark, tmp_path):
     assert [r["file"] for r in landed.changed(before, landed.manifest(spark, f"file://{tmp_path}/*.zip")).collect()] == ["b.zip"]
 
 
+def test_the_largest_member_stands_in_for_a_name_that_changed(spark, tmp_path):
+    import zipfile
+
+    def pack(name, members):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+
+    pack("a.zip", {"x/API_1.csv": "note\nv\n1\n", "x/big.csv": "note\nv\n" + "9\n" * 99})
+    pack("b.zip", {"METADATA_all.csv": "note\nv\n" + "8\n" * 99, "z.csv": "note\nv\n7\n", "y.csv": "note\nv\n2\n3\n", "y.txt": "9" * 999})
+    read = lambda f: [r["v"] for r in landed.zipped_csv(spark, f"file://{tmp_path}/{f}", "v int", r"API_.*\.csv$", 1, largest=True).collect()]
+    assert read("a.zip") == [1] and read("b.zip") == [2, 3]
+    pack("c.zip", {"metadata.csv": "v\n1\n"})
+    with pytest.raises(Exception, match="no table"):
+        read("c.zip")
+    named = spark.createDataFrame([(None, "b"), ("c", "a")], "`Indicator Name` string, indicator string")
+    assert landed.indicator_name(named) == "c" and landed.indicator_name(named.filter("indicator = 'b'")) == "b" and landed.indicator_name(named.select(F.lit(1).alias("x"))) == "unknown indicator"
+
+
+def test_months_of_a_matrix_and_peaks_by_place(spark):
+    m = spark.createDataFrame([(2020, "1,200.5", "0", "-"), (2021, None, "3", "")], "year int, `1M` string, `2M` string, `12M` string")
+    assert sorted((str(r["date"]), r["value"]) for r in landed.month_matrix(m, "year").collect()) == [("2020-01-01", 1200.5), ("2021-02-01", 3.0)]
+    for columns in (["year", "13M"], ["y", "1M"], ["year", "a"]):
+        with pytest.raises(ValueError):
+            landed.month_matrix(spark.createDataFrame([(2020, "1")], columns), "year")
+    with pytest.raises(ValueError):
+        landed.month_matrix(spark.createDataFrame([(2020, "1", "2")], ["year", "1M", "01M"]), "year")
+    p = spark.createDataFrame([("2020", "1", "1,000"), ("2021", "8", "2,000"), ("2022", "2", "-")], "a string, b string, c string")
+    got = landed.peak_table(p, ["year", "month", "peak"], "year", "month", "peak", []).collect()
+    assert [(r["year"], r["peak"], r["winter_peak"]) for r in got] == [(2020, 1000.0, True), (2021, 2000.0, False)]
+    with pytest.raises(ValueError):
+        landed.peak_table(p, ["year"], "year", "month", "peak", [])
+
+
 def test_streams_equal_their_recursions(spark):
     rng = random.Random(8)
     start = datetime(2024, 1, 1)
