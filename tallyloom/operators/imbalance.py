@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from tallyloom.functions.storage import written
 from tallyloom.operators.modelling import smote
 from tallyloom.operators.resample import key
 from tallyloom.operators.scoring import by_score, ranking_scores, threshold_scores
+from tallyloom.operators.trees import Tree, _grown
 
 METHODS = ("plain", "oversample", "smote", "undersample", "weights")
 #: The scores of the oversampled model, moved back to the share of rare rows that it was drawn from.
@@ -38,94 +41,177 @@ def _weights(y: np.ndarray, u: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.column_stack([one, np.where(y == 1, copies, 1), one, np.where(y == 1, 1, u < rare / most), balanced])
 
 
-def resampled_fits(train: DataFrame, reps: int, k: int, seed: str, steps: int, ridge: float) -> dict[tuple[int, str], tuple[np.ndarray, float, float]]:
-    """{(rep, method): (coefficients and intercept, share of rare rows as drawn, share as trained on)} of logistic fits, for training sets that have rows of both labels.
+@dataclass
+class Sets:
+    """Training sets with their synthetic rows: (vec, y, rep, u, drawn); the columns, real rows by set and label, sets that have both labels, and the share of
+    label 1 that a method trains on."""
+
+    rows: DataFrame
+    columns: int
+    counts: np.ndarray
+    used: list[int]
+    trained: np.ndarray
+
+
+def _own(batch: pa.RecordBatch, i: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a batch are of set i, and their weights by method."""
+    y, u, rep = (batch.column(c).to_numpy() for c in ("y", "u", "rep"))
+    drawn, at = batch.column("drawn").to_numpy(zero_copy_only=False), rep == i
+    return at, np.where(drawn[at, None], _weights(y[at], u[at], counts[i]), [name == "smote" for name in METHODS])
+
 
-    A step of Newton's is one pass that adds up the gradients and curvatures of all
-    sets and methods; real rows are never copied, as copies, discards and class
-    weights are weights, and only synthetic rows are added. `ridge` penalises squares of the coefficients of standardised columns, not the intercept."""
+def resampled_sets(train: DataFrame, reps: int, k: int, seed: str) -> Sets | None:
+    """Real rows are never copied, as copies, discards and class weights are weights; only synthetic rows are added. None without rows."""
     real = written(train, "train")
     one = real.select(F.size("vec")).first()
     if one is None:
-        return {}
-    p = one[0]
+        return None
 
-    def moments(t, batch):
-        x, y, rep = vectors(batch.column("vec"), batch.num_rows), batch.column("y").to_numpy(), batch.column("rep").to_numpy()
-        np.add.at(t[0], (rep, y), 1)
-        np.add.at(t[1], rep, x)
-        np.add.at(t[2], rep, x * x)
+    def labels(t, batch):
+        np.add.at(t[0], (batch.column("rep").to_numpy(), batch.column("y").to_numpy()), 1)
 
-    counts, s, q = summed(real, ["vec", "y", "rep"], [(reps, 2), (reps, p), (reps, p)], moments)
-    n = counts.sum(1)
+    (counts,) = summed(real, ["y", "rep"], [(reps, 2)], labels)
     used = [i for i in range(reps) if counts[i].min() > 0]
-    mean = s / np.maximum(n, 1)[:, None]
-    sd = np.sqrt(np.maximum(q / np.maximum(n, 1)[:, None] - mean**2, 0))
-    sd = np.where(sd > 1e-12, sd, 1.0)
     rows = real.select("vec", "y", "rep", "u", F.lit(True).alias("drawn"))
     for i in used:
         made = smote(real.filter(F.col("rep") == i), "id", "vec", "y", 1, k, f"{seed}:{i}")
         rows = rows.unionByName(made.select("vec", F.lit(1).alias("y"), F.lit(i).alias("rep"), F.lit(0.0).alias("u"), F.lit(False).alias("drawn")))
-    rows, m = written(rows, "resampled"), len(METHODS)
-    beta = np.zeros((reps, m, p + 1))
+    rows = written(rows, "resampled")
+
+    def totals(t, batch):
+        for i in used:
+            at, w = _own(batch, i, counts)
+            t[0][i, :, 0] += w.sum(0)
+            t[0][i, :, 1] += w.T @ batch.column("y").to_numpy()[at]
+
+    (both,) = summed(rows, ["y", "rep", "u", "drawn"], [(reps, len(METHODS), 2)], totals)
+    return Sets(rows, one[0], counts, used, both[..., 1] / np.maximum(both[..., 0], 1e-12))
+
+
+def logistic_fits(sets: Sets, steps: int = 12, ridge: float = 1.0) -> list[tuple[int, str, np.ndarray]]:
+    """(set, method, coefficients and intercept) of logistic fits. A step of Newton's is one pass that adds up the gradients and curvatures of all sets and methods.
+    `ridge` penalises squares of the coefficients of columns standardised by the set's real rows, not the intercept."""
+    reps, p, m = len(sets.counts), sets.columns, len(METHODS)
+
+    def moments(t, batch):
+        real = batch.column("drawn").to_numpy(zero_copy_only=False)
+        x, rep = vectors(batch.column("vec"), batch.num_rows)[real], batch.column("rep").to_numpy()[real]
+        np.add.at(t[0], rep, x)
+        np.add.at(t[1], rep, x * x)
+
+    s, q = summed(sets.rows, ["vec", "rep", "drawn"], [(reps, p), (reps, p)], moments)
+    n = np.maximum(sets.counts.sum(1), 1)[:, None]
+    mean = s / n
+    sd = np.sqrt(np.maximum(q / n - mean**2, 0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    beta, used, counts = np.zeros((reps, m, p + 1)), sets.used, sets.counts
     for _ in range(steps):
 
         def newton(t, batch, beta=beta):
-            x, y, rep, u = vectors(batch.column("vec"), batch.num_rows), *(batch.column(c).to_numpy() for c in ("y", "rep", "u"))
-            drawn = batch.column("drawn").to_numpy(zero_copy_only=False)
+            x, y = vectors(batch.column("vec"), batch.num_rows), batch.column("y").to_numpy()
             for i in used:
-                at = rep == i
-                if not at.any():
-                    continue
+                at, w = _own(batch, i, counts)
                 z = np.column_stack([(x[at] - mean[i]) / sd[i], np.ones(at.sum())])
-                w = np.where(drawn[at, None], _weights(y[at], u[at], counts[i]), [name == "smote" for name in METHODS])
                 for j in range(m):
                     prob = 1 / (1 + np.exp(-np.clip(z @ beta[i, j], -500, 500)))
                     t[0][i, j] += z.T @ (w[:, j] * (y[at] - prob))
                     t[1][i, j] += z.T @ (z * (w[:, j] * prob * (1 - prob))[:, None])
-                    t[2][i, j] += [w[:, j].sum(), w[:, j] @ y[at]]
 
-        g, h, totals = summed(rows, ["vec", "y", "rep", "u", "drawn"], [(reps, m, p + 1), (reps, m, p + 1, p + 1), (reps, m, 2)], newton)
+        g, h = summed(sets.rows, ["vec", "y", "rep", "u", "drawn"], [(reps, m, p + 1), (reps, m, p + 1, p + 1)], newton)
         penalty = np.append(np.full(p, float(ridge)), 0.0)
         beta = beta.copy()
         for i in used:
             for j in range(m):
                 beta[i, j] += np.linalg.solve(h[i, j] + np.diag(penalty + 1e-9), g[i, j] - penalty * beta[i, j])
-    out = {}
-    for i in used:
-        for j, name in enumerate(METHODS):
-            slope = beta[i, j, :p] / sd[i]
-            out[i, name] = (np.append(slope, beta[i, j, p] - slope @ mean[i]), float(counts[i, 1] / n[i]), float(totals[i, j, 1] / totals[i, j, 0]))
-    return out
+    slopes = beta[:, :, :p] / sd[:, None]
+    return [(i, name, np.append(slopes[i, j], beta[i, j, p] - slopes[i, j] @ mean[i])) for i in used for j, name in enumerate(METHODS)]
+
+
+def _bins(edges: np.ndarray, x: np.ndarray, bins: int) -> np.ndarray:
+    """Equal steps between each column's ends, (2 x columns); what lies beyond them is in the outer bins."""
+    low, high = edges
+    return np.clip(np.floor((x - low) / np.where(high > low, high - low, 1.0) * bins), 0, bins - 1).astype(np.int32)
+
+
+def boosted_fits(sets: Sets, bins: int = 32, rounds: int = 10, depth: int = 3, rate: float = 0.3, least: int = 5) -> tuple[np.ndarray, list[tuple[int, str, float, list[Tree]]]]:
+    """The columns' ends, and (set, method, first score, trees) of gradient boosting by log loss. Trees of all sets and methods grow together, one pass a level and
+    round; a leaf has at least so much weight."""
+    ends = sets.rows.select(*[F.get("vec", F.lit(c)).alias(f"c{c}") for c in range(sets.columns)]).agg(*[f(f"c{c}") for f in (F.min, F.max) for c in range(sets.columns)]).first()
+    edges, used, counts, m = np.array(ends, float).reshape(2, -1), sets.used, sets.counts, len(METHODS)
+    binned = sets.rows.mapInArrow(
+        lambda batches: (
+            pa.RecordBatch.from_arrays([*(b.column(c) for c in ("y", "rep", "u", "drawn")), pa.array(list(_bins(edges, vectors(b.column("vec"), b.num_rows), bins)))], names=["y", "rep", "u", "drawn", "bins"])
+            for b in batches if b.num_rows
+        ), "y int, rep int, u double, drawn boolean, bins array<int>",
+    )
+    binned, n = written(binned, "binned"), len(used) * m
+    share = np.clip(sets.trained[used].ravel(), 1e-9, 1 - 1e-9)
+    first, grown = np.log(share / (1 - share)), [[] for _ in range(n)]
+    for _ in range(rounds):
+        so_far = [list(t) for t in grown]
+
+        def rows_of(batch, x, so_far=so_far):
+            y = batch.column("y").to_numpy()
+            w, s, h = (np.zeros((len(x), n)) for _ in range(3))
+            for a, i in enumerate(used):
+                at, own = _own(batch, i, counts)
+                for j in range(m):
+                    t = a * m + j
+                    p = 1 / (1 + np.exp(-sum((tree.predict(x[at], depth) for tree in so_far[t]), np.full(at.sum(), first[t]))))
+                    w[at, t], s[at, t], h[at, t] = own[:, j], own[:, j] * (y[at] - p), own[:, j] * p * (1 - p)
+            return w, s, h
+
+        for t, tree in enumerate(_grown(binned, n, [[1] * sets.columns] * n, depth, bins, rows_of, False, least, lambda n, s, h: rate * s / max(h, 1e-12))):
+            grown[t].append(tree)
+    return edges, [(used[t // m], METHODS[t % m], float(first[t]), grown[t]) for t in range(n)]
 
 
-def resampled_scores(df: DataFrame, row_id: str, vec: str, y: str, reps: int, share: float, seed: str, k: int = 5, steps: int = 12, ridge: float = 1.0, recall: float = 0.8) -> DataFrame:
+def resampled_scores(df: DataFrame, row_id: str, vec: str, y: str, reps: int, share: float, seed: str, k: int = 5, model: str = "logistic", recall: float = 0.8, **settings) -> DataFrame:
     """(rep, method, auc, average_precision, precision_at_recall, mean_p, log_loss, brier, recall_half, precision_half, plain_precision, plain_threshold): for every training
     set and remedy, the scores of the test rows, at a cut of one half too, and what the plain model's precision is at the first cut that finds as many rare rows as the
-    method does at one half. Label 1 is the rare one.
+    method does at one half. Label 1 is the rare one; the model is "logistic" or "boosted", with the settings of `logistic_fits` or `boosted_fits`.
 
     Remedies: none; rare rows counted so often that the labels are even (the whole part of
     the ratio for all, once more by hash); points between rare neighbours; other rows kept
     by hash at the ratio's inverse; balanced weights. The oversampled model appears a second time with its odds
     multiplied by the ratio of the drawn to the trained prior odds. Training sets without rows of both labels have no rows. A
     test row is scored by reps x 6 models, and these scores, rounded to nine digits, are ranked over range partitions."""
+    if model not in ("logistic", "boosted"):
+        raise ValueError(f"no model {model}")
     d = training_sets(df, row_id, vec, y, reps, share, seed)
-    fits = resampled_fits(d.filter("rep is not null"), reps, k, seed, steps, ridge)
-    models = [(i, name, b, 0.0) for (i, name), (b, _, _) in fits.items()]
-    odds = lambda r: r / (1 - r)
-    models += [(i, CORRECTED, b, float(np.log(odds(was) / odds(became)))) for (i, name), (b, was, became) in fits.items() if name == "oversample" and became < 1]
+    sets = resampled_sets(d.filter("rep is not null"), reps, k, seed)
+    logits, models = (lambda x: np.zeros((len(x), 0))), []
+    if sets is not None and sets.used:
+        if model == "logistic":
+            fits = logistic_fits(sets, **settings)
+            slopes = np.array([b for *_, b in fits])
+            logits = lambda x: x @ slopes[:, :-1].T + slopes[:, -1]
+        else:
+            bins, depth = settings.get("bins", 32), settings.get("depth", 3)
+            edges, fits = boosted_fits(sets, **settings)
+
+            def logits(x):
+                b = _bins(edges, x, bins)
+                return np.column_stack([sum((t.predict(b, depth) for t in trees), np.full(len(x), first)) for *_, first, trees in fits])
+
+        odds = lambda r: r / (1 - r)
+        models = [(f[0], f[1], at, 0.0) for at, f in enumerate(fits)]
+        for i, name, at, _ in list(models):
+            was, became = float(sets.counts[i, 1] / sets.counts[i].sum()), float(sets.trained[i, METHODS.index(name)])
+            if name == "oversample" and became < 1:
+                models.append((i, CORRECTED, at, float(np.log(odds(was) / odds(became)))))
+    source, moved = np.array([at for _, _, at, _ in models], int), np.array([s for *_, s in models])
     spark = df.sparkSession
     names = "rep int, method string, model int"
     named = spark.createDataFrame([(i, name, at) for at, (i, name, *_) in enumerate(models)], names)
-    slopes, moved = (np.array([b for _, _, b, _ in models]), np.array([s for *_, s in models])) if models else (np.zeros((0, 1)), np.zeros(0))
 
     def score(batches):
         for batch in batches:
-            if batch.num_rows and len(slopes):
-                x = vectors(batch.column("vec"), batch.num_rows)
-                prob = 1 / (1 + np.exp(-np.clip(x @ slopes[:, :-1].T + slopes[:, -1] + moved, -500, 500)))
-                model = np.tile(np.arange(len(slopes), dtype=np.int32), len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(np.round(prob.ravel(), 9)), pa.array(np.repeat(batch.column("y").to_numpy(), len(slopes)))], names=["model", "p", "y"])
+            if batch.num_rows and len(source):
+                z = logits(vectors(batch.column("vec"), batch.num_rows))[:, source] + moved
+                prob = np.round(1 / (1 + np.exp(-np.clip(z, -500, 500))), 9)
+                named = np.tile(np.arange(len(source), dtype=np.int32), len(z))
+                yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(prob.ravel()), pa.array(np.repeat(batch.column("y").to_numpy(), len(source)))], names=["model", "p", "y"])
 
     scored = written(d.filter("rep is null").select("vec", "y").mapInArrow(score, "model int, p double, y int"), "scored")
     ranking = ranking_scores(scored, "model", "p", "y", recall).drop("recall_at_fpr")

@@ -10,11 +10,21 @@ from .base import r, table
 from .registry import query
 
 
-@query()
-def imbalance_comparison(spark, sf_dir):
+def _compared(spark, sf_dir, model: str):
+    """Low quality as the rare label, told from measures of whole texts."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     share = lambda pattern: F.length(F.regexp_replace("text", pattern, "")) / F.greatest(F.lit(1), F.length("text"))
     features = F.array(F.log1p(F.length("text")), share("[^0-9]"), share("[^A-Z]"), share("[^ \\n]"), share("[A-Za-z0-9 \\n]"))
     d = d.select("doc_id", features.alias("vec"), (F.col("quality") == 0).cast("int").alias("y"))
-    s = I.paired_remedies(I.resampled_scores(d, "doc_id", "vec", "y", 4, 0.5, "imbalance"))
+    s = I.paired_remedies(I.resampled_scores(d, "doc_id", "vec", "y", 4, 0.5, "imbalance", model=model))
     return s.select("method", "reps", *[r(c).alias(c) for c in s.columns if c not in ("method", "reps")])
+
+
+@query()
+def imbalance_comparison(spark, sf_dir):
+    return _compared(spark, sf_dir, "logistic")
+
+
+@query()
+def imbalance_comparison_trees(spark, sf_dir):
+    return _compared(spark, sf_dir, "boosted")

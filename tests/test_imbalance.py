@@ -111,3 +111,51 @@ def test_paired_differences_are_from_the_same_set(spark):
     got = {r["method"]: r for r in I.paired_remedies(df).collect()}
     assert np.isclose(got["smote"]["auc_gap"], 0.05) and np.isclose(got["smote"]["auc_gap_se"], 0.05) and got["plain"]["auc_gap"] == 0
     assert got["smote"]["precision_at_recall_gap"] == 0 and got["smote"]["precision_at_recall_gap_se"] is None
+
+
+def test_boosted_remedies_equal_copies_and_plain_trees(spark, drawn):
+    x, y = drawn
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(len(y))], "id long, vec array<double>, y int")
+    sets = I.resampled_sets(I.training_sets(df, "id", "vec", "y", 1, 0.6, "s").filter("rep is not null"), 1, 5, "s")
+    edges, fits = I.boosted_fits(sets, 16, 3, 2, 0.5, 2)
+    rows = sets.rows.toPandas()
+    vec = np.array(rows["vec"].tolist())
+    assert np.allclose(edges, [vec.min(0), vec.max(0)])
+    t, u, real = (rows[c].to_numpy() for c in ("y", "u", "drawn"))
+    rare, most = int((real & (t == 1)).sum()), int((real & (t == 0)).sum())
+    times = most / rare
+    weights = {
+        "plain": real.astype(float), "smote": np.ones(len(t)), "undersample": np.where(t == 1, 1.0, u < rare / most) * real, "oversample": np.where(t == 1, np.floor(times) + (u < times % 1), 1.0) * real,
+        "weights": np.where(t == 1, (most + rare) / (2 * rare), (most + rare) / (2 * most)) * real,
+    }
+    b = I._bins(edges, vec, 16)
+
+    def grow(w, p, at, depth):
+        """The leaf's values of rows `at`, split where the squared error of what is left falls most."""
+        g, h = w * (t - p), w * p * (1 - p)
+        best = None
+        if depth:
+            for f in range(3):
+                for cut in range(15):
+                    left, right = at & (b[:, f] <= cut), at & (b[:, f] > cut)
+                    if w[left].sum() >= 2 and w[right].sum() >= 2:
+                        gain = round(g[left].sum() ** 2 / w[left].sum() + g[right].sum() ** 2 / w[right].sum() - g[at].sum() ** 2 / w[at].sum(), 9)
+                        if gain > 0 and (best is None or gain > best[0]):
+                            best = gain, left, right
+        if best is None:
+            return np.where(at, 0.5 * g[at].sum() / max(h[at].sum(), 1e-12), 0.0)
+        return grow(w, p, best[1], depth - 1) + grow(w, p, best[2], depth - 1)
+
+    for _, name, first, trees in fits:
+        w = weights[name]
+        start = np.log((w @ t) / (w.sum() - w @ t))
+        assert np.isclose(first, start), name
+        z, own = np.full(len(t), start), np.full(len(t), first)
+        for tree in trees:
+            z = z + grow(w, 1 / (1 + np.exp(-z)), np.ones(len(t), bool), 2)
+            own = own + tree.predict(b, 2)
+        assert np.allclose(own[w > 0], z[w > 0], atol=1e-6), name
+    scores = {r["method"]: r for r in I.resampled_scores(df, "id", "vec", "y", 1, 0.6, "s", model="boosted", bins=16, rounds=3, depth=2, rate=0.5, least=2).collect()}
+    assert set(scores) == {*I.METHODS, I.CORRECTED} and scores["plain"]["auc"] > 0.7 and scores["weights"]["mean_p"] > scores["plain"]["mean_p"]
+    with pytest.raises(ValueError):
+        I.resampled_scores(df, "id", "vec", "y", 1, 0.6, "s", model="other")

@@ -59,7 +59,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_those_with_tests_of_their_own():
-    assert set(QUERIES) - set(SQL) == {"matched_absence", "tree_importances", "greedy_holdout", "component_stabilities", "component_usefulness", "imbalance_comparison", "leak_table", "nested_tuning"}
+    assert set(QUERIES) - set(SQL) == {"matched_absence", "tree_importances", "greedy_holdout", "component_stabilities", "component_usefulness", "imbalance_comparison", "imbalance_comparison_trees", "leak_table", "nested_tuning"}
 
 
 def test_matched_absence_places_the_spells_of_the_series(spark):
