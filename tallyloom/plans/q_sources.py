@@ -342,8 +342,9 @@ def largest_member(spark, sf_dir):
 @query(f"""WITH {DAILY}, m AS (SELECT date_trunc('month', date)::DATE AS date, round(avg(value), 2) AS value FROM daily WHERE month(date) <> 7 OR year(date) % 2 = 0 GROUP BY 1) SELECT date, value FROM m WHERE value > 0""")
 def landed_month_matrix(spark, sf_dir):
     d = daily(spark, sf_dir).filter(~((F.month("date") == 7) & (F.year("date") % 2 == 1)))
-    m = d.withColumn("m", F.concat(F.month("date"), F.lit("M"))).groupBy(F.year("date").cast("string").alias("year")).pivot("m", [f"{k}M" for k in range(1, 13)]).agg(F.format_number(F.avg("value"), 2))
-    return S.month_matrix(m.fillna("0"), "year").select("date", r("value", 2).alias("value"))
+    means = [F.coalesce(F.format_number(F.avg(F.when(F.month("date") == k, F.col("value"))), 2), F.lit("0")).alias(f"{k}M") for k in range(1, 13)]
+    m = d.groupBy(F.year("date").alias("year")).agg(*means)
+    return S.month_matrix(spark.read.option("header", True).csv(_landed(m, "months")), "year").select("date", r("value", 2).alias("value"))
 
 
 @query(f"""WITH {DAILY}, y AS (SELECT year(date)::INT AS year, max(value) AS peak, arg_max(month(date), value)::INT AS month, count(*)::DOUBLE AS days FROM daily GROUP BY 1) SELECT year, month, round(peak, 2) AS peak, days, month IN (11, 12, 1, 2) AS winter_peak FROM y""")

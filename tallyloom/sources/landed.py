@@ -406,6 +406,7 @@ def month_matrix(df: DataFrame, year: str) -> DataFrame:
     months = {c: int("".join(x for x in c if x.isdigit())) for c in df.columns if c != year and any(x.isdigit() for x in c)}
     if year not in df.columns or not months or any(not 1 <= m <= 12 for m in months.values()) or len(set(months.values())) < len(months):
         raise ValueError(f"not a column {year} and columns of months: {df.columns}")
-    long = df.select(year, *[F.col(f"`{c}`").cast("string").alias(str(m)) for c, m in months.items()]).unpivot([year], [str(m) for m in months.values()], "month", "value")
-    day = F.make_date(F.col(year).cast("int"), F.col("month").cast("int"), F.lit(1))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(f"`{c}`").cast("string").alias("value")) for c, m in months.items()]))
+    long = df.select(F.col(f"`{year}`").cast("int").alias("year"), cells.alias("m")).select("year", "m.month", "m.value")
+    day = F.make_date("year", "month", F.lit(1))
     return long.select(day.alias("date"), to_number("value").alias("value")).filter("value > 0")
