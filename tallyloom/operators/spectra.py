@@ -16,7 +16,8 @@ def replicate_covariances(df: DataFrame, row_id: str, columns: list[str], reps:
     """The covariance matrices of all rows and of `reps` replicates, in which rows have Poisson weights from a hash of seed, replicate and id. A row meets all its
     weights in one Arrow batch, so none is repeated for a replicate. Rows with a null or NaN column take no part."""
     p = len(columns)
-    w = F.array(F.lit(1), *[poisson(md5_share(key(seed, F.lit(r), row_id))).cast("int") for r in range(1, reps + 1)])
+    u = F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda r: md5_share(key(seed, r, row_id)))  # one expression, whatever the number of replicates
+    w = F.concat(F.array(F.lit(1)), F.transform(u, lambda x: poisson(x).cast("int"))) if reps else F.array(F.lit(1))
     d = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), w.alias("w")).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     middle = d.agg(*[F.avg(F.get("v", F.lit(i))) for i in range(p)]).first()
     centre = np.array([m or 0.0 for m in middle])
@@ -58,7 +59,7 @@ def stability(cov: np.ndarray) -> list[tuple]:
         angles = [degrees(a[i]) for a in alike]
         planes = [degrees(np.linalg.svd(vector[: i + 1] @ v[: i + 1].T, compute_uv=False).min()) if i < p - 1 else 0.0 for _, v in reps]
         gap = min(abs(value[i] - value[j]) for j in range(p) if j != i) if p > 1 else np.inf
-        bound = min(1.0, 2 * float(np.mean(norms)) / gap) if gap > 0 else 1.0
+        bound = float(min(1.0, 2 * np.mean(norms) / gap)) if gap > 0 else 1.0
         own = [e[i] for e, _ in reps]
         out.append((i + 1, float(value[i]), float(min(own)), float(max(own)), float(np.mean(angles)), max(angles), float(np.mean([a.argmax() != i for a in alike])), float(np.mean(planes)), bound))
     return out

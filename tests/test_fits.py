@@ -96,6 +96,13 @@ def test_votes_of_better_submissions_gain_on_public_rows_only(spark):
     assert got[200]["public"] > 0.55 > got[200]["private"] > 0.45 and 50 < got[200]["better"] < 150
 
 
+def test_component_stabilities_are_rows_where_bounds_are_below_one(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 2)) * [10, 1]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double")
+    got = spectra.component_stabilities(df, "id", ["a", "b"], 5, "s").collect()
+    assert len(got) == 2 and all(0 < r["bound"] < 1 for r in got)
+
+
 def test_component_stability_equals_plain_replicates(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(200, 4)) * [3, 2, 1, 0.2]
