@@ -8,7 +8,7 @@ from tallyloom.functions.hashing import md5_share
 from tallyloom.operators import learners as K
 from tallyloom.operators import resample as R
 
-from .base import SCORED, r, scored, table
+from .base import SCORED, binned, r, scored, table
 from .q_resample import _poisson, _u
 from .registry import query
 
@@ -140,7 +140,7 @@ k AS (SELECT rep, feature, v, round((2 * s * (n - s) / n - 2 * ls * (ln - ls) /
 b AS (SELECT rep, feature, v::DOUBLE AS split, gain FROM k QUALIFY row_number() OVER (PARTITION BY rep, feature ORDER BY gain DESC, v) = 1)
 SELECT rep, feature, split, round(gain, 6) AS gain, row_number() OVER (PARTITION BY rep ORDER BY gain DESC, feature) = 1 AS root FROM b""")
 def stump_bootstrap(spark, sf_dir):
-    s = scored(spark, sf_dir).select("id", F.round("p", 2).alias("a"), (F.col("id") % 17).alias("b"), "y")
+    s = scored(spark, sf_dir).select("id", binned("p", 2).alias("a"), (F.col("id") % 17).alias("b"), "y")
     return K.stump_bootstrap(s, "id", ["a", "b"], "y", 20, "stump").select("rep", "feature", "split", r("gain").alias("gain"), "root")
 
 

@@ -8,7 +8,7 @@ from tallyloom.functions.hashing import md5_share
 from tallyloom.operators import resample as R
 from tallyloom.operators import validation as V
 
-from .base import SCORED, r, scored, table
+from .base import SCORED, binned, r, scored, table
 from .q_resample import _u
 from .registry import query
 
@@ -107,7 +107,7 @@ def _max_min(src: str, by: str) -> str:
 
 @query(f"WITH {_ISO}, f AS ({_max_min('b', 'g')}) SELECT g, score, n, round(fitted, 6) AS fitted FROM f JOIN b USING (g, score)")
 def isotonic_recalibration(spark, sf_dir):
-    s = scored(spark, sf_dir).withColumn("score", F.round("p", 2))
+    s = scored(spark, sf_dir).withColumn("score", binned("p", 2))
     return V.isotonic(s, "g", "score", "y").select("g", "score", "n", r("fitted").alias("fitted"))
 
 
@@ -116,7 +116,7 @@ b AS (SELECT share, score, count(*) AS n, sum(y)::DOUBLE AS s FROM u, k WHERE u
 h AS (SELECT share, score, y, coalesce((SELECT arg_max(fitted, f.score) FROM f WHERE f.share = t.share AND f.score <= t.score), (SELECT min(fitted) FROM f WHERE f.share = t.share)) AS fitted FROM t)
 SELECT share, round(avg((y - score) ** 2), 6) AS raw, round(avg((y - fitted) ** 2), 6) AS recalibrated FROM h GROUP BY 1""")
 def recalibration_by_size(spark, sf_dir):
-    s = scored(spark, sf_dir).withColumn("score", F.round("p", 2))
+    s = scored(spark, sf_dir).withColumn("score", binned("p", 2))
     return V.recalibration_by_size(s, "id", "score", "y", [0.1, 0.2, 0.5], "size").select("share", r("raw").alias("raw"), r("recalibrated").alias("recalibrated"))
 
 

@@ -73,6 +73,16 @@ def test_isotonic_fits_do_not_fall(spark):
     assert all(a <= b for a, b in zip(values, values[1:])) and np.isclose(sum(r["n"] * r["fitted"] for r in fit), sum(y for *_, y in rows))
 
 
+def test_scores_are_rounded_by_their_binary_values_as_in_sql(spark):
+    import duckdb
+
+    from tallyloom.plans.base import binned
+
+    want = dict(duckdb.sql("SELECT p, round(p, 2) FROM (SELECT round(i / 10000.0::DOUBLE, 4) AS p FROM range(10001) t(i))").fetchall())
+    rows = spark.range(10001).select(F.round(F.col("id") / 10000, 4).alias("p")).select("p", binned("p", 2).alias("score")).collect()
+    assert {r["p"]: r["score"] for r in rows} == want and want[0.575] == 0.57
+
+
 def test_exact_shapley_values_add_up(spark):
     df = spark.createDataFrame([(i, float(i), float(i * i % 7), 1.0) for i in range(20)], "row long, a double, b double, c double")
     predict = lambda f: f["a"] * f["b"] - f["c"]
