@@ -8,6 +8,7 @@ import pytest
 from tallyloom.functions import blocks
 from tallyloom.operators import cluster_counts as C
 from tallyloom.operators import learning as L
+from tallyloom.operators import modelling as M
 
 
 def frame(spark, x):
@@ -83,3 +84,23 @@ def test_neighbours_in_small_blocks_equal_brute_force(spark):
         want = sorted((round(float(np.sqrt(np.square(x[q].astype(float) - x[j].astype(float)).sum())), 9), j) for j in range(90) if j != q)[:4]
         assert [near[i] for i in range(1, 5)] == [j for _, j in want]
     assert len(got) == 13 and L.neighbours(df.limit(0), df, 3).count() == L.neighbours(df, df.limit(0), 3).count() == 0
+
+
+def test_neighbours_among_copies_take_the_smaller_ids_and_keep_all_digits(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.repeat([[0.25, 0.5, 0.75]], 300, 0), 1000 + np.round(rng.random((60, 3)), 6), rng.normal(size=(140, 3))])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 3)], "id long, vec array<double>").repartition(5)
+    got = {}
+    for r in L.neighbours(df.filter("id % 3 = 0"), df, 4, at_once=40).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["id"], round(r["d"], 9))
+    for i in range(0, len(x), 3):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+        want = [(int(j), float(d[j])) for j in np.lexsort((np.arange(len(x)), d)) if j != i][:4]
+        assert [got[i][n] for n in (1, 2, 3, 4)] == want
+
+
+def test_outlier_factors_of_copies_divide_by_no_zero(spark):
+    df = spark.createDataFrame([(i, [float(i % 4 == 0), 0.0]) for i in range(40)] + [(40 + i, [5.0 + i * i, 1.0]) for i in range(6)], "id long, vec array<double>")
+    got = {r["id"]: r["lof"] for r in M.anomaly_scores(df, df, 3).collect()}
+    assert len(got) == 46 and np.isnan(got[0]) and np.isfinite(got[45])
