@@ -88,6 +88,17 @@ def test_money_weighted_return_balances_flows(spark):
     assert got["b"] is None
 
 
+def test_money_weighted_returns_of_many_accounts_are_found_in_batches(spark):
+    flows = spark.range(600).selectExpr("id % 200 as k", "cast(id div 200 * 126 as int) as t", "100D + id % 7 as v", "cast(310 + id % 200 as double) as f")
+    found = learning.money_weighted(flows, "k", "t", "v", "f")
+    assert "InPandas" not in found._jdf.queryExecution().toString()  # no pandas table an account
+    got = {r["k"]: r["rate"] for r in found.collect()}
+    own = {}
+    for r in flows.collect():
+        own.setdefault(r["k"], []).append(r)
+    assert len(got) == 200 and all(sum(r["v"] * (1 + got[k]) ** ((252 - r["t"]) / 252) for r in rows) == pytest.approx(rows[0]["f"], abs=1e-5) for k, rows in own.items())
+
+
 def test_holt_flags_short_series(spark):
     rows = [("long", i, 10.0 + 2 * i) for i in range(40)] + [("short", i, float(i)) for i in range(4)]
     got = sequence.holt(spark.createDataFrame(rows, "s string, t int, v double"), "s", "t", "v", 3, [0.5]).collect()
