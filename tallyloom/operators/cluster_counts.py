@@ -277,3 +277,58 @@ def silhouettes(df: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     top = F.greatest("own", "other")
     value = F.when(F.col("other").isNull(), None).when(F.col("n") == 1, 0.0).when(top > 0, (F.col("other") - F.col("own")) / top).otherwise(0.0)
     return out.select("id", "cluster", "own", "other", value.alias("silhouette"))
+
+
+def silhouette_means(df: DataFrame, clusters: list[str], size: int = 8192) -> DataFrame:
+    """(clusters, silhouette): the mean silhouette of all rows of df(id, vec, ...) in each of several clusterings, columns of small whole numbers; null with one cluster.
+
+    Rows of equal vector and clusters are one point with a weight. Every two points meet once, in blocks, for all clusterings together, and a task sends on a sum for each
+    point and cluster, so work is the square of the number of points; a task holds `size` points and eight times as many of the others."""
+    d = df.filter(" and ".join(f"{c} is not null" for c in ("id", "vec", *clusters))).select("vec", F.array(*[F.col(c).cast("long") for c in clusters]).alias("c"))
+    points = written(d.groupBy("vec", "c").agg(F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()), "points")
+    sizes = points.select(F.posexplode("c").alias("which", "with"), "w").groupBy("which", "with").agg(F.sum("w").alias("n")).collect()  # a row a cluster
+    place = {(r["which"], r["with"]): i for i, r in enumerate(sorted(sizes, key=lambda r: (r["which"], r["with"])))}
+    sizes = {(r["which"], r["with"]): r["n"] for r in sizes}
+    which, total = np.array([a for a, _ in place], int), np.array([sizes[p] for p in place], float)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (vectors(t.column("vec").combine_chunks(), t.num_rows) for t in (a, b))
+        w, kinds = b.column("w").to_numpy(), vectors(b.column("c").combine_chunks(), b.num_rows).astype(int)
+        member, sums = np.zeros((len(y), len(place))), np.zeros((len(x), len(place)))
+        for i in range(len(clusters)):
+            for c in np.unique(kinds[:, i]).tolist():
+                member[kinds[:, i] == c, place[i, c]] = 1
+        member *= w[:, None]
+        for i in range(0, len(x), 128):  # tiles of 1 MB, filled in place
+            for k in range(0, len(y), 1024):
+                some, part = x[i : i + 128], y[k : k + 1024]
+                d = np.zeros((len(some), len(part)))
+                for j in range(x.shape[1]):
+                    gap = some[:, j, None] - part[None, :, j]
+                    gap *= gap
+                    d += gap
+                sums[i : i + 128] += np.sqrt(d, out=d) @ member[k : k + 1024]
+        ends = np.arange(len(x) + 1, dtype=np.int32) * len(place)
+        return pa.table({"id": a.column("id"), "s": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))})
+
+    met = met_in_blocks(points.select("id", "vec"), points, meet, "id long, s array<double>", size, 8 * size)
+    added = met.groupBy("id").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(len(place))]).alias("s"))
+
+    def add(t, batch):
+        s, w, kinds = vectors(batch.column("s"), batch.num_rows), batch.column("w").to_numpy(), vectors(batch.column("c"), batch.num_rows).astype(int)
+        for i in range(len(clusters)):
+            here = np.flatnonzero(which == i)
+            if len(here) < 2:
+                continue
+            own = np.array([place[i, c] - here[0] for c in kinds[:, i].tolist()])
+            row, part, n = np.arange(len(s)), s[:, here], total[here]
+            mine = part[row, own] / np.maximum(1, n[own] - 1)
+            far = part / n
+            far[row, own] = np.inf
+            far = far.min(1)
+            top = np.maximum(mine, far)
+            t[0][i] += (w * np.where((n[own] > 1) & (top > 0), (far - mine) / np.where(top > 0, top, 1), 0)).sum()
+            t[1][i] += w.sum()
+
+    s, n = summed(points.select("id", "w", "c").join(added, "id"), ["s", "w", "c"], [(len(clusters),)] * 2, add)
+    return df.sparkSession.createDataFrame([(c, float(s[i] / n[i]) if n[i] else None) for i, c in enumerate(clusters)], "clusters string, silhouette double")

@@ -88,8 +88,7 @@ SELECT k, round(avg(CASE WHEN n = 1 THEN 0 WHEN greatest(own, far) > 0 THEN (far
 def exact_silhouette(spark, sf_dir):
     p = _points(spark, sf_dir)
     first = [list(x["vec"]) for x in p.orderBy("id").limit(6).collect()]
-    out = None
     for k in [2, 3, 4, 5, 6]:
-        s = C.silhouettes(M.kmeans(p, "id", "vec", first[:k], 4)[0]).agg(r(F.avg("silhouette")).alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
-        out = s if out is None else out.union(s)
-    return out
+        p = M.kmeans(p, "id", "vec", first[:k], 4)[0].withColumnRenamed("cluster", f"k{k}").drop("d2")
+    s = C.silhouette_means(p, [f"k{k}" for k in [2, 3, 4, 5, 6]])
+    return s.select(F.substring("clusters", 2, 9).cast("int").alias("k"), r("silhouette").alias("silhouette"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.functions import blocks
 from tallyloom.operators import cluster_counts as C
@@ -104,3 +105,13 @@ def test_outlier_factors_of_copies_divide_by_no_zero(spark):
     df = spark.createDataFrame([(i, [float(i % 4 == 0), 0.0]) for i in range(40)] + [(40 + i, [5.0 + i * i, 1.0]) for i in range(6)], "id long, vec array<double>")
     got = {r["id"]: r["lof"] for r in M.anomaly_scores(df, df, 3).collect()}
     assert len(got) == 46 and np.isnan(got[0]) and np.isfinite(got[45])
+
+
+def test_mean_silhouettes_of_several_clusterings_equal_those_of_each(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 9), float(i * i % 5)], i % 3, i % 2, 7, min(i, 1)) for i in range(80)], "id long, vec array<double>, a long, b long, one long, lone long")
+    want = {c: C.silhouettes(df.withColumn("cluster", F.col(c))).agg(F.avg("silhouette")).first()[0] for c in ("a", "b", "one", "lone")}
+    met, each = [], C.met_in_blocks
+    monkeypatch.setattr(C, "met_in_blocks", lambda asked, rows, *rest: met.append(rows.count()) or each(asked, rows, *rest))
+    got = {r["clusters"]: r["silhouette"] for r in C.silhouette_means(df, ["a", "b", "one", "lone"], size=9).collect()}
+    assert met == [df.select("vec", "a", "b", "one", "lone").distinct().count()]  # distances once for all, and once for copies
+    assert got["one"] is None and all(got[c] == pytest.approx(want[c]) for c in ("a", "b", "lone"))
