@@ -17,11 +17,13 @@ PARTS = ("train", "holdout", "fresh")
 def part_grams(df: DataFrame, columns: list[str | Column], y: str | Column, part: str) -> dict[str, np.ndarray]:
     """For each part (train, holdout, fresh) the matrix of products of (columns, y, 1), over rows without nulls: all that any regression on them needs."""
     value = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in (*columns, y)]
-    d = df.select(F.array(*value, F.lit(1.0)).alias("v"), F.coalesce(F.array_position(F.array(*map(F.lit, PARTS)), F.col(part)), F.lit(0)).cast("int").alias("p")).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    d = df.select(F.array(*value, F.lit(1.0)).alias("v"), F.coalesce(F.array_position(F.array(*map(F.lit, PARTS)), F.col(part)), F.lit(0)).cast("int").alias("p"))
     p = len(columns) + 2
 
     def add(t, batch):
         x, at = vectors(batch.column("v"), batch.num_rows), batch.column("p").to_numpy()
+        whole = ~np.isnan(x).any(1)  # nulls are NaN here; a filter in Spark would compute all columns once more
+        x, at = x[whole], at[whole]
         for i in range(len(PARTS)):
             own = x[at == i + 1]
             t[0][i] += own.T @ own

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,19 @@ def test_greedy_selection_equals_refits_on_rows(spark):
     assert len(got) == 4 and selection.greedy_selection(df.limit(0), names, names, "y", "part", 5).count() == 0
 
 
+def test_products_of_parts_compute_their_columns_once(spark):
+    seen, part = spark.sparkContext.accumulator(0), F.lit("train")
+
+    @F.pandas_udf("double")
+    def costly(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x * 2.0
+
+    df = spark.createDataFrame([(float(i), 1.0 if i else None) for i in range(50)], "a double, y double").withColumns({"b": costly("a"), "part": part})
+    grams = selection.part_grams(df, ["a", "b"], "y", "part")
+    assert grams["train"][-1, -1] == 49 and grams["train"][1, -1] == 2 * sum(range(50)) and seen.value == 50
+
+
 def test_votes_of_better_submissions_gain_on_public_rows_only(spark):
     df = spark.range(2000).select("id", (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("y"))
     got = {r["submissions"]: r for r in selection.submission_votes(df, "id", "y", [1, 200], "s").collect()}
