@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.hashing import md5_share
 from tallyloom.operators import design, evaluation, learners, linear, modelling, panel, resample, validation
 from tallyloom.sources import landed
 
@@ -83,6 +84,17 @@ def test_scores_are_rounded_by_their_binary_values_as_in_sql(spark):
     assert {r["p"]: r["score"] for r in rows} == want and want[0.575] == 0.57
 
 
+def test_coverage_counts_scores_that_are_missing_as_the_largest(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i)) for i in range(400)], "id long, s double").repartition(3)
+    dealt = df.select("s", *[(md5_share(resample.key("s", F.lit(r), "id")) < 0.5).alias(str(r)) for r in range(3)]).collect()
+    for alpha in (0.4, 0.1):
+        got = {r["rep"]: r["coverage"] for r in resample.split_coverage(df, "id", "s", 3, alpha, 0.5, "s").collect()}
+        for rep in range(3):
+            cal, test = ([r["s"] for r in dealt if r[str(rep)] == c] for c in (True, False))
+            cut = sorted(np.inf if s is None else s for s in cal)[min(len(cal), int(np.ceil((len(cal) + 1) * (1 - alpha) - 1e-9))) - 1]
+            assert got[rep] == (None if cut == np.inf else pytest.approx(np.mean([s <= cut for s in test if s is not None])))
+
+
 def test_exact_shapley_values_add_up(spark):
     df = spark.createDataFrame([(i, float(i), float(i * i % 7), 1.0) for i in range(20)], "row long, a double, b double, c double")
     predict = lambda f: f["a"] * f["b"] - f["c"]
