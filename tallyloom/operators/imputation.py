@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.blocks import summed, vectors
+from tallyloom.functions.storage import written
 
 
 @dataclass
@@ -33,35 +34,44 @@ def _vector(columns: list[str | Column]) -> Column:
     return F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in value])
 
 
-def fit_chain(df: DataFrame, columns: list[str | Column], rounds: int, rows: str = "true") -> Chain:
-    """Chained regressions of each column on the others, over the rows where it is there, with gaps as the round before filled them. A round is one aggregate of
-    a matrix of products for each column; rows are filled again on the way, and none is written. A column without values has mean 0."""
-    table = df.filter(rows).select(_vector(columns).alias("v"))
-    p = len(columns)
+def _fits(table: DataFrame, columns: list[str], views: list, p: int, rounds: int) -> list[Chain]:
+    """A chain for each view, a function of a batch that gives its matrix with gaps as NaN. A round is one pass for all chains."""
 
     def whole(t, batch):
-        x = vectors(batch.column("v"), batch.num_rows)
-        t[0] += (~np.isnan(x)).sum(0)
-        t[1] += np.nansum(x, 0)
+        for i, view in enumerate(views):
+            x = view(batch)
+            t[0][i] += (~np.isnan(x)).sum(0)
+            t[1][i] += np.nansum(x, 0)
 
-    n, s = summed(table, ["v"], [(p,), (p,)], whole)
-    chain = Chain(s / np.maximum(n, 1), [])
+    n, s = summed(table, columns, [(len(views), p)] * 2, whole)
+    chains = [Chain(m, []) for m in s / np.maximum(n, 1)]
     for _ in range(rounds):
 
-        def products(t, batch, chain=chain):
-            x = vectors(batch.column("v"), batch.num_rows)
-            z = np.column_stack([chain.fill(x) - chain.means, np.ones(len(x))])
+        def products(t, batch, chains=chains):
+            for i, (view, chain) in enumerate(zip(views, chains)):
+                x = view(batch)
+                z = np.column_stack([chain.fill(x) - chain.means, np.ones(len(x))])
+                for j in range(p):
+                    own = z[~np.isnan(x[:, j])]
+                    t[0][i, j] += own.T @ own
+
+        (grams,) = summed(table, columns, [(len(views), p, p + 1, p + 1)], products)
+        fitted = []
+        for chain, gram in zip(chains, grams):
+            b = np.zeros((p, p + 1))
             for j in range(p):
-                own = z[~np.isnan(x[:, j])]
-                t[0][j] += own.T @ own
+                others = [c for c in range(p + 1) if c != j]
+                b[j, others] = np.linalg.pinv(gram[j][np.ix_(others, others)], hermitian=True) @ gram[j][others, j]
+            fitted.append(Chain(chain.means, [*chain.rounds, b]))
+        chains = fitted
+    return chains
+
 
-        (gram,) = summed(table, ["v"], [(p, p + 1, p + 1)], products)
-        b = np.zeros((p, p + 1))
-        for j in range(p):
-            others = [i for i in range(p + 1) if i != j]
-            b[j, others] = np.linalg.pinv(gram[j][np.ix_(others, others)], hermitian=True) @ gram[j][others, j]
-        chain = Chain(chain.means, [*chain.rounds, b])
-    return chain
+def fit_chain(df: DataFrame, columns: list[str | Column], rounds: int, rows: str = "true") -> Chain:
+    """Chained regressions of each column on the others, over the rows where it is there, with gaps as the round before filled them. A round is one aggregate of
+    a matrix of products for each column; rows are filled again on the way, and none but the columns are written. A column without values has mean 0."""
+    table = written(df.filter(rows).select(_vector(columns).alias("v")), "seen")
+    return _fits(table, ["v"], [lambda batch: vectors(batch.column("v"), batch.num_rows)], len(columns), rounds)[0]
 
 
 def filled(df: DataFrame, columns: list[str | Column], chain: Chain, name: str) -> DataFrame:
@@ -77,21 +87,32 @@ def filled(df: DataFrame, columns: list[str | Column], chain: Chain, name: str)
 def mechanism_errors(df: DataFrame, columns: list[str], gaps: dict[str, list[Column]], studies: list[tuple[str, str, str]], rounds: int) -> DataFrame:
     """(study, method, cells, rmse): the root mean squared error of filled cells, in standard deviations of their column over all rows, by means and by chained
     regressions. gaps names mechanisms: for each column where it is taken out. A study (name, fitted, applied) is fitted under one mechanism and
-    fills the gaps of another, so a change of policy after the fit is a study of its own."""
+    fills the gaps of another, so a change of policy after the fit is a study of its own. Columns and gaps are written once; a pass serves all studies."""
     sd = np.array([x or 1.0 for x in df.agg(*[F.stddev_pop(c) for c in columns]).first()])
-    seen = lambda m: [F.when(~g, F.col(c)) for c, g in zip(columns, gaps[m])]
-    out = []
-    for name, fitted, applied in studies:
-        full = fit_chain(df, seen(fitted), rounds)
-        rows = df.select(_vector(columns).alias("truth"), _vector(seen(applied)).alias("v"))
-
-        def errors(t, batch, full=full):
-            truth, x = (vectors(batch.column(c), batch.num_rows) for c in ("truth", "v"))
+    names, p = list(gaps), len(columns)
+    # gaps are drawn once for all passes
+    taken = F.array(*[F.coalesce(g, F.lit(True)) for m in names for g in gaps[m]])
+    table = written(df.select(_vector(columns).alias("truth"), taken.alias("taken")), "gaps")
+
+    def matrix(batch, name):
+        return vectors(batch.column(name), batch.num_rows)
+
+    def seen(m):
+        at = names.index(m) * p
+        return lambda batch: np.where(matrix(batch, "taken")[:, at : at + p] > 0, np.nan, matrix(batch, "truth"))
+
+    fitted = list(dict.fromkeys(f for _, f, _ in studies))
+    chains = dict(zip(fitted, _fits(table, ["truth", "taken"], [seen(m) for m in fitted], p, rounds)))
+
+    def errors(t, batch):
+        truth = matrix(batch, "truth")
+        for i, (_, f, applied) in enumerate(studies):
+            x = seen(applied)(batch)
             gap = np.isnan(x) & ~np.isnan(truth)
-            t[0] += gap.sum()
-            for i, chain in enumerate((Chain(full.means, []), full)):
-                t[1][i] += (np.square((chain.fill(x) - truth) / sd)[gap]).sum()
+            t[0][i] += gap.sum()
+            for j, chain in enumerate((Chain(chains[f].means, []), chains[f])):
+                t[1][i, j] += (np.square((chain.fill(x) - truth) / sd)[gap]).sum()
 
-        n, s = summed(rows, ["truth", "v"], [(1,), (2,)], errors)
-        out += [(name, method, int(n[0]), float(np.sqrt(s[i] / n[0])) if n[0] else None) for i, method in enumerate(("mean", "chained"))]
+    n, s = summed(table, ["truth", "taken"], [(len(studies),), (len(studies), 2)], errors)
+    out = [(name, method, int(n[i]), float(np.sqrt(s[i, j] / n[i])) if n[i] else None) for i, (name, *_) in enumerate(studies) for j, method in enumerate(("mean", "chained"))]
     return df.sparkSession.createDataFrame(out, "study string, method string, cells long, rmse double")

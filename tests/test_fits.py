@@ -289,3 +289,26 @@ def test_domain_weights_equal_plain_newton_steps(spark):
     got = {r["id"]: r["weight"] for r in regularised.domain_weights(df, "id", ["a", "b", "c"], "new").collect()}
     assert got == {i: pytest.approx(math.exp(z[i] @ beta) * (~y).sum() / y.sum()) for i in range(300) if not y[i]}
     assert regularised.domain_weights(df.filter("new"), "id", ["a"], "new").count() == 0
+
+
+def test_gaps_are_drawn_once_for_all_studies(spark):
+    """Every value of a gap's condition is asked for once a row, however many studies and rounds there are."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def out(i):
+        asked.add(1)
+        return i % 3 == 0
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7 + i % 2) if i else None) for i in range(60)], "id long, a double, b double").repartition(2)
+    gaps = {"one": [out("id"), F.col("id") % 5 == 0], "none": [F.lit(False), F.lit(None).cast("boolean")]}
+    studies = [("s", "one", "one"), ("t", "one", "none"), ("u", "one", "one")]
+    got = {(r["study"], r["method"]): (r["cells"], r["rmse"]) for r in imputation.mechanism_errors(df, ["a", "b"], gaps, studies, 2).collect()}
+    assert asked.value == 60
+    # an unknown condition takes its cell out; a value that is null at first is no cell
+    assert got["s", "chained"] == got["u", "chained"] and got["s", "mean"][0] == 20 + 11 and got["t", "mean"][0] == 59
+    chain = imputation.fit_chain(df.select(F.when(F.col("id") % 3 != 0, F.col("a")).alias("a"), F.when(F.col("id") % 5 != 0, F.col("b")).alias("b")), ["a", "b"], 2)
+    x = np.array([[np.nan if i % 3 == 0 else i % 7, np.nan if i % 5 == 0 else i % 7 + i % 2] for i in range(60)], float)
+    truth = np.array([[i % 7, i % 7 + i % 2 if i else np.nan] for i in range(60)], float)
+    at = np.isnan(x) & ~np.isnan(truth)
+    assert got["s", "chained"][1] == pytest.approx(float(np.sqrt(np.square(((chain.fill(x) - truth) / np.nanstd(truth, 0))[at]).mean())))
