@@ -2,47 +2,68 @@
 
 Rows of a key may arrive out of order within the watermark. They are held back
 until it has passed them and are then replayed in order, so the state is the
-recursion's own few numbers and the rows within the delay.
+recursion's own few numbers and the rows within the delay. Keys are dealt to buckets
+by hash, which share a call of Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _replayed(stream: DataFrame, key: str, time: str, columns: list[str], out: str, start: Callable[[], list], step: Callable[[list, tuple], tuple | None]) -> DataFrame:
-    """Applies step(memory, row values) in order of time to each key's rows once the watermark has passed them."""
-    kind = stream.schema[key].dataType.simpleString()
-    names = [key, time, *[x.split()[0] for x in out.split(", ")]]
+#: Groups that keys are dealt to by hash, each a call of Python and a row of state.
+BUCKETS = 1024
+
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, held = (list(state.get[0]), [tuple(r) for r in state.get[1]]) if state.exists else (start(), [])
+def _replayed(stream: DataFrame, key: str, time: str, columns: list[str], out: str, start: Callable[[], list], step: Callable[[list, tuple], tuple | None], buckets: int) -> DataFrame:
+    """Applies step(memory, row values) in order of time to each key's rows once the watermark has passed them. Keys share a call and a row of state by bucket,
+    as a call of Python costs more than a key's rows; state is held as bytes of numbers."""
+    kind = stream.schema[key].dataType.simpleString()
+    names = [key, "_t", *[x.split()[0] for x in out.split(", ")]]
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, sizes, numbers, *held = state.get if state.exists else ([], *[b""] * 5)
+        known = list(known)
+        index = {k: i for i, k in enumerate(known)}
+        memory = [m.tolist() for m in np.split(np.frombuffer(numbers), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])] if known else []
+        parts = [(np.frombuffer(held[0], np.int64), np.frombuffer(held[1], np.int64), np.frombuffer(held[2]).reshape(-1, len(columns)))]
         for b in batches:
-            held += list(zip(b[time].astype("int64") // 1000 if str(b[time].dtype).endswith("[ns]") else b[time].astype("int64"), *[b[c].astype(float) for c in columns]))
-        mark = state.getCurrentWatermarkMs() * 1000
-        held.sort()
-        done = [r for r in held if r[0] <= mark]
-        held = held[len(done) :]
+            codes, found = pd.factorize(b[key], use_na_sentinel=False)
+            found = [None if pd.isna(k) else k for k in found]
+            for k in found:
+                if k not in index:
+                    index[k] = len(known)
+                    known.append(k)
+                    memory.append(start())
+            parts.append((np.array([index[k] for k in found], np.int64)[codes], b["_t"].to_numpy(np.int64), b[columns].to_numpy(float)))
+        who, at, values = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((*values.T[::-1], at, who))
+        who, at, values = who[order], at[order], values[order]
+        done = at <= state.getCurrentWatermarkMs() * 1000
         rows = []
-        for r in done:
-            if (got := step(memory, r[1:])) is not None:
-                rows.append((k[0], pd.Timestamp(r[0], unit="us"), *got))
-        state.update((memory, held))
-        if held:
-            state.setTimeoutTimestamp(max(int(held[0][0] // 1000), state.getCurrentWatermarkMs()) + 1)
+        for w, t, r in zip(who[done].tolist(), at[done].tolist(), values[done].tolist()):
+            if (got := step(memory[w], r)) is not None:
+                rows.append((known[w], t, *got))
+        left = who[~done], at[~done], values[~done]
+        sizes = np.array([len(m) for m in memory], np.int64)
+        state.update((known, sizes.tobytes(), np.array([x for m in memory for x in m], float).tobytes(), *[x.tobytes() for x in left]))
+        if len(left[1]):
+            state.setTimeoutTimestamp(max(int(left[1].min() // 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=names)
 
-    state_type = T.StructType().add("memory", T.ArrayType(T.DoubleType())).add("held", T.ArrayType(T.StructType([T.StructField("t", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in columns]])))
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {time} timestamp, {out}", state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    state_type = "known array<string>, sizes binary, numbers binary, who binary, at binary, vals binary"
+    dealt = stream.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"), F.col(key).cast("string").alias(key), time, F.unix_micros(time).alias("_t"), *columns)
+    found = dealt.groupBy("_b").applyInPandasWithState(run, f"{key} string, _t long, {out}", state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col(key).cast(kind).alias(key), F.timestamp_micros("_t").alias(time), *names[2:])
 
 
-def online_ewma(stream: DataFrame, key: str, time: str, value: str, lam: float = 0.94, warmup: int = 20) -> DataFrame:
+def online_ewma(stream: DataFrame, key: str, time: str, value: str, lam: float = 0.94, warmup: int = 20, buckets: int = BUCKETS) -> DataFrame:
     """(key, time, scale): the scale before each point is seen, from the warm-up's sample variance on. The stream has a watermark on time."""
 
     def step(memory: list, row: tuple):
@@ -59,10 +80,10 @@ def online_ewma(stream: DataFrame, key: str, time: str, value: str, lam: float =
         memory[3] = lam * v + (1 - lam) * x * x
         return (v**0.5,)
 
-    return _replayed(stream, key, time, [value], "scale double", lambda: [0.0, 0.0, 0.0, 0.0], step)
+    return _replayed(stream, key, time, [value], "scale double", lambda: [0.0, 0.0, 0.0, 0.0], step, buckets)
 
 
-def adaptive_conformal(stream: DataFrame, key: str, time: str, pred: str, truth: str, alpha: float = 0.1, gamma: float = 0.01, window: int = 200) -> DataFrame:
+def adaptive_conformal(stream: DataFrame, key: str, time: str, pred: str, truth: str, alpha: float = 0.1, gamma: float = 0.01, window: int = 200, buckets: int = BUCKETS) -> DataFrame:
     """(key, time, lower, upper, level): the interval from the last scores at the current level, unbounded at first; the level
     moves by gamma times (alpha - miss) and stays within [0, 1]."""
 
@@ -79,7 +100,7 @@ def adaptive_conformal(stream: DataFrame, key: str, time: str, pred: str, truth:
         memory[:] = [min(1.0, max(0.0, level + gamma * (alpha - miss))), *(scores + [abs(y - p)])[-window:]]
         return (p - q, p + q, level)
 
-    return _replayed(stream, key, time, [pred, truth], "lower double, upper double, level double", lambda: [alpha], step)
+    return _replayed(stream, key, time, [pred, truth], "lower double, upper double, level double", lambda: [alpha], step, buckets)
 
 
 def windowed_drift(stream: DataFrame, time: str, value: str, edges: list[float], reference: list[float], width: str = "30 days", delay: str = "1 day") -> DataFrame:

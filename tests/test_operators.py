@@ -258,6 +258,27 @@ def test_streams_equal_their_recursions(spark):
             scores = (scores + [abs(v)])[-30:]
 
 
+def test_keys_of_a_stream_share_rows_of_state_and_may_be_null(spark, tmp_path):
+    import datetime as dt
+
+    noon = dt.datetime(2024, 1, 1, 12)
+    rows = [(None if k == 7 else k * 10**15 + 1, noon + dt.timedelta(seconds=i), float(k + i)) for k in range(40) for i in range(5)]
+    path, zone = str(tmp_path / "s"), spark.conf.get("spark.sql.session.timeZone")
+    spark.createDataFrame(rows, "k long, ts timestamp, v double").repartition(3).write.parquet(path)
+    stream = spark.readStream.schema("k long, ts timestamp, v double").parquet(path).withWatermark("ts", "0 seconds")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        q = sequential.online_ewma(stream, "k", "ts", "v", warmup=2, buckets=4).writeStream.format("memory").queryName("shared_state").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {(r["k"], r["t"]): r["scale"] for r in spark.table("shared_state").selectExpr("k", "unix_micros(ts) as t", "scale").collect()}
+        assert 1 <= q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+        # of five rows of a key two warm up
+        micros = sorted(r[0] for r in spark.read.parquet(path).selectExpr("unix_micros(ts)").distinct().collect())
+        assert set(got) == {(k, t) for k in {r[0] for r in rows} for t in micros[2:]} and all(got[k, micros[2]] == pytest.approx(0.5**0.5) for k, _ in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_streams_hold_every_row_up_to_their_end(spark):
     import __spark_entry__ as entry
 
