@@ -49,5 +49,5 @@ SELECT feature, count(*) AS n, round(avg(abs(exact)), 6) AS mean_abs, round(avg(
 def shapley_agreement(spark, sf_dir):
     d = _rows(spark, sf_dir)
     b = A.background_rows(d, FEATURES, BACKGROUND, "shapley")
-    g = A.agreement(A.sampled_shapley(d, FEATURES, predict, b, PAIRS, "shapley"), A.exact_values(d, FEATURES, predict, b))
+    g = A.agreement(A.sampled_and_exact(d, FEATURES, predict, b, PAIRS, "shapley"))
     return g.select("feature", "n", *[r(c).alias(c) for c in ("mean_abs", "mean_error", "worst", "within")])

@@ -66,6 +66,20 @@ def test_sampled_values_are_efficient_and_exact_ones_are_their_mean(spark):
     assert {r["n"] for r in table.collect()} == {40}
 
 
+def test_sampled_and_exact_values_meet_without_a_join(spark):
+    from pyspark.sql import DataFrame
+
+    f = lambda x: x[..., 0] * x[..., 1] + np.maximum(x[..., 2], 0)
+    df = spark.createDataFrame([(i, i % 7 - 3.0, i % 5 - 2.0, i % 3 - 1.0) for i in range(30)] + [(99, None, 1.0, 1.0)], "id long, a double, b double, c double").repartition(2)
+    back = attribution.background_rows(df.filter("id < 30"), ["a", "b", "c"], 4, "s")
+    two = attribution.agreement(attribution.sampled_shapley(df, ["a", "b", "c"], f, back, 6, "s"), attribution.exact_values(df, ["a", "b", "c"], f, back))
+    with pytest.MonkeyPatch.context() as m:
+        m.delattr(DataFrame, "join")
+        one = attribution.agreement(attribution.sampled_and_exact(df, ["a", "b", "c"], f, back, 6, "s"))
+    rows = lambda t: sorted((r["feature"], r["n"], *[round(r[c], 9) for c in ("mean_abs", "mean_error", "worst", "within")]) for r in t.collect())
+    assert rows(one) == rows(two) and {r[1] for r in rows(one)} == {30}
+
+
 def test_greedy_selection_equals_refits_on_rows(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 5))
