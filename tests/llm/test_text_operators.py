@@ -905,3 +905,11 @@ def test_pipeline_stages_go_by_rows_where_ids_are_null_or_repeat(spark, tmp_path
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
     assert sorted(clean, key=str) == sorted([rows[1], rows[3], rows[5], rows[6]], key=str)
+
+
+def test_repeats_are_joined_the_same_way_at_any_size(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    got = substring.remove_repeats(frame(spark, [f"a {same}", f"b {same}", "c"]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r["n_removed"] for r in got.collect()) == [0, 0, 30]
