@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,39 @@ def to_dates(c: str | Column) -> Column:
     return F.when(digits.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), digits).try_cast("date")
 
 
+#: Bytes of texts that are looked at together.
+AT_ONCE = 4_000_000
+
+
+def character_counts(df: DataFrame, text: str, classes: dict[str, str], length: str = "n_chars") -> DataFrame:
+    """df without its texts, with their code points and, for each {new column: ASCII characters}, how many of a text's are among these; null for null texts.
+    One look at each byte serves all classes."""
+    kinds = np.zeros((len(classes) + 1, 256), bool)
+    kinds[0] = (np.arange(256) & 0xC0) != 0x80  # all but the continuations of a code point
+    for i, own in enumerate(classes.values(), 1):
+        kinds[i, list(own.encode("ascii"))] = True
+    names = [c for c in df.columns if c != text]
+    new = [length, *classes]
+
+    def rows(batches):
+        for batch in batches:
+            col = batch.column("_text").cast(pa.large_binary())
+            off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+            data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+            none = col.is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff((off[1:] - off[0]) // AT_ONCE)) + 1).tolist(), len(col)]
+            found = np.zeros((len(new), len(col)), np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                own, upto = data[off[a] : off[b]], np.zeros(off[b] - off[a] + 1, np.int64)
+                for i, kind in enumerate(kinds):
+                    np.cumsum(kind[own], out=upto[1:])
+                    found[i, a:b] = np.diff(upto[off[a : b + 1] - off[a]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(n, mask=none) for n in found)], names=[*names, *new])
+
+    schema = df.select(*names, *[F.lit(None).cast("long").alias(c) for c in new]).schema
+    return df.select(*names, F.col(text).alias("_text")).mapInArrow(rows, schema)
+
+
 def tidy(df: DataFrame, date: str, values: list[str], sequence: str) -> DataFrame:
     """One row a date, that of the highest sequence number; values are doubles, bad text is null. Rows without a date go."""
     rows = df.select(to_dates(date).alias("date"), *[to_number(F.col(v).cast("string")).alias(v) for v in values], F.col(sequence).alias("_seq")).filter("date is not null")

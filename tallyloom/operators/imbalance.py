@@ -178,7 +178,7 @@ def resampled_scores(df: DataFrame, row_id: str, vec: str, y: str, reps: int, sh
     test row is scored by reps x 6 models, and these scores, rounded to nine digits, are ranked over range partitions."""
     if model not in ("logistic", "boosted"):
         raise ValueError(f"no model {model}")
-    d = training_sets(df, row_id, vec, y, reps, share, seed)
+    d = written(training_sets(df, row_id, vec, y, reps, share, seed), "dealt")  # what vectors are made of is read once
     sets = resampled_sets(d.filter("rep is not null"), reps, k, seed)
     logits, models = (lambda x: np.zeros((len(x), 0))), []
     if sets is not None and sets.used:

@@ -159,3 +159,31 @@ def test_boosted_remedies_equal_copies_and_plain_trees(spark, drawn):
     assert set(scores) == {*I.METHODS, I.CORRECTED} and scores["plain"]["auc"] > 0.7 and scores["weights"]["mean_p"] > scores["plain"]["mean_p"]
     with pytest.raises(ValueError):
         I.resampled_scores(df, "id", "vec", "y", 1, 0.6, "s", model="other")
+
+
+def test_documents_are_read_once_and_counts_are_those_of_patterns(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import cleaning
+    from tallyloom.plans import q_imbalance as Q
+
+    monkeypatch.setattr(cleaning, "AT_ONCE", 7)
+    texts = ["", None, "Ab 1\n2é€😀", "x" * 20, "É\t9Z\r\n", "\U0001f600", "12 34"]
+    df = spark.createDataFrame([(i, 2 * i, t) for i, t in enumerate(texts)], "a long, b long, text string").coalesce(1)
+    got = cleaning.character_counts(df, "text", Q.CLASSES, "n")
+    assert got.columns == ["a", "b", "n", "digits", "capitals", "spaces", "plain"]
+    left = lambda p: F.length(F.regexp_replace("text", p, "")).cast("long")
+    want = df.select("a", "b", F.length("text").cast("long"), left("[^0-9]"), left("[^A-Z]"), left("[^ \\n]"), left("[^A-Za-z0-9 \\n]"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert cleaning.character_counts(df.limit(0), "text", Q.CLASSES).count() == 0
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], int(i % 4 == 0)) for i in range(120)], "id long, vec array<double>, y int")
+    I.resampled_scores(rows.mapInArrow(count, rows.schema), "id", "vec", "y", 1, 0.6, "s", steps=2).collect()
+    assert seen.value == 120
