@@ -1,6 +1,7 @@
 """Every text operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -913,3 +914,23 @@ def test_repeats_are_joined_the_same_way_at_any_size(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted(r["n_removed"] for r in got.collect()) == [0, 0, 30]
+
+
+def test_repeats_are_found_in_steps_that_each_shuffle_the_corpus_once(spark, monkeypatch):
+    from tallyloom.llm import scratch, substring
+
+    joins, paths, write = {}, {}, scratch.written
+
+    def written(df, name):
+        joins[name] = str(df._jdf.queryExecution().optimizedPlan()).count("Join ")
+        out = write(df, name)
+        paths[name] = out.scratch_path.removeprefix("file://")
+        return out
+
+    monkeypatch.setattr(scratch, "written", written)
+    passage = " ".join(f"w{i}" for i in range(25))
+    docs = spark.createDataFrame([(0, f"a b {passage} c"), (1, f"d {passage} e f"), (2, "alone"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    assert got == {0: 0, 1: 25, 2: 0, 3: 0}
+    assert max(joins.values()) == 1 and {"hits", "windows"} <= set(joins)
+    assert os.path.exists(paths["repeats"]) and not any(os.path.exists(paths[n]) for n in ("twice", "hits", "windows"))
