@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -275,14 +275,19 @@ def _residual(spokes: DataFrame, t: Fraction) -> DataFrame:
         "loose": n + 1 - F.greatest(F.lit(1), F.ceil((n - F.floor((F.col("size_u") + F.col("size_v")) * p / q)) / 2)),
     })
     spark = spokes.sparkSession
-    tokens = scratch.written(of.select("v", "u", "part", "linked", "size_u", "strict", "loose", F.explode("differ").alias("token")), "tokens")
+    tokens = scratch.written(of.select("v", "u", "part", "linked", "size_u", "strict", "loose", n.alias("all"), F.explode("differ").alias("token")), "tokens")
+    scratch.released(spark)
     keys = ["v", "token"]
     counts = tokens.groupBy(*keys, "part").agg(F.count("*").alias("n")).groupBy(*keys)
     counts = counts.agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), (F.count("*") > 1).alias("mixed"))
-    order = Window.partitionBy("v", "u").orderBy("mixed", "n", "token")
-    ranked = tokens.join(counts, keys).withColumn("rank", F.row_number().over(order)).filter(F.col("mixed") & (F.col("rank") <= F.when(F.col("linked"), F.col("strict")).otherwise(F.greatest("strict", "loose"))))
+    # shingles of one component come first in the order and lead nowhere, so only their number is needed
+    counts = scratch.written(counts.filter("mixed").drop("mixed"), "counts")
+    scratch.released(spark)
+    own = Window.partitionBy("v", "u")
+    rank = F.col("all") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token"))
+    ranked = tokens.join(counts, keys).withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("linked"), F.col("strict")).otherwise(F.greatest("strict", "loose")))
     ranked = scratch.written(ranked.select(*keys, "u", "part", "linked", "size_u", (F.col("part") == F.col("most.part")).alias("main"), (F.col("rank") <= F.col("strict")).alias("strict")), "meeting")
-    scratch.dropped(tokens)
+    scratch.dropped(tokens, counts)
     scratch.released(spark)
     left = ranked.filter("not linked")
     right = ranked.filter("strict").select(*keys, F.col("u").alias("w"), F.col("part").alias("w_part"), F.col("linked").alias("w_linked"), F.col("size_u").alias("w_size"), F.col("main").alias("w_main"))
@@ -299,15 +304,19 @@ def _residual(spokes: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(one, ["v", "u"]).join(other, ["v", "w"]).filter(_links(F.col("size_u"), F.col("size_w"), apart, t)).select("u", F.col("w").alias("v"))
 
 
-def _buckets(signed: DataFrame, member: DataFrame) -> DataFrame:
-    """(sig, doc_id, back) of all signatures that sets of different words share, or that a slice knows to be shared."""
+#: Signatures meet in so many rounds, by their remainder, so that disk holds the shuffle files of one at a time.
+ROUNDS = 2
+
+
+def _shared(signed: DataFrame, turn: int) -> DataFrame:
+    """(sig, doc_id, back) of the signatures of a round that sets share, or that a slice knows to be shared."""
     known = signed.filter("doc_id is not null and words_key is not null")
+    mine = F.pmod("sig", F.lit(ROUNDS)) == turn
     one = known.select("doc_id", "back", F.lit(False).alias("led"), F.explode("alone").alias("sig"))
     more = known.select("doc_id", "back", F.lit(True).alias("led"), F.explode("led").alias("sig"))
     every = Window.partitionBy("sig")
-    met = one.union(more).withColumns({"n": F.count("*").over(every), "some": F.max("led").over(every)}).filter("n > 1 or some").select("sig", "doc_id", "back")
-    shared = met.union(known.select(F.explode("again").alias("sig"), "doc_id", "back").select("sig", "doc_id", "back"))
-    return scratch.written(shared.join(member, "doc_id").select("sig", F.col("rep").alias("doc_id"), "back").distinct(), "buckets")
+    met = one.union(more).filter(mine).withColumns({"n": F.count("*").over(every), "some": F.max("led").over(every)}).filter("n > 1 or some").select("sig", "doc_id", "back")
+    return met.union(known.select(F.explode("again").alias("sig"), "doc_id", "back").filter(mine).select("sig", "doc_id", "back"))
 
 
 def _peeled(buckets: DataFrame, floors: DataFrame, parts: DataFrame) -> DataFrame:
@@ -391,8 +400,13 @@ def _linked(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]
     classes = scratch.written(known.groupBy("words_key").agg(F.min("doc_id").alias("rep")), "reps")
     member = scratch.written(known.join(classes, "words_key").select("doc_id", "rep"), "classes")
     floors = scratch.written(signed.join(member.filter("doc_id = rep"), "doc_id").select("doc_id", "back", "floor"), "floors")
-    buckets = _buckets(signed, member)
+    shared = []
+    for turn in range(ROUNDS):
+        shared.append(scratch.written(_shared(signed, turn), "shared"))
+        scratch.released(spark)
     scratch.dropped(signed, classes)
+    buckets = scratch.written(reduce(DataFrame.union, shared).join(member, "doc_id").select("sig", F.col("rep").alias("doc_id"), "back").distinct(), "buckets")
+    scratch.dropped(*shared)
     scratch.released(spark)
     buckets = _peeled(buckets, floors, member.select("doc_id", F.col("rep").alias("part")))
     scratch.released(spark)

@@ -934,3 +934,39 @@ def test_repeats_are_found_in_steps_that_each_shuffle_the_corpus_once(spark, mon
     assert got == {0: 0, 1: 25, 2: 0, 3: 0}
     assert max(joins.values()) == 1 and {"hits", "windows"} <= set(joins)
     assert os.path.exists(paths["repeats"]) and not any(os.path.exists(paths[n]) for n in ("twice", "hits", "windows"))
+
+
+def test_jaccard_join_meets_signatures_and_differences_in_steps(spark, monkeypatch):
+    from tallyloom.llm import scratch
+
+    plans, paths, write = defaultdict(list), defaultdict(list), scratch.written
+
+    def written(df, name):
+        plans[name].append(str(df._jdf.queryExecution().optimizedPlan()))
+        out = write(df, name)
+        paths[name].append(out.scratch_path.removeprefix("file://"))
+        return out
+
+    monkeypatch.setattr(scratch, "written", written)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.sample(range(120), n):
+            words[i] = f"x{rng.randrange(40)}"
+        return words
+
+    words = [edited(n) for n in (0, 0, *[3, 4, 5, 6] * 6)] + [[f"y{i}" for i in range(50)]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string"), 3, Fraction(4, 5)).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    part = list(range(len(words)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and part[i] != part[j]:
+                lo, hi = sorted((part[i], part[j]))
+                part = [lo if p == hi else p for p in part]
+    assert got == dict(enumerate(part)) and len(set(part)) > 2
+    assert len(plans["shared"]) == jaccard.ROUNDS and not any("Window" in p for p in plans["buckets"])
+    assert plans["counts"] and not any("Aggregate" in p for p in plans["meeting"])
+    assert not any(os.path.exists(p) for n in ("signed", "shared", "tokens", "counts") for p in paths[n])
