@@ -187,3 +187,16 @@ def test_documents_are_read_once_and_counts_are_those_of_patterns(spark, tmp_pat
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], int(i % 4 == 0)) for i in range(120)], "id long, vec array<double>, y int")
     I.resampled_scores(rows.mapInArrow(count, rows.schema), "id", "vec", "y", 1, 0.6, "s", steps=2).collect()
     assert seen.value == 120
+
+
+def test_boosted_remedies_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], int(i % 4 == 0)) for i in range(120)], "id long, vec array<double>, y int")
+    I.resampled_scores(rows.mapInArrow(count, rows.schema), "id", "vec", "y", 1, 0.6, "s", model="boosted", bins=4, rounds=1, depth=1).collect()
+    assert seen.value == 120
