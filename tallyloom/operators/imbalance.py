@@ -133,32 +133,47 @@ def _bins(edges: np.ndarray, x: np.ndarray, bins: int) -> np.ndarray:
     return np.clip(np.floor((x - low) / np.where(high > low, high - low, 1.0) * bins), 0, bins - 1).astype(np.int32)
 
 
+def weighted_cells(sets: Sets, edges: np.ndarray, bins: int) -> DataFrame:
+    """(y, rep, w, bins, n): how many rows of a training set have the same bins, label and weights, w by method. Trees see no more of a row, so they grow from
+    these, whose number follows the bins that occur and not the rows."""
+    used, counts = sets.used, sets.counts
+
+    def rows(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _bins(edges, vectors(batch.column("vec"), batch.num_rows), bins)
+            for i in used:
+                at, w = _own(batch, i, counts)
+                n, (p, m) = int(at.sum()), (x.shape[1], w.shape[1])
+                lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, pa.array(v.ravel())) for k, v in ((m, w.astype(float)), (p, x[at]))]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("y").to_numpy()[at]), pa.array(np.full(n, i, np.int32)), *lists], names=["y", "rep", "w", "bins"])
+
+    cells = sets.rows.select("vec", "y", "rep", "u", "drawn").mapInArrow(rows, "y int, rep int, w array<double>, bins array<int>")
+    return written(cells.groupBy("y", "rep", "w", "bins").agg(F.count("*").alias("n")), "binned")
+
+
 def boosted_fits(sets: Sets, bins: int = 32, rounds: int = 10, depth: int = 3, rate: float = 0.3, least: int = 5) -> tuple[np.ndarray, list[tuple[int, str, float, list[Tree]]]]:
     """The columns' ends, and (set, method, first score, trees) of gradient boosting by log loss. Trees of all sets and methods grow together, one pass a level and
-    round; a leaf has at least so much weight."""
+    round over the rows that differ in bins, label or weights; a leaf has at least so much weight."""
     ends = sets.rows.select(*[F.get("vec", F.lit(c)).alias(f"c{c}") for c in range(sets.columns)]).agg(*[f(f"c{c}") for f in (F.min, F.max) for c in range(sets.columns)]).first()
-    edges, used, counts, m = np.array(ends, float).reshape(2, -1), sets.used, sets.counts, len(METHODS)
-    binned = sets.rows.mapInArrow(
-        lambda batches: (
-            pa.RecordBatch.from_arrays([*(b.column(c) for c in ("y", "rep", "u", "drawn")), pa.array(list(_bins(edges, vectors(b.column("vec"), b.num_rows), bins)))], names=["y", "rep", "u", "drawn", "bins"])
-            for b in batches if b.num_rows
-        ), "y int, rep int, u double, drawn boolean, bins array<int>",
-    )
-    binned, n = written(binned, "binned"), len(used) * m
+    edges, used, m = np.array(ends, float).reshape(2, -1), sets.used, len(METHODS)
+    binned, n = weighted_cells(sets, edges, bins), len(used) * m
     share = np.clip(sets.trained[used].ravel(), 1e-9, 1 - 1e-9)
     first, grown = np.log(share / (1 - share)), [[] for _ in range(n)]
     for _ in range(rounds):
         so_far = [list(t) for t in grown]
 
         def rows_of(batch, x, so_far=so_far):
-            y = batch.column("y").to_numpy()
+            y, rep = batch.column("y").to_numpy(), batch.column("rep").to_numpy()
+            weight = vectors(batch.column("w"), len(x)) * batch.column("n").to_numpy()[:, None]
             w, s, h = (np.zeros((len(x), n)) for _ in range(3))
             for a, i in enumerate(used):
-                at, own = _own(batch, i, counts)
+                at = np.flatnonzero(rep == i)
                 for j in range(m):
                     t = a * m + j
-                    p = 1 / (1 + np.exp(-sum((tree.predict(x[at], depth) for tree in so_far[t]), np.full(at.sum(), first[t]))))
-                    w[at, t], s[at, t], h[at, t] = own[:, j], own[:, j] * (y[at] - p), own[:, j] * p * (1 - p)
+                    p = 1 / (1 + np.exp(-sum((tree.predict(x[at], depth) for tree in so_far[t]), np.full(len(at), first[t]))))
+                    w[at, t], s[at, t], h[at, t] = weight[at, j], weight[at, j] * (y[at] - p), weight[at, j] * p * (1 - p)
             return w, s, h
 
         for t, tree in enumerate(_grown(binned, n, [[1] * sets.columns] * n, depth, bins, rows_of, False, least, lambda n, s, h: rate * s / max(h, 1e-12))):

@@ -200,3 +200,36 @@ def test_boosted_remedies_read_their_input_once(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], int(i % 4 == 0)) for i in range(120)], "id long, vec array<double>, y int")
     I.resampled_scores(rows.mapInArrow(count, rows.schema), "id", "vec", "y", 1, 0.6, "s", model="boosted", bins=4, rounds=1, depth=1).collect()
     assert seen.value == 120
+
+
+def test_boosted_trees_grow_from_cells_and_not_from_rows(spark, monkeypatch):
+    held, grown = [], I._grown
+
+    def seen(table, *rest):
+        held.append(table)
+        return grown(table, *rest)
+
+    monkeypatch.setattr(I, "_grown", seen)
+    rows = [(i, [float(i % 5), float(i % 3)], int(i % 4 == 0), 0) for i in range(240)]
+    sizes, trees = [], []
+    for copies in (1, 3):
+        real = spark.createDataFrame([(*r, 0.5, True) for r in rows * copies], "id long, vec array<double>, y int, rep int, u double, drawn boolean").drop("id")
+        counts = np.array([[180, 60]]) * copies
+        trained = np.array([[0.25, 0.5, 0.25, 0.5, 0.5]])
+        edges, fits = I.boosted_fits(I.Sets(real, 2, counts, [0], trained), 8, 2, 2, 0.5, 1)
+        sizes.append(held[-1].count())
+        trees.append([(name, [t.splits.keys() for t in own], [{k: round(v, 9) for k, v in t.values.items()} for t in own]) for _, name, _, own in fits])
+        assert held[-1].groupBy().sum("n").first()[0] == 240 * copies and edges.tolist() == [[0.0, 0.0], [4.0, 2.0]]
+    assert sizes == [30, 30] and trees[0] == trees[1]  # 5 x 3 vectors of either label, however many rows
+
+
+def test_characters_of_long_texts_and_many_classes(spark):
+    from string import ascii_lowercase
+
+    from tallyloom.operators.cleaning import character_counts
+
+    texts = ["a" * 4095, "a" * 4096, "ab€" * 5000, None, "", "z" * 20_000 + "a"]
+    classes = {f"c{i}": ascii_lowercase[i] for i in range(7)} | {"all": ascii_lowercase}
+    got = character_counts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "text", classes)
+    want = [(i, *([None] * 9 if t is None else [len(t), *(sum(map(t.count, c)) for c in classes.values())])) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, got.collect())) == want
